@@ -175,3 +175,23 @@ def fisher_exact_p(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def binomial_upper_p(k: Column, n: Column) -> Column:
     return _clean(_binomial(k.cast("double"), n.cast("double")))
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_rank(w: pd.Series, n: pd.Series) -> pd.Series:
+    def one(w, n):
+        # Number of sign patterns by rank sum.
+        ways = np.ones(1)
+        for r in range(1, int(n) + 1):
+            longer = np.zeros(len(ways) + r)
+            longer[: len(ways)] += ways
+            longer[r:] += ways
+            ways = longer
+        return min(1.0, 2 * ways[: int(w) + 1].sum() / ways.sum())
+
+    return _apply(np.vectorize(one, otypes=[float]), w, n)
+
+
+def signed_rank_p(w: Column, n: Column) -> Column:
+    """Exact two-sided p of the smaller signed-rank sum of n untied differences."""
+    return _clean(_signed_rank(w.cast("double"), n.cast("double")))
