@@ -47,12 +47,10 @@ def fft_name(k: int, attr: str) -> str:
     return f'fft_coefficient__coeff_{k}__attr_"{attr}"'
 
 
-def fft_columns(sums: Column, terms: int) -> dict[str, Column]:
-    """real, imag, abs and angle (degrees) of each term from the interleaved sums."""
-    re = [F.get(sums, F.lit(2 * k)) for k in range(terms)]
-    im = [F.get(sums, F.lit(2 * k + 1)) for k in range(terms)]
-    out = {fft_name(k, "real"): re[k] for k in range(terms)}
-    out |= {fft_name(k, "imag"): im[k] for k in range(terms)}
-    out |= {fft_name(k, "abs"): F.hypot(re[k], im[k]) for k in range(terms)}
-    out |= {fft_name(k, "angle"): F.degrees(F.atan2(im[k], re[k])) for k in range(terms)}
-    return out
+def fft_columns(sums: str, terms: int, name=fft_name) -> dict[str, Column]:
+    """real, imag, abs and angle (degrees) of each term from the column of interleaved sums."""
+    def parts(k: int) -> dict[str, str]:
+        re, im = f"get({sums}, {2 * k})", f"get({sums}, {2 * k + 1})"
+        return {"real": re, "imag": im, "abs": f"hypot({re}, {im})", "angle": f"degrees(atan2({im}, {re}))"}
+
+    return {name(k, a): F.expr(parts(k)[a]) for a in ("real", "imag", "abs", "angle") for k in range(terms)}

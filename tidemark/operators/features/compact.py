@@ -174,7 +174,7 @@ def compact_features(
     out = out.withColumn('linear_trend__attr_"pvalue"', trend_p(r, F.col("__n")))
     columns = {name: F.col(f"`{name}`") for name in final}
     if n_fft_coeffs > 0:
-        columns |= fft_columns(F.col("__fft"), n_fft_coeffs)
+        columns |= fft_columns("__fft", n_fft_coeffs)
     return out.select(*keys, *[c.alias(name) for name, c in columns.items()])
 
 
