@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import ratio
 from tidemark.functions.fourier import fft_columns, fourier_sums
 from tidemark.functions.special import student_p
 from tidemark.operators.features.rows import SequenceRows, sequence_rows
@@ -18,62 +17,55 @@ QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9)
 _ZERO = 1e-12
 
 
-def moments(x: Column) -> dict[str, Column]:
-    sd = F.stddev_pop(x)
+def moments(x: str) -> dict[str, str]:
+    """SQL of the moments and extremes of the values; shape is 0 where the deviation vanishes."""
+    shape = "CASE WHEN stddev_pop({x}) > {zero} THEN coalesce({fn}({x}), 0D) ELSE 0D END"
     return {
-        "mean": F.avg(x),
-        "standard_deviation": sd,
-        "variance": F.var_pop(x),
-        "minimum": F.min(x),
-        "maximum": F.max(x),
-        "abs_energy": F.sum(x * x),
-        "absolute_maximum": F.max(F.abs(x)),
-        "root_mean_square": F.sqrt(F.avg(x * x)),
-        "skewness": F.when(sd > _ZERO, F.coalesce(F.skewness(x), F.lit(0.0))).otherwise(0.0),
-        "kurtosis": F.when(sd > _ZERO, F.coalesce(F.kurtosis(x), F.lit(0.0))).otherwise(0.0),
+        "mean": f"avg({x})",
+        "standard_deviation": f"stddev_pop({x})",
+        "variance": f"var_pop({x})",
+        "minimum": f"min({x})",
+        "maximum": f"max({x})",
+        "abs_energy": f"sum({x} * {x})",
+        "absolute_maximum": f"max(abs({x}))",
+        "root_mean_square": f"sqrt(avg({x} * {x}))",
+        "skewness": shape.format(x=x, zero=_ZERO, fn="skewness"),
+        "kurtosis": shape.format(x=x, zero=_ZERO, fn="kurtosis"),
     }
 
 
-def changes(x: Column, position: Column, previous: Column) -> dict[str, Column]:
-    step = F.abs(x - previous)
-    n = F.count(F.lit(1))
+def changes(x: str, position: str, previous: str) -> dict[str, str]:
     return {
-        "mean_change": ratio(F.max_by(x, position) - F.min_by(x, position), n - 1),
-        "mean_abs_change": F.coalesce(F.avg(step), F.lit(0.0)),
-        "absolute_sum_of_changes": F.coalesce(F.sum(step), F.lit(0.0)),
+        "mean_change": f"coalesce(try_divide(max_by({x}, {position}) - min_by({x}, {position}), count(1) - 1), 0D)",
+        "mean_abs_change": f"coalesce(avg(abs({x} - {previous})), 0D)",
+        "absolute_sum_of_changes": f"coalesce(sum(abs({x} - {previous})), 0D)",
     }
 
 
-def locations(x: Column, position: Column, last_shift: int = 0) -> dict[str, Column]:
+def locations(x: str, position: str, last_shift: int = 0) -> dict[str, str]:
     """First and last index of the extremes over n; `last_shift` is added to the last ones."""
-    n = F.count(F.lit(1))
+    def at(best: str, value: str, place: str) -> str:
+        return f"{best}(named_struct('v', {value}, 'p', {place})).p"
 
-    def where(best: Column) -> Column:
-        return F.abs(best["p"])
-
-    low_first = F.min(F.struct(x.alias("v"), position.alias("p")))
-    high_first = F.min(F.struct((-x).alias("v"), position.alias("p")))
-    low_last = F.min(F.struct(x.alias("v"), (-position).alias("p")))
-    high_last = F.max(F.struct(x.alias("v"), position.alias("p")))
     return {
-        "first_location_of_minimum": where(low_first) / n,
-        "first_location_of_maximum": where(high_first) / n,
-        "last_location_of_minimum": (where(low_last) + last_shift) / n,
-        "last_location_of_maximum": (where(high_last) + last_shift) / n,
+        "first_location_of_minimum": f"{at('min', x, position)} / count(1)",
+        "first_location_of_maximum": f"{at('min', f'-{x}', position)} / count(1)",
+        "last_location_of_minimum": f"({last_shift} - {at('min', x, f'-{position}')}) / count(1)",
+        "last_location_of_maximum": f"({last_shift} + {at('max', x, position)}) / count(1)",
     }
 
 
-def trend(x: Column, t: Column) -> dict[str, Column]:
-    """Least squares of x on t: slope, intercept, r and the standard error of the slope."""
-    sxx, sxy, syy = F.var_pop(t), F.covar_pop(t, x), F.var_pop(x)
-    n = F.count(x)
-    slope = ratio(sxy, sxx)
-    rest = F.greatest(F.coalesce(syy - slope * sxy, F.lit(0.0)), F.lit(0.0))
+def trend(x: str, t: str) -> dict[str, str]:
+    """SQL of the least squares of x on t: slope, intercept, r and the standard error of the slope."""
+    sxx, sxy, syy = f"var_pop({t})", f"covar_pop({t}, {x})", f"var_pop({x})"
+    slope = f"coalesce(try_divide({sxy}, {sxx}), 0D)"
+    r = f"coalesce(try_divide({sxy}, sqrt({sxx} * {syy})), 0D)"
+    rest = f"greatest(coalesce({syy} - {slope} * {sxy}, 0D), 0D)"
     return {
         "slope": slope,
-        "intercept": F.when(sxx > 0, F.avg(x) - slope * F.avg(t)).otherwise(0.0),
-        "rvalue": F.when(syy > _ZERO, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(sxy, F.sqrt(sxx * syy))))).otherwise(0.0),
-        "stderr": F.sqrt(ratio(rest, sxx * (n - 2))),
+        "intercept": f"CASE WHEN {sxx} > 0 THEN avg({x}) - {slope} * avg({t}) ELSE 0D END",
+        "rvalue": f"CASE WHEN {syy} > {_ZERO} THEN greatest(-1D, least(1D, {r})) ELSE 0D END",
+        "stderr": f"sqrt(coalesce(try_divide({rest}, {sxx} * (count({x}) - 2)), 0D))",
     }
 
 
@@ -85,15 +77,16 @@ def trend_p(r: Column, n: Column) -> Column:
     )
 
 
-def autocorrelation_sums(rows: SequenceRows, lags: Sequence[int]) -> dict[str, Column]:
-    """sum (x_t - mu)(x_{t-k} - mu) / sum (x - mu)^2 * n / (n - k); 0 where undefined."""
-    d = F.col("x") - F.col("mu")
-    n, total = F.count(F.lit(1)), F.sum(d * d)
+def autocorrelations(lags: Sequence[int]) -> dict[str, str]:
+    """SQL of sum (x_t - mu)(x_{t-k} - mu) / sum (x - mu)^2 * n / (n - k); 0 where undefined."""
+    total = "sum((x - mu) * (x - mu))"
     out = {}
     for k in lags:
-        cov = F.sum(d * (F.col(f"lag_{k}") - F.col("mu")))
-        value = ratio(cov * n, total * (n - k))
-        out[f"autocorrelation__lag_{k}"] = F.when((n > k) & (total >= _ZERO), value).otherwise(0.0)
+        cov = f"sum((x - mu) * (lag_{k} - mu))"
+        out[f"autocorrelation__lag_{k}"] = (
+            f"CASE WHEN count(1) > {k} AND {total} >= {_ZERO} "
+            f"THEN coalesce(try_divide({cov} * count(1), {total} * (count(1) - {k})), 0D) ELSE 0D END"
+        )
     return out
 
 
@@ -124,35 +117,34 @@ def compact_features(
     """
     rows = sequence_rows(df, ids, step, channels, max_len, halo=max(LAGS))
     rows = rows.with_stats({"mu": F.avg("x"), "sd": F.stddev_pop("x")})
-    x, mu, position = F.col("x"), F.col("mu"), F.col("position")
-    rows = rows.with_runs({"above": x > mu, "below": x < mu})
+    x = F.col("x")
+    rows = rows.with_runs({"above": x > F.col("mu"), "below": x < F.col("mu")})
     rows = rows.with_columns({f"lag_{k}": F.lag("x", k).over(rows.ordered) for k in LAGS})
 
-    n = F.count(F.lit(1))
-    aggs = moments(x) | changes(x, position, F.col("lag_1")) | locations(x, position)
+    aggs = moments("x") | changes("x", "position", "lag_1") | locations("x", "position")
     aggs |= {
-        "count_above_mean": F.count_if(F.col("above")).cast("double"),
-        "count_below_mean": F.count_if(F.col("below")).cast("double"),
-        "longest_strike_above_mean": F.max("above_run").cast("double"),
-        "longest_strike_below_mean": F.max("below_run").cast("double"),
-        "variance_larger_than_standard_deviation": (F.var_pop(x) > F.stddev_pop(x)).cast("double"),
+        "count_above_mean": "double(count_if(above))",
+        "count_below_mean": "double(count_if(below))",
+        "longest_strike_above_mean": "double(max(above_run))",
+        "longest_strike_below_mean": "double(max(below_run))",
+        "variance_larger_than_standard_deviation": "double(var_pop(x) > stddev_pop(x))",
     }
     if legacy_ratios:
-        aggs["ratio_value_number_to_time_series_length"] = F.count_if(F.col("above")) / n
-        aggs["ratio_beyond_r_sigma__r_1"] = F.count_if(F.col("below")) / n
+        aggs["ratio_value_number_to_time_series_length"] = "count_if(above) / count(1)"
+        aggs["ratio_beyond_r_sigma__r_1"] = "count_if(below) / count(1)"
     else:
         if not rows.split:
-            aggs["ratio_value_number_to_time_series_length"] = F.size(F.collect_set(x)) / n
-        aggs["ratio_beyond_r_sigma__r_1"] = F.count_if(F.abs(x - mu) > F.col("sd")) / n
-    aggs |= autocorrelation_sums(rows, LAGS)
-    aggs |= {f'linear_trend__attr_"{a}"': c for a, c in trend(x, position.cast("double")).items()}
-    aggs["__n"] = n
+            aggs["ratio_value_number_to_time_series_length"] = "size(collect_set(x)) / count(1)"
+        aggs["ratio_beyond_r_sigma__r_1"] = "count_if(abs(x - mu) > sd) / count(1)"
+    aggs |= autocorrelations(LAGS)
+    aggs |= {f'linear_trend__attr_"{a}"': c for a, c in trend("x", "double(position)").items()}
+    aggs["__n"] = "count(1)"
     names = {f"quantile__q_{q}": q for q in QUANTILES}
     final = [*aggs, *names, 'linear_trend__attr_"pvalue"']
     final.remove("__n")
 
     keys = list(rows.keys)
-    picked = [c.alias(name) for name, c in aggs.items()]
+    picked = [F.expr(c).alias(name) for name, c in aggs.items()]
     if rows.split:
         out = rows.own().groupBy(*keys).agg(*picked)
         out = out.join(exact_quantiles(rows.own(), keys, "x", names), keys)

@@ -23,17 +23,18 @@ def drift_from_rows(rows: SequenceRows, degree: int = 3, bins: int = 30) -> Data
     nexts = rows.with_columns({"delta": F.lead("x").over(rows.ordered) - F.col("x")})
     pairs = SequenceRows(nexts.df.filter("delta IS NOT NULL"), rows.keys, rows.split)
     at = [i / bins for i in range(bins + 1)]
-    names = {f"__q{i}": q for i, q in enumerate(at)}
-    edges = exact_quantiles(pairs.own(), list(rows.keys), "x", names)
-    edges = edges.select(*rows.keys, F.array(*names).alias("edges"))
-    cut = pairs.attach(edges).own()
+    if pairs.split:
+        names = {f"__q{i}": q for i, q in enumerate(at)}
+        edges = exact_quantiles(pairs.own(), list(rows.keys), "x", names)
+        cut = pairs.attach(edges.select(*rows.keys, F.array(*names).alias("edges"))).own()
+    else:
+        cut = pairs.with_stats({"edges": F.percentile("x", F.lit(at))}).df
     distinct = F.size(F.array_distinct("edges")) == bins + 1
     below = F.size(F.filter("edges", lambda e: e < F.col("x")))
-    cut = cut.filter(distinct).withColumn("bin", F.greatest(below, F.lit(1)))
+    cut = cut.withColumn("bin", F.when(distinct, F.greatest(below, F.lit(1))))
     means = cut.groupBy(*rows.keys, "bin").agg(F.avg("x").alias("mx"), F.avg("delta").alias("my"))
-    points = F.sort_array(F.collect_list(F.struct("bin", F.col("mx").alias("x"), F.col("my").alias("y"))))
-    fitted = means.groupBy(*rows.keys).agg(points.alias("p")).withColumn("c", cubic_drift(F.col("p"), degree))
-    out = edges.select(*rows.keys).join(fitted, list(rows.keys), "left")
+    points = F.sort_array(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("mx").alias("x"), F.col("my").alias("y")))))
+    out = means.groupBy(*rows.keys).agg(points.alias("p")).withColumn("c", cubic_drift(F.col("p"), degree))
     return out.select(
         *rows.keys, *[F.nanvl(F.get("c", F.lit(i)), F.lit(None)).alias(n) for i, n in enumerate(drift_names(degree, bins))]
     )

@@ -9,13 +9,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.expr import ratio
 from tidemark.functions.fourier import fft_columns, fourier_sums
 from tidemark.operators.aggregate import sample_kurtosis, sample_skewness
 from tidemark.operators.features.compact import locations, trend, trend_p
@@ -36,10 +34,6 @@ WELCH = (2, 5, 8)
 WIDTHS = (2, 5, 10, 20)
 
 
-def _guard(condition: Column, value: Column) -> Column:
-    return F.when(condition, value)
-
-
 def fft_parameters(n: int) -> list[dict]:
     return [{"coeff": k, "attr": a} for k in range(n) for a in ("real", "imag", "abs", "angle")]
 
@@ -84,10 +78,8 @@ def _row_columns(rows: SequenceRows) -> SequenceRows:
 
 
 def _first_digit(x: Column) -> Column:
-    size = F.abs(x)
-    scaled = size / F.pow(F.lit(10.0), F.floor(F.log10(size)))
-    scaled = F.when(scaled >= 10, scaled / 10).when(scaled < 1, scaled * 10).otherwise(scaled)
-    return F.when(size > 0, F.floor(scaled)).otherwise(0)
+    """First digit other than 0 of the shortest decimal form; 0 for zero."""
+    return F.coalesce(F.regexp_extract(F.abs(x).cast("string"), "[1-9]", 0).try_cast("int"), F.lit(0))
 
 
 def _segment(position: Column, n: Column, k: int) -> Column:
@@ -99,87 +91,80 @@ def _segment(position: Column, n: Column, k: int) -> Column:
     )
 
 
-def _plain(x: Column) -> dict[str, Column]:
-    n = F.count(F.lit(1))
-    sd, mean = F.stddev_pop(x), F.avg(x)
-    span = F.max(x) - F.min(x)
-    gap = F.abs(mean - F.percentile(x, F.lit(0.5)))
+def _plain() -> dict[str, str]:
+    """SQL of the features that need no order."""
+    span = "(max(x) - min(x))"
+    gap = "abs(avg(x) - percentile(x, 0.5D))"
     out = {
-        "sum_values": F.sum(x),
-        "abs_energy": F.sum(x * x),
-        "mean": mean,
-        "length": n.cast("double"),
-        "standard_deviation": sd,
-        "variance": F.var_pop(x),
-        "variation_coefficient": F.try_divide(sd, mean),
-        "skewness": sample_skewness(x),
-        "kurtosis": sample_kurtosis(x),
-        "root_mean_square": F.sqrt(F.avg(x * x)),
-        "maximum": F.max(x),
-        "minimum": F.min(x),
-        "absolute_maximum": F.max(F.abs(x)),
-        "variance_larger_than_standard_deviation": (F.var_pop(x) > sd).cast("double"),
+        "sum_values": "sum(x)",
+        "abs_energy": "sum(x * x)",
+        "mean": "avg(x)",
+        "length": "double(count(1))",
+        "standard_deviation": "stddev_pop(x)",
+        "variance": "var_pop(x)",
+        "variation_coefficient": "try_divide(stddev_pop(x), avg(x))",
+        "root_mean_square": "sqrt(avg(x * x))",
+        "maximum": "max(x)",
+        "minimum": "min(x)",
+        "absolute_maximum": "max(abs(x))",
+        "variance_larger_than_standard_deviation": "double(var_pop(x) > stddev_pop(x))",
+        "count_above__t_0": "count_if(x >= 0) / count(1)",
+        "count_below__t_0": "count_if(x <= 0) / count(1)",
+        "has_duplicate_max": "double(count_if(x = hi) >= 2)",
+        "has_duplicate_min": "double(count_if(x = lo) >= 2)",
     }
-    out |= {f"large_standard_deviation__r_{r}": (sd > r * span).cast("double") for r in RATIOS[1:]}
-    out |= {f"symmetry_looking__r_{r}": (gap < r * span).cast("double") for r in RATIOS}
-    out |= {f"value_count__value_{v}": F.count_if(x == v).cast("double") for v in (0, 1, -1)}
+    out |= {f"large_standard_deviation__r_{r}": f"double(stddev_pop(x) > {r}D * {span})" for r in RATIOS[1:]}
+    out |= {f"symmetry_looking__r_{r}": f"double({gap} < {r}D * {span})" for r in RATIOS}
+    out |= {f"value_count__value_{v}": f"double(count_if(x = {v}))" for v in (0, 1, -1)}
     out |= {
-        f"range_count__max_{hi}__min_{lo}": F.count_if((x >= lo) & (x < hi)).cast("double") for lo, hi in RANGES
+        f"range_count__max_{hi}__min_{lo}": f"double(count_if(x >= {float(lo)!r}D AND x < {float(hi)!r}D))"
+        for lo, hi in RANGES
     }
-    out["count_above__t_0"] = F.count_if(x >= 0) / n
-    out["count_below__t_0"] = F.count_if(x <= 0) / n
-    far = F.abs(x - F.col("mu"))
-    out |= {f"ratio_beyond_r_sigma__r_{r}": F.count_if(far > r * F.col("sd")) / n for r in SIGMAS}
-    out["has_duplicate_max"] = (F.count_if(x == F.col("hi")) >= 2).cast("double")
-    out["has_duplicate_min"] = (F.count_if(x == F.col("lo")) >= 2).cast("double")
+    out |= {f"ratio_beyond_r_sigma__r_{r}": f"count_if(abs(x - mu) > {r} * sd) / count(1)" for r in SIGMAS}
     return out
 
 
-def _ordered(x: Column, position: Column) -> dict[str, Column]:
-    n = F.count(F.lit(1))
-    d, prev = F.col("diff"), F.col("lag_1")
-    total = F.sum(d * d)
+def _ordered() -> dict[str, str]:
+    """SQL of the features of neighbouring rows and of places in the sequence."""
     out = {
-        "mean_change": F.try_divide(F.max_by(x, position) - F.min_by(x, position), n - 1),
-        "mean_abs_change": F.avg(F.abs(d)),
-        "absolute_sum_of_changes": F.coalesce(F.sum(F.abs(d)), F.lit(0.0)),
-        "mean_second_derivative_central": _guard(n > 2, F.sum("around") / (2 * (n - 2))),
-        "count_above_mean": F.count_if("above").cast("double"),
-        "count_below_mean": F.count_if("below").cast("double"),
-        "longest_strike_above_mean": F.max("above_run").cast("double"),
-        "longest_strike_below_mean": F.max("below_run").cast("double"),
-        "cid_ce__normalize_False": F.sqrt(F.coalesce(total, F.lit(0.0))),
-        "cid_ce__normalize_True": ratio(F.sqrt(total), F.stddev_pop(x)),
+        "mean_change": "try_divide(max_by(x, position) - min_by(x, position), count(1) - 1)",
+        "mean_abs_change": "avg(abs(diff))",
+        "absolute_sum_of_changes": "coalesce(sum(abs(diff)), 0D)",
+        "mean_second_derivative_central": "CASE WHEN count(1) > 2 THEN sum(around) / (2 * (count(1) - 2)) END",
+        "count_above_mean": "double(count_if(above))",
+        "count_below_mean": "double(count_if(below))",
+        "longest_strike_above_mean": "double(max(above_run))",
+        "longest_strike_below_mean": "double(max(below_run))",
+        "cid_ce__normalize_False": "sqrt(coalesce(sum(diff * diff), 0D))",
+        "cid_ce__normalize_True": "coalesce(try_divide(sqrt(sum(diff * diff)), stddev_pop(x)), 0D)",
     }
-    out |= locations(x, position, last_shift=1)
+    out |= locations("x", "position", last_shift=1)
     for k in (1, 2, 3):
-        a, b = F.col(f"lag_{k}"), F.col(f"lag_{2 * k}")
-        out[f"c3__lag_{k}"] = F.coalesce(F.avg(x * a * b), F.lit(0.0))
-        out[f"time_reversal_asymmetry_statistic__lag_{k}"] = F.coalesce(
-            F.avg(x * x * a - a * b * b), F.lit(0.0)
-        )
+        a, b = f"lag_{k}", f"lag_{2 * k}"
+        out[f"c3__lag_{k}"] = f"coalesce(avg(x * {a} * {b}), 0D)"
+        out[f"time_reversal_asymmetry_statistic__lag_{k}"] = f"coalesce(avg(x * x * {a} - {a} * {b} * {b}), 0D)"
     for m in (0, -1, 1):
-        out[f"number_crossing_m__m_{m}"] = F.count_if((x > m) != (prev > m)).cast("double")
-    for k in PEAK_SUPPORT:
-        out[f"number_peaks__n_{k}"] = F.count_if(f"peak_{k}").cast("double")
+        out[f"number_crossing_m__m_{m}"] = f"double(count_if((x > {m}) != (lag_1 > {m})))"
+    out |= {f"number_peaks__n_{k}": f"double(count_if(peak_{k}))" for k in PEAK_SUPPORT}
     out |= _corridor_changes()
-    energy = F.sum(x * x)
     for s in range(10):
-        part = F.sum(F.when(F.col("chunk") == s, x * x).otherwise(0.0))
-        out[f"energy_ratio_by_chunks__num_segments_10__segment_focus_{s}"] = F.try_divide(part, energy)
+        out[f"energy_ratio_by_chunks__num_segments_10__segment_focus_{s}"] = (
+            f"try_divide(sum(CASE WHEN chunk = {s} THEN x * x ELSE 0D END), sum(x * x))"
+        )
     for q in QUANTILES:
-        reached = F.min(F.when(F.col("cum") >= q * F.col("mass"), position))
-        out[f"index_mass_quantile__q_{q}"] = _guard(F.max("mass") > 0, (reached + 1) / n)
-    spread = F.var_pop(x)
-    dev = x - F.col("mu")
-    out["autocorrelation__lag_0"] = _guard(spread > 0, F.lit(1.0))
+        reached = f"min(CASE WHEN cum >= {q}D * mass THEN position END)"
+        out[f"index_mass_quantile__q_{q}"] = f"CASE WHEN max(mass) > 0 THEN ({reached} + 1) / count(1) END"
+    out["autocorrelation__lag_0"] = "CASE WHEN var_pop(x) > 0 THEN 1D END"
     for k in range(1, 10):
-        cov = F.sum(dev * (F.col(f"lag_{k}") - F.col("mu")))
-        out[f"autocorrelation__lag_{k}"] = _guard((n > k) & (spread > 0), F.try_divide(cov, (n - k) * spread))
+        out[f"autocorrelation__lag_{k}"] = (
+            f"CASE WHEN count(1) > {k} AND var_pop(x) > 0 "
+            f"THEN try_divide(sum((x - mu) * (lag_{k} - mu)), (count(1) - {k}) * var_pop(x)) END"
+        )
+    out |= {f'linear_trend__attr_"{a}"': c for a, c in trend("x", "double(position)").items()}
     return out
 
 
-def _corridor_changes() -> dict[str, Column]:
+def _corridor_changes() -> dict[str, str]:
     """Mean and variance of the changes between rows that both lie between two quantiles."""
     out = {}
     for i, low in enumerate(CORRIDOR[:-1]):
@@ -189,25 +174,24 @@ def _corridor_changes() -> dict[str, Column]:
             for absolute, step in ((False, "diff"), (True, "abs(diff)")):
                 for name, fn in (("mean", "avg"), ("var", "var_pop")):
                     key = f'change_quantiles__f_agg_"{name}"__isabs_{absolute}__qh_{CORRIDOR[j]}__ql_{low}'
-                    out[key] = F.expr(f"coalesce({fn}(CASE WHEN {inside} THEN {step} END), 0D)")
+                    out[key] = f"coalesce({fn}(CASE WHEN {inside} THEN {step} END), 0D)"
     return out
 
 
-def _histograms() -> dict[str, Column]:
+def _histograms() -> dict[str, str]:
     """Entropy over ten equal-width bins, and the fit of the first digits to Benford's law."""
-    n = F.count(F.lit(1))
-    shares = [F.count_if(F.col("bin") == b) / n for b in range(10)]
-    entropy = reduce(lambda a, b: a + b, [F.when(p > 0, -p * F.log(p)).otherwise(0.0) for p in shares])
+    shares = [f"(count_if(bin = {b}) / count(1))" for b in range(10)]
+    entropy = " + ".join(f"CASE WHEN {p} > 0 THEN -{p} * ln({p}) ELSE 0D END" for p in shares)
     law = [math.log10(1 + 1 / d) for d in range(1, 10)]
-    seen = [F.count_if(F.col("digit") == d) / n for d in range(1, 10)]
-    mean_law = sum(law) / 9
-    mean_seen = reduce(lambda a, b: a + b, seen) / 9
-    cov = reduce(lambda a, b: a + b, [(s - mean_seen) * (w - mean_law) for s, w in zip(seen, law)])
-    var = reduce(lambda a, b: a + b, [(s - mean_seen) * (s - mean_seen) for s in seen])
-    spread = math.sqrt(sum((w - mean_law) ** 2 for w in law))
+    middle = sum(law) / 9
+    seen = [f"(count_if(digit = {d}) / count(1))" for d in range(1, 10)]
+    mean = "(count_if(digit > 0) / count(1) / 9)"
+    cov = " + ".join(f"({s} - {mean}) * ({w - middle!r}D)" for s, w in zip(seen, law))
+    var = " + ".join(f"({s} - {mean}) * ({s} - {mean})" for s in seen)
+    spread = math.sqrt(sum((w - middle) ** 2 for w in law))
     return {
         "binned_entropy__max_bins_10": entropy,
-        "benford_correlation": F.try_divide(cov, F.sqrt(var) * spread),
+        "benford_correlation": f"try_divide({cov}, sqrt({var}) * {spread!r}D)",
     }
 
 
@@ -234,15 +218,13 @@ def _chunk_trends(rows: SequenceRows) -> DataFrame:
     parts = cut.groupBy(*rows.keys, "size", "chunk").agg(
         F.max("x").alias("max"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")
     )
-    t = F.col("chunk").cast("double")
     aggs = []
     for size in CHUNK_LENGTHS:
         for f in ("max", "min", "mean", "var"):
-            mine = F.when(F.col("size") == size, F.col(f))
-            when = F.when(F.col("size") == size, t)
-            for attr, value in trend(mine, when).items():
+            mine = f"CASE WHEN size = {size} THEN `{f}` END"
+            for attr, value in trend(mine, f"CASE WHEN size = {size} THEN double(chunk) END").items():
                 name = f'agg_linear_trend__attr_"{attr}"__chunk_len_{size}__f_agg_"{f}"'
-                aggs.append(_guard(F.count(mine) > 1, value).alias(name))
+                aggs.append(F.expr(f"CASE WHEN count({mine}) > 1 THEN {value} END").alias(name))
     return parts.groupBy(*rows.keys).agg(*aggs)
 
 
@@ -302,9 +284,9 @@ def efficient_features(
     base = rows
     rows = _row_columns(rows)
     keys = list(rows.keys)
-    x, position = F.col("x"), F.col("position")
-    aggs = _plain(x) | _ordered(x, position) | _histograms()
-    aggs |= {f'linear_trend__attr_"{a}"': c for a, c in trend(x, position.cast("double")).items()}
+    x = F.col("x")
+    aggs = {n: F.expr(c) for n, c in (_plain() | _ordered() | _histograms()).items()}
+    aggs |= {"skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)}
     main = rows.arrays(
         *[c.alias(n) for n, c in aggs.items()], F.percentile(x, F.lit([0.5, *QUANTILES])).alias("__q")
     )
@@ -316,22 +298,29 @@ def efficient_features(
         arrays["approximate"] = (
             K.approximate_entropy(xs, 2, shares), [f"approximate_entropy__m_2__r_{r}" for r in shares]
         )
-    main = main.withColumns({f"__a_{n}": c for n, (c, _names) in arrays.items()})
-    main = main.withColumn("__fft", fourier_sums(xs, F.col("start"), F.col("n"), max(1, fft_coefficients)))
     top = F.slice(F.sort_array(F.transform(xs, lambda v: F.abs(v)), asc=False), 1, 7)
-    top_mean = F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / 7
+    # Terms above n / 2 do not exist.
+    terms = F.slice(
+        fourier_sums(xs, F.col("start"), F.col("n"), max(1, fft_coefficients)),
+        F.lit(1),
+        2 * (F.floor(F.col("n") / 2) + 1).cast("int"),
+    )
+    # The narrow tables meet first; the hundreds of columns are spelt out once, at the end.
+    parts = [_value_histogram(base), _chunk_trends(base), drift_from_rows(base)]
+    for part in parts:
+        main = main.join(part, keys)
+    main = main.withColumns(
+        {f"__a_{n}": c for n, (c, _names) in arrays.items()}
+        | {"__fft": terms, "__top": F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / 7}
+    )
 
-    out = {n: F.col(f"`{n}`") for n in aggs}
+    plain = [*aggs, *[n for part in parts for n in part.columns if n not in keys]]
+    out = {n: F.col(f"`{n}`") for n in plain}
     out["median"] = F.col("__q")[0]
-    out |= {f"quantile__q_{q}": F.col("__q")[i + 1] for i, q in enumerate(QUANTILES)}
-    out["mean_n_absolute_max__number_of_maxima_7"] = _guard(F.col("n") > 7, top_mean)
+    out |= {f"quantile__q_{q}": F.expr(f"__q[{i + 1}]") for i, q in enumerate(QUANTILES)}
+    out["mean_n_absolute_max__number_of_maxima_7"] = F.when(F.col("n") > 7, F.col("__top"))
     out['linear_trend__attr_"pvalue"'] = trend_p(F.col('`linear_trend__attr_"rvalue"`'), F.col("n"))
     for n, (_c, names) in arrays.items():
-        out |= {name: F.get(f"__a_{n}", F.lit(i)) for i, name in enumerate(names)}
-    # Terms above n / 2 do not exist.
-    main = main.withColumn("__fft", F.slice("__fft", F.lit(1), 2 * (F.floor(F.col("n") / 2) + 1).cast("int")))
+        out |= {name: F.expr(f"get(__a_{n}, {i})") for i, name in enumerate(names)}
     out |= fft_columns("__fft", fft_coefficients, _fft_name)
-    wide = main.select(*keys, *[c.alias(n) for n, c in out.items()])
-    wide = wide.join(_value_histogram(base), keys)
-    wide = wide.join(_chunk_trends(base), keys)
-    return wide.join(drift_from_rows(base), keys)
+    return main.select(*keys, *[c.alias(n) for n, c in out.items()])

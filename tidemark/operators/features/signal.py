@@ -120,7 +120,7 @@ def temporal_domain(
         "Positive turning points": F.count_if((d > 0) & (d2 < 0)).cast("double"),
         "Neighbourhood peaks": F.count_if("peak").cast("double"),
         "Signal distance": F.sum(F.sqrt(1 + d * d)),
-        "Slope": trend(x, position.cast("double"))["slope"],
+        "Slope": F.expr(trend("x", "double(position)")["slope"]),
         "Sum absolute diff": F.sum(F.abs(d)),
         "Zero crossing rate": F.count_if(F.signum(x) != F.signum("prev")).cast("double"),
     }

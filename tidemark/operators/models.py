@@ -19,17 +19,22 @@ from tidemark.operators.model_selection import assemble, feature_names, indexed_
 ID = "sequence_id"
 
 
-def build_model(name: str, task_type: str, n_rows: int, seed: int = 42, trees: int = 100, depth: int = 5) -> Pipeline:
+def build_model(
+    name: str, task_type: str, train: DataFrame, seed: int = 42, trees: int = 100, depth: int = 5
+) -> Pipeline:
     """A pipeline from `features` to `prediction`. An unknown name is a random forest."""
     classes = task_type == "classification"
+    if name in ("logistic_regression", "ridge", "ridge_centred"):
+        n_rows, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
     if classes and name == "logistic_regression":
         # Penalty 1 on the sum of losses is 1 / n on their mean.
         fit = LogisticRegression(featuresCol="scaled", regParam=1.0 / n_rows, maxIter=200, standardization=False)
         return Pipeline(stages=[_scaler(False), fit])
     if not classes and name in ("ridge", "ridge_centred"):
-        alpha = 1.0 if name == "ridge" else 10.0
+        # Spark divides the penalty by the deviation of the label.
+        penalty = (1.0 if name == "ridge" else 10.0) * (spread or 1.0) / n_rows
         fit = LinearRegression(
-            featuresCol="scaled", regParam=alpha / n_rows, elasticNetParam=0.0, standardization=False, solver="auto"
+            featuresCol="scaled", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="auto"
         )
         return Pipeline(stages=[_scaler(name == "ridge_centred"), fit])
     if name == "gradient_boosting":
@@ -66,7 +71,7 @@ def cross_validate(
     rows = assemble(features, feature_names(features)).join(indexed_target(targets, task_type), ID).persist()
     pooled = None
     for fold, train, test in fold_sets(rows, roles):
-        fitted = build_model(model, task_type, train.count(), seed, trees).fit(train)
+        fitted = build_model(model, task_type, train, seed, trees).fit(train)
         scored = predict(fitted, test, task_type).withColumn("fold", F.lit(fold))
         pooled = scored if pooled is None else pooled.unionByName(scored)
     return pooled
@@ -205,16 +210,15 @@ def direct_forecast(
 
     Forests take the interval from their trees, other models from the spread of the train residuals.
     """
-    vectors = assemble(features, feature_names(features)).persist()
-    long = horizon_rows(targets)
-    n_horizons = long.agg(F.max("horizon")).first()[0]
-    train_ids = roles.filter("role = 'train'").select(ID)
-    test_ids = roles.filter("role = 'test'").select(ID)
+    vectors = assemble(features, feature_names(features))
+    # Every horizon fits and scores these rows.
+    every = vectors.join(horizon_rows(targets), ID).join(roles.select(ID, "role"), ID).persist()
+    n_horizons = every.agg(F.max("horizon")).first()[0]
     out = None
     for h in range(1, n_horizons + 1):
-        rows = vectors.join(long.filter(F.col("horizon") == h), ID)
-        train, test = rows.join(train_ids, ID, "left_semi"), rows.join(test_ids, ID, "left_semi")
-        fitted = build_model(model, "regression", train.count(), seed, trees).fit(train)
+        rows = every.filter(F.col("horizon") == h)
+        train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
+        fitted = build_model(model, "regression", train, seed, trees).fit(train)
         scored = fitted.transform(test)
         if hasattr(fitted.stages[-1], "trees") and model != "gradient_boosting":
             scored = tree_intervals(fitted.stages[-1], scored, lower, upper)
@@ -291,7 +295,7 @@ def grid_search(
         scores = []
         for _fold, train, test in fold_sets(rows, roles):
             model = build_model(
-                setting.get("model", "random_forest"), task_type, train.count(), seed,
+                setting.get("model", "random_forest"), task_type, train, seed,
                 setting.get("trees", 20), setting.get("depth", 5),
             )
             scored = predict(model.fit(train), test, task_type)

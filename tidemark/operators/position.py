@@ -105,12 +105,14 @@ def prefix_sums(
     keys: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, Column],
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """For each entry add `<name>_before`, the sum over the earlier rows of the group, and
-    `<name>_total`, the sum over the group. `order` must be unique inside a group."""
+    `<name>_total`, the sum over the group. `order` must be unique inside a group. `sizes` are the
+    group sizes if the caller has measured them."""
     keys, order = list(keys), list(order)
     kept = [c for c in df.columns]
-    largest, rows = group_sizes(df, keys)
+    largest, rows = sizes or group_sizes(df, keys)
     df = df.withColumns({f"__{n}": c for n, c in sums.items()})
     scratch = [f"__{n}" for n in sums]
     whole = Window.partitionBy(*keys)
@@ -150,9 +152,15 @@ def with_position(
     order: Sequence[str],
     position: str = "position",
     total: str | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """0-based position of each row of its group by the order columns (and the group's rows)."""
-    out = prefix_sums(df, keys, order, {"__row": F.lit(1).cast("bigint")})
+    sizes = sizes or group_sizes(df, keys)
+    if sizes[0] <= limit(df.sparkSession, MAX_GROUP_ROWS):
+        whole = Window.partitionBy(*keys)
+        out = df.withColumn(position, (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint"))
+        return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
+    out = prefix_sums(df, keys, order, {"__row": F.lit(1).cast("bigint")}, sizes)
     out = out.withColumnRenamed("__row_before", position)
     return out.withColumnRenamed("__row_total", total) if total else out.drop("__row_total")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expr import select_except
-from tidemark.operators.position import prefix_sums, with_position
+from tidemark.operators.position import group_sizes, prefix_sums, with_position
 
 LABEL_STRATEGIES = ("last", "mean", "any_positive", "majority_vote")
 
@@ -60,7 +60,8 @@ def _check(window_size: int, stride: int, horizon: int | None) -> None:
 
 
 def sequence_offsets(df: DataFrame, series: Sequence[str], counts: dict[str, Column]) -> DataFrame:
-    """Per series its window counts and the number of windows of all earlier series."""
+    """Per series its window counts and the number of windows of all earlier series; `counts` are
+    given in terms of the series length `__n`."""
     total = sum(counts.values(), F.lit(0))
     table = df.groupBy(*series).agg(F.count(F.lit(1)).alias("__n"))
     table = table.withColumns(counts).withColumn("__windows", total)
@@ -72,14 +73,15 @@ def sequence_offsets(df: DataFrame, series: Sequence[str], counts: dict[str, Col
     )
 
 
-def _numbered(df: DataFrame, series: Sequence[str], counts: dict[str, Column]) -> DataFrame:
+def _numbered(rows: DataFrame, source: DataFrame, series: Sequence[str], counts: dict[str, Column]) -> DataFrame:
     if not series:
-        return df.withColumns({**counts, "__offset": F.lit(0)})
-    offsets = sequence_offsets(df, series, counts)
+        return rows.withColumns({**counts, "__offset": F.lit(0)})
+    offsets = sequence_offsets(source, series, counts)
     cond = F.lit(True)
     for s in series:
         cond = cond & F.col(s).eqNullSafe(F.col(f"__s_{s}"))
-    return df.join(offsets, cond).drop(*[f"__s_{s}" for s in series])
+    # One row per series: broadcast while it is small, split by adaptive execution when a series is long.
+    return rows.join(offsets, cond).drop(*[f"__s_{s}" for s in series])
 
 
 def segment_time_series(
@@ -112,10 +114,12 @@ def segment_time_series(
     horizon = forecast_horizon or 0
 
     used = dict.fromkeys([*series, *order, *feature_cols, *[c for c in (label_col, group_col) if c]])
-    rows = with_position(df.select(*used), series, order, "__p", "__n")
-    rows = _numbered(rows, series, {"__w": window_count(F.col("__n"), window_size, stride, horizon)})
-    if rows.filter(F.col("__w") > 0).isEmpty():
+    source = df.select(*used)
+    sizes = group_sizes(source, series)
+    if sizes[0] < window_size + horizon:
         raise ValueError(f"no series reaches the required length {window_size + horizon}")
+    rows = with_position(source, series, order, "__p", "__n", sizes)
+    rows = _numbered(rows, source, series, {"__w": window_count(F.col("__n"), window_size, stride, horizon)})
 
     windows = _explode_windows(
         rows, F.col("__p"), F.col("__w"), window_size, stride, "__window", "step"
@@ -196,24 +200,24 @@ def segment_forecasting_series(
         F.col(target_col).cast("double").alias("__y"),
     )
     keys = ["__series"] if series else []
-    rows = with_position(source, keys, [f"__t{i}" for i in range(len(order))], "__p", "__n")
-
     n, need = F.col("__n"), history_len + forecast_horizon
+    sizes = group_sizes(source, keys)
+    if sizes[0] < need:
+        raise ValueError("no windows for the given lengths")
+    rows = with_position(source, keys, [f"__t{i}" for i in range(len(order))], "__p", "__n", sizes)
     if test_size is None:
         counts = {"__train": window_count(n, history_len, stride, forecast_horizon), "__test": F.lit(0)}
     else:
         cut = F.floor(n * F.lit(1.0 - test_size))
-        sizes = rows.filter(n >= need).select(n, cut.alias("__cut"))
-        bad = sizes.filter((F.col("__cut") < need) | (n - F.col("__cut") < forecast_horizon))
+        lengths = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(n >= need)
+        bad = lengths.filter((cut < need) | (n - cut < forecast_horizon))
         if not bad.isEmpty():
             raise ValueError("a series is too short for the train or test part it must have")
         first = F.greatest(F.lit(0), cut - history_len)
         test = F.when(n >= need, F.floor((n - need - first) / stride) + 1).otherwise(0)
         train = F.when(n >= need, F.floor((cut - need) / stride) + 1).otherwise(0)
         counts = {"__train": train, "__test": test}
-    rows = _numbered(rows, keys, counts)
-    if rows.filter(F.col("__train") + F.col("__test") > 0).isEmpty():
-        raise ValueError("no windows for the given lengths")
+    rows = _numbered(rows, source, keys, counts)
 
     parts = [("all" if test_size is None else "train", F.lit(0), F.col("__train"), F.col("__offset"))]
     if test_size is not None:

@@ -27,20 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _nudge(d: int) -> float:
+    """A thousandth of the last digit: keeps exact halves (sums of cents over small counts) from
+    rounding up on one side and down on the other."""
+    return 1.37 * 10.0 ** -(d + 3)
+
+
 def rounded(df: DataFrame, keys: Sequence[str], digits: Mapping[str, int]) -> DataFrame:
     """The keys as they are and the named doubles rounded, in this order."""
     return df.select(
         *keys,
-        *[F.round(F.col(f"`{c}`").cast("double"), d).alias(c) for c, d in digits.items()],
+        *[F.round(F.col(f"`{c}`").cast("double") + F.lit(_nudge(d)), d).alias(c) for c, d in digits.items()],
     )
 
 
 def rounded_sql(inner: str, keys: Sequence[str], digits: Mapping[str, int]) -> str:
     """The same projection in SQL; values that round to zero carry no sign."""
-    cells = [
-        f'CASE WHEN abs("{c}") < 5e-{d + 1} THEN 0.0::DOUBLE ELSE round("{c}"::DOUBLE, {d}) END AS "{c}"'
-        for c, d in digits.items()
-    ]
+    cells = []
+    for c, d in digits.items():
+        x = f'("{c}"::DOUBLE + {_nudge(d)!r}::DOUBLE)'
+        cells.append(f'CASE WHEN abs({x}) < 5e-{d + 1} THEN 0.0::DOUBLE ELSE round({x}, {d}) END AS "{c}"')
     return f"SELECT {', '.join([*keys, *cells])} FROM ({inner}) AS inner_rows"
 
 

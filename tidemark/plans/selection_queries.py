@@ -219,12 +219,29 @@ def _(spark, sf_dir):
     return rounded(sel.smirnov(features.filter("feature = 'is_open'"), targets), ["feature"], {"distance": 6})
 
 
-# Pairs of orders are compared within each customer only through a window, so the SQL counts
-# discordant pairs as the rank-sum of later, smaller targets.
-@query("kendall_tau")
+def customer_features(spark, sf_dir):
+    """Two features of customers, one with many ties, against the account balance."""
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias(ID),
+        F.col("c_nationkey").cast("double").alias("nation"),
+        ((F.col("c_custkey") * 37) % 1009).cast("double").alias("mixed"),
+        F.col("c_acctbal").alias("target"),
+    )
+    features = rows.select(ID, "nation", "mixed").unpivot([ID], ["nation", "mixed"], "feature", "value")
+    return features, rows.select(ID, "target")
+
+
+_KENDALL = """WITH wide AS (SELECT c_custkey AS id, c_nationkey::DOUBLE AS nation, ((c_custkey * 37) % 1009)::DOUBLE AS mixed, c_acctbal AS y FROM customer),
+data AS (SELECT id, 'nation' AS feature, nation AS x, y FROM wide UNION ALL SELECT id, 'mixed', mixed, y FROM wide),
+s AS (SELECT feature, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS gap, count(*) FILTER (a.x <> b.x)::DOUBLE AS px,
+  count(*) FILTER (a.y <> b.y)::DOUBLE AS py FROM data a JOIN data b USING (feature) WHERE a.id < b.id GROUP BY 1)
+SELECT feature, round(gap / sqrt(px * py), 6) AS tau FROM s"""
+
+
+@query("kendall_tau", _KENDALL)
 def _(spark, sf_dir):
-    features, targets = order_features(spark, sf_dir)
-    return sel.kendall(features.filter("feature <> 'constant'"), targets)
+    out = sel.kendall(*customer_features(spark, sf_dir))
+    return rounded(out, ["feature"], {"tau": 6})
 
 
 @query("relevance_table_classes")
