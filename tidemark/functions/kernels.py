@@ -20,15 +20,15 @@ from tidemark.functions.fourier import by_length
 _ARRAY = T.ArrayType(T.DoubleType())
 
 
-def _matrix_udf(width: int, fn: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
-    """Apply fn(rows x length) -> (rows x width) to the arrays of each length."""
+def _matrix_udf(width: int | None, fn: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
+    """Apply fn(rows x length) -> (rows x width) to the arrays of each length; no width, no empty arrays."""
 
     @F.pandas_udf(_ARRAY)
     def run(xs: pd.Series) -> pd.Series:
         out = np.empty(len(xs), dtype=object)
         for rows, size, values in by_length(xs):
             with np.errstate(all="ignore"):
-                result = fn(values) if size else np.full((len(rows), width), np.nan)
+                result = fn(values) if size else np.full((len(rows), width or 0), np.nan)
             for i, row in zip(rows, result):
                 out[i] = row
         return pd.Series(out)
@@ -97,17 +97,26 @@ def _entropy(counts: np.ndarray) -> float:
     return float(-(p * np.log(p)).sum())
 
 
+def _density_entropy(density: np.ndarray, bins) -> list:
+    top = density.max()
+    if not top > 0:
+        return [np.nan] * len(bins)
+    return [_entropy(np.histogram(density / top, bins=b)[0].astype(float)) for b in bins]
+
+
 def spectrum_entropy(xs: Column, bins) -> Column:
     """Binned entropy of the averaged periodogram scaled to a maximum of 1."""
+    return _row_udf(len(bins), lambda x: _density_entropy(welch_density(x[None, :])[0], bins), xs)
 
-    def one(x):
-        density = welch_density(x[None, :])[0]
-        top = density.max()
-        if not top > 0:
-            return [np.nan] * len(bins)
-        return [_entropy(np.histogram(density / top, bins=b)[0].astype(float)) for b in bins]
 
-    return _row_udf(len(bins), one, xs)
+def density_entropy(density: Column, bins) -> Column:
+    """The same from an averaged periodogram."""
+    return _row_udf(len(bins), lambda d: _density_entropy(d, bins), density)
+
+
+def segment_density(xs: Column) -> Column:
+    """Periodogram of one segment of at most 256 values."""
+    return _matrix_udf(None, welch_density, xs)
 
 
 def ricker(points: int, width: float) -> np.ndarray:
@@ -179,24 +188,41 @@ def autocovariances(values: np.ndarray, lags: int) -> np.ndarray:
     return np.stack([(d[:, k:] * d[:, : size - k]).sum(axis=1) / (size - k) for k in range(lags + 1)], axis=1)
 
 
+def _acf_summary(c: np.ndarray) -> np.ndarray:
+    r = c[:, 1:] / c[:, :1]
+    out = np.stack([r.mean(axis=1), np.median(r, axis=1), r.var(axis=1)], axis=1)
+    return np.where(c[:, :1] < 1e-10, 0.0, out)
+
+
 def autocorrelation_summary(xs: Column, maxlag: int) -> Column:
     """Mean, median and population variance of the autocorrelations at lags 1..maxlag."""
 
     def summary(values):
         lags = min(maxlag, values.shape[1] - 1)
-        if lags < 1:
-            return np.zeros((len(values), 3))
-        c = autocovariances(values, lags)
-        r = c[:, 1:] / c[:, :1]
-        flat = values.var(axis=1) < 1e-10
-        out = np.stack([r.mean(axis=1), np.median(r, axis=1), r.var(axis=1)], axis=1)
-        return np.where(flat[:, None], 0.0, out)
+        return _acf_summary(autocovariances(values, lags)) if lags >= 1 else np.zeros((len(values), 3))
 
     return _matrix_udf(3, summary, xs)
 
 
+def covariance_summary(covariances: Column) -> Column:
+    """The same from the autocovariances at lags 0, 1, ..."""
+    return _matrix_udf(3, _acf_summary, covariances)
+
+
+def _levinson(c: np.ndarray) -> list[float]:
+    """Levinson-Durbin partial autocorrelations from the autocovariances at lags 0..k."""
+    out = [1.0]
+    phi, error = np.zeros(0), c[0]
+    for k in range(1, len(c)):
+        last = (c[k] - phi @ c[k - 1 : 0 : -1]) / error
+        phi = np.append(phi - last * phi[::-1], last)
+        error *= 1 - last * last
+        out.append(last)
+    return out
+
+
 def partial_autocorrelations(xs: Column, max_lag: int) -> Column:
-    """Levinson-Durbin partial autocorrelations at lags 0..max_lag; lags from n/2 on are missing."""
+    """Partial autocorrelations at lags 0..max_lag; lags from n/2 on are missing."""
 
     def one(x):
         out = [np.nan] * (max_lag + 1)
@@ -204,20 +230,18 @@ def partial_autocorrelations(xs: Column, max_lag: int) -> Column:
         if len(x) <= 1 or lags < 1:
             return out
         c = autocovariances(x[None, :], lags)[0]
-        if c[0] <= 0:
-            return out
-        out[0] = 1.0
-        phi, error = np.zeros(0), c[0]
-        for k in range(1, lags + 1):
-            last = (c[k] - phi @ c[k - 1 : 0 : -1]) / error
-            phi = np.append(phi - last * phi[::-1], last)
-            error *= 1 - last * last
-            out[k] = last
+        if c[0] > 0:
+            out[: lags + 1] = _levinson(c)
         return out
 
     return _row_udf(max_lag + 1, one, xs)
 
 
+def covariance_partials(covariances: Column, max_lag: int) -> Column:
+    """The same from the autocovariances at lags 0..max_lag."""
+    return _row_udf(max_lag + 1, lambda c: _levinson(c) if c[0] > 0 else [np.nan] * (max_lag + 1), covariances)
+
+
 def _lag_matrix(x: np.ndarray, lags: int, start: int) -> np.ndarray:
     return np.stack([x[start - k : len(x) - k] for k in range(1, lags + 1)], axis=1) if lags else np.empty((len(x) - start, 0))
 
@@ -234,6 +258,17 @@ def autoregression(xs: Column, order: int) -> Column:
     return _row_udf(order + 1, one, xs)
 
 
+def normal_equations(products: Column, order: int) -> Column:
+    """Least squares from the mean products of (1, lag 1, ..., lag k, x), row by row."""
+    size = order + 2
+
+    def one(p):
+        m = p.reshape(size, size)
+        return np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+
+    return _row_udf(order + 1, one, products)
+
+
 # Response surface of the unit-root test with a constant (fixed published values).
 _UNIT_ROOT_SMALL = (2.1659, 1.4412, 0.038269)
 _UNIT_ROOT_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
@@ -291,6 +326,34 @@ def unit_root(xs: Column) -> Column:
     return _row_udf(3, one, xs)
 
 
+def _lag_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """sum_v a[v] b[v + s] for s = -(len(a) - 1) .. len(b) - 1, by Fourier transforms."""
+    size = 1 << (len(a) + len(b) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(b, size) * np.fft.rfft(a[::-1], size), size)[: len(a) + len(b) - 1]
+
+
+def decay_lag(xs: Column) -> Column:
+    """First lag at which the autocorrelation has fallen to 1/e."""
+
+    def one(x):
+        d = x - x.mean()
+        products = _lag_products(d, d)[len(d) - 1 :]
+        low = np.flatnonzero(products[1:] <= products[0] / math.e)
+        return [low[0] + 1.0 if len(low) else np.nan]
+
+    return _row_udf(1, one, xs)
+
+
+def block_products(a: Column, b: Column) -> Column:
+    """Products of two blocks at all their shifts, from -(len(a) - 1) on."""
+
+    @F.pandas_udf(_ARRAY)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_lag_products(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)])
+
+    return run(a, b)
+
+
 def _phrase_count(symbols: bytes) -> int:
     seen, at, length, n = set(), 0, 1, len(symbols)
     while at + length <= n:

@@ -123,7 +123,14 @@ def _t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     def one(a, b, c, d):
         row, col, n = a + b, a + c, a + b + c + d
-        k = np.arange(max(0, row + col - n), min(row, col) + 1)
+        if n == 0:
+            return 1.0
+        # Terms 40 deviations off the mean vanish, so large counts need no full support.
+        centre, reach = row * col / n, 40 * math.sqrt(row * col / n * (n - row) / n * (n - col) / max(n - 1, 1)) + 50
+        low, high = max(0, row + col - n, math.floor(centre - reach)), min(row, col, math.ceil(centre + reach))
+        if not low <= a <= high:
+            return 0.0
+        k = np.arange(low, high + 1)
 
         def choose(m, r):
             return _lgamma(m + 1) - _lgamma(r + 1) - _lgamma(m - r + 1)

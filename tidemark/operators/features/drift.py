@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.kernels import cubic_drift
 from tidemark.operators.features.rows import SequenceRows, sequence_rows
-from tidemark.operators.position import exact_quantiles
 
 
 def drift_names(degree: int, bins: int) -> list[str]:
@@ -21,14 +20,9 @@ def drift_from_rows(rows: SequenceRows, degree: int = 3, bins: int = 30) -> Data
     """Values are cut at their quantiles, the mean value and mean next change of each bin are fitted by
     a polynomial. A sequence whose quantiles coincide has no such bins, and null features."""
     nexts = rows.with_columns({"delta": F.lead("x").over(rows.ordered) - F.col("x")})
-    pairs = SequenceRows(nexts.df.filter("delta IS NOT NULL"), rows.keys, rows.split)
+    pairs = nexts.filter("delta IS NOT NULL")
     at = [i / bins for i in range(bins + 1)]
-    if pairs.split:
-        names = {f"__q{i}": q for i, q in enumerate(at)}
-        edges = exact_quantiles(pairs.own(), list(rows.keys), "x", names)
-        cut = pairs.attach(edges.select(*rows.keys, F.array(*names).alias("edges"))).own()
-    else:
-        cut = pairs.with_stats({"edges": F.percentile("x", F.lit(at))}).df
+    cut = pairs.with_quantiles("edges", at).own()
     distinct = F.size(F.array_distinct("edges")) == bins + 1
     below = F.size(F.filter("edges", lambda e: e < F.col("x")))
     cut = cut.withColumn("bin", F.when(distinct, F.greatest(below, F.lit(1))))

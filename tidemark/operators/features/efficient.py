@@ -10,23 +10,30 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
 from tidemark.functions.fourier import fft_columns, fourier_sums
 from tidemark.operators.aggregate import sample_kurtosis, sample_skewness
-from tidemark.operators.features.compact import locations, trend, trend_p
+from tidemark.operators.features.compact import fourier_features, locations, trend, trend_p
 from tidemark.operators.features.drift import drift_from_rows
+from tidemark.operators.features.long_sequences import (
+    autocovariance_table,
+    mean_density,
+    order_entropy_table,
+    regression_table,
+)
 from tidemark.operators.features.rows import SequenceRows, sequence_rows
 
 # Parameters of the set (fixed values).
 RATIOS = [round(0.05 * i, 2) for i in range(20)]
 QUANTILES = (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9)
 SIGMAS = (0.5, 1, 1.5, 2, 2.5, 3, 5, 6, 7, 10)
-RANGES = ((-1, 1), (-1e12, 0), (0, 1e12))
+RANGES = ((-1, 1), (1e12, 0), (0, 1e12))
 PEAK_SUPPORT = (1, 3, 5, 10, 50)
 CORRIDOR = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
+DECILES = [i / 10 for i in range(11)]
 CHUNK_LENGTHS = (5, 10, 50)
 SYMBOL_BINS = (2, 3, 5, 10, 100)
 ORDER_DIMENSIONS = (3, 4, 5, 6, 7)
@@ -52,20 +59,19 @@ def _row_columns(rows: SequenceRows) -> SequenceRows:
             "lo": F.min("x"),
             "hi": F.max("x"),
             "mass": F.sum(F.abs("x")),
-            "cuts": F.percentile("x", F.lit(list(CORRIDOR))),
         }
     )
+    rows = rows.with_quantiles("cuts", DECILES)
     rows = rows.with_runs({"above": x > F.col("mu"), "below": x < F.col("mu")})
     w = rows.ordered
     lags = {f"lag_{k}": F.lag("x", k).over(w) for k in range(1, 10)}
-    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
     peaks = {}
     for n in PEAK_SUPPORT:
         before, after = F.max("x").over(w.rowsBetween(-n, -1)), F.max("x").over(w.rowsBetween(1, n))
         full = (position >= n) & (position < F.col("n") - n)
         peaks[f"peak_{n}"] = full & (x > before) & (x > after)
     second = {"around": F.lead("x").over(w) - 2 * x + F.lag("x").over(w)}
-    rows = rows.with_columns(lags | peaks | second | {"cum": F.sum(F.abs("x")).over(sofar)})
+    rows = rows.with_columns(lags | peaks | second).with_running_sum("cum", F.abs("x"))
     span = F.col("hi") - F.col("lo")
     return rows.with_columns(
         {
@@ -94,7 +100,7 @@ def _segment(position: Column, n: Column, k: int) -> Column:
 def _plain() -> dict[str, str]:
     """SQL of the features that need no order."""
     span = "(max(x) - min(x))"
-    gap = "abs(avg(x) - percentile(x, 0.5D))"
+    gap = "abs(avg(x) - first(cuts)[5])"
     out = {
         "sum_values": "sum(x)",
         "abs_energy": "sum(x * x)",
@@ -169,7 +175,7 @@ def _corridor_changes() -> dict[str, str]:
     out = {}
     for i, low in enumerate(CORRIDOR[:-1]):
         for j in range(i + 1, len(CORRIDOR)):
-            a, b = f"cuts[{i}]", f"cuts[{j}]"
+            a, b = f"cuts[{2 * i}]", f"cuts[{2 * j}]"
             inside = f"{a} < {b} AND x BETWEEN {a} AND {b} AND lag_1 BETWEEN {a} AND {b}"
             for absolute, step in ((False, "diff"), (True, "abs(diff)")):
                 for name, fn in (("mean", "avg"), ("var", "var_pop")):
@@ -228,10 +234,17 @@ def _chunk_trends(rows: SequenceRows) -> DataFrame:
     return parts.groupBy(*rows.keys).agg(*aggs)
 
 
-def _array_features(xs: Column, fft_terms: int, query: Sequence[float] | None, threshold: float) -> dict[str, tuple]:
+def _largest(xs: Column) -> Column:
+    """The seven largest absolute values."""
+    return F.slice(F.sort_array(F.transform(xs, lambda v: F.abs(v)), asc=False), 1, 7)
+
+
+def _array_features(
+    xs: Column, query: Sequence[float] | None, threshold: float, comprehensive: bool
+) -> dict[str, tuple]:
     """Array-valued columns with the names of their entries."""
     complexity = [f"lempel_ziv_complexity__bins_{b}" for b in SYMBOL_BINS]
-    return {
+    out = {
         "moments": (K.spectrum_moments(xs), [f'fft_aggregated__aggtype_"{a}"' for a in ("centroid", "variance", "skew", "kurtosis")]),
         "welch": (K.welch_coefficients(xs, WELCH), [f"spkt_welch_density__coeff_{c}" for c in WELCH]),
         "waves": (
@@ -260,6 +273,48 @@ def _array_features(xs: Column, fft_terms: int, query: Sequence[float] | None, t
             [f"query_similarity_count__query_{list(query) if query else None}__threshold_{threshold}"],
         ),
     }
+    if comprehensive:
+        shares = (0.1, 0.3, 0.5, 0.7, 0.9)
+        out["sample"] = (K.sample_entropy(xs), ["sample_entropy"])
+        out["approximate"] = (
+            K.approximate_entropy(xs, 2, shares), [f"approximate_entropy__m_2__r_{r}" for r in shares]
+        )
+    return out
+
+
+# Array features that need the whole sequence in one place.
+SERIAL = ("moments", "ridges", "root", "phrases", "sample", "approximate")
+
+
+def _long_array_features(
+    long: SequenceRows, first: DataFrame, arrays: dict[str, tuple], query: Sequence[float] | None, threshold: float
+) -> DataFrame:
+    """The array features of sequences of several blocks; `first` has their first blocks."""
+    keys = list(long.keys)
+    out = first.select(*keys, K.wavelet_coefficients(F.col("xs"), WIDTHS, 15).alias("__a_waves"))
+    spectra = mean_density(long).select(
+        *keys,
+        F.array(*[F.get("density", F.lit(c)) for c in WELCH]).alias("__a_welch"),
+        K.density_entropy(F.col("density"), SYMBOL_BINS).alias("__a_spectral"),
+    )
+    covariances = autocovariance_table(long, 40).select(
+        *keys,
+        K.covariance_summary(F.col("covariances")).alias("__a_acf"),
+        K.covariance_partials(F.slice("covariances", 1, 10), 9).alias("__a_pacf"),
+    )
+    regression = regression_table(long, 10).withColumnRenamed("coefficients", "__a_ar")
+    patterns = order_entropy_table(long, ORDER_DIMENSIONS).withColumnRenamed("entropies", "__a_orders")
+    for part in (spectra, covariances, regression, patterns):
+        out = out.join(part, keys)
+    none = F.lit(None).cast("array<double>")
+    out = out.withColumns({f"__a_{n}": none for n in arrays if n in SERIAL})
+    if not query:
+        return out.withColumn("__a_query", F.array(F.lit(None).cast("double")))
+    span = long.ordered.rowsBetween(1 - len(query), 0)
+    windows = long.with_columns({"w": F.collect_list("x").over(span)}).own()
+    hits = F.get(K.similar_windows(F.col("w"), query, threshold), F.lit(0))
+    counts = windows.groupBy(*keys).agg(F.array(F.sum(F.nanvl(hits, F.lit(0.0)))).alias("__a_query"))
+    return out.join(counts, keys)
 
 
 def efficient_features(
@@ -272,52 +327,60 @@ def efficient_features(
     comprehensive: bool = False,
     query: Sequence[float] | None = None,
     threshold: float = 0.0,
+    long_sequences: str = "raise",
 ) -> DataFrame:
     """One row per (sequence, channel); undefined features are null.
 
-    Several features are defined on the whole ordered sequence, so each sequence must fit one
-    task; longer ones are refused (the compact and drift sets take any length).
+    Sequences of any length are taken. For one that no single task may hold, the features of `SERIAL`
+    (defined by one scan of the whole sequence or by its full spectrum) are not worked out:
+    `long_sequences` says whether to refuse such a table ("raise") or leave them null ("null").
     """
-    rows = sequence_rows(df, ids, step, channels, max_len)
-    if rows.split:
-        raise ValueError("sequences are too long for the wide set; use the compact or the drift set")
+    if long_sequences not in ("raise", "null"):
+        raise ValueError(f"long_sequences must be raise or null, got {long_sequences}")
+    rows = sequence_rows(df, ids, step, channels, max_len, halo=max(64, len(query or ())))
+    if rows.split and long_sequences == "raise":
+        raise ValueError('sequences are too long for some features; cut windows or pass long_sequences="null"')
     base = rows
     rows = _row_columns(rows)
     keys = list(rows.keys)
     x = F.col("x")
     aggs = {n: F.expr(c) for n, c in (_plain() | _ordered() | _histograms()).items()}
     aggs |= {"skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)}
-    main = rows.arrays(
-        *[c.alias(n) for n, c in aggs.items()], F.percentile(x, F.lit([0.5, *QUANTILES])).alias("__q")
-    )
-    xs = F.col("xs")
-    arrays = _array_features(xs, fft_coefficients, query, threshold)
-    if comprehensive:
-        arrays["sample"] = (K.sample_entropy(xs), ["sample_entropy"])
-        shares = (0.1, 0.3, 0.5, 0.7, 0.9)
-        arrays["approximate"] = (
-            K.approximate_entropy(xs, 2, shares), [f"approximate_entropy__m_2__r_{r}" for r in shares]
-        )
-    top = F.slice(F.sort_array(F.transform(xs, lambda v: F.abs(v)), asc=False), 1, 7)
-    # Terms above n / 2 do not exist.
-    terms = F.slice(
-        fourier_sums(xs, F.col("start"), F.col("n"), max(1, fft_coefficients)),
-        F.lit(1),
-        2 * (F.floor(F.col("n") / 2) + 1).cast("int"),
-    )
+    sums = [*[c.alias(n) for n, c in aggs.items()], F.first("cuts").alias("cuts")]
+    terms = max(1, fft_coefficients)
+    if rows.split:
+        main = rows.own().groupBy(*keys).agg(F.first("n").alias("n"), *sums)
+        blocks = base.arrays()
+        tops = blocks.select(*keys, _largest(F.col("xs")).alias("__top"))
+        tops = tops.groupBy(*keys).agg(_largest(F.flatten(F.collect_list("__top"))).alias("__top"))
+        arrays = _array_features(F.col("xs"), query, threshold, comprehensive)
+        short = base.short().whole_arrays()
+        short = short.select(*keys, *[c.alias(f"__a_{n}") for n, (c, _names) in arrays.items()])
+        long = rows.long()
+        first = blocks.filter((F.col("start") == 0) & (F.col("n") > base.task_rows)).select(*keys, "xs")
+        spread = _long_array_features(long, first, arrays, query, threshold)
+        parts = [tops, short.unionByName(spread), fourier_features(base, terms)]
+    else:
+        main = rows.arrays(*sums)
+        xs = F.col("xs")
+        arrays = _array_features(xs, query, threshold, comprehensive)
+        sums = fourier_sums(xs, F.col("start"), F.col("n"), terms)
+        made = {f"__a_{n}": c for n, (c, _names) in arrays.items()} | {"__fft": sums, "__top": _largest(xs)}
+        parts = []
     # The narrow tables meet first; the hundreds of columns are spelt out once, at the end.
-    parts = [_value_histogram(base), _chunk_trends(base), drift_from_rows(base)]
-    for part in parts:
+    named = [_value_histogram(base), _chunk_trends(base), drift_from_rows(base)]
+    for part in [*parts, *named]:
         main = main.join(part, keys)
-    main = main.withColumns(
-        {f"__a_{n}": c for n, (c, _names) in arrays.items()}
-        | {"__fft": terms, "__top": F.aggregate(top, F.lit(0.0), lambda a, v: a + v) / 7}
-    )
+    if not rows.split:
+        main = main.withColumns(made)
+    # Terms above n / 2 do not exist.
+    exist = F.slice("__fft", F.lit(1), 2 * (F.floor(F.col("n") / 2) + 1).cast("int"))
+    main = main.withColumns({"__fft": exist, "__top": F.aggregate("__top", F.lit(0.0), lambda a, v: a + v) / 7})
 
-    plain = [*aggs, *[n for part in parts for n in part.columns if n not in keys]]
+    plain = [*aggs, *[n for part in named for n in part.columns if n not in keys]]
     out = {n: F.col(f"`{n}`") for n in plain}
-    out["median"] = F.col("__q")[0]
-    out |= {f"quantile__q_{q}": F.expr(f"__q[{i + 1}]") for i, q in enumerate(QUANTILES)}
+    out["median"] = F.expr("cuts[5]")
+    out |= {f"quantile__q_{q}": F.expr(f"cuts[{round(10 * q)}]") for q in QUANTILES}
     out["mean_n_absolute_max__number_of_maxima_7"] = F.when(F.col("n") > 7, F.col("__top"))
     out['linear_trend__attr_"pvalue"'] = trend_p(F.col('`linear_trend__attr_"rvalue"`'), F.col("n"))
     for n, (_c, names) in arrays.items():

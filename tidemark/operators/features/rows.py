@@ -9,23 +9,29 @@ every sum over own rows combines across blocks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import id_column, sanitise, select_except, step_column
-from tidemark.operators.position import fits_one_task, with_position
-from tidemark.session import BLOCK_ROWS, MAX_GROUP_ROWS, limit
+from tidemark.operators.position import exact_quantiles, fits_one_task, with_position
+from tidemark.session import BLOCK_ROWS, MAX_GROUP_ROWS, cut_lineage, limit
+
+# The longest stretch from the first row on that a feature looks at.
+MIN_BLOCK = 256
 
 
 @dataclass(frozen=True)
 class SequenceRows:
-    """Rows (keys, position, n, x[, block, own]); `split` tells whether blocks are used."""
+    """Rows (keys, position, n, x[, block, own]); `split` tells whether blocks are used,
+    `block_rows` how long they are and `task_rows` how long a sequence one task may hold."""
 
     df: DataFrame
     keys: tuple[str, ...]
     split: bool
+    block_rows: int = 0
+    task_rows: int = 0
 
     @property
     def unit(self) -> list[str]:
@@ -39,7 +45,7 @@ class SequenceRows:
         return self.df.filter("own") if self.split else self.df
 
     def with_columns(self, columns: Mapping[str, Column]) -> SequenceRows:
-        return SequenceRows(self.df.withColumns(dict(columns)), self.keys, self.split)
+        return replace(self, df=self.df.withColumns(dict(columns)))
 
     def with_stats(self, stats: Mapping[str, Column]) -> SequenceRows:
         """Attach per-sequence aggregates to every row."""
@@ -52,13 +58,53 @@ class SequenceRows:
     def attach(self, table: DataFrame) -> SequenceRows:
         """Join a table with one row per sequence."""
         if not self.split:
-            return SequenceRows(self.df.join(table, list(self.keys), "left"), self.keys, False)
+            return replace(self, df=self.df.join(table, list(self.keys), "left"))
         # Spread the per-sequence row over its blocks, so a long sequence is no hot join key.
         blocks = self.own().groupBy(*self.keys).agg(F.max("block").alias("__last"))
         spread = table.join(blocks, list(self.keys)).withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__last")))
         )
-        return SequenceRows(self.df.join(spread.drop("__last"), self.unit, "left"), self.keys, True)
+        return replace(self, df=self.df.join(spread.drop("__last"), self.unit, "left"))
+
+    def filter(self, condition: Column | str) -> SequenceRows:
+        return replace(self, df=self.df.filter(condition))
+
+    def short(self) -> SequenceRows:
+        return self.filter(F.col("n") <= self.task_rows)
+
+    def long(self) -> SequenceRows:
+        return self.filter(F.col("n") > self.task_rows)
+
+    def whole_arrays(self) -> DataFrame:
+        """(keys, xs): the ordered values of each sequence; only for sequences that fit a task."""
+        pairs = F.array_sort(F.collect_list(F.struct("position", "x")))
+        return self.own().groupBy(*self.keys).agg(F.transform(pairs, lambda s: s["x"]).alias("xs"))
+
+    def quantile_table(self, name: str, at: Sequence[float], value: str = "x") -> DataFrame:
+        """(keys, array of exact quantiles of a column over own rows)."""
+        if not self.split:
+            return self.df.groupBy(*self.keys).agg(F.percentile(value, F.lit(list(at))).alias(name))
+        parts = {f"__q{i}": q for i, q in enumerate(at)}
+        table = exact_quantiles(self.own(), list(self.keys), value, parts)
+        return table.select(*self.keys, F.array(*parts).alias(name))
+
+    def with_quantiles(self, name: str, at: Sequence[float], value: str = "x") -> SequenceRows:
+        """Attach the array of exact quantiles of a column to every row."""
+        if not self.split:
+            return self.with_stats({name: F.percentile(value, F.lit(list(at)))})
+        return self.attach(self.quantile_table(name, at, value))
+
+    def with_running_sum(self, name: str, column: Column) -> SequenceRows:
+        """Sum of a column over the sequence up to and including each own row."""
+        sofar = self.ordered.rowsBetween(Window.unboundedPreceding, 0)
+        if not self.split:
+            return self.with_columns({name: F.sum(column).over(sofar)})
+        sums = self.own().groupBy(*self.unit).agg(F.sum(column).alias("__s"))
+        earlier = Window.partitionBy(*self.keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carry = sums.select(*self.unit, F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__carry"))
+        inside = self.with_columns({name: F.sum(F.when(F.col("own"), column)).over(sofar)})
+        out = replace(inside, df=inside.df.join(carry, self.unit, "left"))
+        return replace(out, df=out.df.withColumn(name, F.col(name) + F.col("__carry")).drop("__carry"))
 
     def with_runs(self, flags: Mapping[str, Column]) -> SequenceRows:
         """Length, at each row, of the run of true flags that ends there (0 if false)."""
@@ -73,7 +119,7 @@ class SequenceRows:
             carry = ends.select(
                 *self.unit, *[F.max(n).over(earlier).alias(f"{n}_carry") for n in breaks]
             )
-            out = SequenceRows(out.df.join(carry, self.unit, "left"), self.keys, True)
+            out = replace(out, df=out.df.join(carry, self.unit, "left"))
         runs = {}
         for n, c in breaks.items():
             last = F.max(c).over(sofar)
@@ -137,7 +183,7 @@ def sequence_rows(
             "x",
         )
         return SequenceRows(rows, tuple(keys), False)
-    size = limit(df.sparkSession, BLOCK_ROWS)
+    size = max(limit(df.sparkSession, BLOCK_ROWS), MIN_BLOCK)
     halo = min(halo, size // 2)
     rows = with_position(df.select(*ids, *order, *channels), ids, order, "position", "n")
     rows = long_values(rows, ids, ["position", "n"], channels)
@@ -151,7 +197,8 @@ def sequence_rows(
     )
     rows = rows.withColumn("block", F.explode(F.array_compact(targets)))
     rows = rows.withColumn("own", F.col("block") == F.floor(F.col("position") / size))
-    return SequenceRows(rows, tuple(keys), True)
+    # Long rows feed many aggregations: positions are worked out once.
+    return SequenceRows(cut_lineage(rows), tuple(keys), True, size, max(per_task, MIN_BLOCK))
 
 
 def features_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:

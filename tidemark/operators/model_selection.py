@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.expr import sanitise
 from tidemark.functions.special import beta_cdf
@@ -29,14 +30,15 @@ def feature_names(features: DataFrame) -> list[str]:
 
 def assemble(features: DataFrame, names: Sequence[str], id_col: str = ID) -> DataFrame:
     """(id, features) vectors in the order of `names`; missing features are 0."""
-    place = F.create_map(*[F.lit(v) for i, n in enumerate(names) for v in (n, i)])
-    cells = features.select(id_col, place[F.col("feature")].alias("__i"), sanitise("value").alias("__v"))
-    cells = cells.filter("__i IS NOT NULL")
-    slots = F.map_from_entries(F.collect_list(F.struct("__i", "__v")))
-    rows = cells.groupBy(id_col).agg(slots.alias("__m"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.col("__m")[i], F.lit(0.0))
-    )
+    # The names are size-checked where they are listed.
+    places = features.sparkSession.createDataFrame(list(enumerate(names)), "__i int, feature string")
+    cells = features.join(F.broadcast(places), "feature")
+    cells = cells.select(id_col, F.struct("__i", sanitise("value").alias("__v")).alias("__c"))
+    rows = cells.groupBy(id_col).agg(F.collect_list("__c").alias("__m"))
+    present = F.transform("__m", lambda c: c["__i"])
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(len(names) - 1)), present)
+    zeros = F.transform(missing, lambda i: F.struct(i.alias("__i"), F.lit(0.0).alias("__v")))
+    dense = F.transform(F.array_sort(F.concat("__m", zeros)), lambda c: c["__v"])
     return rows.select(id_col, array_to_vector(dense).alias("features"))
 
 
@@ -46,9 +48,11 @@ def indexed_target(targets: DataFrame, task_type: str) -> DataFrame:
         return targets.select(ID, "target", F.col("target").cast("double").alias("label"))
     classes = targets.select("target").distinct()
     require_small(classes, "the list of classes")
-    values = sorted(r[0] for r in classes.collect())
-    lookup = F.create_map(*[F.lit(v) for i, c in enumerate(values) for v in (c, float(i))])
-    return targets.select(ID, "target", lookup[F.col("target")].alias("label"))
+    values = sorted(r[0] for r in classes.collect() if r[0] is not None)
+    kind = targets.schema["target"].dataType
+    schema = T.StructType([T.StructField("target", kind), T.StructField("label", T.DoubleType())])
+    labels = targets.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(values)], schema)
+    return targets.select(ID, "target").join(F.broadcast(labels), "target").select(ID, "target", "label")
 
 
 def training_rows(features: DataFrame, targets: DataFrame, names: Sequence[str], task_type: str) -> DataFrame:

@@ -62,7 +62,8 @@ def adjust_p_values(
     m = F.col("__m_total")
     factor = F.lit(1.0)
     if method == "by":
-        factor = F.expr("aggregate(sequence(1L, `__m_total`), 0D, (a, i) -> a + 1D / i)")
+        # The harmonic sum of m is digamma(m + 1) plus Euler's constant.
+        factor = digamma(m + 1) + F.lit(0.5772156649015329)
     elif method != "bh":
         raise ValueError(f"unknown method {method}")
     raw = F.least(F.lit(1.0), F.col("__p") * m / F.col("__rank") * factor)
