@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.expr import fill_missing, one_hot, parse_number, parse_thousands, recode
-from tidemark.operators.position import running_last, with_position
+from tidemark.operators.position import prefix_sums, running_last, with_position
 from tidemark.operators.windowing import segment_time_series
 from tidemark.session import require_small
 
@@ -55,10 +55,15 @@ def _ordered(df: DataFrame) -> DataFrame:
     )
 
 
-def with_row_index(df: DataFrame, index: str = "time", per_file: bool = False) -> DataFrame:
-    """0-based row number in file order, without pulling a file into one task."""
-    rows = with_position(_ordered(df), ["__file"] if per_file else [], ["__block", "__line"], index)
-    return rows.drop("__block", "__line") if per_file else rows.drop("__file", "__block", "__line")
+def with_row_index(df: DataFrame, index: str = "time") -> DataFrame:
+    """0-based row number, files in path order, without pulling a file into one task."""
+    rows = with_position(_ordered(df), ["__file"], ["__block", "__line"], "__p")
+    files = _ordered(df).groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    # One row per file.
+    starts = prefix_sums(files, [], ["__file"], {"__rows": F.col("__n")})
+    rows = rows.join(starts.select("__file", "__rows_before"), "__file")
+    rows = rows.withColumn(index, F.col("__rows_before") + F.col("__p"))
+    return rows.drop("__block", "__line", "__p", "__rows_before", "__file")
 
 
 def read_delimited(
@@ -197,8 +202,9 @@ def ingest_gas_sensors(spark: SparkSession, folder: str, width: int = 128, steps
     """
     channels = width // steps
     text = spark.read.text(f"{folder}/batch*.dat").filter(F.trim("value") != "")
-    rows = with_row_index(text, "line", per_file=True)
-    rows = rows.withColumn("batch", F.regexp_extract("__file", r"batch(\d+)\.dat", 1).cast("int"))
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"batch(\d+)\.dat", 1).cast("int")
+    rows = with_row_index(text.withColumn("batch", number), "line")
+    rows = with_position(rows, [], ["batch", "line"], "sequence_id")
     parts = F.split(F.trim("value"), r"\s+")
     label = F.split(F.get(parts, F.lit(0)), ";")
     items = F.filter(F.slice(parts, 2, 100_000), lambda p: p.contains(":"))
@@ -208,14 +214,7 @@ def ingest_gas_sensors(spark: SparkSession, folder: str, width: int = 128, steps
             lambda p: F.struct(F.split(p, ":")[0].cast("int").alias("k"), F.split(p, ":")[1].cast("double").alias("v")),
         )
     )
-    rows = rows.select("batch", "line", F.get(label, F.lit(0)).cast("int").alias("target"), pairs.alias("m"))
-    sizes = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-    require_small(sizes, "the list of batches")
-    start, offset = 0, {}
-    for r in sorted(sizes.collect()):
-        offset[r["batch"]] = start
-        start += r["n"]
-    rows = rows.withColumn("sequence_id", F.col("line") + recode("batch", offset))
+    rows = rows.select("sequence_id", "batch", F.get(label, F.lit(0)).cast("int").alias("target"), pairs.alias("m"))
     cells = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     values = {
         f"sensor_{c}": F.coalesce(F.col("m")[(F.col("step") * channels + c + 1).cast("int")], F.lit(0.0))
