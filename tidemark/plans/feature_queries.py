@@ -12,7 +12,7 @@ from tidemark.operators.features.extractors import extract
 from tidemark.operators.features.rows import features_long
 from tidemark.operators.selection import run_selector
 from tidemark.plans.registry import digits, query, rounded, rounded_sql, table
-from tidemark.plans.window_queries import POSITIONS, event_windows
+from tidemark.plans.window_queries import CTE, POSITIONS, WINDOW, event_windows
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources.store import FeatureStore
 from tidemark.sources.tables import read_pair, validate_pair, write_pair
@@ -203,6 +203,158 @@ def _(spark, sf_dir):
     return _compare(_SHARES, digits(list(_SHARES)), spark, sf_dir)
 
 
+_SPECTRUM = {f"spec_{a}": f'fft_aggregated__aggtype_"{a}"' for a in ("centroid", "variance", "skew", "kurtosis")}
+_SPECTRUM_DIGITS = {"spec_centroid": 5, "spec_variance": 4, "spec_skew": 4, "spec_kurtosis": 3}
+
+
+@query(
+    "wide_set_spectrum",
+    rounded_sql(
+        f"""{SERIES}, k AS (SELECT id, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT id, n FROM src)),
+amp AS (SELECT id, k, sqrt(pow(sum(x * cos(2 * pi() * k * p / k.n)), 2) + pow(sum(x * sin(2 * pi() * k * p / k.n)), 2)) AS a
+  FROM src JOIN k USING (id) GROUP BY 1, 2),
+m AS (SELECT id, sum(a * k) / sum(a) AS m1, sum(a * k * k) / sum(a) AS m2, sum(a * pow(k, 3)) / sum(a) AS m3, sum(a * pow(k, 4)) / sum(a) AS m4
+  FROM amp GROUP BY 1), v AS (SELECT *, m2 - m1 * m1 AS var FROM m)
+SELECT id AS user_id, m1 AS spec_centroid, var AS spec_variance, (m3 - 3 * m1 * var - pow(m1, 3)) / pow(var, 1.5) AS spec_skew,
+(m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1) / (var * var) AS spec_kurtosis FROM v""",
+        ["user_id"],
+        _SPECTRUM_DIGITS,
+    ),
+)
+def _(spark, sf_dir):
+    return _compare(_SPECTRUM, _SPECTRUM_DIGITS, spark, sf_dir)
+
+
+_LAGS = {f"acf_{a}": f'agg_autocorrelation__f_agg_"{a}"__maxlag_40' for a in ("mean", "median", "var")} | {
+    "partial_1": "partial_autocorrelation__lag_1",
+    "partial_2": "partial_autocorrelation__lag_2",
+}
+
+
+@query(
+    "wide_set_autocorrelation_summary",
+    rounded_sql(
+        f"""{SERIES}, c AS (SELECT a.id, b.p - a.p AS k, sum((a.x - a.mu) * (b.x - b.mu)) / count(*) / max(a.sd * a.sd) AS r
+  FROM st a JOIN st b ON a.id = b.id AND b.p > a.p AND b.p <= a.p + 40 GROUP BY 1, 2)
+SELECT id AS user_id, avg(r) AS acf_mean, median(r) AS acf_median, var_pop(r) AS acf_var, max(r) FILTER (k = 1) AS partial_1,
+max((r2 - r1 * r1) / (1 - r1 * r1)) AS partial_2
+FROM c JOIN (SELECT id, max(r) FILTER (k = 1) AS r1, max(r) FILTER (k = 2) AS r2 FROM c GROUP BY 1) USING (id) GROUP BY 1""",
+        ["user_id"],
+        digits(list(_LAGS)),
+    ),
+)
+def _(spark, sf_dir):
+    return _compare(_LAGS, digits(list(_LAGS)), spark, sf_dir)
+
+
+_PATTERNS = {f"order_{d}": f"permutation_entropy__dimension_{d}__tau_1" for d in (3, 5)}
+
+
+def _pattern_sql(d: int) -> str:
+    """Rank of each of the d latest values among them, ties by place, as text."""
+    names = [f"l{k}" for k in range(d - 1, 0, -1)] + ["x"]
+    ranks = []
+    for i, a in enumerate(names):
+        terms = [f"({b} {'<=' if j < i else '<'} {a})::INTEGER" for j, b in enumerate(names) if j != i]
+        ranks.append(f"({' + '.join(terms)})::VARCHAR")
+    return " || ".join(ranks)
+
+
+def _pattern_entropy(d: int) -> str:
+    return f"""(SELECT id, -sum(c / t * ln(c / t)) AS order_{d} FROM (SELECT id, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS t
+FROM (SELECT id, {_pattern_sql(d)} AS w FROM base WHERE p >= {d - 1}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "wide_set_order_patterns",
+    rounded_sql(
+        f"{SERIES} SELECT id AS user_id, order_3, order_5 FROM {_pattern_entropy(3)} JOIN {_pattern_entropy(5)} USING (id)",
+        ["user_id"],
+        digits(list(_PATTERNS)),
+    ),
+)
+def _(spark, sf_dir):
+    return _compare(_PATTERNS, digits(list(_PATTERNS)), spark, sf_dir)
+
+
+_WAVES = {f"wave_{w}_{c}": f"cwt_coefficients__coeff_{c}__w_{w}__widths_{efficient.WIDTHS}" for w, c in ((2, 0), (2, 5), (5, 3), (20, 14))}
+
+
+def _wave_sql(w: int, c: int) -> str:
+    """Sum of the values times the Ricker wave of width w centred near place c."""
+    points = f"least({10 * w}, n)"
+    place = f"({c} + ({points} - 1) // 2 - p)"
+    t = f"({place} - ({points} - 1) / 2.0::DOUBLE)"
+    wave = f"2 / (sqrt(3 * {w}) * pow(pi(), 0.25)) * (1 - pow({t}, 2) / {w * w}) * exp(-pow({t}, 2) / {2 * w * w})"
+    inside = f"{place} >= 0 AND {place} < {points}"
+    return f"CASE WHEN max(n) > {c} THEN coalesce(sum(x * {wave}) FILTER ({inside}), 0) END AS wave_{w}_{c}"
+
+
+@query(
+    "wide_set_wavelets",
+    rounded_sql(
+        f"{SERIES} SELECT id AS user_id, {', '.join(_wave_sql(w, c) for w, c in ((2, 0), (2, 5), (5, 3), (20, 14)))} FROM src GROUP BY 1",
+        ["user_id"],
+        digits(list(_WAVES), 5),
+    ),
+)
+def _(spark, sf_dir):
+    return _compare(_WAVES, digits(list(_WAVES), 5), spark, sf_dir)
+
+
+_DENSITY = {f"density_{c}": f"spkt_welch_density__coeff_{c}" for c in (2, 5, 8)} | {"spectral_entropy": "fourier_entropy__bins_10"}
+_DENSITY_DIGITS = {"density_2": 3, "density_5": 3, "density_8": 3, "spectral_entropy": 6}
+
+
+@query(
+    "wide_set_periodogram",
+    rounded_sql(
+        f"""{SERIES}, shape AS (SELECT id, n, least(n, 256) AS size, greatest(1, least(n, 256) - least(n, 256) // 2) AS hop FROM (SELECT DISTINCT id, n FROM src)),
+seg AS (SELECT *, unnest(range(0, (n - size) // hop + 1)) AS s FROM shape),
+part AS (SELECT id, s, size, p - s * hop AS j, x - avg(x) OVER (PARTITION BY id, s) AS v, 0.5 - 0.5 * cos(2 * pi() * (p - s * hop) / size) AS hann
+  FROM src JOIN seg USING (id) WHERE p >= s * hop AND p < s * hop + size),
+freq AS (SELECT id, s, size, unnest(range(0, size // 2 + 1)) AS k FROM seg),
+power AS (SELECT id, s, k, (pow(sum(v * hann * cos(2 * pi() * k * j / size)), 2) + pow(sum(v * hann * sin(2 * pi() * k * j / size)), 2)) / sum(hann * hann)
+  * CASE WHEN k > 0 AND 2 * k < max(size) THEN 2 ELSE 1 END AS pw FROM part JOIN freq USING (id, s, size) GROUP BY 1, 2, 3),
+dens AS (SELECT id, k, avg(pw) AS d FROM power GROUP BY 1, 2),
+scaled AS (SELECT id, k, d, d / max(d) OVER w AS u, min(d) OVER w / max(d) OVER w AS lo FROM dens WINDOW w AS (PARTITION BY id)),
+bins AS (SELECT id, least(floor((u - lo) * 10 / (1 - lo)), 9) AS b, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS t FROM scaled GROUP BY 1, 2),
+ent AS (SELECT id, -sum(c / t * ln(c / t)) AS spectral_entropy FROM bins GROUP BY 1)
+SELECT id AS user_id, max(d) FILTER (k = 2) AS density_2, max(d) FILTER (k = 5) AS density_5, max(d) FILTER (k = 8) AS density_8,
+max(spectral_entropy) AS spectral_entropy FROM dens JOIN ent USING (id) GROUP BY 1""",
+        ["user_id"],
+        _DENSITY_DIGITS,
+    ),
+)
+def _(spark, sf_dir):
+    return _compare(_DENSITY, _DENSITY_DIGITS, spark, sf_dir)
+
+
+_PER_WINDOW = {
+    "c3": ("c3__lag_1", "coalesce(avg(x * l1 * l2), 0)", 3),
+    "change": ("mean_abs_change", "avg(abs(x - l1))", 5),
+    "middle": ("median", "median(x)", 6),
+    "first_max": ("first_location_of_maximum", "min(step) FILTER (x = hi) / 16", 6),
+}
+
+
+@query(
+    "wide_set_per_window",
+    rounded_sql(
+        f"""{CTE}, s AS (SELECT sequence_id, step, value AS x, max(value) OVER (PARTITION BY sequence_id) AS hi, lag(value) OVER w AS l1, lag(value, 2) OVER w AS l2
+  FROM win WINDOW w AS (PARTITION BY sequence_id ORDER BY step))
+SELECT sequence_id, {", ".join(f"{sql} AS {n}" for n, (_f, sql, _d) in _PER_WINDOW.items())} FROM s GROUP BY 1""",
+        ["sequence_id"],
+        {n: d for n, (_f, _s, d) in _PER_WINDOW.items()},
+    ),
+)
+def _(spark, sf_dir):
+    windows = event_windows(spark, sf_dir)[0]
+    wide = efficient.efficient_features(windows, channels=["value"], fft_coefficients=5, max_len=WINDOW)
+    short = wide.select("sequence_id", *[F.col(f"`{f}`").alias(n) for n, (f, _s, _d) in _PER_WINDOW.items()])
+    return rounded(short, ["sequence_id"], {n: d for n, (_f, _s, d) in _PER_WINDOW.items()})
+
+
 @query("wide_set_full")
 def _(spark, sf_dir):
     return wide_set(spark, sf_dir, 100)
