@@ -15,13 +15,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(fn, x):
+    # A vectorised object at module level keeps a state that cannot be shipped to the workers.
+    return np.vectorize(fn, otypes=[float])(x)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def beta_cdf(a, b, x):
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
+    undefined = (a <= 0) | (b <= 0)
+    a, b = np.where(undefined, 1.0, a), np.where(undefined, 1.0, b)
     flip = x > (a + 1) / (a + b + 2)
     p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
     tiny = 1e-300
@@ -46,7 +58,7 @@ def beta_cdf(a, b, x):
             _lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(z) + q * np.log1p(-z)
         )
     out = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, front * h / p))
-    return np.where(flip, 1 - out, out)
+    return np.where(undefined, np.nan, np.where(flip, 1 - out, out))
 
 
 def t_two_sided(t, df):
@@ -59,6 +71,13 @@ def f_upper(f, d1, d2):
     return beta_cdf(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+def binomial_upper(k, n):
+    """P(X >= k) for n fair draws."""
+    inside = (k >= 1) & (k <= n)
+    tail = beta_cdf(np.where(inside, k, 1), np.where(inside, n - k + 1, 1), 0.5)
+    return np.where(k <= 0, 1.0, np.where(k > n, 0.0, tail))
+
+
 def kolmogorov_upper(x):
     """Limit tail of sqrt(n) times the Kolmogorov-Smirnov distance."""
     x = np.asarray(x, float)
@@ -69,6 +88,8 @@ def kolmogorov_upper(x):
 
 def t_quantile_value(p: float, df: float) -> float:
     """Student quantile by bisection on the tail."""
+    if df <= 0:
+        return math.nan
     lo, hi = -1e3, 1e3
     for _ in range(200):
         mid = (lo + hi) / 2
@@ -142,15 +163,6 @@ def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series
     return _apply(np.vectorize(one, otypes=[float]), a, b, c, d)
 
 
-@F.pandas_udf(T.DoubleType())
-def _binomial(k: pd.Series, n: pd.Series) -> pd.Series:
-    """P(X >= k) for n fair draws."""
-    def upper(k, n):
-        return np.where(k <= 0, 1.0, beta_cdf(np.maximum(k, 1), n - k + 1, 0.5))
-
-    return _apply(upper, k, n)
-
-
 def _clean(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
@@ -180,10 +192,6 @@ def fisher_exact_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     return _clean(_fisher(*[v.cast("double") for v in (a, b, c, d)]))
 
 
-def binomial_upper_p(k: Column, n: Column) -> Column:
-    return _clean(_binomial(k.cast("double"), n.cast("double")))
-
-
 @F.pandas_udf(T.DoubleType())
 def _signed_rank(w: pd.Series, n: pd.Series) -> pd.Series:
     def one(w, n):

@@ -19,13 +19,13 @@ def drift_names(degree: int, bins: int) -> list[str]:
 def drift_from_rows(rows: SequenceRows, degree: int = 3, bins: int = 30) -> DataFrame:
     """Values are cut at their quantiles, the mean value and mean next change of each bin are fitted by
     a polynomial. A sequence whose quantiles coincide has no such bins, and null features."""
-    nexts = rows.with_columns({"delta": F.lead("x").over(rows.ordered) - F.col("x")})
-    pairs = nexts.filter("delta IS NOT NULL")
+    pairs = rows.with_columns({"delta": F.lead("x").over(rows.ordered) - F.col("x")})
+    pairs = pairs.with_columns({"from": F.when(F.col("delta").isNotNull(), F.col("x"))})
     at = [i / bins for i in range(bins + 1)]
-    cut = pairs.with_quantiles("edges", at).own()
-    distinct = F.size(F.array_distinct("edges")) == bins + 1
+    cut = pairs.with_quantiles("edges", at, "from").own()
+    usable = (F.size(F.array_distinct("edges")) == bins + 1) & F.col("from").isNotNull()
     below = F.size(F.filter("edges", lambda e: e < F.col("x")))
-    cut = cut.withColumn("bin", F.when(distinct, F.greatest(below, F.lit(1))))
+    cut = cut.withColumn("bin", F.when(usable, F.greatest(below, F.lit(1))))
     means = cut.groupBy(*rows.keys, "bin").agg(F.avg("x").alias("mx"), F.avg("delta").alias("my"))
     points = F.sort_array(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("mx").alias("x"), F.col("my").alias("y")))))
     out = means.groupBy(*rows.keys).agg(points.alias("p")).withColumn("c", cubic_drift(F.col("p"), degree))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expr import sanitise
-from tidemark.functions.special import beta_cdf
+from tidemark.functions.special import binomial_upper
 from tidemark.operators.position import with_position
 from tidemark.operators.splits import sample_rows, seeded_hash
 from tidemark.session import require_small
@@ -136,8 +136,7 @@ def shadow_features(features: DataFrame, seed: int) -> DataFrame:
 
 def binomial_tail(hits: np.ndarray, rounds: int) -> np.ndarray:
     """P(X >= hits) for fair draws."""
-    hits = np.asarray(hits, float)
-    return np.where(hits <= 0, 1.0, beta_cdf(np.maximum(hits, 1), rounds - hits + 1, 0.5))
+    return binomial_upper(np.asarray(hits, float), float(rounds))
 
 
 def _step_up(p: np.ndarray, level: float) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 Every test is built from sums or value histograms that combine before the
 shuffle, so a feature with any number of rows is never held by one task. The
-result is a mask table: feature, score, p_value, selected.
+result is a mask table: feature, score, p_value, selected. Features are read
+several times: hand in a stored table, not a long plan.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from tidemark.functions.special import (
 )
 from tidemark.operators.features.basic import guarded_corr
 from tidemark.operators.features.rows import sequence_rows
-from tidemark.operators.position import prefix_sums, value_ranks, with_position
+from tidemark.operators.position import bucket_codes, fits_one_task, prefix_sums, value_ranks, with_position
 from tidemark.operators.splits import seeded_hash
+from tidemark.session import cut_lineage
 
 ID = "sequence_id"
 
@@ -54,25 +56,46 @@ def adjust_p_values(
     `bh` is Benjamini-Hochberg; `by` multiplies by the harmonic sum for dependent tests. An
     undefined p counts as 1.
     """
+    if method not in ("bh", "by"):
+        raise ValueError(f"unknown method {method}")
+    keys = list(keys)
     tests = df.withColumn("__p", F.coalesce(F.nanvl(p, F.lit(None)), F.lit(1.0)))
-    # Equal p-values share the rank of the last of them, so the histogram of p is enough.
-    hist = tests.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = prefix_sums(hist, list(keys), ["__p"], {"__m": F.col("__c")})
-    ranked = ranked.withColumn("__rank", F.col("__m_before") + F.col("__c"))
-    m = F.col("__m_total")
-    factor = F.lit(1.0)
-    if method == "by":
+
+    def scaled(upto: Column, m: Column) -> Column:
         # The harmonic sum of m is digamma(m + 1) plus Euler's constant.
-        factor = digamma(m + 1) + F.lit(0.5772156649015329)
-    elif method != "bh":
-        raise ValueError(f"unknown method {method}")
-    raw = F.least(F.lit(1.0), F.col("__p") * m / F.col("__rank") * factor)
-    ranked = ranked.withColumn("__raw", raw)
-    above = Window.partitionBy(*keys).orderBy("__p").rowsBetween(0, Window.unboundedFollowing)
-    # One row per distinct p of the test table.
-    adjusted = ranked.select(*keys, "__p", F.min("__raw").over(above).alias("p_adjusted"))
-    out = tests.join(adjusted, [*keys, "__p"]).drop("__p")
-    return out.withColumn("significant", F.col("p_adjusted") <= level)
+        factor = digamma(m + 1) + F.lit(0.5772156649015329) if method == "by" else F.lit(1.0)
+        return F.least(F.lit(1.0), F.col("__p") * m / upto * factor)
+
+    by_p = Window.partitionBy(*keys).orderBy("__p")
+    onwards = by_p.rowsBetween(0, Window.unboundedFollowing)
+    if fits_one_task(tests, keys):
+        # Equal p-values share the rank of the last of them.
+        upto = F.count(F.lit(1)).over(by_p.rangeBetween(Window.unboundedPreceding, 0))
+        raw = scaled(upto, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        out = tests.withColumn("__raw", raw).withColumn("p_adjusted", F.min("__raw").over(onwards)).drop("__raw")
+    else:
+        # The p-values are met again by value, so they are worked out once.
+        tests = cut_lineage(tests)
+        hist = tests.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))
+        ranked = prefix_sums(hist, keys, ["__p"], {"__m": F.col("__c")})
+        ranked = ranked.withColumn("__raw", scaled(F.col("__m_before") + F.col("__c"), F.col("__m_total")))
+        adjusted = suffix_minimum(ranked.select(*keys, "__p", "__raw"), keys, "__p", "__raw", "p_adjusted")
+        out = tests.join(adjusted.select(*keys, "__p", "p_adjusted"), [*keys, "__p"])
+    return out.drop("__p").withColumn("significant", F.col("p_adjusted") <= level)
+
+
+def suffix_minimum(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Smallest `value` of the rows from each row on, for groups that no task may hold: within a
+    bucket of the order, and over the buckets after it."""
+    codes = bucket_codes(df, [order], df.count())
+    bucket = next(iter(codes))
+    rows = cut_lineage(df.withColumns(codes))
+    least = rows.groupBy(*keys, bucket).agg(F.min(value).alias("__least"))
+    later = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
+    least = least.select(*keys, bucket, F.min("__least").over(later).alias("__later"))
+    inside = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    out = rows.withColumn("__inside", F.min(value).over(inside)).join(least, [*keys, bucket])
+    return out.withColumn(name, F.least("__inside", "__later")).drop("__inside", "__later", bucket)
 
 
 # --- univariate scores -------------------------------------------------------------------------
@@ -228,7 +251,10 @@ def mann_whitney(features: DataFrame, targets: DataFrame) -> DataFrame:
     """
     data = labelled(features, targets)
     hist = data.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("c"))
-    values = hist.groupBy("feature", "value").agg(F.sum("c").alias("n"))
+    # The counts per class stay with their value; there are as many as classes.
+    values = hist.groupBy("feature", "value").agg(
+        F.sum("c").alias("n"), F.collect_list(F.struct("y", "c")).alias("parts")
+    )
     ranked = prefix_sums(values, ["feature"], ["value"], {"__n": F.col("n")})
     ranked = ranked.withColumn("rank", F.col("__n_before") + (F.col("n") + 1) / 2)
     t = F.col("n").cast("double")
@@ -236,7 +262,8 @@ def mann_whitney(features: DataFrame, targets: DataFrame) -> DataFrame:
         F.sum(t * t * t - t).alias("ties"), F.sum(t).alias("rows")
     )
     sums = (
-        hist.join(ranked.select("feature", "value", "rank"), ["feature", "value"])
+        ranked.select("feature", "rank", F.explode("parts").alias("s"))
+        .select("feature", "rank", "s.*")
         .groupBy("feature", "y")
         .agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").cast("double").alias("n1"))
         .join(per_feature, "feature")
@@ -439,7 +466,8 @@ def neighbour_mutual_information(
     # A class smaller than k + 1 uses the neighbours it has; a class of one row is left out.
     spans = spans.filter("n > 1").withColumn("__k", F.least(F.lit(k).cast("bigint"), F.col("n") - 1))
     spans = spans.withColumn("r", F.element_at(distances, F.col("__k").cast("int")))
-    spans = spans.select("feature", "x", "r", "n", "__k")
+    # Ends of intervals are met by value, so they are worked out once.
+    spans = cut_lineage(spans.select("feature", "x", "r", "n", "__k"))
 
     return _interval_counts(spans).groupBy("feature").agg(
         (
@@ -477,10 +505,11 @@ def mutual_information(
 ) -> DataFrame:
     """Top k by mutual information. A real target is cut into ten classes of equal frequency."""
     if task_type == "regression":
-        ranks = value_ranks(targets.withColumn("target", F.col("target").cast("double")), [], "target")
+        # Targets are met by value, so they are worked out once.
+        targets = cut_lineage(targets.select(ID, F.col("target").cast("double").alias("target")))
+        ranks = value_ranks(targets, [], "target")
         tile = F.floor(F.col("n_before") * 10 / F.col("n_total")).cast("int")
-        classes = ranks.select("target", tile.alias("__tile"))
-        targets = targets.withColumn("target", F.col("target").cast("double")).join(classes, "target")
+        targets = targets.join(ranks.select("target", tile.alias("__tile")), "target")
         targets = targets.select(ID, F.col("__tile").alias("target"))
     return top_k(neighbour_mutual_information(features, targets, seed=random_state), k)
 
