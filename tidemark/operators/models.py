@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,10 +17,20 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.special import normal_quantile
 from tidemark.operators.model_selection import assemble, feature_names, indexed_target
+from tidemark.session import cut_lineage
 
 ID = "sequence_id"
 
 
+@contextmanager
+def stage(timings: dict | None, name: str):
+    """Add the seconds spent inside to an entry of `timings`."""
+    start = time.perf_counter()
+    yield
+    if timings is not None:
+        timings[name] = timings.get(name, 0.0) + time.perf_counter() - start
+
+
 def build_model(
     name: str, task_type: str, train: DataFrame, seed: int = 42, trees: int = 100, depth: int = 5
 ) -> Pipeline:
@@ -66,14 +78,19 @@ def cross_validate(
     task_type: str = "classification",
     seed: int = 42,
     trees: int = 100,
+    timings: dict | None = None,
 ) -> DataFrame:
-    """Pooled out-of-fold predictions: (id, fold, label, prediction[, probability])."""
+    """Pooled out-of-fold predictions: (id, fold, label, prediction[, probabilities]), written once per
+    fold; `timings` collects `fit_s` and `predict_s`."""
     rows = assemble(features, feature_names(features)).join(indexed_target(targets, task_type), ID).persist()
     pooled = None
     for fold, train, test in fold_sets(rows, roles):
-        fitted = build_model(model, task_type, train, seed, trees).fit(train)
-        scored = predict(fitted, test, task_type).withColumn("fold", F.lit(fold))
+        with stage(timings, "fit_s"):
+            fitted = build_model(model, task_type, train, seed, trees).fit(train)
+        with stage(timings, "predict_s"):
+            scored = cut_lineage(predict(fitted, test, task_type).withColumn("fold", F.lit(fold)))
         pooled = scored if pooled is None else pooled.unionByName(scored)
+    rows.unpersist()
     return pooled
 
 
@@ -205,6 +222,7 @@ def direct_forecast(
     upper: float = 0.95,
     seed: int = 42,
     trees: int = 100,
+    timings: dict | None = None,
 ) -> DataFrame:
     """One regressor per horizon: (id, horizon, truth, prediction, lower, upper) of the test rows.
 
@@ -218,7 +236,8 @@ def direct_forecast(
     for h in range(1, n_horizons + 1):
         rows = every.filter(F.col("horizon") == h)
         train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-        fitted = build_model(model, "regression", train, seed, trees).fit(train)
+        with stage(timings, "fit_s"):
+            fitted = build_model(model, "regression", train, seed, trees).fit(train)
         scored = fitted.transform(test)
         if hasattr(fitted.stages[-1], "trees") and model != "gradient_boosting":
             scored = tree_intervals(fitted.stages[-1], scored, lower, upper)
@@ -230,8 +249,10 @@ def direct_forecast(
             scored = scored.withColumn("__s", spread).withColumns(
                 {"lower": F.col("prediction") - z * F.col("__s"), "upper": F.col("prediction") + z * F.col("__s")}
             )
-        part = scored.select(ID, "horizon", F.col("label").alias("truth"), "prediction", "lower", "upper")
+        with stage(timings, "predict_s"):
+            part = cut_lineage(scored.select(ID, "horizon", F.col("label").alias("truth"), "prediction", "lower", "upper"))
         out = part if out is None else out.unionByName(part)
+    every.unpersist()
     return out
 
 

@@ -214,23 +214,19 @@ class Matrix:
     def _evaluate(self, row, loaded: dict, ready: dict) -> dict:
         c = self.config
         features, n_all = loaded["features"], len(feature_names(loaded["features"]))
-        fit_s = predict_s = 0.0
-        n_test, parts, metrics = 0, None, []
+        n_test, parts, metrics, timings = 0, None, [], {}
         for fold, mask in ready["masks"].items():
             kept = features.join(mask, "feature", "left_semi")
             roles = ready["roles"].filter(F.col("fold") == fold)
-            start = time.perf_counter()
             if c.task_type == "forecasting":
                 scored = models.direct_forecast(
-                    kept, ready["labels"], roles, row["model"], c.lower, c.upper, row["seed"], c.trees
+                    kept, ready["labels"], roles, row["model"], c.lower, c.upper, row["seed"], c.trees, timings
                 )
             else:
-                scored = models.cross_validate(kept, ready["labels"], roles, row["model"], c.task_type, row["seed"], c.trees)
-            fit_s += time.perf_counter() - start
-            start = time.perf_counter()
-            scored = cut_lineage(scored)
+                scored = models.cross_validate(
+                    kept, ready["labels"], roles, row["model"], c.task_type, row["seed"], c.trees, timings
+                )
             n_test += scored.count()
-            predict_s += time.perf_counter() - start
             if c.task_type == "classification":
                 metrics.append(models.accuracy(scored).first().asDict())
             elif c.task_type == "regression":
@@ -239,6 +235,7 @@ class Matrix:
                 metrics.append(models.forecast_metrics(scored).first().asDict())
             parts = scored if parts is None else parts.unionByName(scored)
         k = len(metrics)
+        fit_s, predict_s = timings["fit_s"], timings["predict_s"]
         out = {m: round(sum(r[m] for r in metrics) / k, 4) for m in METRICS[c.task_type]}
         if c.task_type == "regression":
             pooled = models.error_metrics(parts).first()
