@@ -199,3 +199,11 @@ def test_decay_lag(spark, noise):
     d = noise - noise.mean()
     acf = np.correlate(d, d, "full")[len(d) - 1 :]
     assert got == np.flatnonzero(acf <= acf[0] / math.e)[0]
+
+
+def test_other_names_of_the_sets(spark):
+    df = frame(spark, [[1, 2, 3, 5]])
+    for alias, name in (("polars_statistics", "statistics_sample"), ("numpy", "statistics_population"), ("tsfresh_minimal", "minimal")):
+        assert extract(df, alias).exceptAll(extract(df, name)).isEmpty()
+    few = extract(df, "numba_efficient", fft_coefficients=2)
+    assert few.count() == 47 + 8

@@ -36,6 +36,30 @@ EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
     "drift": drift.drift_features,
 }
 
+# Other names under which the sets are known (fixed names).
+ALIASES = {
+    "statistics": "statistics_sample",
+    "polars_statistics": "statistics_sample",
+    "numpy": "statistics_population",
+    "numpy_statistical": "statistics_population",
+    "numba": "compact",
+    "numba_efficient": "compact",
+    "tsfel": "signal_statistical",
+    "tsfresh": "efficient",
+    "tsfresh_minimal": "minimal",
+    "tsfresh_efficient": "efficient",
+    "tsfresh_comprehensive": "comprehensive",
+}
+# Common name of the number of Fourier terms, by the parameter each set calls it.
+FOURIER_PARAMETER = {"compact": "n_fft_coeffs", "efficient": "fft_coefficients", "comprehensive": "fft_coefficients"}
+
+
+def extractor_name(name: str) -> str:
+    name = ALIASES.get(name, name)
+    if name not in EXTRACTORS:
+        raise KeyError(f"unknown extractor {name}")
+    return name
+
 
 def extract(sequences: DataFrame, extractor: str | Callable, channels=None, **params) -> DataFrame:
     """Run a named extractor, or a function (sequences, ...) -> wide or long features.
@@ -43,9 +67,11 @@ def extract(sequences: DataFrame, extractor: str | Callable, channels=None, **pa
     Names are `<channel>__<feature>`; missing and non-finite values are 0.
     """
     if isinstance(extractor, str):
-        if extractor not in EXTRACTORS:
-            raise KeyError(f"unknown extractor {extractor}")
-        fn = EXTRACTORS[extractor]
+        name = extractor_name(extractor)
+        fn = EXTRACTORS[name]
+        terms = params.pop("fft_coefficients", None)
+        if terms is not None and name in FOURIER_PARAMETER:
+            params[FOURIER_PARAMETER[name]] = terms
     else:
         fn = extractor
     ids = id_column(sequences)

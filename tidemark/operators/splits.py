@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.position import ntile_of, with_position
-from tidemark.session import MAX_SMALL_ROWS, limit
+from tidemark.session import MAX_SMALL_ROWS, limit, require_small
 
 GROUP_NAMES = ("subject_id", "group", "entity_id", "subject", "patient_id")
 
@@ -44,6 +44,7 @@ def stratified_k_fold(
     """Every class is dealt to the folds in turn, each class where the one before it stopped."""
     out = _shuffled(df.select(id_col, target), [target], id_col, seed)
     sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("__n"))
+    require_small(sizes, "the list of classes")
     # One row per class: the running offset spreads the remainders of the classes.
     before = Window.orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

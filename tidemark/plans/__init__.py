@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-QUERY_MODULES = ("window_queries", "table_queries", "selection_queries", "compare_queries", "model_queries", "feature_queries", "ingest_queries")
+QUERY_MODULES = ("window_queries", "table_queries", "selection_queries", "compare_queries", "model_queries", "feature_queries", "ingest_queries", "matrix_queries")
 
 
 def load_queries():

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import id_column, null_label
 from tidemark.operators import aggregate, compare, models, selection, splits
-from tidemark.operators.features.extractors import EXTRACTORS, extract
+from tidemark.operators.features.extractors import extract, extractor_name
 from tidemark.operators.model_selection import feature_names
 from tidemark.operators.reshape import horizon_vector
 from tidemark.session import cut_lineage
-from tidemark.sources.store import FeatureStore, extractor_version, parameter_hash
+from tidemark.sources.store import FeatureStore, extractor_version, frame_fingerprint, parameter_hash
 from tidemark.sources.tables import path_exists
 
 ID = "sequence_id"
@@ -86,7 +86,8 @@ def _split_spec(spec) -> tuple[str, dict]:
     if isinstance(spec, str):
         return ("none" if spec == "None" else spec), {}
     params = dict(spec)
-    return params.pop("name"), params
+    name = params.pop("name")
+    return name, {k: v for k, v in (params | params.pop("kwargs", {})).items() if k != "kwargs"}
 
 
 def build_roles(targets: DataFrame, config: MatrixConfig, seed: int) -> DataFrame:
@@ -163,7 +164,8 @@ class Matrix:
 
     def _extract(self, dataset: str, spec, sequences: DataFrame):
         name, params = _split_spec(spec)
-        provenance = {"version": extractor_version(name if name in EXTRACTORS else str(name))}
+        # Other data or another version of the set is another entry of the store.
+        provenance = {"version": extractor_version(extractor_name(name)), "dataset_hash": frame_fingerprint(sequences)}
         start = time.perf_counter()
         features, cached = self.store.get_or_compute(
             dataset, name, lambda: extract(sequences, name, **params), params, **provenance
