@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import id_column, null_label
 from tidemark.operators import aggregate, compare, models, selection, splits
 from tidemark.operators.features.extractors import extract, extractor_name
-from tidemark.operators.model_selection import feature_names
 from tidemark.operators.reshape import horizon_vector
 from tidemark.session import cut_lineage
 from tidemark.sources.store import FeatureStore, extractor_version, frame_fingerprint, parameter_hash
@@ -155,7 +154,11 @@ class Matrix:
             if loaded.get("key") != (name, extractor):
                 sequences, targets = datasets[name]()
                 features, cached, seconds = self._extract(name, json.loads(extractor), sequences)
-                loaded = {"key": (name, extractor), "features": features, "targets": targets, "cached": cached, "s": seconds}
+                # Every fold of every cell reads the targets and the names.
+                loaded = {
+                    "key": (name, extractor), "features": features, "targets": cut_lineage(targets), "cached": cached,
+                    "s": seconds, "n": features.select("feature").distinct().count(),
+                }
             ready = self._select(loaded, json.loads(selector), seed)
             mine = [r for r in todo if (r["dataset"], r["extractor"], r["seed"], r["selector"]) == (name, extractor, seed, selector)]
             for row in mine:
@@ -215,7 +218,7 @@ class Matrix:
 
     def _evaluate(self, row, loaded: dict, ready: dict) -> dict:
         c = self.config
-        features, n_all = loaded["features"], len(feature_names(loaded["features"]))
+        features, n_all = loaded["features"], loaded["n"]
         n_test, parts, metrics, timings = 0, None, [], {}
         for fold, mask in ready["masks"].items():
             kept = features.join(mask, "feature", "left_semi")
