@@ -16,10 +16,16 @@ def run_matrix(spark, sf_dir, times: int = 1, **settings):
     folder = scratch_folder(spark)
     store = FeatureStore(spark, f"{folder}/store")
     config = M.MatrixConfig(n_splits=2, trees=5, **settings)
-    load = forecasting_windows if config.task_type == "forecasting" else event_windows
+
+    def load():
+        if config.task_type == "forecasting":
+            return forecasting_windows(spark, sf_dir)
+        # The type of the last event as class: any half of the windows has several types.
+        return event_windows(spark, sf_dir, "code", "last")
+
     results = None
     for _ in range(times):
-        results = M.Matrix(spark, config, folder, store).run({"events": lambda: load(spark, sf_dir)})
+        results = M.Matrix(spark, config, folder, store).run({"events": load})
     return results
 
 
