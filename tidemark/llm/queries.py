@@ -73,9 +73,15 @@ def _draw(shards: int) -> str:
 @query(
     "op7_rendezvous_shards",
     f"""
-    WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size, text FROM documents),
+    WITH tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+                             ORDER BY i) AS t FROM range(256) AS r(i)),
+    d AS (SELECT row_number() OVER () AS row_id, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+                 xor(4294967295::BIGINT, list_reduce(
+                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT),
+                     lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT)) AS text_crc32
+          FROM documents, tab),
     x AS (SELECT row_id, {_draw(40)} AS shard, {_draw(41)} AS grown_shard FROM d, range(41) AS r(s) GROUP BY row_id)
-    SELECT d.doc_id, d.size, 'key' AS law, x.shard, x.grown_shard,
+    SELECT d.doc_id, d.size, d.text_crc32, 'key' AS law, x.shard, x.grown_shard,
            row_number() OVER (PARTITION BY x.shard ORDER BY ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT) - 1 AS slot
     FROM d JOIN x USING (row_id)
     """,
