@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.sharding import assign_shards
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.url_filters import judge_urls
 from tidemark.plans.registry import table
 
@@ -112,3 +113,9 @@ def _rule_sql() -> str:
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_simhash_anchors")
+def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, shingle=3, max_bits=3, columns=["doc_id"])
