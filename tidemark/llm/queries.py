@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import assign_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.url_filters import judge_urls
@@ -119,3 +120,9 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, shingle=3, max_bits=3, columns=["doc_id"])
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

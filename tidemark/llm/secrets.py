@@ -1,0 +1,167 @@
+"""Secret scans: base patterns, and assignments lexed into name-literal pairs with constants propagated."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import packed, quoted, unpacked
+
+# The base patterns, the characters they need and the order of the kinds.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+ASSIGN_LEAST, ACCESS_LEAST = 6, 20
+KINDS = ("assign", "access", "hex", "literal")
+
+# One assignment: a name (bare, quoted, dotted or the key in brackets), an operator, and what follows it.
+TARGET = re.compile(
+    r"""(?<![\w.$-])(?P<quote>["'`]?)(?P<name>[A-Za-z_$][\w.$-]*+)(?P=quote)(?:\[\s*["'](?P<key>[^"'\]\n]++)["']\s*\])?"""
+    r"""[ \t]*+(?::=|=>|=(?![=~>])|:(?![/:=]))[ \t]*+"""
+)
+TERM = re.compile(
+    r"""(?P<string>"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|`(?P<back>[^`\n]*+)`)"""
+    r"""|(?P<bare>[A-Za-z0-9_$+/.=~@%^&*!-]++)"""
+)
+PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|~)[ \t]*+(?=[\"'`A-Za-z_$])")
+NAME = re.compile(r"[A-Za-z_$][\w.$-]*")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|1234567\d*|none|null|true|false|example\w*|changeme|your\w*|todo|test|dummy|\$\{?\w+\}?|%\w+%|<\w+>)$")
+
+# Weights of the words in a target's name; a pair counts where both words are there.
+NAME_WEIGHTS = {
+    ("password",): 3.0, ("passwd",): 3.0, ("passphrase",): 3.0, ("pwd",): 3.0, ("secret",): 3.0, ("token",): 3.0, ("apikey",): 3.0,
+    ("credential",): 2.5, ("credentials",): 2.5, ("bearer",): 2.5, ("pass",): 2.0, ("auth",): 1.5, ("authorization",): 2.5,
+    ("api", "key"): 3.0, ("access", "key"): 3.0, ("private", "key"): 3.0, ("signing", "key"): 3.0, ("encryption", "key"): 3.0,
+}
+THRESHOLD = 5.0
+
+
+def name_score(name: str) -> float:
+    words = {p.lower() for p in PARTS.findall(name)}
+    return max((w for need, w in NAME_WEIGHTS.items() if words.issuperset(need)), default=0.0)
+
+
+def literal_score(value: str) -> float:
+    if len(value) < 6 or PLACEHOLDER.match(value):
+        return 0.0
+    counts = Counter(value)
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    score = 1.0 + (entropy >= 2.5) + (entropy >= 3.2) + mixed + (len(value) >= 16)
+    return score - 2.0 * any(c.isspace() for c in value)
+
+
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of the lines with an assignment character."""
+    at, n = 0, len(text)
+    while at < n:
+        nearest = [i for i in (text.find("=", at), text.find(":", at)) if i >= 0]
+        if not nearest:
+            return
+        start = text.rfind("\n", at, min(nearest)) + 1 or at
+        end = text.find("\n", min(nearest))
+        end = n if end < 0 else end
+        yield start, end
+        at = end + 1
+
+
+def _value(text: str, at: int, end: int, known: dict) -> tuple[str, int, int] | None:
+    """The right side at a place: its string and the span that states it. That is where its own literals stand, or where
+    the constant it names was given its literal."""
+    parts, own, named = [], [], None
+    while (m := TERM.match(text, at, end)) is not None:
+        kind = next(g for g in ("double", "single", "back", "bare") if m[g] is not None)
+        part = m[kind]
+        if kind == "bare" and part in known:
+            part, *named = known[part]
+        elif kind == "bare" and parts and NAME.fullmatch(part):
+            break
+        else:
+            own.append(m.span(kind))
+        parts.append(part)
+        plus = PLUS.match(text, m.end(), end)
+        if plus is None:
+            break
+        at = plus.end()
+    if not parts:
+        return None
+    start, stop = (own[0][0], own[-1][1]) if own else named
+    return "".join(parts), start, stop
+
+
+def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, name, score) of the literals that sensitive targets get, directly or through constants."""
+    known: dict[str, tuple[str, int, int]] = {}
+    found = {}
+    for start, end in _lines(text):
+        at = start
+        while (m := TARGET.search(text, at, end)) is not None:
+            at = m.end()
+            value = _value(text, at, end, known)
+            if value is None:
+                continue
+            string, a, b = value
+            name = m["key"] or m["name"]
+            known[name] = (string, a, b)
+            weight = name_score(name)
+            if weight > 0 and a <= b:
+                score = weight + literal_score(string)
+                if literal_score(string) > 0 and score >= THRESHOLD and score > found.get((a, b), ("", 0.0))[1]:
+                    found[a, b] = (name, score)
+    return [(a, b, name, score) for (a, b), (name, score) in found.items()]
+
+
+def scan_text(text: str | None) -> dict:
+    text = text or ""
+    spans = []
+    if ":" in text or "=" in text:
+        spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+    spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
+    spans += [(m.start(), 2, m.end()) for m in HEX_RUN.finditer(text)]
+    count = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
+    literals = literal_spans(text)
+    every = sorted(spans + [(a, 3, b) for a, b, _, _ in literals])
+    said = lambda rows: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in rows)
+    return {
+        "n_assign": count[0],
+        "n_access": count[1],
+        "n_hex": count[2],
+        "base_sha256": hashlib.sha256(said(sorted(spans)).encode()).hexdigest(),
+        "spans": said(every),
+        "literals": [{"start": a, "end": b, "name": n, "score": s} for a, b, n, s in sorted(literals)],
+    }
+
+
+FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, literals array<struct<start: long, end: long, name: string, score: double>>"
+
+
+def scan_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """Every row with the counts of the base kinds, base_sha256, spans (kind:start:end by start, code points, end
+    exclusive) and literals, the name-literal pairs that the lexer adds, with target names and scores.
+
+    Lines with an assignment are lexed into targets and values: quoted strings, bare values and their concatenation. A
+    name that was given a literal stands for it in later values, so a secret is found where its text is, also if the
+    sensitive name only gets it by reference. A literal counts if the words of the name and the look of the literal
+    together reach THRESHOLD.
+
+    Null and empty texts have no spans; repeated rows are scanned each; an empty table gives an empty result; columns
+    named as a result's are replaced. Whole texts are scanned, whatever their length.
+    """
+
+    @F.pandas_udf(FOUND)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([scan_text(t) for t in texts], columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "literals"])
+
+    names = docs.columns
+    rows = docs.select(packed(docs), found(quoted(text)).alias("_found"))
+    new = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "literals")
+    return unpacked(rows, names, {c: F.col("_found").getField(c) for c in new})
