@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.html_text import extract_main_text
@@ -11,6 +12,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import assign_shards
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.token_shards import new_shard_path, read_token_shards, write_token_shards
 from tidemark.llm.url_filters import judge_urls
 from tidemark.plans.registry import table
 
@@ -133,3 +135,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_token_shards")
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_shard_path(spark)
+    write_token_shards(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_shards(spark, path)
