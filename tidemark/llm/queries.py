@@ -13,6 +13,7 @@ from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import assign_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_shards import new_shard_path, read_token_shards, write_token_shards
+from tidemark.llm.toxicity import held_out, score_toxicity, train_toxicity
 from tidemark.llm.url_filters import judge_urls
 from tidemark.plans.registry import table
 
@@ -143,3 +144,11 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shard_path(spark)
     write_token_shards(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_shards(spark, path)
+
+
+@query("op6_toxicity_cnn")
+def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", "predicted", "threshold", "rejected")
