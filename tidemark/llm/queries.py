@@ -17,6 +17,8 @@ from tidemark.llm.toxicity import held_out, score_toxicity, train_toxicity
 from tidemark.llm.url_filters import judge_urls
 from tidemark.plans.registry import table
 
+from tidemark.llm.vector_search import search_vectors
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -152,3 +154,20 @@ def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", "predicted", "threshold", "rejected")
+
+
+@query(
+    "op8_vector_search",
+    """
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    d AS (SELECT q.vec_id AS query_id, c.vec_id,
+                 sqrt(list_reduce(list_transform(list_zip(c.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+          FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank FROM d)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_vectors(table(spark, sf_dir, "embeddings"), k=10, every=100)
