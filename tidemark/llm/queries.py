@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import find_contamination
 from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.secrets import scan_secrets
+from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.sharding import assign_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_shards import new_shard_path, read_token_shards, write_token_shards
@@ -171,3 +173,10 @@ def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_vectors(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query("op1_latent_decontamination")
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.cosine", "m.lcs", "m.answer")
