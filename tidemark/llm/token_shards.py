@@ -26,58 +26,160 @@ LEAST_PAIRS, ROUND_RULES, ROUNDS = 16, 4096, 8
 # Pieces of text that a worker remembers with their ids.
 PIECES = 1 << 20
 
-# Characters for which the tokenizer's own splitting into pieces is stated by PIECE; other texts are encoded as a whole.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
-PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-OTHER = re.compile(rf"[^\t-\r\x20-\x7e¡-©«-±´¶-¸»¿{_LETTERS}]|<\|")
-
-
-class Encoder(dict):
-    """Piece of text -> its number. Each different piece is encoded once by the tokenizer, which never joins pieces."""
+# Texts of these characters are cut into pieces here, as the byte-level tokenizer itself cuts them: letters, digits and other
+# characters in runs, each with one space before it, and white space. Other texts are encoded as a whole.
+# Apostrophes, control characters, letters beyond U+017F and what may be a special token make a text other.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(9, 14), *range(32, 39), *range(40, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = True
+# A space at which a piece always begins, and the characters that are worked on at a time.
+BETWEEN = re.compile(r"(?<=[^\s]) (?=[^\s])")
+STRETCH = 1 << 21
+_SPACE, _WHITE, _END = 2, 3, 5
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+_CLASS[48:58] = 1
+_CLASS[9:14] = _WHITE
+_CLASS[32] = _SPACE
+_CLASS[0] = _END  # stands between texts
+# Hashing of pieces: a random 64-bit number for each byte times a power of an odd number for each place.
+_BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts with a zero byte after each; a zero byte is a piece of its own."""
+    kind = _CLASS[data]
+    white = (kind == _SPACE) | (kind == _WHITE)
+    starts = np.empty(len(data), bool)
+    starts[0] = True
+    changed = kind[1:] != kind[:-1]
+    # A run begins where its kind changes, unless a space before it belongs to it.
+    starts[1:] = (changed | (kind[1:] == _END)) & ~white[1:] & ((kind[:-1] != _SPACE) | (kind[1:] == _END))
+    # White space begins a piece, and so does the last of it before something else.
+    starts[1:] |= white[1:] & ~white[:-1]
+    starts[:-1] |= white[:-1] & ~white[1:] & (kind[1:] != _END)
+    return np.flatnonzero(starts)
+
+
+def plain_texts(texts: list[str]) -> list[bool]:
+    """Whether each text has only the characters that are cut into pieces here."""
+    encoded = [t.encode() for t in texts]
+    ends = np.cumsum([len(t) for t in encoded])
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    if not len(data):
+        return [True] * len(texts)
+    odd = ~_PLAIN[data]
+    second = data[1:]
+    # The two signs among the letters of one lead byte, and the beginning of a special token.
+    odd[1:] |= (data[:-1] == 0xC3) & ((second == 0x97) | (second == 0xB7)) | (data[:-1] == 0x3C) & (second == 0x7C)
+    found = np.ones(len(texts), bool)
+    found[np.searchsorted(ends, np.flatnonzero(odd), "right")] = False
+    return found.tolist()
+
+
+def _byte_letters() -> dict[int, str]:
+    """Character -> the characters that the byte-level vocabulary has for its bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {b: chr(b) for b in shown}
+    for b in range(256):
+        names.setdefault(b, chr(256 + len(names) - len(shown)))
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0x180)}
+
+
+class Encoder:
+    """Encodes texts by piece: a different piece is encoded once, by the tokenizer's model, which never joins pieces."""
 
     def __init__(self, path: str, by_piece: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.by_piece = Tokenizer.from_file(path), by_piece
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.letters = _byte_letters()
+        self.powers = self.inverse = np.empty(0, np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.waiting: list[str] = []
+        self.known: dict[int, int] = {}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.waiting.append(piece)
-        return number
+    def _learn(self, pieces: list[bytes]) -> None:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(p.decode().translate(letters))] for p in pieces]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        joined = ("\0".join(texts) + "\0").encode()
+        data = np.frombuffer(joined, np.uint8)
+        if len(self.powers) <= len(data):
+            n = 2 * len(data) + 1
+            self.powers, self.inverse = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        starts = piece_starts(data)
+        ends = np.append(starts[1:], len(data))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.powers[: len(data)], dtype=np.uint64)))
+        hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
+        real = data[starts] != 0
+        different, first, which = np.unique(hashes[real], return_index=True, return_inverse=True)
+        numbers = list(map(self.known.get, different.tolist()))
+        new = [i for i, n in enumerate(numbers) if n is None]
+        if new:
+            begin, end = starts[real][first[new]].tolist(), ends[real][first[new]].tolist()
+            for i, h in zip(new, different[new].tolist()):
+                numbers[i] = self.known[h] = len(self.known)
+            self._learn([joined[x:y] for x, y in zip(begin, end)])
+        numbers = np.array(numbers, np.int64)
+        numbers = numbers[which]
+        ids = _gather(self.flat, self.starts, self.lengths, numbers)
+        totals = np.zeros(len(starts) + 1, np.int64)
+        totals[1:][real] = self.lengths[numbers]
+        totals = np.cumsum(totals)
+        closing = np.flatnonzero(~real)
+        return np.split(ids, totals[closing][:-1])
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as encoding the whole text gives them."""
-        if len(self) > PIECES:
+        """The ids of each text, as encoding the whole text gives them. Long texts are taken in stretches that end where
+        pieces end."""
+        if len(self.known) > PIECES:
             self.forget()
-        numbers = []
-        for text in texts:
-            if not self.by_piece or OTHER.search(text):
-                numbers.append(None)
-            else:
-                pieces = PIECE.findall(text)
-                numbers.append(np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces)))
-        if self.waiting:
-            ids = [e.ids for e in self.tokenizer.encode_batch(self.waiting, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
-            self.waiting = []
-        return [
-            _gather(self.flat, self.starts, self.lengths, n)
-            if n is not None
-            else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t, n in zip(texts, numbers)
-        ]
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[str] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, ids in zip(owners, self._by_pieces(waiting) if waiting else []):
+                found[i].append(ids)
+            waiting.clear()
+            owners.clear()
+            size = 0
+
+        plain = plain_texts(texts) if self.by_piece else [False] * len(texts)
+        for i, text in enumerate(texts):
+            if not plain[i]:
+                found[i].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            at = 0
+            while at < len(text) or not at:
+                cut = BETWEEN.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+                end = cut.start() if cut else len(text)
+                waiting.append(text[at:end])
+                owners.append(i)
+                size += end - at
+                at = max(end, 1)
+                if size >= STRETCH:
+                    flush()
+        flush()
+        return [np.concatenate(x) if len(x) > 1 else x[0] for x in found]
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -85,7 +187,10 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers:
     own = lengths[numbers]
     ends = np.cumsum(own)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[numbers] - (ends - own), own) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    places = np.repeat((starts[numbers] - (ends - own)).astype(kind), own)
+    places += np.arange(total, dtype=kind)
+    return flat[places]
 
 
 def repair(ids: np.ndarray, doc_starts: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,15 +220,18 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, vocabulary: int) -> tuple[np
         if len(often) > room:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
         pairs = ordered[at[often]]
-        found = np.searchsorted(pairs, keys)
-        found[found == len(pairs)] = 0
-        hit = (pairs[found] == keys) & ~first[1:]
-        places = np.flatnonzero(hit)
+        # A small table of hashes leaves out most places before the exact look-up.
+        likely = np.zeros(1 << 16, bool)
+        likely[_slot(pairs, shift)] = True
+        places = np.flatnonzero(likely[_slot(keys, shift)] & ~first[1:])
+        found = np.minimum(np.searchsorted(pairs, keys[places]), len(pairs) - 1)
+        hit = pairs[found] == keys[places]
+        places, found = places[hit], found[hit]
         # In a run of neighbouring places the first, third, ... are taken.
         begins = np.concatenate(([True], places[1:] != places[:-1] + 1))
         run = places - places[begins][np.cumsum(begins) - 1]
-        places = places[run % 2 == 0]
-        s[places] = (vocabulary + len(rules) + found[places]).astype(kind)
+        places, found = places[run % 2 == 0], found[run % 2 == 0]
+        s[places] = (vocabulary + len(rules) + found).astype(kind)
         rules = np.concatenate((rules, np.stack((pairs >> kind(shift), pairs & kind((1 << shift) - 1)), 1)))
         keep = np.ones(len(s), bool)
         keep[places + 1] = False
@@ -132,6 +240,10 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, vocabulary: int) -> tuple[np
     return s.astype(small), rules.astype(small), np.flatnonzero(first)
 
 
+def _slot(keys: np.ndarray, shift: int) -> np.ndarray:
+    return (keys * keys.dtype.type(0x9E3779B1)) >> keys.dtype.type(2 * shift - 16)
+
+
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     """How many ids each rule stands for."""
     lengths = []
@@ -245,8 +357,8 @@ def write_token_shards(
             return pa.RecordBatch.from_pylist([row], BLOCK)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 for name, found in zip(some.column("doc_id").to_pylist(), encoder.encoded(some.column("text").to_pylist())):
                     ids.append(found if end_id is None else np.append(found, np.uint32(end_id)))
                     names.append(name)
