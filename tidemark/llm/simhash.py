@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import quoted
+from tidemark.llm.common import ROW, quoted, unpacked
 from tidemark.llm.components import components
 from tidemark.session import cut_lineage
 
@@ -22,34 +22,44 @@ BLOCK_ROWS = 1024
 FOLD_LINKS = 1 << 20
 
 
-def fingerprint_of(text: str | None, shingle: int) -> int:
-    """64 bits, as a signed number: a bit is 1 if set in over half of the XXH64 hashes of the word shingles."""
+def _majority(digests: np.ndarray) -> np.ndarray:
+    """Digests as rows of bytes -> the bytes whose bits are 1 where over half of the digests have them."""
+    ones = np.zeros(digests.shape[1] * 8, np.int64)
+    for at in range(0, len(digests), 65_536):
+        ones += np.unpackbits(digests[at : at + 65_536], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(digests), bitorder="little")
+
+
+def _shingles(words: list[bytes], n: int) -> list[bytes]:
+    joined = b" ".join(words)
+    if len(words) <= n:
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [joined[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist())]
+
+
+def fingerprint_of(text: str | None, shingle: int, wide: int = 0) -> tuple[int, int, int]:
+    """64 bits of the shingles, as a signed number: a bit is 1 if set in over half of their XXH64 hashes. With `wide`,
+    128 bits more, of the different shingles of that many words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return 0, 0, 0
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        last = len(words) - shingle + 1
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[shingle - 1 :].tolist())]
-    values = np.array(hashes, np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(values), 65_536):
-        part = np.ascontiguousarray(values[at : at + 65_536].astype("<u8"))
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(values), bitorder="little")
-    return int(bits.view("<i8")[0])
-
-
-def fingerprints(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("long")
-    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    hashes = np.array([digest(x, SEED) for x in _shingles(words, shingle)], "<u8")
+    fp = int(_majority(hashes.view(np.uint8).reshape(-1, 8)).view("<i8")[0])
+    if not wide:
+        return fp, 0, 0
+    digests = b"".join(map(xxhash.xxh3_128_digest, set(_shingles(words, wide))))
+    w1, w2 = _majority(np.frombuffer(digests, np.uint8).reshape(-1, 16)).view("<i8").tolist()
+    return fp, w1, w2
+
+
+def fingerprints(text: Column, shingle: int, wide: int = 0) -> Column:
+    @F.pandas_udf("fp long, w1 long, w2 long")
+    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([fingerprint_of(t, shingle) for t in texts], dtype="int64")
+            yield pd.DataFrame([fingerprint_of(t, shingle, wide) for t in texts], columns=["fp", "w1", "w2"]).astype("int64")
 
     return simhash(text)
 
@@ -87,22 +97,23 @@ def _anchors_of(fp: str, index: int, shift: int, width: int) -> str:
 
 
 def at_anchors(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(fp) -> (anchor, visits, fp), one row for each anchor at which a fingerprint has to be."""
+    """Fingerprints with anchor and visits, one row for each anchor at which one has to be."""
     lists = [_anchors_of("fp", i, shift, width) for i, (shift, width) in enumerate(blocks_for(max_bits))]
-    rows = fps.select("fp", F.explode(F.expr(f"concat({', '.join(lists)})")).alias("at"))
-    return rows.select(F.col("at.anchor").alias("anchor"), F.col("at.visits").alias("visits"), "fp")
+    rows = fps.select("*", F.explode(F.expr(f"concat({', '.join(lists)})")).alias("at"))
+    return rows.select(F.col("at.anchor").alias("anchor"), F.col("at.visits").alias("visits"), *fps.columns)
 
 
 def _tiles(rows: DataFrame, block_rows: int) -> DataFrame:
-    """(anchor, tile, visits, fp): a crowded anchor is cut into blocks by hash, and each pair of blocks is a tile."""
+    """The rows with tile: a crowded anchor is cut into blocks by hash, and each pair of blocks is a tile."""
+    names = rows.columns
     crowded = rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
     crowded = cut_lineage(crowded.select("anchor", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")))
     rows = rows.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp", "visits"), F.col("blocks").cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("node", "visits"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).select("anchor", "visits", "fp", "blocks", "own", other.alias("other"))
+    rows = rows.withColumn("own", own).select(*names, "blocks", "own", other.alias("other"))
     tile = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
-    return rows.select("anchor", tile.alias("tile"), "visits", "fp")
+    return rows.select(*names, tile.alias("tile"))
 
 
 def _fold(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,9 +133,9 @@ def _fold(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def _links(group: np.ndarray, visits: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside the groups. Rows are sorted by group, homes before visitors; a home is
-    compared with all rows after it, visitors not with each other."""
+def _links(group: np.ndarray, visits: np.ndarray, fp: np.ndarray, max_bits: int, wide: list[np.ndarray], wide_bits: int):
+    """A spanning forest of the links inside the groups, as two lists of places. Rows are sorted by group, homes before
+    visitors; a home is compared with all rows after it, visitors not with each other."""
     n = len(group)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
@@ -132,11 +143,12 @@ def _links(group: np.ndarray, visits: np.ndarray, fp: np.ndarray, max_bits: int)
     homes = np.flatnonzero(~visits & (ends - np.arange(n) > 1))
     found, held, lag = [], 0, 1
     while len(homes):
-        near = np.bitwise_count(fp[homes] ^ fp[homes + lag]) <= max_bits
-        if near.any():
-            found.append(homes[near])
-            found.append(homes[near] + lag)
-            held += len(found[-1])
+        near = homes[np.bitwise_count(fp[homes] ^ fp[homes + lag]) <= max_bits]
+        if len(near) and wide:
+            near = near[sum(np.bitwise_count(w[near] ^ w[near + lag]) for w in wide) <= wide_bits]
+        if len(near):
+            found += [near, near + lag]
+            held += len(near)
         if held > FOLD_LINKS:
             labels = _fold(labels, np.concatenate(found[::2]), np.concatenate(found[1::2]))
             found, held = [], 0
@@ -145,11 +157,12 @@ def _links(group: np.ndarray, visits: np.ndarray, fp: np.ndarray, max_bits: int)
     if found:
         labels = _fold(labels, np.concatenate(found[::2]), np.concatenate(found[1::2]))
     members = np.flatnonzero(labels != np.arange(n))
-    return fp[members], fp[labels[members]]
+    return members, labels[members]
 
 
-def linked_fingerprints(fps: DataFrame, max_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(fp), all different -> (a, b): links of at most `max_bits` differing bits, enough of them to join every class."""
+def linked_fingerprints(fps: DataFrame, max_bits: int, wide_bits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(node, fp and with `wide_bits` w1, w2), nodes all different -> (a, b): links between nodes of at most so many
+    differing bits, enough of them to join every class."""
     rows = _tiles(at_anchors(fps, max_bits), block_rows)
     rows = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "visits")
 
@@ -171,22 +184,32 @@ def linked_fingerprints(fps: DataFrame, max_bits: int, block_rows: int = BLOCK_R
         anchor, tile = (table.column(c).to_numpy() for c in ("anchor", "tile"))
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])))
         visits = table.column("visits").to_numpy(zero_copy_only=False).astype(bool)
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        a, b = _links(np.cumsum(new), visits, fp, max_bits)
+        fp, *wide = (table.column(c).to_numpy().view(np.uint64) for c in (("fp",) if wide_bits is None else ("fp", "w1", "w2")))
+        a, b = _links(np.cumsum(new), visits, fp, max_bits, wide, wide_bits or 0)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
+            node = table.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]) for x in (a, b)], names=["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def fingerprint_classes(rows: DataFrame, max_bits: int, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) -> (fp, root, component_id): the smallest fingerprint and the smallest doc_id reachable over links."""
-    fps = cut_lineage(rows.groupBy("fp").agg(F.min(quoted(doc_id)).alias("first")))
-    roots = components(linked_fingerprints(fps.select("fp"), max_bits))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def fingerprint_classes(rows: DataFrame, max_bits: int, wide_bits: int | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, node, fp, w1, w2) -> (node, root, component_id): the smallest node and the smallest doc_id reachable over
+    links."""
+    signature = ["fp"] if wide_bits is None else ["fp", "w1", "w2"]
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min(quoted(doc_id)).alias("first"), *[F.first(c).alias(c) for c in signature]))
+    roots = components(linked_fingerprints(nodes.select("node", *signature), max_bits, wide_bits))
+    named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = cut_lineage(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    return named.join(least, "root").select("node", "root", "component_id")
+
+
+def _signed(docs: DataFrame, columns: Sequence[str], shingle: int, wide: tuple[int, int] | None, text: str) -> DataFrame:
+    """The columns as one struct, with node, fp, w1 and w2; written once, as the texts are hashed in Python."""
+    rows = docs.select(F.struct(*[quoted(c).alias(c) for c in columns]).alias(ROW), fingerprints(quoted(text), shingle, wide[0] if wide else 0).alias("s"))
+    node = F.xxhash64("s.fp", "s.w1", "s.w2") if wide else F.col("s.fp")
+    return cut_lineage(rows.select(ROW, node.alias("node"), "s.fp", "s.w1", "s.w2"))
 
 
 def near_duplicates(
@@ -194,12 +217,14 @@ def near_duplicates(
     *,
     shingle: int = 3,
     max_bits: int = 3,
+    wide: tuple[int, int] | None = None,
     text: str = "text",
     doc_id: str = "doc_id",
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """The given columns (default: all) with fingerprint (16 hex digits) and component_id, the smallest doc_id reachable
-    over links between fingerprints of at most `max_bits` differing bits.
+    over links between fingerprints of at most `max_bits` differing bits. With `wide` = (words, bits), a link also needs
+    at most `bits` differing bits of a 128-bit fingerprint of the different shingles of so many words.
 
     Equal fingerprints are one row from the start, so copies cost no comparison. The 64 bits are cut into blocks so that
     a link differs in at most one bit of some block; per block, fingerprints go to the anchors of a covering code and are
@@ -209,27 +234,38 @@ def near_duplicates(
     one shingle; a null doc_id is no component's name unless no member has another; repeated rows are members each; an
     empty table gives an empty result; columns named fingerprint or component_id are replaced.
     """
-    docs = docs.withColumn("_fp", fingerprints(quoted(text), shingle))
-    names = [c for c in (columns or docs.columns) if c.lower() not in ("fingerprint", "component_id", "_fp")]
-    rows = cut_lineage(docs.select(*dict.fromkeys([*names, doc_id]), "_fp"))
-    classes = fingerprint_classes(rows.select(quoted(doc_id), F.col("_fp").alias("fp")), max_bits, doc_id)
-    rows = rows.join(classes.select(F.col("fp").alias("_fp"), "component_id"), "_fp")
-    return rows.select(*[quoted(c) for c in names], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = list(columns or docs.columns)
+    rows = _signed(docs, dict.fromkeys([*names, doc_id]), shingle, wide, text)
+    classes = fingerprint_classes(_narrow(rows, doc_id), max_bits, wide[1] if wide else None, "_id")
+    rows = rows.join(classes.drop("root"), "node")
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return unpacked(rows, names, {"fingerprint": shown, "component_id": F.col("component_id")})
 
 
-def first_of_each(docs: DataFrame, *, shingle: int = 3, max_bits: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with the columns of the input. Rows equal in doc_id and
-    fingerprint are one; nulls and empty tables as in `near_duplicates`."""
+def first_of_each(
+    docs: DataFrame,
+    *,
+    shingle: int = 3,
+    max_bits: int = 3,
+    wide: tuple[int, int] | None = None,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """One row of each component of `near_duplicates`, that of the smallest doc_id, with the columns of the input. Rows of
+    one id and fingerprint are one; of several fingerprints of one id the least stays, and so it does in a component
+    without any id."""
     names = docs.columns
-    rows = cut_lineage(docs.withColumn("_fp", fingerprints(quoted(text), shingle)))
-    narrow = rows.select(quoted(doc_id).alias("_id"), F.col("_fp").alias("fp"))
-    classes = fingerprint_classes(narrow, max_bits, "_id")
-    first = narrow.groupBy("fp").agg(F.min("_id").alias("_id"))
-    kept = classes.join(first, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    # Of several fingerprints of one id the least stays; classes without any id keep one row each.
-    named = kept.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("fp").alias("_keep"))
-    nameless = kept.where("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("_keep"))
-    kept = cut_lineage(named.union(nameless.select(F.lit(None).cast("long"), "_keep")))
-    same = (F.col("_fp") == F.col("_keep")) & quoted(doc_id).eqNullSafe(F.col("component_id"))
-    rows = rows.join(kept, same, "left_semi")
-    return rows.dropDuplicates(["_fp", doc_id]).select(*[quoted(c) for c in names])
+    rows = _signed(docs, names, shingle, wide, text)
+    narrow = _narrow(rows, doc_id)
+    classes = fingerprint_classes(narrow, max_bits, wide[1] if wide else None, "_id")
+    first = narrow.groupBy("node").agg(F.min("_id").alias("_id"))
+    kept = classes.join(first, "node").where(F.col("_id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy("root").agg(F.min("node").alias("_keep"), F.first("component_id").alias("_first"))
+    kept = cut_lineage(kept.select("_keep", "_first"))
+    own = F.col(ROW).getField(doc_id)
+    rows = rows.withColumn("_id", own).join(kept, (F.col("node") == F.col("_keep")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    return unpacked(rows.dropDuplicates(["node", "_id"]), names, {})
+
+
+def _narrow(rows: DataFrame, doc_id: str) -> DataFrame:
+    return rows.select(F.col(ROW).getField(doc_id).alias("_id"), "node", "fp", "w1", "w2")
