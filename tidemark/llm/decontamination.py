@@ -14,25 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.byte_words import hashed_words, words_of
 from tidemark.llm.common import packed, quoted, unpacked
 
 # Words from one passage to the next; a passage has twice as many.
 STRIDE = 24
 # Rows of the corpus part and of the benchmark part of the sketch, and dimensions kept.
-CORPUS_ROWS, BENCHMARK_ROWS, DIMENSIONS = 64, 192, 128
-# Terms in more than this share of the passages weigh nothing; passages with fewer weighing terms are not searched.
+CORPUS_ROWS, BENCHMARK_ROWS, DIMENSIONS = 64, 256, 128
+# Terms in more than this share of the passages weigh nothing (save in items that have few others); passages with fewer weighing terms are not searched.
 COMMON, LEAST_TERMS = 0.1, 3
 # Cosine of a candidate; share of an item that its longest common subsequence has to cover, alone or with its answer.
-COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.3, 0.8, 0.6, 0.8
+COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.6, 0.8, 0.6, 0.8
 # What may be broadcast: benchmark items and terms (about 512 bytes each).
 MAX_ITEMS, MAX_TERMS = 100_000, 100_000
 
-WORD = re.compile(r"[^\W_]+")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-
+# Characters worked on at a time.
+STRETCH = 1 << 20
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def answer_of(text: str) -> list[str]:
@@ -53,24 +52,31 @@ def masks(terms: list[int]) -> tuple[dict[int, int], int]:
     return found, len(terms)
 
 
-def common_subsequence(item: tuple[dict[int, int], int], region: list[int]) -> float:
-    """Length of the longest common subsequence as a share of the item; a bit stands for a place of the item."""
+def common_subsequence(item: tuple[dict[int, int], int], region: list[int], least: float = 0.0) -> float:
+    """Length of the longest common subsequence as a share of the item; a bit stands for a place of the item. 0 if the
+    item's words in the region, in whatever order, are less than `least` of it."""
     places, n = item
     if not n:
         return 0.0
+    shared = [places[t] for t in region if t in places]
+    there = 0
+    for m in shared:
+        there |= m
+    if there.bit_count() < least * n:
+        return 0.0
     full = (1 << n) - 1
     left = full
-    for t in region:
-        m = places.get(t)
-        if m is not None:
-            u = left & m
-            left = ((left + u) | (left - u)) & full
+    for m in shared:
+        u = left & m
+        left = ((left + u) | (left - u)) & full
     return 1 - left.bit_count() / n
 
 
 @dataclass
 class Benchmark:
-    terms: dict[str, int]
+    terms: int
+    hashes: np.ndarray  # of the terms, sorted
+    numbers: np.ndarray  # of the terms in that order
     item_ids: list[int]
     items: list[tuple[dict[int, int], int]]
     answers: list[tuple[dict[int, int], int]]
@@ -90,38 +96,62 @@ class Benchmark:
             raise ValueError(f"more than {MAX_TERMS} terms in the benchmark")
         numbers = [[terms[w] for w in words_of(t)] for _, t in rows]
         answers = [[terms[w] for w in answer_of(t)] for _, t in rows]
-        return cls(terms, [r[0] for r in rows], [masks(n) for n in numbers], [masks(a) for a in answers], [np.array(n) for n in numbers])
-
-
-def _numbers(text: str | None, terms: dict[str, int]) -> np.ndarray:
-    words = words_of(text)
-    get = terms.get
-    return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-
-def _passage_statistics(docs: DataFrame, terms: dict[str, int], text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        hashes, _ = hashed_words(list(terms))
+        order = np.argsort(hashes)
+        return cls(len(terms), hashes[order], order, [r[0] for r in rows], [masks(n) for n in numbers], [masks(a) for a in answers], [np.array(n) for n in numbers])
+
+
+    def stretches(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Texts by the stretch: the first one's place, the terms of all their words (-1: not in the benchmark) and the
+        number of words of each."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (size < STRETCH or end == at):
+                size += len(texts[end] or "")
+                end += 1
+            hashes, counts = hashed_words(texts[at:end])
+            if len(self.hashes):
+                place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+                yield at, np.where(self.hashes[place] == hashes, self.numbers[place], -1), counts
+            at = end
+
+
+def _blocks(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts one after the other: the block of every word, counted through, the text of every block, and whether a
+    passage begins there. Each text has one more block than its words fill, so that passages end with it."""
+    blocks = (counts + STRIDE - 1) // STRIDE + 1
+    text = np.repeat(np.arange(len(counts)), counts)
+    starts, first = np.cumsum(counts) - counts, np.cumsum(blocks) - blocks
+    block = first[text] + (np.arange(len(own)) - starts[text]) // STRIDE
+    begins = np.ones(int(blocks.sum()), bool)
+    begins[first + blocks - 1] = False
+    return block, np.repeat(np.arange(len(counts)), blocks), begins
+
+
+def _passage_statistics(docs: DataFrame, benchmark: Benchmark, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Over all passages of the corpus: passages with each term, the sketch (term by row) and the number of passages.
 
     The sketch is the random side of the SVD: every passage is added with a random sign to one of CORPUS_ROWS rows, so
     that the rows span what the passages span. Tasks sum their own part; Spark sums the parts by term."""
-    known = docs.sparkSession.sparkContext.broadcast(terms)
+    known = docs.sparkSession.sparkContext.broadcast(benchmark)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, passages = known.value, 0
-        n = max(1, len(terms))
+        benchmark, passages = known.value, 0
+        n = max(1, benchmark.terms)
         seen, sketch = np.zeros(n, np.int64), np.zeros(n * CORPUS_ROWS, np.float32)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                own = _numbers(t, terms)
-                if not len(own):
-                    continue
-                at = np.flatnonzero(own >= 0)
-                block = at // STRIDE
-                passages += (len(own) - 1) // STRIDE + 1
-                mixed = (np.uint64(zlib.crc32(t.encode("utf-8", "surrogatepass"))) * np.uint64(0x9E3779B1) + block.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)
+            texts = batch.column(0).to_pylist()
+            for first, own, counts in benchmark.stretches(texts):
+                block, text, begins = _blocks(own, counts)
+                passages += int(begins.sum())
+                drawn = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) for t in texts[first : first + len(counts)]], np.uint64)
+                place = np.arange(len(text), dtype=np.uint64)
+                mixed = (drawn[text] * np.uint64(0x9E3779B1) + place * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)
                 row, sign = (mixed % np.uint64(CORPUS_ROWS)).astype(np.int64), np.where(mixed >> np.uint64(30) & np.uint64(1), 1, -1)
-                np.add.at(sketch, own[at] * CORPUS_ROWS + row, sign.astype(np.float32))
-                seen += np.bincount(np.unique(block * n + own[at]) % n, minlength=n)
+                at = np.flatnonzero(own >= 0)
+                np.add.at(sketch, own[at] * CORPUS_ROWS + row[block[at]], sign[block[at]].astype(np.float32))
+                seen += np.bincount(np.unique(block[at] * n + own[at]) % n, minlength=n)
         there = np.flatnonzero(seen)
         values = pa.array(sketch.reshape(n, CORPUS_ROWS)[there].ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * CORPUS_ROWS), values)
@@ -131,12 +161,13 @@ def _passage_statistics(docs: DataFrame, terms: dict[str, int], text: str) -> tu
 
     parts = docs.select(quoted(text)).mapInArrow(summed, "term long, passages long, rows array<float>")
     parts = parts.groupBy("term").agg(F.sum("passages"), F.array(*[F.sum(F.col("rows")[i]) for i in range(CORPUS_ROWS)]))
-    seen, sketch, passages = np.zeros(max(1, len(terms)), np.int64), np.zeros((max(1, len(terms)), CORPUS_ROWS)), 0
-    for term, n, rows in parts.collect():
+    n = max(1, benchmark.terms)
+    seen, sketch, passages = np.zeros(n, np.int64), np.zeros((n, CORPUS_ROWS)), 0
+    for term, count, rows in parts.collect():
         if term < 0:
-            passages = n
+            passages = count
         else:
-            seen[term], sketch[term] = n, rows
+            seen[term], sketch[term] = count, rows
     return seen, sketch, passages
 
 
@@ -150,8 +181,14 @@ class LatentSpace:
 def latent_space(benchmark: Benchmark, seen: np.ndarray, sketch: np.ndarray, passages: int) -> LatentSpace:
     """Directions of the randomised SVD of the TF-IDF passages of corpus and benchmark. Scaling the sketch's columns by the
     inverse frequencies gives the sketch of the weighted passages, so one pass over the corpus serves both."""
-    weights = np.log((1 + passages) / (1 + seen))
-    weights[seen > COMMON * passages] = 0
+    weights = np.log1p(passages / (1 + seen))
+    common = seen > COMMON * passages
+    for own in benchmark.counts:
+        # An item of common words only keeps their weights, or it could not be found.
+        different = np.unique(own)
+        if (~common[different]).sum() < max(LEAST_TERMS, len(different) / 4):
+            common[different] = False
+    weights[common] = 0
     if not passages:
         weights[:] = 1
     rng = np.random.default_rng(3)
@@ -171,41 +208,51 @@ def latent_space(benchmark: Benchmark, seen: np.ndarray, sketch: np.ndarray, pas
     return LatentSpace(weights, directions.astype(np.float32), items.astype(np.float32))
 
 
-def matches_of(text: str | None, benchmark: Benchmark, space: LatentSpace) -> list[dict]:
-    """The items found in a text."""
-    own = _numbers(text, benchmark.terms)
-    at = np.flatnonzero(own >= 0)
-    at = at[space.weights[own[at]] > 0]
-    if len(at) < LEAST_TERMS or not len(benchmark.items):
-        return []
-    block = at // STRIDE
-    begins = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    blocks = np.zeros((int(block[-1]) + 2, space.directions.shape[1]), np.float32)
-    blocks[block[begins]] = np.add.reduceat(space.directions[own[at]], begins, axis=0)
-    terms = np.bincount(block, minlength=len(blocks))
-    # A passage is a block and the next; the last one stands alone.
-    passages, terms = blocks[:-1] + blocks[1:], terms[:-1] + terms[1:]
-    some = np.flatnonzero(terms >= LEAST_TERMS)
-    found: dict[int, dict] = {}
-    for first in range(0, len(some), 4096):
-        part = some[first : first + 4096]
-        sizes = np.maximum(np.linalg.norm(passages[part], axis=1, keepdims=True), 1e-9)
-        for start in range(0, len(space.items), 4096):
-            cosine = (passages[part] / sizes) @ space.items[start : start + 4096].T
-            for p, i in np.argwhere(cosine >= COSINE).tolist():
-                item = start + i
-                best = found.get(item)
-                if best is not None and best["lcs"] >= 1 and best["answer"] >= 1:
-                    continue
-                places, n = benchmark.items[item]
-                a = int(part[p]) * STRIDE
-                region = own[max(0, a - n) : a + 2 * STRIDE + n].tolist()
-                lcs = common_subsequence((places, n), region)
-                answer = common_subsequence(benchmark.answers[item], region)
-                if lcs >= VERBATIM or (lcs >= PARAPHRASE and answer >= ANSWER):
-                    if best is None or (lcs, answer) > (best["lcs"], best["answer"]):
-                        found[item] = {"item_id": benchmark.item_ids[item], "cosine": float(cosine[p, i]), "lcs": lcs, "answer": answer}
-    return [found[i] for i in sorted(found)]
+def matches_of(texts: list[str | None], benchmark: Benchmark, space: LatentSpace) -> list[list[dict]]:
+    """The items found in each text."""
+    found: list[dict[int, dict]] = [{} for _ in texts]
+    for first, own, counts in benchmark.stretches(texts):
+        block, text, begins = _blocks(own, counts)
+        at = np.flatnonzero(own >= 0)
+        at = at[space.weights[own[at]] > 0]
+        if not len(at):
+            continue
+        blocks = np.zeros((len(text), space.directions.shape[1]), np.float32)
+        # The first words of all blocks, then the second ones, ...: no block twice in one addition.
+        terms = np.bincount(block[at], minlength=len(text))
+        rank = np.arange(len(at)) - (np.cumsum(terms) - terms)[block[at]]
+        for turn in np.split(at[np.argsort(rank, kind="stable")], np.cumsum(np.bincount(rank))[:-1]):
+            blocks[block[turn]] += space.directions[own[turn]]
+        # A passage is a block and the next.
+        some = np.flatnonzero(begins[:-1] & (terms[:-1] + terms[1:] >= LEAST_TERMS))
+        starts = np.cumsum(counts) - counts
+        head = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        for a in range(0, len(some), 4096):
+            part = some[a : a + 4096]
+            passages = blocks[part] + blocks[part + 1]
+            passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
+            for start in range(0, len(space.items), 4096):
+                cosine = passages @ space.items[start : start + 4096].T
+                for p, i in np.argwhere(cosine >= COSINE).tolist():
+                    doc = int(text[part[p]])
+                    words = own[starts[doc] : starts[doc] + counts[doc]]
+                    _check(found[first + doc], benchmark, start + i, float(cosine[p, i]), words, (int(part[p]) - int(head[doc])) * STRIDE)
+    return [[f[i] for i in sorted(f)] for f in found]
+
+
+def _check(found: dict[int, dict], benchmark: Benchmark, item: int, cosine: float, words: np.ndarray, at: int) -> None:
+    """Keep a candidate whose subsequences hold; of several passages the best."""
+    best = found.get(item)
+    if best is not None and best["lcs"] >= 1 and best["answer"] >= 1:
+        return
+    n = benchmark.items[item][1]
+    region = words[max(0, at - n) : at + 2 * STRIDE + n].tolist()
+    lcs = common_subsequence(benchmark.items[item], region, PARAPHRASE)
+    if lcs < PARAPHRASE:
+        return
+    answer = common_subsequence(benchmark.answers[item], region)
+    if (lcs >= VERBATIM or answer >= ANSWER) and (best is None or (lcs, answer) > (best["lcs"], best["answer"])):
+        found[item] = {"item_id": benchmark.item_ids[item], "cosine": cosine, "lcs": lcs, "answer": answer}
 
 
 def find_contamination(
@@ -224,13 +271,13 @@ def find_contamination(
     empty tables give no matches; whole texts are searched; columns named matches are replaced.
     """
     known = Benchmark.read(benchmark, item_text, item_id)
-    space = latent_space(known, *_passage_statistics(docs, known.terms, text))
+    space = latent_space(known, *_passage_statistics(docs, known, text))
     shared = docs.sparkSession.sparkContext.broadcast((known, space))
 
     @F.pandas_udf("array<struct<item_id: long, cosine: double, lcs: double, answer: double>>")
     def searched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([matches_of(t, *shared.value) for t in texts], dtype=object)
+            yield pd.Series(matches_of(texts.tolist(), *shared.value), dtype=object)
 
     names = docs.columns
     rows = docs.select(packed(docs), searched(quoted(text)).alias("_matches"))

@@ -161,8 +161,8 @@ def _links(group: np.ndarray, visits: np.ndarray, fp: np.ndarray, max_bits: int,
 
 
 def linked_fingerprints(fps: DataFrame, max_bits: int, wide_bits: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(node, fp and with `wide_bits` w1, w2), nodes all different -> (a, b): links between nodes of at most so many
-    differing bits, enough of them to join every class."""
+    """(node, fp and with `wide_bits` w1, w2), nodes all different -> (a, b): pairs of nodes that join every class of
+    nodes linked by at most so many differing bits, each member with the first of its class at an anchor."""
     rows = _tiles(at_anchors(fps, max_bits), block_rows)
     rows = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "visits")
 

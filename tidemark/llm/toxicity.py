@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import packed, quoted, unpacked
 
 # Labelled rows that the classifier is fitted on, at most (the documented bound), and how it is fitted.
-TRAIN_ROWS = 8192
+TRAIN_ROWS = 4096
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
-EPOCHS, BATCH, RATE, SEED = 8, 32, 0.08, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 400, 32, 0.08, 7
+# Words start near zero, so that unseen ones say next to nothing; this share is left out at random in training.
+START, LEFT_OUT = 0.002, 0.5
 # Letters at a word's start that are features beside the whole word, so that unseen forms share what is known.
 PREFIXES = (4, 5, 6)
 # Toxic rows that a language needs in the calibration part for a threshold of its own.
@@ -115,22 +117,31 @@ class Scorer:
         return self.model.probability(best).astype(float)
 
 
-def fit(texts: list[str], toxic: np.ndarray, langs: list[str]) -> ToxicityModel:
+def fit(texts: Iterable[str], toxic: np.ndarray, langs: list[str]) -> ToxicityModel:
     """Train on four fifths of the rows, set thresholds on the rest. The same rows give the same model."""
     rng = np.random.default_rng(SEED)
     features: dict[str, int] = {}
-    rows = [np.fromiter((features.setdefault(w, len(features)) for w in WORD.findall((t or "").lower())), np.int64) for t in texts]
-    parts = np.array([word_features(w) for w in features] or [[0] * (1 + len(PREFIXES))], np.int64)
+    rows, calibrating = [], []
+    for i, t in enumerate(texts):
+        rows.append(np.fromiter((features.setdefault(w, len(features)) for w in WORD.findall((t or "").lower())), np.int32))
+        if i % 5 == 0:
+            calibrating.append(t)
+    parts = np.empty((max(1, len(features)), 1 + len(PREFIXES)), np.int32)
+    for i, w in enumerate(features):
+        parts[i] = word_features(w)
+    features.clear()
+    kept = np.arange(0, len(rows), 5)
     model = ToxicityModel(
-        (rng.standard_normal((BUCKETS, SIZE)) * 0.05).astype(np.float32),
+        (rng.standard_normal((BUCKETS, SIZE)) * START).astype(np.float32),
         [(rng.standard_normal((w, SIZE, FILTERS)) * (1 / np.sqrt(w * SIZE))).astype(np.float32) for w in WIDTHS],
-        np.zeros(FILTERS * len(WIDTHS), np.float32),
+        np.full(FILTERS * len(WIDTHS), 0.1, np.float32),
         (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.1).astype(np.float32),
         float(np.log((toxic.mean() + 1e-3) / (1.001 - toxic.mean()))) if len(toxic) else 0.0,
     )
     if not len(toxic):
         return model
-    calibration = np.arange(len(toxic)) % 5 == 0
+    calibration = np.zeros(len(toxic), bool)
+    calibration[kept] = True
     training = np.flatnonzero(~calibration) if (~calibration).any() else np.arange(len(toxic))
     squares = [np.full(p.shape, 1e-6, np.float32) for p in (model.table, *model.filters, model.offsets, model.output)]
     bias_square = 1e-6
@@ -139,7 +150,8 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str]) -> ToxicityModel:
         square[at] += g * g
         p[at] -= RATE * g / np.sqrt(square[at])
 
-    for _ in range(EPOCHS):
+    steps = -(-len(training) // BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // steps))):
         order = rng.permutation(training)
         for b in range(0, len(order), BATCH):
             some = order[b : b + BATCH]
@@ -148,6 +160,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str]) -> ToxicityModel:
             words = np.full(int(lengths.sum()) + PAD, -1, np.int64)
             for i, at in zip(some, starts):
                 words[at : at + len(rows[i])] = rows[i]
+            words[rng.random(len(words)) < LEFT_OUT] = -1
             there = np.flatnonzero(words >= 0)
             x = np.zeros((len(words), SIZE), np.float32)
             x[there] = model.table[parts[words[there]]].sum(1)
@@ -187,8 +200,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str]) -> ToxicityModel:
                 step(model.table, squares[0], grad, into)
 
     scorer = Scorer(model)
-    kept = np.flatnonzero(calibration)
-    scores = scorer.scores([texts[i] for i in kept])
+    scores = scorer.scores(calibrating)
     model.threshold = _threshold(scores, toxic[kept])
     names = np.array([langs[i] for i in kept])
     for lang in sorted(set(names.tolist())):
@@ -229,8 +241,12 @@ def train_toxicity(
     said = docs.select(quoted(doc_id).alias("_id"), quoted(text).alias("_text"), quoted(lang).alias("_lang"))
     # At most `rows` ids: a size that is known.
     found = said.join(F.broadcast(known), "_id").groupBy("_id", "_toxic").agg(F.min(F.struct("_text", "_lang")).alias("_row"))
-    found = sorted(found.select("_id", "_toxic", "_row._text", "_row._lang").collect(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    return fit([r[2] or "" for r in found], np.array([float(r[1] > 0) for r in found]), [r[3] or "" for r in found])
+    found = found.select("_id", "_toxic", "_row._text", "_row._lang").toArrow()
+    ids, toxic = found.column(0).to_pylist(), found.column(1).to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
+    texts, langs = found.column(2), found.column(3).to_pylist()
+    said = (texts[i].as_py() or "" for i in order)  # one at a time: the driver keeps word numbers, not texts
+    return fit(said, np.array([float(toxic[i] > 0) for i in order]), [langs[i] or "" for i in order])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
