@@ -28,7 +28,8 @@ CALIBRATION_LEAST = 8
 REMEMBERED, STRETCH = 1 << 19, 1 << 17
 
 WORD = re.compile(r"[^\W\d_]+")
-PAD = max(WIDTHS) - 1
+# Empty rows after each document, so that no window reaches into the next.
+PAD = max(WIDTHS)
 
 
 def word_features(word: str) -> list[int]:
@@ -47,8 +48,11 @@ class ToxicityModel:
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.5
 
-    def pooled(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Largest value of every filter in each document. x has PAD empty rows after each document and at the end."""
+    def pooled(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Largest value of every filter in each document of so many words, over the windows that begin in it. x has PAD
+        empty rows after each document and at the end."""
+        starts = np.cumsum(lengths + PAD) - lengths - PAD
+        bounds = np.stack((starts, starts + np.maximum(lengths, 1)), 1).ravel()
         n = len(x) - PAD
         y = x @ np.concatenate([f[j] for f in self.filters for j in range(len(f))], axis=1)
         found, at = [], 0
@@ -56,7 +60,7 @@ class ToxicityModel:
             h = y[:n, at : at + FILTERS].copy()
             for j in range(1, len(f)):
                 h += y[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
-            found.append(np.maximum.reduceat(h, starts, axis=0))
+            found.append(np.maximum.reduceat(h, bounds, axis=0)[::2])
             at += len(f) * FILTERS
         return np.concatenate(found, axis=1)
 
@@ -97,9 +101,9 @@ class Scorer:
         def flush() -> None:
             nonlocal held, owners, size
             if owners:
-                lengths = np.array([len(h) + PAD for h in held])
+                lengths = np.array([len(h) for h in held])
                 numbers = np.concatenate([a for h in held for a in (h, empty)] + [empty])
-                pooled = self.model.pooled(self.vectors[numbers], np.cumsum(lengths) - lengths)
+                pooled = self.model.pooled(self.vectors[numbers], lengths)
                 np.maximum.at(best, np.array(owners), pooled)
             held, owners, size = [], [], 0
 
@@ -172,7 +176,7 @@ def fit(texts: Iterable[str], toxic: np.ndarray, langs: list[str]) -> ToxicityMo
                 for j in range(1, len(f)):
                     h += y[j : j + n, at + j * FILTERS : at + (j + 1) * FILTERS]
                 at += len(f) * FILTERS
-                place = np.stack([h[s : s + k].argmax(0) + s for s, k in zip(starts, lengths)])
+                place = np.stack([h[s : s + max(k - PAD, 1)].argmax(0) + s for s, k in zip(starts, lengths)])
                 places.append(place)
                 tops.append(np.take_along_axis(h, place, 0))
             pooled = np.concatenate(tops, axis=1)
