@@ -161,3 +161,26 @@ def test_step_up_over_many_tests(spark):
         finally:
             spark.conf.unset("spark.tidemark.maxGroupRows")
         assert whole.keys() == split.keys() and all(math.isclose(whole[i], split[i]) for i in whole)
+
+
+def test_text_and_boolean_order_on_both_paths(spark, small_tasks):
+    names = [f"a common beginning longer than any chunk {i % 37:03d}" if i % 2 else f"{i % 11}é" for i in range(300)]
+    rows = spark.createDataFrame([(n, i % 3 == 0, i) for i, n in enumerate(names)], "name string, flag boolean, i long")
+    for order in (["name", "i"], ["flag", "name", "i"]):
+        whole = sorted(rows.collect(), key=lambda r: tuple(r[c].encode() if c == "name" else r[c] for c in order))
+        found = {r.i: r.position for r in position.with_position(rows, [], order).collect()}
+        assert found == {r.i: p for p, r in enumerate(whole)}
+
+
+def test_fourier_sums_of_blocks_hold_few_waves(spark):
+    import numpy as np
+
+    from tidemark.functions.fourier import fourier_sums
+
+    x = np.random.default_rng(3).normal(size=150_000)
+    cut = 65_536
+    rows = [(a, x[a : a + cut].tolist()) for a in range(0, len(x), cut)]
+    df = spark.createDataFrame(rows, "start long, xs array<double>").withColumn("n", F.lit(len(x)).cast("long"))
+    parts = np.array([r[0] for r in df.select(fourier_sums(F.col("xs"), F.col("start"), F.col("n"), 100)).collect()])
+    want = np.fft.rfft(x)[:100]
+    assert np.allclose(parts.sum(0)[::2], want.real) and np.allclose(parts.sum(0)[1::2], want.imag)

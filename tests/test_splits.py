@@ -35,13 +35,24 @@ def test_groups_stay_together(rows):
         assert folds.count() == 140 and set(sizes(folds)) == {(f,) for f in range(4)}
 
 
-def test_many_groups_take_the_dealt_way(spark, rows):
+def test_groups_are_dealt_evenly_at_any_size(spark, rows):
+    plain = splits.group_k_fold(rows, 4, "subject_id")
+    assert set(sizes(plain).values()) == {35}
     spark.conf.set("spark.tidemark.maxSmallRows", "5")
+    spark.conf.set("spark.tidemark.maxGroupRows", "4")
     try:
-        folds = splits.group_k_fold(rows, 4, "subject_id")
+        assert splits.group_k_fold(rows, 4, "subject_id").exceptAll(plain).isEmpty()
     finally:
         spark.conf.unset("spark.tidemark.maxSmallRows")
-    assert set(sizes(folds).values()) == {35}
+        spark.conf.unset("spark.tidemark.maxGroupRows")
+
+
+def test_rows_without_group_or_class_stay(rows):
+    holes = rows.withColumns({
+        "subject_id": F.when(F.col(ID) % 10 != 0, F.col("subject_id")), "target": F.when(F.col(ID) % 7 != 0, F.col("target")),
+    })
+    for folds in (splits.group_k_fold(holes, 4, "subject_id"), splits.group_k_fold(holes, 4, "subject_id", target="target"), splits.stratified_k_fold(holes, 4)):
+        assert folds.count() == rows.count() and folds.filter("fold IS NULL").count() == 0
 
 
 def test_more_folds_than_groups_and_a_single_group(rows):

@@ -180,7 +180,7 @@ def feature_parts(c: Column | str) -> dict[str, Column]:
     return {
         "channel": F.get(parts, F.lit(0)),
         "feature": F.get(parts, F.lit(1)),
-        "parameter": F.array_join(F.slice(parts, 3, 1000), "__"),
+        "parameter": F.array_join(F.slice(parts, 3, F.size(parts)), "__"),
     }
 
 
@@ -189,19 +189,25 @@ def swap_fft_parameters(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r'__coeff_(\d+)__attr_("?\w+"?)', r"__attr_$2__coeff_$1")
 
 
+# The families of the parity report and the parts of names that decide, in order of precedence.
+FAMILIES = (
+    ("Quantiles", ("quantile", "median")),
+    ("Autocorrelation", ("autocorrelation",)),
+    ("Linear Trend", ("linear_trend", "trend")),
+    ("FFT Coefficients", ("fft", "fourier")),
+    ("Higher Order Moments", ("skewness", "kurtosis")),
+    ("Dispersion (Var/Std)", ("variance", "standard_deviation")),
+    ("Location & Energy", ("mean", "minimum", "maximum", "root_mean_square", "abs_energy", "absolute_maximum")),
+    ("Dynamics & Extremes", ("change", "strike", "count_above", "count_below", "ratio")),
+)
+
+
 def feature_family(c: Column | str) -> Column:
-    """Coarse family of a feature name."""
+    """Family of a feature name; the first row with a matching part counts."""
     name = F.lower(_col(c))
-    rules = (
-        ("fft|fourier|spkt|welch", "spectral"),
-        ("autocorrelation|lag_|ar_coefficient", "autocorrelation"),
-        ("quantile|median|percentile", "quantile"),
-        ("trend|slope", "trend"),
-        ("change|strike|location|count|crossing|peaks", "temporal"),
-    )
-    out = F.lit("statistical")
-    for pattern, family in reversed(rules):
-        out = F.when(name.rlike(pattern), F.lit(family)).otherwise(out)
+    out = F.lit("Other")
+    for family, parts in reversed(FAMILIES):
+        out = F.when(name.rlike("|".join(parts)), F.lit(family)).otherwise(out)
     return out
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Complex numbers of the waves of one block that are held at a time (16 bytes each).
+WAVE_CELLS = 1 << 20
+
+
 def by_length(xs: pd.Series):
     """Row numbers and the stacked matrix of the arrays of each length."""
     lengths = xs.map(len).to_numpy()
@@ -29,12 +33,14 @@ def fourier_sums(xs: Column, start: Column, n: Column, terms: int) -> Column:
                 spectrum = np.fft.rfft(values, axis=1)[:, :terms]
                 spectrum = np.pad(spectrum, ((0, 0), (0, terms - spectrum.shape[1])))
             else:
-                total = n.to_numpy()[rows][:, None, None]
-                k = np.arange(terms)[None, :, None]
-                t = start.to_numpy()[rows][:, None, None] + np.arange(size)[None, None, :]
-                waves = np.exp(-2j * np.pi * ((k * t) % total) / total)
-                spectrum = np.einsum("rkt,rt->rk", waves, values)
-                spectrum[(k[:, :, 0] > total[:, :, 0] // 2)] = 0
+                # One row at a time and a few terms at once: waves of at most WAVE_CELLS numbers are held.
+                spectrum = np.zeros((len(rows), terms), complex)
+                step = max(1, WAVE_CELLS // max(size, 1))
+                for i, (begin, total) in enumerate(zip(start.to_numpy()[rows].tolist(), n.to_numpy()[rows].tolist())):
+                    t = begin + np.arange(size, dtype=np.int64)
+                    for first in range(0, min(terms, total // 2 + 1), step):
+                        k = np.arange(first, min(first + step, terms, total // 2 + 1))
+                        spectrum[i, k] = np.exp(-2j * np.pi * (np.multiply.outer(k, t) % total) / total) @ values[i]
             pairs = np.stack([spectrum.real, spectrum.imag], axis=2).reshape(len(rows), -1)
             for i, row in zip(rows, pairs):
                 out[i] = row

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.special import normal_quantile
 from tidemark.operators.model_selection import assemble, feature_names, indexed_target
+from tidemark.operators.position import exact_quantiles
 from tidemark.session import cut_lineage
 
 ID = "sequence_id"
@@ -176,9 +177,9 @@ def rank_auc(predictions: DataFrame, score: str, positive: Column, keys: Sequenc
     from tidemark.operators.position import value_ranks
 
     ranks = value_ranks(predictions, keys, score, positive)
-    n1, n = F.max("n1_total"), F.max("n_total")
+    n1, n = F.max("n1_total").cast("double"), F.max("n_total").cast("double")
     rank_sum = F.sum(F.col("n1") * F.col("avg_rank"))
-    auc = F.try_divide(rank_sum - n1 * (n1 + 1) / 2, (n1 * (n - n1)).cast("double"))
+    auc = F.try_divide(rank_sum - n1 * (n1 + 1) / 2, n1 * (n - n1))
     return ranks.groupBy(*keys).agg(auc.alias("auc"))
 
 
@@ -277,9 +278,15 @@ def impute(train: DataFrame, rows: DataFrame, columns: Sequence[str], strategy:
     known = train.agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
     usable = [c for c in columns if known[c] > 0]
     casted = rows.withColumns({c: F.col(c).cast("double") for c in columns})
-    if usable:
-        fit = Imputer(inputCols=usable, outputCols=usable, strategy=strategy)
-        casted = fit.fit(train.withColumns({c: F.col(c).cast("double") for c in usable})).transform(casted)
+    exact = train.withColumns({c: F.col(c).cast("double") for c in usable})
+    if usable and strategy == "median":
+        # Spark's own imputer approximates the median.
+        for c in usable:
+            seen = exact.select(F.when(~F.isnan(c), F.col(c)).alias("x"))
+            middle = exact_quantiles(seen, [], "x", {"x": 0.5}).first()["x"]
+            casted = casted.withColumn(c, F.when(F.col(c).isNull() | F.isnan(c), F.lit(middle)).otherwise(F.col(c)))
+    elif usable:
+        casted = Imputer(inputCols=usable, outputCols=usable, strategy=strategy).fit(exact).transform(casted)
     return casted.fillna(0.0, [c for c in columns if c not in usable])
 
 

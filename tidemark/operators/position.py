@@ -43,16 +43,40 @@ def _numeric(df: DataFrame, name: str) -> Column:
         return F.col(name).cast("bigint")
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
-    raise TypeError(f"order column {name} must be a number, date or timestamp, not {kind}")
+    if isinstance(kind, T.BooleanType):
+        return F.col(name).cast("bigint")
+    raise TypeError(f"order column {name} must be a number, text, date, timestamp or boolean, not {kind}")
+
+
+# Text is ordered by as many chunks of bytes as fit into a whole number each.
+_TEXT_CHUNKS, _CHUNK_BYTES = 4, 7
+
+
+def _order_numbers(df: DataFrame, order: Sequence[str]) -> tuple[dict[str, Column], dict[str, str]]:
+    """Numbers that follow the order columns, and their kinds. They stop after a text column: longer common beginnings
+    than the chunks hold share a bucket, so a later column must not divide it."""
+    numbers: dict[str, Column] = {}
+    kinds: dict[str, str] = {}
+    for name in order:
+        if isinstance(df.schema[name].dataType, T.StringType):
+            raw = F.encode(F.col(name), "UTF-8")
+            for i in range(_TEXT_CHUNKS):
+                part = F.rpad(F.hex(F.substring(raw, 1 + i * _CHUNK_BYTES, _CHUNK_BYTES)), 2 * _CHUNK_BYTES, "0")
+                numbers[f"{name}#{i}"] = F.conv(part, 16, 10).cast("bigint")
+                kinds[f"{name}#{i}"] = "bigint"
+            break
+        numbers[name] = _numeric(df, name)
+        kinds[name] = "double" if isinstance(df.schema[name].dataType, T.FractionalType) else "bigint"
+    return numbers, kinds
 
 
 def _bounds(df: DataFrame, columns: Mapping[str, Column], buckets: int) -> dict[str, list]:
     """At most `buckets` cut points per order column, in one pass."""
     at = F.lit([i / buckets for i in range(1, buckets)])
     row = df.agg(
-        *[F.percentile_approx(c, at, 8 * buckets).alias(n) for n, c in columns.items()]
+        *[F.percentile_approx(c, at, 8 * buckets).alias(f"c{i}") for i, c in enumerate(columns.values())]
     ).first()
-    return {n: sorted(row[n] or []) for n in columns}
+    return {n: sorted(row[i] or []) for i, n in enumerate(columns)}
 
 
 def _bounds_literal(bounds: list, kind: str) -> Column:
@@ -82,13 +106,12 @@ def bucket_codes(df: DataFrame, order: Sequence[str], rows: int) -> dict[str, Co
     """Order-preserving bucket columns; a value on a cut point has a bucket of its own,
     which is then split by the next order column."""
     per_task = limit(df.sparkSession, MAX_GROUP_ROWS)
-    buckets = min(16_384, max(16, 4 * rows // per_task))
-    numeric = {c: _numeric(df, c) for c in order}
+    buckets = max(16, 4 * rows // per_task)
+    numeric, kinds = _order_numbers(df, order)
     cuts = _bounds(df, numeric, buckets)
     codes, tied = {}, F.lit(True)
-    for level, name in enumerate(order):
-        x = numeric[name]
-        kind = "double" if isinstance(df.schema[name].dataType, (T.FractionalType,)) else "bigint"
+    for level, name in enumerate(numeric):
+        x, kind = numeric[name], kinds[name]
         below = _count_bounds(x, cuts[name], kind, True)
         upto = _count_bounds(x, cuts[name], kind, False)
         codes[f"__bucket{level}"] = F.when(tied, F.coalesce(below + upto, F.lit(-1))).otherwise(F.lit(0))

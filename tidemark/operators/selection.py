@@ -302,7 +302,7 @@ def two_sample_distance(
     upto0 = F.col("n_before") + F.col("n") - upto1
     gap = F.abs(F.try_divide(upto1, n1) - F.try_divide(upto0, n0))
     out = ranks.groupBy(*keys).agg(
-        F.max(gap).alias("distance"), F.max(n1).alias("__n1"), F.max(n0).alias("__n0")
+        F.max(gap).alias("distance"), F.max(n1).cast("double").alias("__n1"), F.max(n0).cast("double").alias("__n0")
     )
     scale = F.sqrt(F.try_divide(F.col("__n1") * F.col("__n0"), F.col("__n1") + F.col("__n0")))
     return out.withColumn("p_value", kolmogorov_p(scale * F.col("distance"))).drop("__n1", "__n0")
@@ -344,8 +344,9 @@ def kendall(features: DataFrame, targets: DataFrame) -> DataFrame:
         "feature", "level", F.expr("shiftright(p, level + 1)").alias("block"), "y", (half % 2).alias("right")
     )
     ranks = value_ranks(levels, ["feature", "level", "block"], "y", F.col("right") == 0)
-    inversions = (F.col("n") - F.col("n1")) * (F.col("n1_total") - F.col("n1_before") - F.col("n1"))
-    out = ranks.groupBy("feature").agg(F.sum(inversions).cast("double").alias("dis"))
+    # Counts of pairs pass 64 bits on long tables.
+    inversions = (F.col("n") - F.col("n1")).cast("double") * (F.col("n1_total") - F.col("n1_before") - F.col("n1"))
+    out = ranks.groupBy("feature").agg(F.sum(inversions).alias("dis"))
     sizes = data.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
     out = out.join(sizes, "feature")
     for columns, name in ((["value"], "x"), (["y"], "y"), (["value", "y"], "xy")):

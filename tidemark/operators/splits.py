@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators.position import ntile_of, with_position
-from tidemark.session import MAX_SMALL_ROWS, limit, require_small
 
 GROUP_NAMES = ("subject_id", "group", "entity_id", "subject", "patient_id")
 
@@ -43,12 +39,12 @@ def stratified_k_fold(
 ) -> DataFrame:
     """Every class is dealt to the folds in turn, each class where the one before it stopped."""
     out = _shuffled(df.select(id_col, target), [target], id_col, seed)
-    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("__n"))
-    require_small(sizes, "the list of classes")
+    sizes = df.groupBy(F.col(target).alias("__class")).agg(F.count(F.lit(1)).alias("__n"))
     # One row per class: the running offset spreads the remainders of the classes.
-    before = Window.orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__shift", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    out = out.join(sizes, target)
+    # Rows without a target are a class of their own.
+    out = out.join(sizes, F.col(target).eqNullSafe(F.col("__class")))
     return out.select(id_col, ((F.col("__p") + F.col("__shift")) % k).cast("int").alias("fold"))
 
 
@@ -70,66 +66,23 @@ def group_k_fold(
     seed: int | None = 42,
     target: str | None = None,
 ) -> DataFrame:
-    """All sequences of a group share a fold; fold sizes are kept even (and, with `target`, the
-    class shares). k shrinks to the number of groups; a single group falls back to single rows."""
-    names = df.filter(F.col(group).isNotNull()).select(group).distinct()
-    n_groups = names.limit(limit(df.sparkSession, MAX_SMALL_ROWS) + 1).count()
+    """All sequences of a group share a fold. Groups are put in order of their commonest class (with `target`) and
+    falling size and dealt back and forth over the folds, so fold sizes and class shares stay even; the same rule for
+    any number of groups. k shrinks to the number of groups; a single group falls back to single rows. Rows without a
+    group are a group of their own."""
+    n_groups = df.select(group).distinct().limit(k + 1).count()
     if n_groups < 2:
         return stratified_k_fold(df, k, target, id_col, seed) if target else k_fold(df, k, id_col, seed)
     k = min(k, n_groups)
-    if n_groups > limit(df.sparkSession, MAX_SMALL_ROWS):
-        folds = _serpentine(df, k, group, seed)
-    else:
-        folds = _greedy(df, k, group, seed, target)
-    return df.select(id_col, group).join(folds, group).select(id_col, "fold")
-
-
-def _serpentine(df: DataFrame, k: int, group: str, seed: int | None) -> DataFrame:
-    """Groups by falling size, dealt back and forth over the folds."""
-    sizes = df.groupBy(group).agg((-F.count(F.lit(1))).alias("__size"))
-    sizes = sizes.withColumn("__hash", seeded_hash(seed or 0, group))
-    ranked = with_position(sizes, [], ["__size", "__hash"], "__p")
+    by = [F.col(group).alias("__group"), *([F.col(target).alias("__class")] if target else [])]
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    common = F.max_by("__class", F.struct("__n", "__class")) if target else F.lit(0)
+    sizes = counts.groupBy("__group").agg(common.alias("__class"), (-F.sum("__n")).alias("__size"))
+    sizes = sizes.withColumn("__hash", seeded_hash(seed or 0, "__group"))
+    ranked = with_position(sizes, [], [*(["__class"] if target else []), "__size", "__hash"], "__p")
     turn = F.col("__p") % (2 * k)
-    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
-    return ranked.select(group, fold.alias("fold"))
-
-
-def _greedy(df: DataFrame, k: int, group: str, seed: int | None, target: str | None) -> DataFrame:
-    """Largest group first, each to the fold it suits best; the group table is size-checked."""
-    spark = df.sparkSession
-    by = [group, target] if target else [group]
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    order = seeded_hash(seed, group) if seed is not None else F.lit(0).cast("bigint")
-    rows = counts.withColumn("h", order).collect()
-    classes = sorted({r[target] for r in rows}) if target else [None]
-    table: dict = {}
-    ties = {}
-    for r in rows:
-        key = r[group]
-        ties[key] = r["h"]
-        table.setdefault(key, np.zeros(len(classes)))[classes.index(r[target]) if target else 0] += r["n"]
-    fold_of = {}
-    if target is None:
-        heap = [(0, f) for f in range(k)]
-        for g in sorted(table, key=lambda g: (-table[g].sum(), ties[g], g)):
-            size, f = heapq.heappop(heap)
-            fold_of[g] = f
-            heapq.heappush(heap, (size + int(table[g].sum()), f))
-    else:
-        total = sum(table.values())
-        held = np.zeros((k, len(classes)))
-        for g in sorted(table, key=lambda g: (-table[g].std(), ties[g], g)):
-            scores = []
-            for f in range(k):
-                held[f] += table[g]
-                scores.append((float((held / total).std(axis=0).mean()), held[f].sum(), f))
-                held[f] -= table[g]
-            f = min(scores)[2]
-            held[f] += table[g]
-            fold_of[g] = f
-    kind = df.schema[group].dataType
-    schema = T.StructType([T.StructField(group, kind), T.StructField("fold", T.IntegerType())])
-    return spark.createDataFrame(list(fold_of.items()), schema)
+    folds = ranked.select("__group", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    return df.select(id_col, group).join(folds, F.col(group).eqNullSafe(F.col("__group"))).select(id_col, "fold")
 
 
 def blocked_folds(

@@ -175,13 +175,14 @@ def _(spark, sf_dir):
 
 @query(
     "impute_median",
-    """SELECT doc_id, coalesce(quality::DOUBLE, (SELECT quantile_disc(quality, 0.5) FROM labels)::DOUBLE) AS quality,
-0.0::DOUBLE AS unknown FROM documents LEFT JOIN labels USING (doc_id)""",
+    """WITH d AS (SELECT doc_id, CASE WHEN quality = 1 THEN n_chars::DOUBLE END AS size FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, coalesce(size, (SELECT quantile_cont(size, 0.5) FROM d)) AS size, 0.0::DOUBLE AS unknown FROM d""",
 )
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    docs = docs.select("doc_id", "quality", F.lit(None).cast("double").alias("unknown"))
-    return models.impute(docs, docs, ["quality", "unknown"]).select("doc_id", "quality", "unknown")
+    size = F.when(F.col("quality") == 1, F.col("n_chars").cast("double"))
+    docs = docs.select("doc_id", size.alias("size"), F.lit(None).cast("double").alias("unknown"))
+    return models.impute(docs, docs, ["size", "unknown"]).select("doc_id", "size", "unknown")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import model_selection as trees
 from tidemark.operators import selection as sel
 from tidemark.operators import splits
+from tidemark.operators.position import with_position
 from tidemark.plans.registry import digits, query, rounded, rounded_sql, table
 
 ID = "sequence_id"
@@ -27,10 +28,9 @@ FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i
 
 def line_features(spark, sf_dir):
     """Four numeric line features; the return flag as class."""
-    rows = table(spark, sf_dir, "lineitem").withColumn(
-        ID, F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
-    )
-    rows = rows.dropDuplicates([ID])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+    # No columns of a line are a key, so its place in their order is its id.
+    rows = with_position(table(spark, sf_dir, "lineitem").select(*order), [], order, ID)
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     features = rows.select(ID, *names).unpivot([ID], names, "feature", "value")
     return features, rows.select(ID, F.col("l_returnflag").alias("target"))
@@ -111,14 +111,14 @@ def _(spark, sf_dir):
     "regression_f_scores",
     rounded_sql(
         f"""{ORD} SELECT feature, pow(corr(value, y), 2) * (count(*) - 2) / (1 - pow(corr(value, y), 2)) AS score
-FROM data GROUP BY 1""",
+FROM data GROUP BY 1 UNION ALL SELECT 'constant', 0.0::DOUBLE""",
         ["feature"],
         {"score": 6},
     ),
 )
 def _(spark, sf_dir):
     features, targets = order_features(spark, sf_dir)
-    scores = sel.regression_scores(features.filter("feature <> 'constant'"), targets)
+    scores = sel.regression_scores(features, targets)
     return rounded(scores, ["feature"], {"score": 6})
 
 
@@ -206,17 +206,19 @@ def _(spark, sf_dir):
 @query(
     "two_sample_distance",
     rounded_sql(
-        f"""{ORD}, flagged AS (SELECT y, value FROM data WHERE feature = 'is_open'),
-sizes AS (SELECT sum(value) AS n1, sum(1 - value) AS n0 FROM flagged),
-cum AS (SELECT y, sum(sum(value)) OVER (ORDER BY y) AS c1, sum(sum(1 - value)) OVER (ORDER BY y) AS c0 FROM flagged GROUP BY y)
-SELECT 'is_open' AS feature, max(abs(c1 / n1 - c0 / n0)) AS distance FROM cum, sizes""",
+        f"""{ORD}, flagged AS (SELECT feature, y, (value = max(value) OVER (PARTITION BY feature))::DOUBLE AS hi FROM data),
+sizes AS (SELECT feature, sum(hi) AS n1, sum(1 - hi) AS n0 FROM flagged GROUP BY 1),
+cum AS (SELECT feature, y, sum(sum(hi)) OVER (PARTITION BY feature ORDER BY y) AS c1,
+sum(sum(1 - hi)) OVER (PARTITION BY feature ORDER BY y) AS c0 FROM flagged GROUP BY 1, 2)
+SELECT feature, max(abs(c1 / n1 - c0 / n0)) AS distance FROM cum JOIN sizes USING (feature) GROUP BY 1
+UNION ALL SELECT 'constant', NULL::DOUBLE""",
         ["feature"],
         {"distance": 6},
     ),
 )
 def _(spark, sf_dir):
     features, targets = order_features(spark, sf_dir)
-    return rounded(sel.smirnov(features.filter("feature = 'is_open'"), targets), ["feature"], {"distance": 6})
+    return rounded(sel.smirnov(features, targets), ["feature"], {"distance": 6})
 
 
 def customer_features(spark, sf_dir):
@@ -299,7 +301,18 @@ def _(spark, sf_dir):
 
 @query("boruta")
 def _(spark, sf_dir):
-    return trees.boruta(*line_features(spark, sf_dir), n_estimators=10, max_iter=5)
+    return trees.boruta(*line_features(spark, sf_dir), n_estimators=10)
+
+
+@query("boruta_planted", "SELECT * FROM (VALUES ('copy', true), ('noise', false)) AS t(feature, selected) WHERE EXISTS (SELECT 1 FROM orders)")
+def _(spark, sf_dir):
+    """A copy of the class is kept, a hash of the key is not."""
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", ID)
+    label = (F.col("o_orderstatus") == "O").cast("int")
+    wide = orders.select(ID, label.cast("double").alias("copy"), F.pmod(F.xxhash64(ID), F.lit(1000)).cast("double").alias("noise"))
+    targets = orders.select(ID, label.alias("target"))
+    mask = trees.boruta(wide.unpivot([ID], ["copy", "noise"], "feature", "value"), targets, n_estimators=10)
+    return mask.select("feature", "selected")
 
 
 @query("subsampled_selector")

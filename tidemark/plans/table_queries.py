@@ -232,10 +232,14 @@ def _(spark, sf_dir):
 
 @query(
     "feature_families",
-    f"""{_NAMED} SELECT family, count(*) AS n FROM (SELECT CASE WHEN name LIKE '%fft%' THEN 'spectral'
-WHEN name LIKE '%autocorrelation%' THEN 'autocorrelation' WHEN name LIKE '%quantile%' THEN 'quantile'
-WHEN name LIKE '%trend%' THEN 'trend' WHEN name LIKE '%change%' OR name LIKE '%strike%' THEN 'temporal'
-ELSE 'statistical' END AS family FROM named) GROUP BY 1""",
+    f"""{_NAMED} SELECT family, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(name), 'quantile|median') THEN 'Quantiles'
+WHEN regexp_matches(lower(name), 'autocorrelation') THEN 'Autocorrelation' WHEN regexp_matches(lower(name), 'trend') THEN 'Linear Trend'
+WHEN regexp_matches(lower(name), 'fft|fourier') THEN 'FFT Coefficients'
+WHEN regexp_matches(lower(name), 'skewness|kurtosis') THEN 'Higher Order Moments'
+WHEN regexp_matches(lower(name), 'variance|standard_deviation') THEN 'Dispersion (Var/Std)'
+WHEN regexp_matches(lower(name), 'mean|minimum|maximum|root_mean_square|abs_energy') THEN 'Location & Energy'
+WHEN regexp_matches(lower(name), 'change|strike|count_above|count_below|ratio') THEN 'Dynamics & Extremes'
+ELSE 'Other' END AS family FROM named) GROUP BY 1""",
 )
 def _(spark, sf_dir):
     named = named_lines(spark, sf_dir).withColumn("family", X.feature_family("name"))

@@ -207,7 +207,7 @@ def ingest_gas_sensors(spark: SparkSession, folder: str, width: int = 128, steps
     rows = with_position(rows, [], ["batch", "line"], "sequence_id")
     parts = F.split(F.trim("value"), r"\s+")
     label = F.split(F.get(parts, F.lit(0)), ";")
-    items = F.filter(F.slice(parts, 2, 100_000), lambda p: p.contains(":"))
+    items = F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p.contains(":"))
     pairs = F.map_from_entries(
         F.transform(
             items,
