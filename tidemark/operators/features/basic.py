@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import id_column, ratio, step_column, value_columns
+from tidemark.functions.expr import id_column, ratio, value_columns
 from tidemark.operators.features.rows import SequenceRows, sequence_rows
 from tidemark.operators.position import exact_quantiles, fits_one_task
 
@@ -127,14 +127,9 @@ def lag_correlations(
     )
 
 
-def default_step(df: DataFrame, step) -> list[str]:
-    return [step_column(df)] if step is None else [step] if isinstance(step, str) else list(step)
-
-
 __all__ = [
     "SequenceRows",
     "base_features",
-    "default_step",
     "guarded_corr",
     "lag_correlations",
     "minimal_features",

@@ -41,10 +41,6 @@ WELCH = (2, 5, 8)
 WIDTHS = (2, 5, 10, 20)
 
 
-def fft_parameters(n: int) -> list[dict]:
-    return [{"coeff": k, "attr": a} for k in range(n) for a in ("real", "imag", "abs", "angle")]
-
-
 def _fft_name(k: int, attr: str) -> str:
     return f'fft_coefficient__attr_"{attr}"__coeff_{k}'
 

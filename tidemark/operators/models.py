@@ -129,11 +129,6 @@ def error_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     )
 
 
-def fold_mean(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Mean over the folds, rounded to four places."""
-    return metrics.agg(*[F.round(F.avg(n), 4).alias(n) for n in names])
-
-
 def class_report(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support of each class, from the confusion counts."""
     counts = predictions.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).alias("c"))

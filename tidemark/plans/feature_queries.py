@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.features import drift, efficient, signal
 from tidemark.operators.features.basic import statistical_features
+from tidemark.operators.features.calculators import calculate, merge_domains
 from tidemark.operators.features.extractors import extract
 from tidemark.operators.features.rows import features_long
 from tidemark.operators.selection import run_selector
@@ -551,3 +552,35 @@ def _(spark, sf_dir):
     return run_selector("fdr", features, targets)
 
 
+
+
+_ASKED = merge_domains({
+    "statistical": {"mean": None, "quantile": [{"q": 0.25}, {"q": 0.9}], "extremes": None, "range_count": [{"min": 0, "max": 20}, {"min": 20, "max": 60}]},
+    "temporal": {"autocorrelation": [{"lag": 1}, {"lag": 3}], "c3": [2], "mean": ["not used: the first definition of a name stays"]},
+})
+_ASKED_NAMES = [
+    "mean", "quantile__q_0.25", "quantile__q_0.9", "extremes__0", "extremes__1", "range_count__max_20__min_0",
+    "range_count__max_60__min_20", "autocorrelation__lag_1", "autocorrelation__lag_3", "c3__param_2",
+]
+
+
+@query(
+    "named_calculators",
+    rounded_sql(
+        """WITH s AS (SELECT user_id, value AS x, avg(value) OVER (PARTITION BY user_id) AS mu,
+lag(value, 1) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 3) OVER w AS x3, lag(value, 4) OVER w AS x4
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, 'value' AS channel, avg(x) AS "mean", quantile_cont(x, 0.25) AS "quantile__q_0.25", quantile_cont(x, 0.9) AS "quantile__q_0.9",
+min(x) AS "extremes__0", max(x) AS "extremes__1", count(*) FILTER (x >= 0 AND x < 20) AS "range_count__max_20__min_0",
+count(*) FILTER (x >= 20 AND x < 60) AS "range_count__max_60__min_20",
+coalesce(avg((x - mu) * (x1 - mu)) / nullif(var_pop(x), 0), 0) AS "autocorrelation__lag_1",
+coalesce(avg((x - mu) * (x3 - mu)) / nullif(var_pop(x), 0), 0) AS "autocorrelation__lag_3",
+coalesce(avg(x * x2 * x4), 0) AS "c3__param_2" FROM s GROUP BY 1""",
+        ["user_id", "channel"],
+        digits(_ASKED_NAMES, 5),
+    ),
+)
+def _(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    found = calculate(events, _ASKED, "user_id", ["ts", "event_id"], ["value"])
+    return rounded(found, ["user_id", "channel"], digits(_ASKED_NAMES, 5))

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import id_column, null_label
+from tidemark.functions.expr import null_label
 from tidemark.operators import aggregate, compare, models, selection, splits
 from tidemark.operators.features.extractors import extract, extractor_name
 from tidemark.operators.reshape import horizon_vector
@@ -298,6 +298,13 @@ def analyse(results: DataFrame, task_type: str, alpha: float = 0.05) -> dict[str
     return out
 
 
-def load_pair_ids(targets: DataFrame) -> DataFrame:
-    """Target table under the common id name."""
-    return targets.withColumnRenamed(id_column(targets), ID)
+def run_stages(
+    spark, stages: Mapping[str, tuple[MatrixConfig, Mapping[str, Callable[[], tuple[DataFrame, DataFrame]]]]], folder: str, store: FeatureStore
+) -> DataFrame:
+    """Run configurations one after the other, each with its data sets; their results together, by stage. A stage that
+    fails stops the sequence; what earlier stages wrote stays and is not run again."""
+    out = None
+    for name, (config, datasets) in stages.items():
+        results = Matrix(spark, config, f"{folder}/{name}", store).run(datasets).withColumn("stage", F.lit(name))
+        out = results if out is None else out.unionByName(results)
+    return out

@@ -69,3 +69,36 @@ def _(spark, sf_dir):
         spark, sf_dir, extractors=["statistics_sample", "statistics_population"], selectors=["none"], seeds=[1, 2, 3]
     )
     return M.analyse(results, "classification")["tests:Extractor:Accuracy"]
+
+
+@query(
+    "experiment_matrix_cached",
+    """SELECT DISTINCT c AS is_cached, 1::BIGINT AS n FROM events CROSS JOIN (SELECT unnest([false, true]) AS c)""",
+)
+def _(spark, sf_dir):
+    """The same cell twice without resuming: the second run takes its features from the store."""
+    results = run_matrix(spark, sf_dir, times=2, resume=False, extractors=["statistics_sample"], selectors=["none"])
+    return results.groupBy("is_cached").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "configuration_stages",
+    """SELECT DISTINCT s AS stage, s AS task, 1::BIGINT AS n_cells, 5::INTEGER AS n_extracted, true AS scored FROM events
+CROSS JOIN (SELECT unnest(['classification', 'regression']) AS s)""",
+)
+def _(spark, sf_dir):
+    """A classification run and a regression run in sequence."""
+    folder = scratch_folder(spark)
+    settings = {"n_splits": 2, "trees": 5, "extractors": ["statistics_sample"], "selectors": ["none"]}
+    stages = {
+        "classification": (M.MatrixConfig(**settings), {"events": lambda: event_windows(spark, sf_dir, "code", "last")}),
+        "regression": (
+            M.MatrixConfig(task_type="regression", models=["ridge"], **settings),
+            {"events": lambda: event_windows(spark, sf_dir, "code", "mean")},
+        ),
+    }
+    results = M.run_stages(spark, stages, folder, FeatureStore(spark, f"{folder}/store"))
+    score = F.coalesce("accuracy", "rmse").isNotNull()
+    return results.groupBy("stage", "task").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.max("n_extracted").alias("n_extracted"), F.every(score).alias("scored")
+    )
