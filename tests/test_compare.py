@@ -130,3 +130,12 @@ def test_natural_order_and_lenient_arrays(spark):
     assert expr.natural_order(["t_10", "t_2", "t_1"]) == ["t_1", "t_2", "t_10"]
     df = spark.createDataFrame([("[1.5, 2 x 3]",), ("(4 5)",), ("",)], "s string")
     assert [r.a for r in df.select(expr.decode_array("s").alias("a")).collect()] == [[1.5, 2.0, None, 3.0], [4.0, 5.0], []]
+
+
+def test_repeated_measurements_need_an_order(table):
+    rows = [("a", 1, 5.0, 1), ("a", 1, 3.0, 2), ("b", 1, 4.0, 1)]
+    df = table(rows, "m string, seed int, v double, t int")
+    pair = compare.paired_rows(df, "m", "v", ["seed"], ["t"]).first()
+    assert (pair.x, pair.y) == (3.0, 4.0)
+    with pytest.raises(Exception, match="state the order"):
+        compare.paired_rows(df, "m", "v", ["seed"]).collect()

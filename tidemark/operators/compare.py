@@ -84,7 +84,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 def paired_rows(
     df: DataFrame, group_col: str, metric: str, pair_keys: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
-    """(pair keys, group_1, group_2, x, y) for every pair of methods measured under the same key."""
+    """(pair keys, group_1, group_2, x, y) for every pair of methods measured under the same key. Of several rows of a
+    method and key the last by `order` counts; without an order there must be one, since any choice would be a bias."""
     rows = df.filter(F.col(f"`{metric}`").isNotNull() & F.col(f"`{group_col}`").isNotNull())
     rows = rows.select(
         F.col(f"`{group_col}`").cast("string").alias("__g"),
@@ -93,7 +94,11 @@ def paired_rows(
         *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)],
     )
     keys = [f"__k{i}" for i in range(len(pair_keys))]
-    last = F.max_by("__v", F.struct(*[f"__o{i}" for i in range(len(order))])) if order else F.max("__v")
+    if order:
+        last = F.max_by("__v", F.struct(*[f"__o{i}" for i in range(len(order))]))
+    else:
+        several = F.raise_error("several rows of one method and key: state the order of rows").cast("double")
+        last = F.when(F.count(F.lit(1)) > 1, several).otherwise(F.max("__v"))
     rows = rows.groupBy("__g", *keys).agg(last.alias("__v"))
     if require_small(rows.select("__g").distinct(), "the list of methods") > MAX_METHODS:
         raise ValueError(f"more than {MAX_METHODS} methods to compare")

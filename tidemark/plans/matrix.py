@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ RESULT_SCHEMA = """run_id string, cell string, dataset string, task string, seed
 selector string, model string, is_cached boolean, fallback_triggered boolean, n_extracted int, n_selected double,
 reduction_pct double, stability double, extraction_s double, selection_s double, fit_s double, predict_s double,
 ms_per_row double, total_s double, accuracy double, rmse double, mae double, r2 double, coverage double, width double,
-pooled_rmse double, pooled_mae double, pooled_r2 double, horizons string"""
+pooled_rmse double, pooled_mae double, pooled_r2 double, horizons string, saved_at timestamp"""
 METRICS = {
     "classification": ("accuracy",),
     "regression": ("rmse", "mae", "r2"),
@@ -264,6 +265,7 @@ class Matrix:
 
     def _append(self, record: dict) -> None:
         names = [f.strip().split()[0] for f in RESULT_SCHEMA.split(",")]
+        record = record | {"saved_at": datetime.now(UTC)}
         row = tuple(record.get(n) for n in names)
         self.spark.createDataFrame([row], RESULT_SCHEMA).write.mode("append").parquet(self.results_path)
 
@@ -279,11 +281,12 @@ def inventory(results: DataFrame) -> DataFrame:
 
 
 def analyse(results: DataFrame, task_type: str, alpha: float = 0.05) -> dict[str, DataFrame]:
-    """Summaries and paired tests of one task: by extractor, selector and their combination."""
+    """Summaries and paired tests of the quality and cost of one task: by extractor, selector and their combination."""
     rows = results.filter(F.col("task") == task_type).select(
         *[null_label(c).alias(n) for c, n in (("dataset", "Dataset"), ("extractor", "Extractor"), ("selector", "Selector"), ("model", "Model"))],
         F.col("seed").alias("Seed"),
         "is_cached",
+        "saved_at",
         *[F.col(c).alias(n) for c, n in METRIC_LABELS.items()],
     )
     rows = rows.withColumn("Combination", F.concat_ws(" + ", "Extractor", "Selector"))
@@ -292,8 +295,9 @@ def analyse(results: DataFrame, task_type: str, alpha: float = 0.05) -> dict[str
     out = {}
     for group in ("Extractor", "Selector", "Combination"):
         out[f"summary:{group}"] = aggregate.summary_statistics(rows, [group], quality + cost)
-        for metric in quality:
-            out[f"tests:{group}:{metric}"] = compare.pairwise_tests(rows, group, metric, alpha)
+        for metric in quality + cost:
+            # Of a cell that was run again the last result counts.
+            out[f"tests:{group}:{metric}"] = compare.pairwise_tests(rows, group, metric, alpha, order=["saved_at"])
         out[f"ranks:{group}:{quality[0]}"] = compare.average_ranks(rows, quality[0], group, "Dataset")
     return out
 
