@@ -255,7 +255,8 @@ def mann_whitney(features: DataFrame, targets: DataFrame) -> DataFrame:
     values = hist.groupBy("feature", "value").agg(
         F.sum("c").alias("n"), F.collect_list(F.struct("y", "c")).alias("parts")
     )
-    ranked = prefix_sums(values, ["feature"], ["value"], {"__n": F.col("n")})
+    # Measured, ranked and summed from one written table: the join of features and targets runs once.
+    ranked = cut_lineage(prefix_sums(cut_lineage(values), ["feature"], ["value"], {"__n": F.col("n")}))
     ranked = ranked.withColumn("rank", F.col("__n_before") + (F.col("n") + 1) / 2)
     t = F.col("n").cast("double")
     per_feature = ranked.groupBy("feature").agg(
@@ -336,7 +337,8 @@ def kendall(features: DataFrame, targets: DataFrame) -> DataFrame:
     data = labelled(features, targets).select(
         "feature", ID, "value", F.col("y").cast("double").alias("y")
     )
-    ordered = with_position(data, ["feature"], ["value", "y", ID], "p", "n")
+    ordered = cut_lineage(with_position(cut_lineage(data), ["feature"], ["value", "y", ID], "p", "n"))
+    data = ordered.select("feature", "value", "y")
     bits = F.ceil(F.log2(F.greatest(F.col("n"), F.lit(2)).cast("double"))).cast("int")
     levels = ordered.withColumn("level", F.explode(F.sequence(F.lit(0), bits - 1)))
     half = F.expr("shiftright(p, level)")
