@@ -25,7 +25,7 @@ PREFIXES = (4, 5, 6)
 # Toxic rows that a language needs in the calibration part for a threshold of its own.
 CALIBRATION_LEAST = 8
 # Words a worker remembers, and words convolved at a time.
-REMEMBERED, STRETCH = 1 << 19, 1 << 17
+REMEMBERED, STRETCH = 1 << 18, 1 << 15
 
 WORD = re.compile(r"[^\W\d_]+")
 # Empty rows after each document, so that no window reaches into the next.
