@@ -255,8 +255,8 @@ def mann_whitney(features: DataFrame, targets: DataFrame) -> DataFrame:
     values = hist.groupBy("feature", "value").agg(
         F.sum("c").alias("n"), F.collect_list(F.struct("y", "c")).alias("parts")
     )
-    # Measured, ranked and summed from one written table: the join of features and targets runs once.
-    ranked = cut_lineage(prefix_sums(cut_lineage(values), ["feature"], ["value"], {"__n": F.col("n")}))
+    # Measured and ranked from one written table: the join of features and targets runs once.
+    ranked = prefix_sums(cut_lineage(values), ["feature"], ["value"], {"__n": F.col("n")})
     ranked = ranked.withColumn("rank", F.col("__n_before") + (F.col("n") + 1) / 2)
     t = F.col("n").cast("double")
     per_feature = ranked.groupBy("feature").agg(
