@@ -286,6 +286,23 @@ def test_graph_finds_the_nearest_centroid():
     assert (exact.argmin(1) == ids[:, 0]).mean() > 0.97 and np.allclose(dist[:, 0], np.take_along_axis(exact, ids[:, :1], 1)[:, 0])
 
 
+@pytest.mark.parametrize("n, lists", [(32_000, 160), (48_000, 200), (64_000, 400)])
+def test_recall_of_many_lists_without_clusters(n, lists):
+    """The ratio alone chooses the lists, also where over 64 of them lie within it."""
+    points = np.random.default_rng(n).standard_normal((n, 24))
+    graph = vs.CentroidGraph.build(vs.fit_centroids(points[: n // 4], lists))
+    ratio = graph.fitted_ratio(points[: n // 4], 0.25, 10, vs.RECALL)
+    queries = np.arange(0, n, n // 100)
+    read = [set(x.tolist()) for x in graph.lists_for(points[queries], ratio)]
+    assert max(map(len, read)) > vs.BEAM
+    hits = 0
+    for q, own in zip(queries.tolist(), read):
+        d = ((points - points[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += sum(not own.isdisjoint(x.tolist()) for x in graph.lists_of(points[np.argsort(d)[:10]]))
+    assert hits >= 0.9 * 10 * len(queries)
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [0.0, 1.0]), (8, [1.0, 0.0])]
