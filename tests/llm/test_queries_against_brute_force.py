@@ -25,11 +25,11 @@ def rows(spark, number):
     return QUERIES[NAMES[number]](spark, SF).collect()
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert sorted(NAMES) == list(range(1, 11)) and "pipeline" in QUERIES
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted(NAMES) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
-@pytest.mark.parametrize("number", [5, 7, 8, 9])
+@pytest.mark.parametrize("number", [5, 7, 8, 9, 11, 12, 13])
 def test_equals_sql(spark, number):
     assert differences(connect(SF), QUERIES[NAMES[number]](spark, SF), ORACLES[NAMES[number]]) == []
 

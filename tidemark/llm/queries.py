@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import find_contamination
+from tidemark.llm.hard_negatives import mine_hard_negatives
 from tidemark.llm.html_text import extract_main_text
+from tidemark.llm.lexical_rank import rank_documents
+from tidemark.llm.line_dedup import kept_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.secret_scan import scan_secrets
 from tidemark.llm.sharding import assign_shards
@@ -180,3 +183,76 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.cosine", "m.lcs", "m.answer")
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                 list_reduce(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]), lambda x, y: x + y)::BIGINT AS score
+          FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+    QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved))
+
+
+def _terms_sql(source: str, key: str) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, unnest(regexp_extract_all({lowered}, '{pattern}')) AS term FROM {source}"
+
+
+@query(
+    "op12_lexical_rank",
+    f"""
+    WITH w AS ({_terms_sql("documents", "doc_id")}),
+    tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM w GROUP BY ALL),
+    d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+    c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM d),
+    m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // length AS m FROM d, c),
+    q AS ({_terms_sql("benchmark", "item_id")}),
+    qf AS (SELECT item_id, term, count(*)::BIGINT AS times FROM q GROUP BY ALL),
+    df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+    wt AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, c),
+    s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM qf JOIN wt USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+    SELECT item_id, (row_number() OVER r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+    WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 20
+    """,
+)
+def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rank_documents(docs, table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query(
+    "op13_line_dedup",
+    """
+    WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM t),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    m AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+    x AS (SELECT k.*, coalesce(k.doc_id > m.first, false) AS gone FROM k LEFT JOIN m USING (key))
+    SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM x GROUP BY doc_id
+    """,
+)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return kept_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
