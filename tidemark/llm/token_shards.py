@@ -8,8 +8,10 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,7 +43,10 @@ _CLASS[48:58] = 1
 _CLASS[9:14] = _WHITE
 _CLASS[32] = _SPACE
 _CLASS[0] = _END  # stands between texts
-# Hashing of pieces: a random 64-bit number for each byte times a power of an odd number for each place.
+
+
+# Hashing of pieces: a random 64-bit number for each byte times a power of an odd number for each place. Pieces that share a
+# hash are compared byte by byte.
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -106,8 +111,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        """Known pieces by hash, and by number their ids and their bytes, each in one array with starts and lengths."""
         self.known: dict[int, int] = {}
         self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.bytes, self.byte_starts, self.byte_lengths = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
         tokenize, letters = self.tokenizer.model.tokenize, self.letters
@@ -116,6 +123,10 @@ class Encoder:
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.flat, self.lengths = np.concatenate((self.flat, flat)), np.concatenate((self.lengths, lengths))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.byte_starts = np.concatenate((self.byte_starts, len(self.bytes) + np.cumsum(lengths) - lengths))
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(pieces), np.uint8)))
+        self.byte_lengths = np.concatenate((self.byte_lengths, lengths))
 
     def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
         joined = ("\0".join(texts) + "\0").encode()
@@ -124,26 +135,31 @@ class Encoder:
             n = 2 * len(data) + 1
             self.powers, self.inverse = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
         starts = piece_starts(data)
-        ends = np.append(starts[1:], len(data))
+        sizes = np.diff(np.append(starts, len(data)))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * self.powers[: len(data)], dtype=np.uint64)))
-        hashes = (sums[ends] - sums[starts]) * self.inverse[starts]
+        hashes = (sums[starts + sizes] - sums[starts]) * self.inverse[starts]
         real = data[starts] != 0
-        different, first, which = np.unique(hashes[real], return_index=True, return_inverse=True)
-        numbers = list(map(self.known.get, different.tolist()))
-        new = [i for i, n in enumerate(numbers) if n is None]
-        if new:
-            begin, end = starts[real][first[new]].tolist(), ends[real][first[new]].tolist()
-            for i, h in zip(new, different[new].tolist()):
-                numbers[i] = self.known[h] = len(self.known)
-            self._learn([joined[x:y] for x, y in zip(begin, end)])
-        numbers = np.array(numbers, np.int64)
+        at, own = starts[real], sizes[real]
+        # Hashes are numbered as they turn up, so a hash is first seen where the highest number so far grows.
+        which, different = pd.factorize(hashes[real])
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+        numbers = np.fromiter(map(self.known.get, different.tolist(), repeat(-1)), np.int64, len(different))
+        old, new = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        alike = np.array_equal(own, own[first][which]) and np.array_equal(data[data != 0], _gather(data, at[first], own[first], which))
+        alike = alike and np.array_equal(own[first[old]], self.byte_lengths[numbers[old]])
+        if not alike or not np.array_equal(_gather(data, at, own, first[old]), _gather(self.bytes, self.byte_starts, self.byte_lengths, numbers[old])):
+            # Different pieces with one hash: these texts are encoded as wholes.
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        if len(new):
+            numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(different[new].tolist(), numbers[new].tolist()))
+            self._learn([joined[a : a + n] for a, n in zip(at[first[new]].tolist(), own[first[new]].tolist())])
         numbers = numbers[which]
         ids = _gather(self.flat, self.starts, self.lengths, numbers)
         totals = np.zeros(len(starts) + 1, np.int64)
         totals[1:][real] = self.lengths[numbers]
         totals = np.cumsum(totals)
-        closing = np.flatnonzero(~real)
-        return np.split(ids, totals[closing][:-1])
+        return np.split(ids, totals[np.flatnonzero(~real)][:-1])
 
     def encoded(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as encoding the whole text gives them. Long texts are taken in stretches that end where
@@ -220,11 +236,16 @@ def repair(ids: np.ndarray, doc_starts: np.ndarray, vocabulary: int) -> tuple[np
         if len(often) > room:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:room]])
         pairs = ordered[at[often]]
-        # A small table of hashes leaves out most places before the exact look-up.
-        likely = np.zeros(1 << 16, bool)
-        likely[_slot(pairs, shift)] = True
-        places = np.flatnonzero(likely[_slot(keys, shift)] & ~first[1:])
-        found = np.minimum(np.searchsorted(pairs, keys[places]), len(pairs) - 1)
+        # A small table of hashes has the one pair of a slot; only slots of several pairs are searched.
+        slots = _slot(pairs, shift)
+        table = np.full(1 << 16, -1, np.int32)
+        table[slots] = np.arange(len(pairs))
+        table[np.flatnonzero(np.bincount(slots, minlength=1 << 16) > 1)] = len(pairs)
+        found = table[_slot(keys, shift)]
+        places = np.flatnonzero((found >= 0) & ~first[1:])
+        found = found[places]
+        several = np.flatnonzero(found == len(pairs))
+        found[several] = np.minimum(np.searchsorted(pairs, keys[places[several]]), len(pairs) - 1)
         hit = pairs[found] == keys[places]
         places, found = places[hit], found[hit]
         # In a run of neighbouring places the first, third, ... are taken.
