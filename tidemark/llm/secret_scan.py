@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,14 +22,25 @@ HEX_RUN = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "literal")
 
-# One assignment: a name (bare, quoted, dotted or the key in brackets), an operator, and what follows it.
+# One assignment: a name (bare, quoted, dotted or the key in brackets), a type where one is stated, an operator, and what
+# follows it. A type after a colon counts as one only if a quoted value comes next.
 TARGET = re.compile(
     r"""(?<![\w.$-])(?P<quote>["'`]?)(?P<name>[A-Za-z_$][\w.$-]*+)(?P=quote)(?:\[\s*["'](?P<key>[^"'\]\n]++)["']\s*\])?"""
-    r"""[ \t]*+(?::=|=>|=(?![=~>])|:(?![/:=]))[ \t]*+"""
+    r"""(?:[ \t]++string\b(?=[ \t]*+:?=))?[ \t]*+"""
+    r"""(?:\??:[ \t]*+[A-Za-z_][\w.]*+(?:\[[^\]\n"']{0,60}\]|<[^>\n"']{0,60}>)?(?:[ \t]*+\|[ \t]*+\w++){0,4}[ \t]++=[ \t]*+(?=["'`])"""
+    r"""|:=|=>|=(?![=~>])|:(?![/:=]))[ \t]*+"""
 )
+# A bare value ends before "&", and before "=" unless that pads its end: what follows is another assignment's.
 TERM = re.compile(
     r"""(?P<string>"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|`(?P<back>[^`\n]*+)`)"""
-    r"""|(?P<bare>[A-Za-z0-9_$+/.=~@%^&*!-]++)"""
+    r"""|(?P<bare>[A-Za-z0-9_$+/.~@%^*!-]++=*+)"""
+)
+# A quoted value may follow on the next line, in brackets or after a line's end mark.
+NEXT_LINE = re.compile(r"""[ \t]*+[(\\]?[ \t]*+\r?\n[ \t]*+(?=["'`])""")
+# Names and literals that stand side by side: attributes of one tag, and arguments of one call.
+PAIRS = (
+    re.compile(r"""\b(?:key|name|id)[ \t]*+=[ \t]*+["'](?P<name>[\w.$:-]++)["'][^<>\n]{0,200}?\bvalue[ \t]*+=[ \t]*+(?P<mark>["'])(?P<value>[^"'\n]*+)(?P=mark)"""),
+    re.compile(r"""\b\w*(?:define|env|environ|put|set|property|default|option)\w*+\([ \t]*+["'](?P<name>[\w.$:-]++)["'][ \t]*+,[ \t]*+(?P<mark>["'])(?P<value>[^"'\n]*+)(?P=mark)""", re.I),
 )
 PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|~)[ \t]*+(?=[\"'`A-Za-z_$])")
 NAME = re.compile(r"[A-Za-z_$][\w.$-]*")
@@ -42,21 +54,70 @@ NAME_WEIGHTS = {
     ("api", "key"): 3.0, ("access", "key"): 3.0, ("private", "key"): 3.0, ("signing", "key"): 3.0, ("encryption", "key"): 3.0,
 }
 THRESHOLD = 5.0
+# Characters of a value that are kept as text, and characters that are counted one by one.
+HEAD, MOST_COUNTED = 256, 1e12
 
 
+@lru_cache(1 << 16)
 def name_score(name: str) -> float:
     words = {p.lower() for p in PARTS.findall(name)}
     return max((w for need, w in NAME_WEIGHTS.items() if words.issuperset(need)), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    if len(value) < 6 or PLACEHOLDER.match(value):
+class Value:
+    """What a score needs of a string: how often each character occurs, and its beginning. Constants that are joined to each
+    other again and again add up their counts, never their text; counts above MOST_COUNTED are kept in proportion. A value
+    without constants is counted when it is first asked for."""
+
+    __slots__ = ("parts", "start", "stop", "_counts", "_length", "_head")
+
+    def __init__(self, parts: list[str | Value], start: int, stop: int) -> None:
+        self.parts, self.start, self.stop, self._counts = parts, start, stop, None
+        if any(isinstance(p, Value) for p in parts):
+            self._count()
+
+    def _count(self) -> None:
+        counts: Counter = Counter()
+        length, head = 0.0, ""
+        for part in self.parts:
+            own = part if isinstance(part, Value) else None
+            counts.update(own.counts if own else part)
+            length += own.length if own else len(part)
+            if len(head) <= HEAD:
+                head += own.head if own else part[: HEAD + 1]
+        if length > MOST_COUNTED:
+            counts, length = {c: n * MOST_COUNTED / length for c, n in counts.items()}, MOST_COUNTED
+        self._counts, self._length, self._head, self.parts = counts, length, head[: HEAD + 1], []
+
+    @property
+    def counts(self) -> dict[str, float]:
+        if self._counts is None:
+            self._count()
+        return self._counts
+
+    @property
+    def length(self) -> float:
+        return self._length if self.counts is not None else 0.0
+
+    @property
+    def head(self) -> str:
+        return self._head if self.counts is not None else ""
+
+    @property
+    def placeholder(self) -> bool:
+        """Whether it stands for a value; beyond HEAD characters only repeats of one sign do."""
+        if self.length <= HEAD:
+            return PLACEHOLDER.match(self.head) is not None
+        return any(set(self.counts) <= set(same) for same in ("xX", "*", ".", "0"))
+
+
+def literal_score(value: Value) -> float:
+    if value.length < 6 or value.placeholder:
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    score = 1.0 + (entropy >= 2.5) + (entropy >= 3.2) + mixed + (len(value) >= 16)
-    return score - 2.0 * any(c.isspace() for c in value)
+    entropy = -sum(n / value.length * math.log2(n / value.length) for n in value.counts.values() if n > 0)
+    mixed = any(c.isdigit() for c in value.counts) and any(c.isalpha() for c in value.counts)
+    score = 1.0 + (entropy >= 2.5) + (entropy >= 3.2) + mixed + (value.length >= 16)
+    return score - 2.0 * any(c.isspace() for c in value.counts)
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
@@ -73,49 +134,72 @@ def _lines(text: str) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
-def _value(text: str, at: int, end: int, known: dict) -> tuple[str, int, int] | None:
-    """The right side at a place: its string and the span that states it. That is where its own literals stand, or where
-    the constant it names was given its literal."""
-    parts, own, named = [], [], None
+def _triple(text: str, at: int) -> tuple[int, int] | None:
+    """Bounds of what stands between triple quotes at a place."""
+    mark = text[at : at + 3]
+    if mark not in ('"""', "'''"):
+        return None
+    end = text.find(mark, at + 3)
+    return (at + 3, end) if end >= 0 else None
+
+
+def _value(text: str, at: int, end: int, known: dict[str, Value]) -> Value | None:
+    """The right side at a place, with the span that states it. That is where its own literals stand, or where the constant
+    it names was given its literal."""
+    parts: list[str | Value] = []
+    own: list[tuple[int, int]] = []
+    named = None
+    if over := NEXT_LINE.match(text, at):
+        at = over.end()
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+    if triple := _triple(text, at):
+        return Value([text[slice(*triple)]], *triple)
     while (m := TERM.match(text, at, end)) is not None:
-        kind = next(g for g in ("double", "single", "back", "bare") if m[g] is not None)
+        kind = m.lastgroup if m.lastgroup == "bare" else next(g for g in ("double", "single", "back") if m[g] is not None)
         part = m[kind]
         if kind == "bare" and part in known:
-            part, *named = known[part]
+            named = known[part]
+            parts.append(named)
         elif kind == "bare" and parts and NAME.fullmatch(part):
             break
         else:
             own.append(m.span(kind))
-        parts.append(part)
+            parts.append(part)
         plus = PLUS.match(text, m.end(), end)
         if plus is None:
             break
         at = plus.end()
     if not parts:
         return None
-    start, stop = (own[0][0], own[-1][1]) if own else named
-    return "".join(parts), start, stop
+    start, stop = (own[0][0], own[-1][1]) if own else (named.start, named.stop)
+    return Value(parts, start, stop)
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of the literals that sensitive targets get, directly or through constants."""
-    known: dict[str, tuple[str, int, int]] = {}
-    found = {}
+    known: dict[str, Value] = {}
+    found: dict[tuple[int, int], tuple[str, float]] = {}
+
+    def given(name: str, value: Value) -> None:
+        known[name] = value
+        weight, looks = name_score(name), 0.0
+        if weight > 0 and value.start <= value.stop:
+            looks = literal_score(value)
+        span = (value.start, value.stop)
+        if looks > 0 and weight + looks >= THRESHOLD and weight + looks > found.get(span, ("", 0.0))[1]:
+            found[span] = (name, weight + looks)
+
     for start, end in _lines(text):
         at = start
         while (m := TARGET.search(text, at, end)) is not None:
             at = m.end()
             value = _value(text, at, end, known)
-            if value is None:
-                continue
-            string, a, b = value
-            name = m["key"] or m["name"]
-            known[name] = (string, a, b)
-            weight = name_score(name)
-            if weight > 0 and a <= b:
-                score = weight + literal_score(string)
-                if literal_score(string) > 0 and score >= THRESHOLD and score > found.get((a, b), ("", 0.0))[1]:
-                    found[a, b] = (name, score)
+            if value is not None:
+                given(m["key"] or m["name"], value)
+    for pair in PAIRS:
+        for m in pair.finditer(text):
+            given(m["name"], Value([m["value"]], *m.span("value")))
     return [(a, b, name, score) for (a, b), (name, score) in found.items()]
 
 
@@ -148,9 +232,12 @@ def scan_secrets(docs: DataFrame, *, text: str = "text") -> DataFrame:
     exclusive) and literals, the name-literal pairs that the lexer adds, with target names and scores.
 
     Lines with an assignment are lexed into targets and values: quoted strings, bare values and their concatenation. A
-    name that was given a literal stands for it in later values, so a secret is found where its text is, also if the
-    sensitive name only gets it by reference. A literal counts if the words of the name and the look of the literal
-    together reach THRESHOLD.
+    target may state a type; a quoted value may follow on the next line or go over lines in triple quotes. Names and
+    literals in attributes of a tag (key, value) and in arguments of a defining call are pairs too. A name that was given a
+    literal stands for it in later values, so a secret is found where its text is, also if the sensitive name only gets it
+    by reference. A literal counts if the words of the name and the look of the literal together reach THRESHOLD. Joined
+    constants are scored from their character counts, so no text is built up; of a value longer than HEAD characters only
+    repeats of one sign are a placeholder.
 
     Null and empty texts have no spans; repeated rows are scanned each; an empty table gives an empty result; columns
     named as a result's are replaced. Whole texts are scanned, whatever their length.
