@@ -13,7 +13,7 @@ from tidemark.session import cut_lineage
 # White space that is stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 # A key is hot from 1 / HOT_SHARE of all lines on, so at most HOT_SHARE keys are; below HOT_ROWS lines none is.
-HOT_SHARE, HOT_ROWS = 4096, 10_000
+HOT_SHARE, HOT_ROWS = 4096, 1024
 # Leading bits of a hash by which lines are counted first; only buckets that could hold a hot key are counted by key.
 BUCKET_BITS = 16
 
