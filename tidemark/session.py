@@ -58,6 +58,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one piece of work, in the shared checkpoint folder. They go when they are dropped, the rest when the
+    work is done; what has to outlive it is written with `cut_lineage`.
+
+        with Scratch(spark) as scratch:
+            a = scratch.cut(df)
+            result = cut_lineage(a.join(...))
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def cut(self, df: DataFrame, *instead: DataFrame) -> DataFrame:
+        """Write the rows once and read them from there; tables that were only needed for them go."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((written, path))
+        self.drop(*instead)
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for t, p in self.tables if any(t is x for x in tables)]:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def require_small(df: DataFrame, what: str) -> int:
     """Row count of a table meant for broadcast or the driver; raise if it has outgrown that."""
     cap = limit(df.sparkSession, MAX_SMALL_ROWS)
