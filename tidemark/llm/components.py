@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import Scratch, cut_lineage
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -20,13 +20,15 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (node, root): root is the smallest node reachable from node. Every node of an edge is in
-    the result. Edges stay in tables; the driver sees their count and a checksum. Rounds go on until nothing changes."""
-    edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark, edges = now, cut_lineage(_stars(edges))
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    the result. Edges stay in tables, of which each replaces the one before; the driver sees their count and a checksum.
+    Rounds go on until nothing changes."""
+    with Scratch(edges.sparkSession) as scratch:
+        edges = scratch.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+        mark = None
+        while True:
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == mark:
+                break
+            mark, edges = now, scratch.cut(_stars(edges), edges)
+        roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        return cut_lineage(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots))
