@@ -278,8 +278,9 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabula
     """The ids that a stretch of the sequence stands for."""
     if not len(rules):
         return symbols.astype(np.uint32)
-    used = np.unique(symbols[symbols >= vocabulary])
-    flat: list[np.ndarray] = []
+    held = np.zeros(vocabulary + len(rules), bool)
+    held[symbols] = True
+    used = np.flatnonzero(held)
     known: dict[int, np.ndarray] = {}
 
     def ids_of(x: int) -> np.ndarray:
@@ -290,12 +291,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocabula
             known[x] = np.concatenate((ids_of(a), ids_of(b)))
         return known[x]
 
-    flat = [ids_of(int(x)) for x in used]
-    plain = np.unique(symbols[symbols < vocabulary]).astype(np.uint32)
-    table = np.concatenate((plain, *flat))
+    plain = used[used < vocabulary]
+    flat = [ids_of(x) for x in used[len(plain) :].tolist()]
+    table = np.concatenate((plain.astype(np.uint32), *flat))
     sizes = np.concatenate((np.ones(len(plain), np.int64), np.array([len(x) for x in flat], np.int64)))
-    numbers = np.searchsorted(np.concatenate((plain, used.astype(np.uint32))), symbols.astype(np.uint32))
-    return _gather(table, np.cumsum(sizes) - sizes, sizes, numbers)
+    place = np.zeros(len(held), np.int32)
+    place[used] = np.arange(len(used))
+    return _gather(table, np.cumsum(sizes) - sizes, sizes, place[symbols])
 
 
 class Block:
