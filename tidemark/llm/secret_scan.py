@@ -37,11 +37,14 @@ TERM = re.compile(
 )
 # A quoted value may follow on the next line, in brackets or after a line's end mark.
 NEXT_LINE = re.compile(r"""[ \t]*+[(\\]?[ \t]*+\r?\n[ \t]*+(?=["'`])""")
-# Names and literals that stand side by side: attributes of one tag, and arguments of one call.
-PAIRS = (
-    re.compile(r"""\b(?:key|name|id)[ \t]*+=[ \t]*+["'](?P<name>[\w.$:-]++)["'][^<>\n]{0,200}?\bvalue[ \t]*+=[ \t]*+(?P<mark>["'])(?P<value>[^"'\n]*+)(?P=mark)"""),
-    re.compile(r"""\b\w*(?:define|env|environ|put|set|property|default|option)\w*+\([ \t]*+["'](?P<name>[\w.$:-]++)["'][ \t]*+,[ \t]*+(?P<mark>["'])(?P<value>[^"'\n]*+)(?P=mark)""", re.I),
+# Names and literals that stand side by side: attributes of one tag, and arguments of one call that defines something.
+ATTRIBUTES = re.compile(
+    r"""\b(?:key|name|id)[ \t]*+=[ \t]*+["'](?P<name>[\w.$:-]++)["'][^<>\n]{0,200}?\bvalue[ \t]*+=[ \t]*+(?P<mark>["'])(?P<value>[^"'\n]*+)(?P=mark)"""
 )
+ARGUMENTS = re.compile(
+    r"""\b(?P<call>\w++)\([ \t]*+["'](?P<name>[\w.$:-]++)["'][ \t]*+,[ \t]*+(?P<mark>["'])(?P<value>[^"'\n]*+)(?P=mark)"""
+)
+DEFINES = re.compile(r"define|env|environ|put|set|property|default|option", re.I)
 PLUS = re.compile(r"[ \t]*+(?:\+|\.\.|~)[ \t]*+(?=[\"'`A-Za-z_$])")
 NAME = re.compile(r"[A-Za-z_$][\w.$-]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -197,9 +200,11 @@ def literal_spans(text: str) -> list[tuple[int, int, str, float]]:
             value = _value(text, at, end, known)
             if value is not None:
                 given(m["key"] or m["name"], value)
-    for pair in PAIRS:
-        for m in pair.finditer(text):
-            given(m["name"], Value([m["value"]], *m.span("value")))
+    pairs = list(ATTRIBUTES.finditer(text)) if "value" in text else []
+    if '("' in text or "('" in text or "( " in text:
+        pairs += [m for m in ARGUMENTS.finditer(text) if DEFINES.search(m["call"])]
+    for m in pairs:
+        given(m["name"], Value([m["value"]], *m.span("value")))
     return [(a, b, name, score) for (a, b), (name, score) in found.items()]
 
 
