@@ -62,15 +62,14 @@ def series(spark):
 SETS = {
     "statistical": lambda df: signal.statistical_domain(df, channels=["v"]),
     "temporal": lambda df: signal.temporal_domain(df, channels=["v"]),
-    "mixed": lambda df: signal.mixed_set(df, channels=["v"], long_sequences="null"),
+    "mixed": lambda df: signal.mixed_set(df, channels=["v"]),
     "drift": lambda df: drift.drift_features(df, channels=["v"]),
     "compact": lambda df: compact.compact_features(df, channels=["v"], n_fft_coeffs=5),
     "lags": lambda df: basic.lag_correlations(df, channels=["v"]),
     "wide": lambda df: efficient.efficient_features(
-        df, channels=["v"], fft_coefficients=20, long_sequences="null", query=[1.0, 2.0, 1.0, 0.5], threshold=1.0
+        df, channels=["v"], fft_coefficients=20, comprehensive=True, query=[1.0, 2.0, 1.0, 0.5], threshold=1.0
     ),
 }
-SERIAL = ("lzc", "fft_aggregated", "number_cwt_peaks", "augmented_dickey_fuller", "lempel_ziv")
 
 
 def by_id(df):
@@ -92,17 +91,10 @@ def test_feature_set_of_long_sequences(spark, series, name):
         assert row.keys() == split[s].keys()
         for feature, want in row.items():
             got = split[s][feature]
-            if s == 2 and feature.startswith(SERIAL):
-                assert got is None
-            elif isinstance(want, float) and want == want:
+            if isinstance(want, float) and want == want:
                 assert math.isclose(got, want, rel_tol=1e-7, abs_tol=1e-7), (s, feature)
 
 
-def test_long_sequences_are_refused_by_default(spark, series, small_tasks):
-    with pytest.raises(ValueError):
-        efficient.efficient_features(series, channels=["v"])
-
-
 def test_slow_decay_needs_several_rounds(spark, small_tasks):
     n = 3000
     rows = [(1, i, float(i)) for i in range(n)] + [(2, i, float((-1) ** i)) for i in range(n)]

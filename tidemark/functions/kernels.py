@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.fourier import by_length
+from tidemark.functions.matches import match_shares
+from tidemark.functions.phrases import PhraseParse
+from tidemark.functions.range_order import RangeOrder
 
 _ARRAY = T.ArrayType(T.DoubleType())
 
@@ -76,22 +79,32 @@ def welch_coefficients(xs: Column, coefficients) -> Column:
     return _matrix_udf(len(coefficients), lambda v: _take(welch_density(v), coefficients), xs)
 
 
+def _moments(s: np.ndarray) -> np.ndarray:
+    """Centroid, variance, skew and kurtosis from the sums of a spectrum times the powers 0..4 of the place."""
+    m1, m2, m3, m4 = (s[:, p] / s[:, 0] for p in range(1, 5))
+    var = m2 - m1**2
+    small = var < 0.5
+    skew = np.where(small, np.nan, (m3 - 3 * m1 * var - m1**3) / var**1.5)
+    kurt = np.where(small, np.nan, (m4 - 4 * m1 * m3 + 6 * m2 * m1**2 - 3 * m1) / var**2)
+    return np.stack([m1, var, skew, kurt], axis=1)
+
+
 def spectrum_moments(xs: Column) -> Column:
     """Centroid, variance, skew and kurtosis of the absolute Fourier spectrum."""
 
     def moments(values):
         a = np.abs(np.fft.rfft(values, axis=1))
         k = np.arange(a.shape[1])
-        m1, m2, m3, m4 = (a @ k**p / a.sum(axis=1) for p in (1.0, 2.0, 3.0, 4.0))
-        var = m2 - m1**2
-        small = var < 0.5
-        skew = np.where(small, np.nan, (m3 - 3 * m1 * var - m1**3) / var**1.5)
-        kurt = np.where(small, np.nan, (m4 - 4 * m1 * m3 + 6 * m2 * m1**2 - 3 * m1) / var**2)
-        return np.stack([m1, var, skew, kurt], axis=1)
+        return _moments(np.stack([a @ k**p for p in (0.0, 1.0, 2.0, 3.0, 4.0)], axis=1))
 
     return _matrix_udf(4, moments, xs)
 
 
+def moments_of_sums(sums: Column) -> Column:
+    """The same from the sums of the spectrum times the powers 0..4 of the place."""
+    return _matrix_udf(4, _moments, sums)
+
+
 def _entropy(counts: np.ndarray) -> float:
     p = counts[counts > 0] / counts.sum()
     return float(-(p * np.log(p)).sum())
@@ -143,40 +156,71 @@ def wavelet_coefficients(xs: Column, widths, n_coefficients: int) -> Column:
     return _matrix_udf(len(widths) * n_coefficients, transform, xs)
 
 
+def ridge_lines(tops: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, level, length) of the lines that the peaks of the levels n - 1 .. 0 form, as far as they are alive at the end. A
+    peak goes on with the nearest line within a quarter of its width (the earliest of several), or begins one; a line that
+    finds no peak in two levels ends. Peaks of each level are in order of place."""
+    at, level, length, gap = (np.empty(0, np.int64) for _ in range(4))
+    for now in range(n - 1, -1, -1):
+        peaks = np.asarray(tops[now], np.int64)
+        gap = gap + 1
+        alive = np.flatnonzero(gap <= 2)
+        fresh = np.ones(len(peaks), bool)
+        if len(alive) and len(peaks):
+            ends, first = np.unique(at[alive], return_index=True)
+            right = np.searchsorted(ends, peaks)
+            left, right = np.maximum(right - 1, 0), np.minimum(right, len(ends) - 1)
+            far_left, far_right = np.abs(ends[left] - peaks), np.abs(ends[right] - peaks)
+            take_left = (far_left < far_right) | ((far_left == far_right) & (first[left] < first[right]))
+            own = alive[first[np.where(take_left, left, right)]]
+            fresh = np.minimum(far_left, far_right) > (now + 1) / 4
+            np.add.at(length, own[~fresh], 1)
+            at[own[~fresh]], level[own[~fresh]], gap[own[~fresh]] = peaks[~fresh], now, 0
+        more = peaks[fresh]
+        at, level = np.concatenate((at, more)), np.concatenate((level, np.full(len(more), now)))
+        length, gap = np.concatenate((length, np.ones(len(more), np.int64))), np.concatenate((gap, np.zeros(len(more), np.int64)))
+    alive = gap <= 1
+    return at[alive], level[alive], length[alive]
+
+
+def ridge_rows(x: np.ndarray, n: int, size: int) -> list[np.ndarray]:
+    """The Ricker transform of (part of) a sequence of `size` values at the widths 1..n."""
+    rows = []
+    for w in range(1, n + 1):
+        wave = ricker(min(10 * w, size), w)
+        rows.append(np.convolve(x, wave, mode="full")[(len(wave) - 1) // 2 :][: len(x)])
+    return rows
+
+
+def standing_lines(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ridge lines that are long enough, and the transform there."""
+    tops = [1 + np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] > r[2:])) for r in rows]
+    at, level, length = ridge_lines(tops, len(rows))
+    long = length >= math.ceil(len(rows) / 4)
+    at, level = at[long], level[long]
+    return at, np.stack(rows)[level, at] if len(at) else np.empty(0)
+
+
+def noise_window(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the stretch around each place whose lowest tenth is the noise."""
+    width = math.ceil(size / 20)
+    return np.maximum(at - width // 2, 0), np.minimum(at + width // 2 + width % 2, size)
+
+
 def wavelet_peaks(xs: Column, counts) -> Column:
     """Number of ridge lines of the Ricker transform over widths 1..n that stand out of the noise."""
 
     def peaks(x, n):
-        size = len(x)
-        rows = [np.convolve(x, ricker(min(10 * w, size), w), mode="same") for w in range(1, n + 1)]
-        tops = []
-        for r in rows:
-            inner = np.zeros(size, bool)
-            inner[1:-1] = (r[1:-1] > r[:-2]) & (r[1:-1] > r[2:])
-            tops.append(np.flatnonzero(inner))
-        lines = []
-        for level in range(n - 1, -1, -1):
-            ends = np.array([line["at"] for line in lines])
-            for p in tops[level]:
-                near = np.abs(ends - p) if len(ends) else np.array([])
-                if len(near) and near.min() <= (level + 1) / 4:
-                    line = lines[int(near.argmin())]
-                    line.update(at=p, gap=0, level=level, length=line["length"] + 1)
-                else:
-                    lines.append({"at": p, "gap": 0, "level": level, "length": 1, "done": False})
-            for line in lines:
-                line["gap"] += line["level"] != level
-            lines = [line if line["gap"] <= 1 else {**line, "at": -(10**9)} for line in lines]
-        half = math.ceil(size / 20) // 2
-        odd = math.ceil(size / 20) % 2
-        found = 0
-        for line in lines:
-            place = line["at"]
-            if place < 0 or line["length"] < math.ceil(n / 4):
-                continue
-            noise = np.percentile(rows[0][max(place - half, 0) : min(place + half + odd, size)], 10)
-            found += abs(rows[line["level"]][place] / noise) >= 1 if noise else 1
-        return float(found)
+        rows = ridge_rows(x, n, len(x)) if len(x) > 2 else []
+        at, value = standing_lines(rows) if rows else (np.empty(0, np.int64), np.empty(0))
+        if not len(at):
+            return 0.0
+        start, stop = noise_window(at, len(x))
+        place = 0.1 * (stop - start - 1)
+        low = np.floor(place).astype(np.int64)
+        noise = RangeOrder(rows[0])
+        a, b = noise.smallest(start, stop, low), noise.smallest(start, stop, np.minimum(low + 1, stop - start - 1))
+        return float((np.abs(value) >= np.abs(a + (b - a) * (place - low))).sum())
 
     return _row_udf(len(counts), lambda x: [peaks(x, n) for n in counts], xs)
 
@@ -275,7 +319,7 @@ _UNIT_ROOT_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 _UNIT_ROOT_RANGE = (-18.83, -1.61, 2.74)
 
 
-def _unit_root_p(t: float) -> float:
+def unit_root_p(t: float) -> float:
     low, star, high = _UNIT_ROOT_RANGE
     if t > high:
         return 1.0
@@ -321,7 +365,7 @@ def unit_root(xs: Column) -> Column:
             return [np.nan] * 3
         spread = math.sqrt(ssr / free * np.linalg.pinv(design.T @ design)[0, 0])
         t = beta[0] / spread
-        return [t, _unit_root_p(t), float(used)]
+        return [t, unit_root_p(t), float(used)]
 
     return _row_udf(3, one, xs)
 
@@ -354,32 +398,19 @@ def block_products(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def _phrase_count(symbols: bytes) -> int:
-    seen, at, length, n = set(), 0, 1, len(symbols)
-    while at + length <= n:
-        phrase = symbols[at : at + length]
-        if phrase in seen:
-            length += 1
-        else:
-            seen.add(phrase)
-            at += length
-            length = 1
-    return len(seen)
-
-
 def phrase_complexity(xs: Column, bins) -> Column:
     """Distinct phrases of the equal-width symbol sequence over its length, per number of bins."""
 
     def one(x):
         edges = [np.linspace(x.min(), x.max(), b + 1)[1:] for b in bins]
-        return [_phrase_count(np.searchsorted(e, x).astype(np.uint8).tobytes()) / len(x) for e in edges]
+        return [PhraseParse(b).feed(np.searchsorted(e, x).astype(np.uint8).tobytes()).count / len(x) for b, e in zip(bins, edges)]
 
     return _row_udf(len(bins), one, xs)
 
 
 def threshold_complexity(xs: Column, threshold: float) -> Column:
     """The same over the two symbols above / not above a threshold."""
-    return _row_udf(1, lambda x: [_phrase_count((x > threshold).astype(np.uint8).tobytes()) / len(x)], xs)
+    return _row_udf(1, lambda x: [PhraseParse(2).feed((x > threshold).astype(np.uint8).tobytes()).count / len(x)], xs)
 
 
 def order_entropy(xs: Column, dimensions, tau: int = 1) -> Column:
@@ -441,12 +472,6 @@ def similar_windows(xs: Column, query, threshold: float, normalise: bool = True)
     return _row_udf(1, one, xs)
 
 
-def _match_shares(x: np.ndarray, m: int, radius: float) -> np.ndarray:
-    """For each window of length m the number of windows within the radius (itself included)."""
-    parts = np.lib.stride_tricks.sliding_window_view(x, m)
-    return np.array([(np.abs(parts - p).max(axis=1) <= radius).sum() for p in parts], float)
-
-
 def sample_entropy(xs: Column) -> Column:
     """-ln of the chance that windows alike over two steps stay alike over three."""
 
@@ -454,8 +479,8 @@ def sample_entropy(xs: Column) -> Column:
         radius = 0.2 * x.std()
         if len(x) < 4:
             return [np.nan]
-        b = (_match_shares(x[:-1], 2, radius) - 1).sum()
-        a = (_match_shares(x, 3, radius) - 1).sum()
+        b = (match_shares(x[:-1], 2, radius) - 1).sum()
+        a = (match_shares(x, 3, radius) - 1).sum()
         return [float(-np.log(a / b))]
 
     return _row_udf(1, one, xs)
@@ -468,7 +493,7 @@ def approximate_entropy(xs: Column, m: int, shares) -> Column:
 
         def phi(size, radius):
             windows = len(x) - size + 1
-            return float(np.log(_match_shares(x, size, radius) / windows).sum() / windows)
+            return float(np.log(match_shares(x, size, radius) / windows).sum() / windows)
 
         return [abs(phi(m, r * x.std()) - phi(m + 1, r * x.std())) for r in shares]
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +19,19 @@ from tidemark.functions.fourier import fft_columns, fourier_sums
 from tidemark.operators.aggregate import sample_kurtosis, sample_skewness
 from tidemark.operators.features.compact import fourier_features, locations, trend, trend_p
 from tidemark.operators.features.drift import drift_from_rows
+from tidemark.operators.features.entropies import entropy_table
 from tidemark.operators.features.long_sequences import (
     autocovariance_table,
     mean_density,
     order_entropy_table,
     regression_table,
 )
+from tidemark.operators.features.phrases import phrase_table
+from tidemark.operators.features.ridges import ridge_table
 from tidemark.operators.features.rows import SequenceRows, sequence_rows
+from tidemark.operators.features.spectrum import spectrum_moment_table
+from tidemark.operators.features.unit_root import unit_root_table
+from tidemark.session import cut_lineage
 
 # Parameters of the set (fixed values).
 RATIOS = [round(0.05 * i, 2) for i in range(20)]
@@ -39,6 +46,8 @@ SYMBOL_BINS = (2, 3, 5, 10, 100)
 ORDER_DIMENSIONS = (3, 4, 5, 6, 7)
 WELCH = (2, 5, 8)
 WIDTHS = (2, 5, 10, 20)
+RIDGES = (1, 5)
+MATCH_SHARES = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
 def _fft_name(k: int, attr: str) -> str:
@@ -247,7 +256,7 @@ def _array_features(
             K.wavelet_coefficients(xs, WIDTHS, 15),
             [f"cwt_coefficients__coeff_{c}__w_{w}__widths_{WIDTHS}" for w in WIDTHS for c in range(15)],
         ),
-        "ridges": (K.wavelet_peaks(xs, (1, 5)), [f"number_cwt_peaks__n_{n}" for n in (1, 5)]),
+        "ridges": (K.wavelet_peaks(xs, RIDGES), [f"number_cwt_peaks__n_{n}" for n in RIDGES]),
         "ar": (K.autoregression(xs, 10), [f"ar_coefficient__coeff_{c}__k_10" for c in range(11)]),
         "pacf": (K.partial_autocorrelations(xs, 9), [f"partial_autocorrelation__lag_{k}" for k in range(10)]),
         "acf": (
@@ -270,22 +279,17 @@ def _array_features(
         ),
     }
     if comprehensive:
-        shares = (0.1, 0.3, 0.5, 0.7, 0.9)
         out["sample"] = (K.sample_entropy(xs), ["sample_entropy"])
         out["approximate"] = (
-            K.approximate_entropy(xs, 2, shares), [f"approximate_entropy__m_2__r_{r}" for r in shares]
+            K.approximate_entropy(xs, 2, MATCH_SHARES), [f"approximate_entropy__m_2__r_{r}" for r in MATCH_SHARES]
         )
     return out
 
 
-# Array features that need the whole sequence in one place.
-SERIAL = ("moments", "ridges", "root", "phrases", "sample", "approximate")
-
-
 def _long_array_features(
-    long: SequenceRows, first: DataFrame, arrays: dict[str, tuple], query: Sequence[float] | None, threshold: float
+    long: SequenceRows, first: DataFrame, query: Sequence[float] | None, threshold: float, comprehensive: bool
 ) -> DataFrame:
-    """The array features of sequences of several blocks; `first` has their first blocks."""
+    """The array features of sequences of several blocks; `first` has their first blocks. Rows carry `mu`, `sd`, `lo`, `hi`."""
     keys = list(long.keys)
     out = first.select(*keys, K.wavelet_coefficients(F.col("xs"), WIDTHS, 15).alias("__a_waves"))
     spectra = mean_density(long).select(
@@ -302,8 +306,17 @@ def _long_array_features(
     patterns = order_entropy_table(long, ORDER_DIMENSIONS).withColumnRenamed("entropies", "__a_orders")
     for part in (spectra, covariances, regression, patterns):
         out = out.join(part, keys)
-    none = F.lit(None).cast("array<double>")
-    out = out.withColumns({f"__a_{n}": none for n in arrays if n in SERIAL})
+    # Some of these leave out sequences with values that are not finite.
+    parts = [
+        spectrum_moment_table(long).withColumnRenamed("moments", "__a_moments"),
+        ridge_table(long, RIDGES).withColumnRenamed("ridges", "__a_ridges"),
+        unit_root_table(long).withColumnRenamed("root", "__a_root"),
+        phrase_table(long, SYMBOL_BINS).withColumnRenamed("complexities", "__a_phrases"),
+    ]
+    if comprehensive:
+        parts.append(entropy_table(long, MATCH_SHARES).withColumnsRenamed({"sample": "__a_sample", "approximate": "__a_approximate"}))
+    for part in parts:
+        out = out.join(part, keys, "left")
     if not query:
         return out.withColumn("__a_query", F.array(F.lit(None).cast("double")))
     span = long.ordered.rowsBetween(1 - len(query), 0)
@@ -323,19 +336,10 @@ def efficient_features(
     comprehensive: bool = False,
     query: Sequence[float] | None = None,
     threshold: float = 0.0,
-    long_sequences: str = "raise",
 ) -> DataFrame:
-    """One row per (sequence, channel); undefined features are null.
-
-    Sequences of any length are taken. For one that no single task may hold, the features of `SERIAL`
-    (defined by one scan of the whole sequence or by its full spectrum) are not worked out:
-    `long_sequences` says whether to refuse such a table ("raise") or leave them null ("null").
-    """
-    if long_sequences not in ("raise", "null"):
-        raise ValueError(f"long_sequences must be raise or null, got {long_sequences}")
+    """One row per (sequence, channel); undefined features are null. Sequences of any length are taken: one that no single
+    task may hold is worked on in blocks, for every feature."""
     rows = sequence_rows(df, ids, step, channels, max_len, halo=max(64, len(query or ())))
-    if rows.split and long_sequences == "raise":
-        raise ValueError('sequences are too long for some features; cut windows or pass long_sequences="null"')
     base = rows
     rows = _row_columns(rows)
     keys = list(rows.keys)
@@ -352,9 +356,10 @@ def efficient_features(
         arrays = _array_features(F.col("xs"), query, threshold, comprehensive)
         short = base.short().whole_arrays()
         short = short.select(*keys, *[c.alias(f"__a_{n}") for n, (c, _names) in arrays.items()])
-        long = rows.long()
+        long = base.long().with_stats({"mu": F.avg("x"), "sd": F.stddev_pop("x"), "lo": F.min("x"), "hi": F.max("x")})
+        long = replace(long, df=cut_lineage(long.df))
         first = blocks.filter((F.col("start") == 0) & (F.col("n") > base.task_rows)).select(*keys, "xs")
-        spread = _long_array_features(long, first, arrays, query, threshold)
+        spread = _long_array_features(long, first, query, threshold, comprehensive)
         parts = [tops, short.unionByName(spread), fourier_features(base, terms)]
     else:
         main = rows.arrays(*sums)

@@ -1,7 +1,7 @@
 """Features of sequences that no single task may hold, from the blocks of their rows.
 
-Sums, counts and segment spectra add up over blocks. What is defined by one scan
-of the whole sequence or by its full spectrum has no such form and is not here.
+Sums, counts and segment spectra add up over blocks. The full spectrum, phrases,
+template matches, ridge lines and the unit-root test have modules of their own.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ from tidemark.functions.expr import ratio
 from tidemark.functions.kernels import decay_lag, threshold_complexity
 from tidemark.operators.features.compact import trend
 from tidemark.operators.features.long_sequences import decay_lag_table
+from tidemark.operators.features.phrases import threshold_phrase_table
 from tidemark.operators.features.rows import SequenceRows, sequence_rows
 from tidemark.operators.position import value_ranks
 
@@ -164,16 +165,9 @@ def mixed_set(
     step=None,
     channels: Sequence[str] | None = None,
     max_len: int | None = None,
-    long_sequences: str = "raise",
 ) -> DataFrame:
-    """Energy, binned entropy, complexity, streaks, crossings, peaks, rms and variation.
-
-    The phrase complexity is one scan of the sequence; for one that no single task may hold it is
-    refused ("raise") or null ("null").
-    """
+    """Energy, binned entropy, complexity, streaks, crossings, peaks, rms and variation."""
     rows = sequence_rows(df, ids, step, channels, max_len, halo=6)
-    if rows.split and long_sequences == "raise":
-        raise ValueError('sequences are too long for the phrase complexity; cut windows or pass long_sequences="null"')
     rows = rows.with_stats({"mu": F.avg("x"), "lo": F.min("x"), "hi": F.max("x")})
     x, position, n = F.col("x"), F.col("position"), F.count(F.lit(1))
     rows = rows.with_runs({"above": x > F.col("mu"), "below": x < F.col("mu")})
@@ -199,6 +193,7 @@ def mixed_set(
         main = rows.own().groupBy(*rows.keys).agg(*sums)
         scans = rows.short().whole_arrays()
         scans = scans.select(*rows.keys, F.get(threshold_complexity(F.col("xs"), 3.0), F.lit(0)).alias("lzc"))
+        scans = scans.union(threshold_phrase_table(rows.long(), 3.0))
         return main.join(scans, list(rows.keys), "left")
     main = rows.arrays(*sums)
     main = main.withColumn("lzc", F.get(threshold_complexity(F.col("xs"), 3.0), F.lit(0)))

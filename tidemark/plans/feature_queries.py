@@ -27,9 +27,7 @@ def user_series(spark, sf_dir):
 
 
 def wide_set(spark, sf_dir, terms=5):
-    return efficient.efficient_features(
-        user_series(spark, sf_dir), "user_id", ORDER, ["value"], terms, long_sequences="null"
-    )
+    return efficient.efficient_features(user_series(spark, sf_dir), "user_id", ORDER, ["value"], terms)
 
 
 # The rows of each user in order, with mean, deviation, extremes, lags and leads.
@@ -363,9 +361,7 @@ def _(spark, sf_dir):
 
 @query("wide_set_comprehensive")
 def _(spark, sf_dir):
-    return efficient.efficient_features(
-        user_series(spark, sf_dir), "user_id", ORDER, ["value"], 5, comprehensive=True, long_sequences="null"
-    )
+    return efficient.efficient_features(user_series(spark, sf_dir), "user_id", ORDER, ["value"], 5, comprehensive=True)
 
 
 _STAT = {
@@ -448,7 +444,7 @@ _MIXED = {
     ),
 )
 def _(spark, sf_dir):
-    out = signal.mixed_set(user_series(spark, sf_dir), "user_id", ORDER, ["value"], long_sequences="null")
+    out = signal.mixed_set(user_series(spark, sf_dir), "user_id", ORDER, ["value"])
     return rounded(out, ["user_id"], {n: d for n, (_s, d) in _MIXED.items()})
 
 
