@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import sanitise
+from tidemark.functions.exact_tests import kendall_exact_p, smirnov_exact_p
 from tidemark.functions.special import (
     fisher_exact_p,
     fisher_f_p,
@@ -23,6 +24,7 @@ from tidemark.functions.special import (
 )
 from tidemark.operators.features.basic import guarded_corr
 from tidemark.operators.features.rows import sequence_rows
+from tidemark.operators.neighbours import digamma, interval_counts, real_mutual_information
 from tidemark.operators.position import bucket_codes, fits_one_task, prefix_sums, value_ranks, with_position
 from tidemark.operators.splits import seeded_hash
 from tidemark.session import cut_lineage
@@ -294,9 +296,10 @@ def fisher_exact(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def two_sample_distance(
-    df: DataFrame, keys: Sequence[str], value: str, flag: Column
+    df: DataFrame, keys: Sequence[str], value: str, flag: Column, exact_rows: int = 10_000
 ) -> DataFrame:
-    """Kolmogorov-Smirnov distance between the flagged and the other rows, with its limit p."""
+    """Kolmogorov-Smirnov distance between the flagged and the other rows, with its p: exact while neither sample has more
+    than `exact_rows` rows, the limit form beyond."""
     ranks = value_ranks(df, keys, value, flag)
     n1, n0 = F.col("n1_total"), F.col("n_total") - F.col("n1_total")
     upto1 = F.col("n1_before") + F.col("n1")
@@ -306,7 +309,10 @@ def two_sample_distance(
         F.max(gap).alias("distance"), F.max(n1).cast("double").alias("__n1"), F.max(n0).cast("double").alias("__n0")
     )
     scale = F.sqrt(F.try_divide(F.col("__n1") * F.col("__n0"), F.col("__n1") + F.col("__n0")))
-    return out.withColumn("p_value", kolmogorov_p(scale * F.col("distance"))).drop("__n1", "__n0")
+    small = F.greatest("__n1", "__n0") <= exact_rows
+    exact = smirnov_exact_p(F.when(small, F.col("__n1")), F.when(small, F.col("__n0")), F.col("distance"))
+    p = F.when(small, exact).otherwise(kolmogorov_p(scale * F.col("distance")))
+    return out.withColumn("p_value", F.nanvl(p, F.lit(None))).drop("__n1", "__n0")
 
 
 def smirnov(features: DataFrame, targets: DataFrame) -> DataFrame:
@@ -327,8 +333,9 @@ def _tie_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name:
     )
 
 
-def kendall(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """Kendall's tau-b of each feature with a real target, with its normal p.
+def kendall(features: DataFrame, targets: DataFrame, exact_rows: int = 33) -> DataFrame:
+    """Kendall's tau-b of each feature with a real target, with its p: without ties exact up to `exact_rows` rows, and beyond
+    them while at most one pair goes against the others; the normal form otherwise (`exact_rows=0`: always).
 
     Discordant pairs are inversions of the target in the order of the feature. They are counted
     as a merge sort would: each row joins one block per bit of its position, and inside a block
@@ -363,7 +370,10 @@ def kendall(features: DataFrame, targets: DataFrame) -> DataFrame:
         + F.try_divide(F.col("x_0") * F.col("y_0"), 9 * m * (n - 2))
     )
     out = out.withColumns({"tau": tau, "z": F.try_divide(gap, F.sqrt(var))})
-    return out.select("feature", "tau", "z", normal_p(F.col("z")).alias("p_value"))
+    untied = (xt == 0) & (yt == 0) & (F.least(F.col("dis"), m / 2 - F.col("dis")) <= F.when(n <= exact_rows, m).otherwise(1.0))
+    untied = untied & (F.lit(exact_rows) > 0)
+    exact = kendall_exact_p(F.when(untied, n), F.when(untied, F.col("dis")))
+    return out.select("feature", "tau", "z", F.when(untied, exact).otherwise(normal_p(F.col("z"))).alias("p_value"))
 
 
 def relevance_table(
@@ -385,7 +395,8 @@ def relevance_table(
         return features.join(kinds.filter(F.col("type") == name).select("feature"), "feature", "left_semi")
 
     if task_type == "regression":
-        tests = kendall(of("real"), targets).select("feature", "p_value")
+        # The filter's own rank correlation test takes the normal form at any size.
+        tests = kendall(of("real"), targets, exact_rows=0).select("feature", "p_value")
         tests = tests.unionByName(smirnov(of("binary"), targets).select("feature", "p_value"))
         tests = tests.withColumn("label", F.lit("all"))
     else:
@@ -432,18 +443,6 @@ def binned_mutual_information(features: DataFrame, targets: DataFrame, bins: int
     return joint.groupBy("feature").agg(F.sum(term).alias("score"))
 
 
-def digamma(c: Column) -> Column:
-    """Digamma of a positive number: recurrence up to 10, then the asymptotic series."""
-    x = c.cast("double")
-    shifted = F.lit(0.0)
-    for i in range(10):
-        shifted = shifted + 1 / (x + i)
-    y = x + 10
-    y2 = y * y
-    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y2) + 1 / (120 * y2 * y2) - 1 / (252 * y2 * y2 * y2)
-    return series - shifted
-
-
 def neighbour_mutual_information(
     features: DataFrame, targets: DataFrame, neighbours: int = 3, seed: int = 42
 ) -> DataFrame:
@@ -472,7 +471,7 @@ def neighbour_mutual_information(
     # Ends of intervals are met by value, so they are worked out once.
     spans = cut_lineage(spans.select("feature", "x", "r", "n", "__k"))
 
-    return _interval_counts(spans).groupBy("feature").agg(
+    return interval_counts(spans).groupBy("feature").agg(
         (
             F.max(digamma(F.col("rows")))
             + F.avg(digamma(F.col("__k")))
@@ -482,38 +481,12 @@ def neighbour_mutual_information(
     ).withColumn("score", F.greatest("score", F.lit(0.0)))
 
 
-def _interval_counts(spans: DataFrame) -> DataFrame:
-    """For each (feature, x, r): `m`, the points of the feature strictly inside (x - r, x + r), and
-    `rows`, all its points. Interval ends are merged with the values; at equal places an upper end
-    (kind 0) comes before the point (1) and a lower end (2) after it."""
-    hist = spans.groupBy("feature", F.col("x").alias("at")).agg(F.count(F.lit(1)).alias("c"))
-    hist = hist.withColumn("kind", F.lit(1))
-    upper = spans.groupBy("feature", (F.col("x") + F.col("r")).alias("at")).agg(F.lit(0).cast("bigint").alias("c"))
-    lower = spans.groupBy("feature", (F.col("x") - F.col("r")).alias("at")).agg(F.lit(0).cast("bigint").alias("c"))
-    merged = hist.unionByName(upper.withColumn("kind", F.lit(0))).unionByName(lower.withColumn("kind", F.lit(2)))
-    counted = prefix_sums(merged, ["feature"], ["at", "kind"], {"c": F.col("c")})
-    counted = counted.select("feature", "at", "kind", F.col("c_before").alias("below"), F.col("c_total").alias("rows"))
-
-    def side(kind: int, name: str) -> DataFrame:
-        part = counted.filter(F.col("kind") == kind)
-        return part.select("feature", F.col("at").alias(name), F.col("below").alias(f"{name}_below"), *(["rows"] if kind == 0 else []))
-
-    out = spans.withColumns({"hi": F.col("x") + F.col("r"), "lo": F.col("x") - F.col("r")})
-    out = out.join(side(0, "hi"), ["feature", "hi"]).join(side(2, "lo"), ["feature", "lo"])
-    return out.withColumn("m", F.greatest(F.col("hi_below") - F.col("lo_below"), F.lit(1)))
-
-
 def mutual_information(
     features: DataFrame, targets: DataFrame, k: int = 20, task_type: str = "classification", random_state: int = 42
 ) -> DataFrame:
-    """Top k by mutual information. A real target is cut into ten classes of equal frequency."""
+    """Top k by mutual information with a class, or with a real target."""
     if task_type == "regression":
-        # Targets are met by value, so they are worked out once.
-        targets = cut_lineage(targets.select(ID, F.col("target").cast("double").alias("target")))
-        ranks = value_ranks(targets, [], "target")
-        tile = F.floor(F.col("n_before") * 10 / F.col("n_total")).cast("int")
-        targets = targets.join(ranks.select("target", tile.alias("__tile")), "target")
-        targets = targets.select(ID, F.col("__tile").alias("target"))
+        return top_k(real_mutual_information(clean_features(features), targets, seed=random_state), k)
     return top_k(neighbour_mutual_information(features, targets, seed=random_state), k)
 
 

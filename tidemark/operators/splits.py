@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.position import ntile_of, with_position
+from tidemark.session import cut_lineage, require_small
+
+# Moves of groups between folds that one round makes at most.
+MOVES = 1000
 
 GROUP_NAMES = ("subject_id", "group", "entity_id", "subject", "patient_id")
 
@@ -65,11 +72,17 @@ def group_k_fold(
     id_col: str = "sequence_id",
     seed: int | None = 42,
     target: str | None = None,
+    rounds: int = 50,
 ) -> DataFrame:
     """All sequences of a group share a fold. Groups are put in order of their commonest class (with `target`) and
     falling size and dealt back and forth over the folds, so fold sizes and class shares stay even; the same rule for
     any number of groups. k shrinks to the number of groups; a single group falls back to single rows. Rows without a
-    group are a group of their own."""
+    group are a group of their own.
+
+    With `target` the folds are then balanced on all classes, in at most `rounds` rounds: every group proposes the fold to
+    which moving it takes most off the squared deviations of the class shares, and the best MOVES proposals are made one
+    after the other as far as they still do. A round sends the
+    driver the class counts of the folds and those proposals only."""
     n_groups = df.select(group).distinct().limit(k + 1).count()
     if n_groups < 2:
         return stratified_k_fold(df, k, target, id_col, seed) if target else k_fold(df, k, id_col, seed)
@@ -82,9 +95,90 @@ def group_k_fold(
     ranked = with_position(sizes, [], [*(["__class"] if target else []), "__size", "__hash"], "__p")
     turn = F.col("__p") % (2 * k)
     folds = ranked.select("__group", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+    if target:
+        folds = _balanced(counts, folds, k, rounds)
     return df.select(id_col, group).join(folds, F.col(group).eqNullSafe(F.col("__group"))).select(id_col, "fold")
 
 
+def _balanced(counts: DataFrame, folds: DataFrame, k: int, rounds: int) -> DataFrame:
+    """(__group, fold) with the groups moved between folds until the class shares no longer come nearer to each other."""
+    spark = counts.sparkSession
+    classes = counts.groupBy("__class").agg(F.sum("__n").alias("n"))
+    require_small(classes, "the list of classes")
+    totals = {r["__class"]: r["n"] for r in classes.collect()}
+    names = sorted(totals, key=lambda c: (c is None, c))
+    if len(names) < 2:
+        return folds
+    place = spark.createDataFrame([(i, c) for i, c in enumerate(names)], T.StructType([T.StructField("__i", T.IntegerType()), counts.schema["__class"]]))
+    placed = counts.join(F.broadcast(place.withColumnRenamed("__class", "__c")), F.col("__class").eqNullSafe(F.col("__c")))
+    # A group's classes as places and counts.
+    vectors = placed.groupBy("__group").agg(F.collect_list(F.struct("__i", "__n")).alias("v"))
+    vectors = vectors.select(F.col("__group").alias("__g"), F.col("v")["__i"].alias("at"), F.col("v")["__n"].alias("n"))
+    groups = cut_lineage(folds.join(vectors, F.col("__group").eqNullSafe(F.col("__g"))).select("__group", "fold", "at", "n"))
+    weight = np.array([1.0 / totals[c] for c in names])
+    moved: dict = {}
+    key = counts.schema["__group"]
+
+    for _ in range(rounds):
+        now = _with_moves(groups, moved, key)
+        cells = now.select("fold", F.explode(F.arrays_zip("at", "n")).alias("c")).groupBy("fold", "c.at").agg(F.sum("c.n").alias("n"))
+        share = np.zeros((k, len(names)))
+        for r in cells.collect():
+            share[r["fold"], r["at"]] = r["n"]
+        share = share * weight - 1.0 / k
+        best = _proposals(now, share, weight).orderBy(F.desc("gain"), F.xxhash64("__group")).limit(MOVES).collect()
+        made = _make_moves(best, share, weight)
+        if not made:
+            break
+        moved.update(made)
+    return _with_moves(groups, moved, key).select("__group", "fold")
+
+
+def _with_moves(groups: DataFrame, moved: dict, key: T.StructField) -> DataFrame:
+    """The groups with their folds after the moves, of which there are at most MOVES a round."""
+    if not moved:
+        return groups
+    schema = T.StructType([key, T.StructField("__to", T.IntegerType())])
+    table = groups.sparkSession.createDataFrame(list(moved.items()), schema).withColumnRenamed("__group", "__m")
+    out = groups.join(F.broadcast(table), F.col("__group").eqNullSafe(F.col("__m")), "left")
+    return out.select("__group", F.coalesce("__to", "fold").alias("fold"), "at", "n")
+
+
+def _gains(share: np.ndarray, weight: np.ndarray, fold: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What moving a group takes off the squared deviations, for each fold it may go to."""
+    v = n * weight[at]
+    gain = 2 * (share[fold, at] * v).sum() - 2 * (share[:, at] * v).sum(1) - 2 * (v * v).sum()
+    gain[fold] = 0.0
+    return gain
+
+
+def _proposals(groups: DataFrame, share: np.ndarray, weight: np.ndarray) -> DataFrame:
+    @F.pandas_udf("to int, gain double")
+    def propose(fold: pd.Series, at: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for f, a, c in zip(fold.tolist(), at, n):
+            gain = _gains(share, weight, f, np.asarray(a), np.asarray(c, float))
+            out.append((int(gain.argmax()), float(gain.max())))
+        return pd.DataFrame(out, columns=["to", "gain"])
+
+    rows = groups.select("*", propose("fold", "at", "n").alias("p"))
+    return rows.select("__group", "fold", "at", "n", "p.to", "p.gain").where("gain > 1e-12")
+
+
+def _make_moves(proposals: list, share: np.ndarray, weight: np.ndarray) -> dict:
+    """The proposals that still help when those before them have been made; a group may go to another fold by then."""
+    made = {}
+    for r in proposals:
+        at, n = np.array(r["at"]), np.array(r["n"], float)
+        gain = _gains(share, weight, r["fold"], at, n)
+        to = int(gain.argmax())
+        if gain[to] > 1e-12:
+            share[r["fold"], at] -= n * weight[at]
+            share[to, at] += n * weight[at]
+            made[r["__group"]] = to
+    return made
+
+
 def blocked_folds(
     df: DataFrame, k: int, order: Sequence[str], id_col: str = "sequence_id", target: str | None = None
 ) -> DataFrame:

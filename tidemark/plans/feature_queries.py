@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tidemark.plans.window_queries import CTE, POSITIONS, WINDOW, event_windows
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources.store import FeatureStore
 from tidemark.sources.tables import read_pair, validate_pair, write_pair
+from tidemark.streaming.count_windows import stream_count_windows
 from tidemark.streaming.features import latest_features, stream_sequence_features, windowed_statistics
 
 ORDER = ["ts", "event_id"]
@@ -539,6 +541,49 @@ def _(spark, sf_dir):
     return rounded(picked, ["sequence_id", "feature"], {"value": 6})
 
 
+@query(
+    "streamed_count_windows",
+    rounded_sql(
+        f"""WITH {POSITIONS}, w AS (SELECT user_id, p, n, value, unnest(range(greatest(0, (p - 12 + 5) // 5), p // 5 + 1)) AS "window" FROM pos)
+SELECT user_id, "window"::BIGINT AS "window", count(*) AS n_rows, min(p - "window" * 5)::INTEGER AS first_step, avg(value) AS value_mean,
+  max(CASE WHEN p - "window" * 5 = 11 THEN value END) AS value_last FROM w WHERE "window" * 5 + 12 <= n AND p >= "window" * 5 AND p < "window" * 5 + 12 GROUP BY 1, 2""",
+        ["user_id", '"window"', "n_rows", "first_step"],
+        {"value_mean": 6, "value_last": 6},
+    ),
+)
+def _(spark, sf_dir):
+    """Windows of 12 rows, 5 apart, of each user's events as they arrive: in four files, every third row one file late, the
+    stream stopped and started again in between."""
+    folder = scratch_folder(spark)
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    quarter = (last - first).total_seconds() / 4
+    turn = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (quarter * 1e6)), F.lit(3)) + (F.col("event_id") % 3 == 0).cast("int")
+    pieces = events.withColumn("turn", F.least(turn, F.lit(3)).cast("int")).withColumn("closing", F.lit(False))
+    end = spark.range(1).select(
+        F.lit(None).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(last + timedelta(seconds=4 * quarter + 86_400)).cast("timestamp").alias("ts"),
+        F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("closing"),
+    )
+
+    def run() -> None:
+        stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        windows = stream_count_windows(stream, ["user_id"], "ts", 12, 5, ["value"], ["event_id"], f"{int(2 * quarter) + 1} seconds", "closing")
+        sink = windows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").option("path", f"{folder}/out")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    arriving = pieces.drop("turn")
+    for i in range(4):
+        pieces.where(F.col("turn") == i).drop("turn").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if i == 1:
+            run()
+    end.select(arriving.columns).write.mode("append").parquet(f"{folder}/in")
+    run()
+    found = spark.read.parquet(f"{folder}/out").groupBy("user_id", "window").agg(
+        F.count("*").alias("n_rows"), F.min("step").alias("first_step"), F.avg("value").alias("value_mean"), F.max(F.when(F.col("step") == 11, F.col("value"))).alias("value_last")
+    )
+    return rounded(found, ["user_id", "window", "n_rows", "first_step"], {"value_mean": 6, "value_last": 6})
+
+
 @query("pipeline_end_to_end")
 def _(spark, sf_dir):
     """Windows, compact features, selection by rate of false discoveries; the kept features."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.neighbours import real_mutual_information
 from tidemark.operators import model_selection as trees
 from tidemark.operators import selection as sel
 from tidemark.operators import splits
@@ -246,6 +247,51 @@ def _(spark, sf_dir):
     return rounded(out, ["feature"], {"tau": 6})
 
 
+def _nation_pairs(spark, sf_dir):
+    """Per nation the balances of customers, of one market segment and of all others."""
+    rows = table(spark, sf_dir, "customer")
+    return rows.select("c_nationkey", "c_acctbal", (F.col("c_mktsegment") == "BUILDING").alias("flag"))
+
+
+@query(
+    "two_sample_distance_exact",
+    """WITH RECURSIVE d AS (SELECT c_nationkey AS nation, c_acctbal AS y, (c_mktsegment = 'BUILDING')::INTEGER AS hi FROM customer),
+z AS (SELECT nation, sum(hi)::BIGINT AS n1, sum(1 - hi)::BIGINT AS n0 FROM d GROUP BY 1 HAVING sum(hi) > 0 AND sum(1 - hi) > 0),
+cum AS (SELECT nation, y, sum(sum(hi)) OVER w AS c1, sum(sum(1 - hi)) OVER w AS c0 FROM d GROUP BY 1, 2 WINDOW w AS (PARTITION BY nation ORDER BY y)),
+g AS (SELECT nation, n1, n0, max(abs(c1 * n0 - c0 * n1))::BIGINT AS edge FROM cum JOIN z USING (nation) GROUP BY 1, 2, 3),
+walk AS (SELECT nation, n1, n0, edge, 0::BIGINT AS s, 0::BIGINT AS i, 1.0::DOUBLE AS inside, 0.0::DOUBLE AS out FROM g
+  UNION ALL SELECT nation, n1, n0, edge, s + 1, j, sum(CASE WHEN abs(j * n0 - (s + 1 - j) * n1) < edge THEN part ELSE 0 END),
+    sum(CASE WHEN abs(j * n0 - (s + 1 - j) * n1) >= edge THEN part ELSE 0 END)
+  FROM (SELECT nation, n1, n0, edge, s, i + step AS j, inside * (CASE WHEN step = 1 THEN n1 - i ELSE n0 - (s - i) END) / (n1 + n0 - s)::DOUBLE AS part
+        FROM walk, (VALUES (0), (1)) AS t(step) WHERE s < n1 + n0 AND inside > 0) AS moves
+  WHERE j <= n1 AND s + 1 - j <= n0 GROUP BY nation, n1, n0, edge, s, j)
+SELECT nation, round(edge / (n1 * n0)::DOUBLE, 6) AS distance, round(sum(out), 9) AS p_value FROM walk GROUP BY nation, n1, n0, edge""",
+)
+def _(spark, sf_dir):
+    out = sel.two_sample_distance(_nation_pairs(spark, sf_dir), ["c_nationkey"], "c_acctbal", F.col("flag"))
+    out = out.where("p_value IS NOT NULL").select(F.col("c_nationkey").alias("nation"), F.round("distance", 6).alias("distance"), F.round("p_value", 9).alias("p_value"))
+    return out
+
+
+@query(
+    "kendall_tau_exact",
+    """WITH RECURSIVE d AS (SELECT s_nationkey AS nation, s_suppkey AS x, s_acctbal AS y FROM supplier),
+p AS (SELECT a.nation, count(*) FILTER ((a.x < b.x) <> (a.y < b.y)) AS dis, count(*) AS pairs FROM d a JOIN d b ON a.nation = b.nation AND a.x < b.x GROUP BY 1),
+n AS (SELECT nation, count(*) AS n, count(DISTINCT y) = count(*) AS untied FROM d GROUP BY 1),
+c AS (SELECT nation, n, least(dis, pairs - dis) AS fewer FROM p JOIN n USING (nation) WHERE untied AND n <= 33),
+f AS (SELECT 1::BIGINT AS m, 0::BIGINT AS c, 1.0::DOUBLE AS chance
+  UNION ALL SELECT m + 1, c + k, sum(chance) / (m + 1) FROM f, range(0, 33) AS r(k) WHERE m < 33 AND k <= m GROUP BY m, c + k)
+SELECT nation::VARCHAR AS feature, round(least(1.0, 2 * sum(chance)), 9) AS p_value FROM c JOIN f ON f.m = c.n AND f.c <= c.fewer GROUP BY nation""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    features = rows.select(F.col("s_suppkey").alias(ID), F.col("s_nationkey").cast("string").alias("feature"), F.col("s_suppkey").cast("double").alias("value"))
+    sizes = features.groupBy("feature").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 33").select("feature")
+    targets = rows.select(F.col("s_suppkey").alias(ID), F.col("s_acctbal").alias("target"))
+    out = sel.kendall(features.join(sizes, "feature"), targets)
+    return out.select("feature", F.round("p_value", 9).alias("p_value"))
+
+
 @query("relevance_table_classes")
 def _(spark, sf_dir):
     return sel.relevance_table(*line_features(spark, sf_dir))
@@ -284,6 +330,30 @@ def _(spark, sf_dir):
     return sel.mutual_information(*embedding_features(spark, sf_dir))
 
 
+_NEAR = """WITH f AS (SELECT s_suppkey AS id, s_acctbal::DOUBLE AS balance, (s_suppkey * 7919 % 10007)::DOUBLE AS mixed, s_acctbal * s_acctbal / 1000 + s_suppkey % 7 AS bent,
+  s_acctbal / 10 + (s_suppkey * 31 % 17) AS y FROM supplier),
+raw AS (SELECT id, 'balance' AS feature, balance AS x, y FROM f UNION ALL SELECT id, 'mixed', mixed, y FROM f UNION ALL SELECT id, 'bent', bent, y FROM f),
+d AS (SELECT id, feature, x / stddev_pop(x) OVER w AS x, y / stddev_pop(y) OVER w AS y FROM raw WINDOW w AS (PARTITION BY feature)),
+pair AS (SELECT a.feature, a.id, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM d a JOIN d b ON a.feature = b.feature AND a.id <> b.id),
+k AS (SELECT feature, id, greatest(dx, dy) AS r FROM pair QUALIFY row_number() OVER (PARTITION BY feature, id ORDER BY greatest(dx, dy)) = 3),
+m AS (SELECT feature, id, 1 + count(*) FILTER (dx < r) AS nx, 1 + count(*) FILTER (dy < r) AS ny FROM pair JOIN k USING (feature, id) GROUP BY 1, 2),
+h AS (SELECT n, sum(1.0::DOUBLE / n) OVER (ORDER BY n) - 1.0::DOUBLE / n - 0.57721566490153286 AS psi FROM range(1, 100001) AS r(n)),
+s AS (SELECT feature, avg(a.psi + b.psi) AS part, count(*) AS n FROM m JOIN h a ON a.n = nx JOIN h b ON b.n = ny GROUP BY 1)
+SELECT feature, greatest(0.0, t.psi + u.psi - part) AS score FROM s JOIN h t ON t.n = s.n JOIN h u ON u.n = 3"""
+
+
+@query("mutual_information_real_target", rounded_sql(_NEAR, ["feature"], {"score": 6}))
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier")
+    key, balance = F.col("s_suppkey"), F.col("s_acctbal").cast("double")
+    wide = rows.select(
+        key.alias(ID), balance.alias("balance"), (key * 7919 % 10007).cast("double").alias("mixed"), (balance * balance / 1000 + key % 7).alias("bent"),
+        (balance / 10 + key * 31 % 17).alias("target"),
+    )
+    features = wide.select(ID, "balance", "mixed", "bent").unpivot([ID], ["balance", "mixed", "bent"], "feature", "value")
+    return rounded(real_mutual_information(features, wide.select(ID, "target"), jitter=False), ["feature"], {"score": 6})
+
+
 @query("l1_selector")
 def _(spark, sf_dir):
     return trees.l1_selector(*embedding_features(spark, sf_dir), C=0.05)
@@ -454,11 +524,25 @@ def _(spark, sf_dir):
     )
 
 
-@query("group_folds_balanced")
+@query(
+    "group_folds_balanced",
+    """WITH c AS (SELECT o_custkey AS g, o_orderstatus AS target, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT target, sum(n)::BIGINT AS n_rows, 5::BIGINT AS n_folds, count(DISTINCT g)::BIGINT AS n_groups, true AS whole, true AS even FROM c GROUP BY target""",
+)
 def _(spark, sf_dir):
+    """Per class: its rows, folds and groups, whether no group is in two folds, and whether each fold's part of the class is
+    within the class's largest group of a fifth."""
     targets = order_targets(spark, sf_dir)
-    folds = splits.group_k_fold(targets, 5, "subject_id", target="target")
-    return folds.join(targets, ID).groupBy("fold", "target").agg(F.count("*").alias("n_rows"))
+    rows = splits.group_k_fold(targets, 5, "subject_id", target="target").join(targets, ID)
+    groups = rows.groupBy("subject_id").agg(F.max("fold").alias("last"), F.min("fold").alias("first"))
+    split = groups.agg(F.count_if(F.col("last") > F.col("first")).alias("split"))
+    cells = rows.groupBy("target", "fold").agg(F.count("*").alias("n"))
+    largest = rows.groupBy("target", "subject_id").agg(F.count("*").alias("n")).groupBy("target").agg(F.max("n").alias("largest"), F.count("*").alias("n_groups"))
+    off = F.max(F.abs(F.col("n") - F.col("total") / 5))
+    totals = cells.groupBy("target").agg(F.sum("n").alias("total"), F.count("*").alias("n_folds"))
+    worst = cells.join(totals, "target").groupBy("target", "total", "n_folds").agg(off.alias("off")).join(largest, "target")
+    whole = F.lit(split.first()["split"] == 0)
+    return worst.select("target", F.col("total").alias("n_rows"), "n_folds", "n_groups", whole.alias("whole"), (F.col("off") <= F.col("largest")).alias("even"))
 
 
 _ORDERED = """WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS p,
