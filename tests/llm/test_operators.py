@@ -396,6 +396,28 @@ def test_main_text(page, text):
     assert ht.main_text(page) == text
 
 
+PROSE = "Some longer prose of the article that goes on and on. " * 6
+
+
+@pytest.mark.parametrize(
+    "page, parts",
+    [
+        (f"<article><p>{PROSE}</p><p>{PROSE}</p></article><article><p>{PROSE}</p></article><section class=feedback><p>{PROSE}</p></section>", 3),  # siblings stay
+        (f"<div><p>{PROSE}</p><p>The end.</p><p>By me.</p><p>2020.</p><p>Bye.</p></div><footer>x</footer>", 5),  # short closing lines
+        (f"<div><p>{PROSE}</p><p><a href=x>All of this is a link to somewhere else</a></p><p>{PROSE}</p></div>", 3),  # a paragraph of links
+        (f"<article><p>{PROSE}</p><p class=form-intro>{PROSE}</p><div class=discussion><p>{PROSE}</p></div><div class=legal-text>ok</div></article>", 3),
+        (f"<div class=x><p>{PROSE}</p><div class=ad>Buy this now</div><p>Short rest.</p></div><div class=comments><p>{PROSE}</p></div>", 2),  # after an advert
+        (f"<ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>More</a></ul><p>{PROSE}</p><p>{PROSE}</p><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul>", 2),
+        ("<p>" + PROSE * 20_000 + "</p>", 1),
+        ("<div>" * 3000 + f"<p>{PROSE}</p>", 1),
+        ("<p>" + "</p><p>".join(["short"] * 20_000) + "</p>", 20_000),
+    ],
+)
+def test_windows_find_the_text(page, parts):
+    found = ht.main_text(page).split("\n\n")
+    assert len(found) == parts and all("Buy this" not in f and f != "ok" for f in found)
+
+
 def test_pages_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, "x", 5), (2, "<p>a</p>", "y", 6), (2, "<p>a</p>", "y", 6)], "page_id long, html string, text string, n_chars int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in ht.extract_main_text(rows).collect()) == [(1, "", 0), (2, "a", 1), (2, "a", 1)]

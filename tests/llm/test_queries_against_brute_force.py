@@ -94,13 +94,20 @@ def test_secret_scan(spark):
 
 
 def test_main_text(spark):
+    """The blocks from the heading to the footer, less what the page names as an advert; pages as they are, and with all marks
+    of the article taken away."""
     import html
 
+    from tidemark.llm.html_text import main_text
+
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in rows(spark, 10):
-        article = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id], re.S)[1]
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
-        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        body = pages[r.page_id][pages[r.page_id].index("<h1>") :].split("<footer>")[0]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+        want = "\n\n".join(b for b in blocks if b)
+        assert r.text == want and r.n_chars == len(want)
+        assert main_text(pages[r.page_id].replace("<article>", "<div>").replace("</article>", "</div>")) == want
+        assert main_text(pages[r.page_id].replace("<article>", "").replace("</article>", "")) == want
 
 
 def test_decontamination(spark, docs):

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, quoted, unpacked
 
-# Lines in a window, the text a window needs for a surge, and the share of link text from which a line counts nothing.
-WINDOW, SURGE, LINKED = 3, 80, 0.5
+# Lines in a window, the text a window needs for a surge, the share of link text from which a line counts nothing, what a
+# line in a marked article counts more, and the part of the best stretch's text that another needs.
+WINDOW, SURGE, LINKED, MARKED, PART = 3, 80, 0.5, 4, 0.1
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -30,52 +31,57 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form button menu dialog head fieldset input option".split())
 MAIN = frozenset("article main".split())
+CONTAINERS = frozenset("div section td blockquote center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form alert menu menubar toolbar".split())
 # Words of a class or id that name what is not the article.
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BOILERPLATE = frozenset(
-    """ad ads adv advert adverts advertisement advertising adslot banner promo promotion sponsor sponsored sidebar sidebars
-    rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header cookie cookies consent gdpr notice
-    notices notification popup modal overlay newsletter subscribe subscription signup login social share sharing related
-    recommended recommendations teaser teasers widget widgets search toolbar pagination pager comment comments commentlist
-    respond reply replies disqus discussion reactions copyright legal skip hidden alert form""".split()
+    """ad ads adv advert adverts advertisement advertising adslot promo promotion sponsor sponsored sidebar sidebars rail menu nav
+    navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter
+    subscribe subscription signup login related recommended recommendations teaser teasers toolbar pagination pager comment
+    comments commentlist respond reply replies disqus feedback skip hidden""".split()
 )
+# Words that may also name a part of the article: there the text's length and links decide.
+DOUBTFUL = frozenset("banner header notice notices notification social share sharing widget widgets search discussion reactions copyright legal alert form".split())
 # Those that also leave out an element with an article in it.
-BESIDE = frozenset("comment comments commentlist replies related recommended recommendations teaser teasers sidebar promo".split())
+BESIDE = frozenset("comment comments commentlist replies related recommended recommendations teaser teasers sidebar promo feedback".split())
 MODIFIERS = frozenset("has with no not without is".split())
 # Containers whose class or id may hold such words without being boilerplate themselves.
 WHOLE_PAGE = frozenset("html body article main".split())
+KEPT, DOUBTED, LEFT_OUT = 0, 1, 2
 
 
-def _dropped(tag: str, attrs: str, inside: bool, holds_main: bool) -> bool:
-    """Whether an element is left out; inside: it is in an article; holds_main: it has an article in it."""
+def _judged(tag: str, attrs: str, inside: bool, holds_main: bool) -> int:
+    """Whether an element is left out, or its lines are in doubt; inside: it is in an article; holds_main: it has one in it."""
     if tag in DROPPED:
-        return True
+        return LEFT_OUT
     if tag == "header":
-        return not inside
+        return KEPT if inside else LEFT_OUT
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return KEPT
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return LEFT_OUT
     if re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"\shidden(?:\s|>|$)", ATTRIBUTE.sub(" ", attrs)):
-        return True
+        return LEFT_OUT
     if tag in WHOLE_PAGE and not any("comment" in found.get(k, "").lower() for k in ("class", "id")):
-        return False
+        return KEPT
     names = set()
     for token in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = [w.lower() for w in WORDS.findall(token)]
         # has-sidebar and the like say something about a container, not that it is one.
         names.update(words if words and words[0] not in MODIFIERS else ())
-    return bool(names & (BESIDE if holds_main else BOILERPLATE))
+    if names & (BESIDE if holds_main else BOILERPLATE):
+        return LEFT_OUT
+    return DOUBTED if names & DOUBTFUL and not holds_main else KEPT
 
 
 class _Line:
-    __slots__ = ("pieces", "linked", "gap", "main")
+    __slots__ = ("pieces", "linked", "gap", "main", "doubted", "parent")
 
-    def __init__(self, gap: bool, main: int) -> None:
+    def __init__(self, gap: bool, main: int, doubted: bool = False, parent: int = 0) -> None:
         self.pieces: list[str] = []
-        self.linked, self.gap, self.main = 0, gap, main
+        self.linked, self.gap, self.main, self.doubted, self.parent = 0, gap, main, doubted, parent
 
 
 def _ends(marks: list[re.Match]) -> dict[int, int]:
@@ -94,12 +100,16 @@ def _ends(marks: list[re.Match]) -> dict[int, int]:
 
 
 def page_lines(page: str) -> list[_Line]:
-    """The page's lines, one for each block, in order. Dropped elements leave a gap line; main counts the article the line is in."""
+    """The page's lines, one for each block, in order. Elements that are left out leave a gap line; main is the number of the
+    marked article that the line is in, 0 outside; doubted lines are in an element whose name may be that of boilerplate;
+    parent is the container around them."""
     marks = list(MARKUP.finditer(page))
     ends = _ends(marks)
     mains = [i for i, m in enumerate(marks) if m["tag"] and not m["close"] and m["tag"].lower() in MAIN]
     lines, line = [], _Line(False, 0)
     inside: list[int] = []  # where the open articles end
+    doubt = -1  # where the outermost doubtful element ends
+    containers: list[tuple[int, int]] = []  # number and end of the open containers
     links = 0
     articles = 0
     at, i = 0, 0
@@ -110,7 +120,7 @@ def page_lines(page: str) -> list[_Line]:
             lines.append(line)
         if gap:
             lines.append(_Line(True, 0))
-        line = _Line(False, articles if inside else 0)
+        line = _Line(False, articles if inside else 0, i < doubt, containers[-1][0] if containers else 0)
 
     while i <= len(marks):
         stop = marks[i].start() if i < len(marks) else len(page)
@@ -128,7 +138,8 @@ def page_lines(page: str) -> list[_Line]:
         if tag and not m["close"]:
             nearest = bisect_right(mains, i)
             holds_main = nearest < len(mains) and mains[nearest] < ends.get(i, len(marks))
-            if _dropped(tag, m["attrs"], bool(inside), holds_main):
+            judged = _judged(tag, m["attrs"], bool(inside), holds_main)
+            if judged == LEFT_OUT:
                 last = ends.get(i)
                 cut(gap=True)
                 if last is None and tag not in VOID:
@@ -139,6 +150,10 @@ def page_lines(page: str) -> list[_Line]:
                     at = marks[last].end()
                 i = (last if last is not None else i) + 1
                 continue
+            if tag in CONTAINERS and i in ends:
+                containers.append((i + 1, ends[i]))
+            if judged == DOUBTED and tag not in INLINE:
+                doubt = max(doubt, ends.get(i, i + 1))
             if tag == "a":
                 links += 1
             elif tag == "br":
@@ -155,6 +170,8 @@ def page_lines(page: str) -> list[_Line]:
             elif tag not in INLINE:
                 while inside and inside[-1] <= i:
                     inside.pop()
+                while containers and containers[-1][1] <= i:
+                    containers.pop()
                 cut()
         i += 1
     cut()
@@ -167,44 +184,71 @@ def main_text(page: str | None) -> str:
         text = " ".join("".join(line.pieces).split())
         if text or line.gap:
             rows.append((text, line))
-    if not rows:
-        return ""
-    # Text lengths without link lists; a gap breaks the text as empty lines would.
-    weight = np.array([0 if x.gap or x.linked > LINKED * len(t) else len(t) for t, x in rows], np.int64)
-    main = np.array([x.main for _, x in rows])
-    if main.any():
-        # Marked articles: the one with most text; within it no window ever dives.
-        sums = np.bincount(main, weights=weight)
-        sums[0] = -1
-        keep = main == int(sums.argmax())
-    else:
-        keep = _between(weight)
-    return "\n\n".join(t for (t, x), k in zip(rows, keep) if k and t and not x.gap)
+    weight = np.array([_weight(text, line) for text, line in rows], np.int64)
+    keep = _between(weight, np.array([x.gap for _, x in rows], bool), np.array([x.main for _, x in rows], np.int64), np.array([x.parent for _, x in rows], np.int64))
+    # Within the bounds all lines stay, but short ones whose element's name speaks against them.
+    return "\n\n".join(t for (t, x), w, k in zip(rows, weight, keep) if k and t and not x.gap and (w or not x.doubted))
+
 
+def _weight(text: str, line: _Line) -> int:
+    """Length of the text; nothing for gaps, link lists and short lines in doubt, more in a marked article."""
+    if line.gap or line.linked > LINKED * len(text) or line.doubted and len(text) < SURGE:
+        return 0
+    return len(text) * (MARKED if line.main else 1)
 
-def _between(weight: np.ndarray) -> np.ndarray:
-    """Lines from the first surge to the last dive. A window surges when its text passes SURGE, or half the mean of the
-    windows where a page is short; it dives where the text of the window is gone."""
+
+def _between(weight: np.ndarray, gap: np.ndarray, main: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """The lines between surge and dive. A window is a line and the next ones up to a gap or the edge of a marked article; text
+    surges where a window with text begins and dives where no window has any. A stretch counts if one of its windows passes
+    SURGE, or half the mean window where a page is short, and its text is PART of the best stretch's at least. Stretches of
+    one marked article are one, and so are those of the container around the best stretch; beside marked articles, what is
+    not marked needs more text than they have."""
     n = len(weight)
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :][:n]  # of a line and the next ones
-    least = min(SURGE, 0.5 * float(sums[sums > 0].mean())) if (sums > 0).any() else 0
-    surges = np.flatnonzero((sums > least) & (weight > 0))
+    if not weight.any():
+        return np.zeros(n, bool)
+    # Lines that windows do not reach over: parts between gaps and edges of articles.
+    part = np.cumsum(np.concatenate(([True], gap[1:] | gap[:-1] | (main[1:] != main[:-1]))))
+    windows = weight.copy()
+    for step in range(1, WINDOW):
+        windows[:-step] += np.where(part[step:] == part[:-step], weight[step:], 0)
+    # Back and forth: a line is between surge and dive if a window with text begins at most WINDOW - 1 lines before it and
+    # another one at it or after it, in the same part.
+    text = np.flatnonzero(weight)
+    fresh = np.concatenate(([True], (part[text[1:]] != part[text[:-1]]) | (np.diff(text) > WINDOW)))
+    first, last = text[fresh], text[np.append(np.flatnonzero(fresh)[1:] - 1, len(text) - 1)]
+    least = min(SURGE, 0.5 * float(windows[windows > 0].mean()))
+    highest = np.array([windows[a : b + 1].max() for a, b in zip(first.tolist(), last.tolist())])
+    own = np.array([weight[a : b + 1].sum() for a, b in zip(first.tolist(), last.tolist())], np.int64)
+    # Together by marked article and by the container of the best stretch; others each on their own.
+    group = np.where(main[first] > 0, -main[first], np.arange(len(first)))
+    around = parent[first[own.argmax()]]
+    if around and not main[first].any():
+        group[parent[first] == around] = len(first)
+    names, which = np.unique(group, return_inverse=True)
+    total = np.bincount(which, weights=own)
+    surges = np.zeros(len(names), bool)
+    np.logical_or.at(surges, which, highest >= least)
+    marked = names < 0
+    best = total[marked].max() if marked.any() else 0
+    if marked.any() and best >= total[~marked].max(initial=0):
+        chosen = marked & (total >= PART * best)
+    else:
+        chosen = surges & (total >= PART * total.max())
     keep = np.zeros(n, bool)
-    if len(surges):
-        back = np.convolve(weight, np.ones(WINDOW, np.int64))[:n]  # of a line and the ones before
-        dives = np.flatnonzero((back > least) & (weight > 0))
-        keep[surges[0] : dives[-1] + 1 if len(dives) else n] = True
-    return keep & (weight > 0)
+    for a, b, g in zip(first.tolist(), last.tolist(), which.tolist()):
+        keep[a : b + 1] = chosen[g]
+    return keep
 
 
 def extract_main_text(pages: DataFrame, *, page: str = "html") -> DataFrame:
     """Every row with text, its main text, and n_chars, the code points of it.
 
-    Markup is stripped into lines, one for each block; menus, headers, footers, sidebars, notices, adverts, forms,
-    scripts, styles and comments are gaps. Sums of text over windows of lines then show where text surges and where it
-    dives; what lies between is kept whole, short lines included. Where the page marks an article, its bounds are the
-    surge and the dive. Character references are decoded, white space in a block becomes one space, and blocks are
-    joined by an empty line.
+    Markup is stripped into lines, one for each block; menus, footers, sidebars, forms, scripts and styles, and elements
+    named as adverts, notices or comments, are gaps. Sums of text over windows of lines show on every page where text
+    surges and where it dives; what lies between is kept whole, short lines and paragraphs of links included. Marks of an
+    article only add weight to its lines: all marked articles with a part of the longest one's text stay, and text outside
+    them stays only if it outweighs them. Character references are decoded, white space in a block becomes one space, and
+    blocks are joined by an empty line.
 
     Null and empty pages and pages without text give an empty text; broken markup never fails; repeated rows are
     extracted each; an empty table gives an empty result; columns named text or n_chars are replaced.
