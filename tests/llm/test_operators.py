@@ -87,11 +87,16 @@ def test_anchors_lose_no_link(spark, bits):
         assert got == {x: top(x) for x in fps}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 10_000])
+def test_components(spark, local):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200), (5, 1000), (-4, 101)]
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
     assert found == {i: 0 for i in [*range(31), 1000]} | {100: -4, 101: -4, -4: -4}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), local).count() == 0
+    draw = random.Random(1)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    both = [sorted(components(spark.createDataFrame(edges, "a long, b long"), n).collect()) for n in (local, 5000)]
+    assert both[0] == both[1]
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
