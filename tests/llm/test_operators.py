@@ -373,6 +373,23 @@ def test_longest_rule_wins():
     assert trie.longest("c.b.example.org", "") == ("block", "b.example.org") and trie.longest("b.example.org", "/x/y") == ("allow", "b.example.org/x/")
 
 
+def test_many_rules_of_one_host_cost_little():
+    import time
+
+    draw = random.Random(3)
+    rules = [("block" if i % 2 else "allow", "example.org", f"/a/{draw.randrange(10**6)}") for i in range(100_000)]
+    trie, by_path = uf.UrlTrie(rules), {}
+    for verdict, _, path in rules:
+        by_path[path] = "block" if "block" in (verdict, by_path.get(path)) else "allow"
+    urls = [f"/a/{draw.randrange(10**8)}" for _ in range(2000)] + ["/a/" + "1" * 1_000_000]
+    start = time.process_time()
+    found = [trie.longest("www.example.org", u) for u in urls]
+    assert time.process_time() - start < 2
+    for u, f in zip(urls, found):
+        fits = [u[:n] for n in range(10, 2, -1) if u[:n] in by_path]
+        assert f == ((by_path[fits[0]], "example.org" + fits[0]) if fits else None)
+
+
 @pytest.mark.parametrize("url, parts", [(None, ("", "")), ("x.org/a", ("", "")), ("http://A.Org", ("a.org", "")), ("http://a.org?x=/b#c", ("a.org", "")), ("h://a/b?c", ("a", "/b")), ("http://é.ORG/É#x", ("é.org", "/É")), ("", ("", ""))])
 def test_split_url(url, parts):
     assert uf.split_url(url) == parts
@@ -450,6 +467,26 @@ def test_paraphrases_need_their_answer(spark):
     assert dc.find_contamination(docs, bench.limit(0)).where(F.size("matches") > 0).count() == 0
 
 
+def test_verbatim_items_of_any_length_and_number(spark, monkeypatch):
+    """Items of 8 to 500 words among 4,000 others, in one part and in several."""
+    draw = random.Random(12)
+    words = ["".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(draw.randint(1, 3))) for _ in range(5000)]
+    prose = lambda n: " ".join(words[int(5000 * draw.random() ** 2)] for _ in range(n))
+    items = [(i, prose(draw.randint(8, 60))) for i in range(4000)]
+    plants = [(4000 + 10 * j + k, prose(n)) for j, n in enumerate((8, 10, 12, 15, 20, 31, 60, 150, 300, 500)) for k in range(6)]
+    rows = [(i, f"{prose(draw.randint(0, 200))} {t} {prose(draw.randint(0, 200))}") for i, t in plants] + [(9_000 + i, prose(300)) for i in range(100)]
+    rows += [(9_999, prose(40_000)), (None, None), (1, "")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, matches int").repartition(4)
+    bench = spark.createDataFrame(items + plants, "item_id long, text string")
+    want = {(i, i) for i, _ in plants}
+    for most in (100_000, 3000):
+        monkeypatch.setattr(dc, "MAX_ITEMS", most)
+        found = dc.find_contamination(docs, bench)
+        assert found.count() == len(rows) and found.columns.count("matches") == 1
+        got = {(r.doc_id, r.item_id) for r in found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id").collect()}
+        assert want <= got and len(got - want) <= 3
+
+
 def test_common_subsequence():
     item = dc.masks([1, 2, 3, 2, 5])
     assert dc.common_subsequence(item, [1, 9, 2, 2, 5]) == pytest.approx(0.8)

@@ -15,17 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_words import hashed_words, words_of
-from tidemark.llm.common import packed, quoted, unpacked
+from tidemark.llm.common import ROW, packed, quoted, unpacked
+from tidemark.session import cut_lineage
 
-# Words from one passage to the next; a passage has twice as many.
-STRIDE = 24
+# Words from one passage to the next; a passage has twice as many. Items are searched in passages of about their length: up
+# to so many words in those of the first stride, and so on; all others in those of the last.
+STRIDES, LENGTHS = (6, 12, 24), (14, 30)
+STRIDE = STRIDES[-1]
 # Rows of the corpus part and of the benchmark part of the sketch, and dimensions kept.
 CORPUS_ROWS, BENCHMARK_ROWS, DIMENSIONS = 64, 256, 128
 # Terms in more than this share of the passages weigh nothing (save in items that have few others); passages with fewer weighing terms are not searched.
 COMMON, LEAST_TERMS = 0.1, 3
 # Cosine of a candidate; share of an item that its longest common subsequence has to cover, alone or with its answer.
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.6, 0.8, 0.6, 0.8
-# What may be broadcast: benchmark items and terms (about 512 bytes each).
+# What is broadcast at a time: benchmark items and terms (about 512 bytes each); a larger benchmark is searched in parts.
 MAX_ITEMS, MAX_TERMS = 100_000, 100_000
 
 # Characters worked on at a time.
@@ -83,23 +86,34 @@ class Benchmark:
     counts: list[np.ndarray]  # terms of each item, repeats included
 
     @classmethod
-    def read(cls, benchmark: DataFrame, text: str, item_id: str) -> Benchmark:
-        rows = benchmark.select(quoted(item_id), quoted(text)).limit(MAX_ITEMS + 1).collect()
-        if len(rows) > MAX_ITEMS:
-            raise ValueError(f"more than {MAX_ITEMS} benchmark items")
-        rows = sorted({(r[0], r[1]) for r in rows if r[0] is not None and words_of(r[1])})
+    def of(cls, rows: list[tuple]) -> Benchmark:
+        """From (item id, text), all different."""
         terms: dict[str, int] = {}
         for _, t in rows:
             for w in words_of(t):
                 terms.setdefault(w, len(terms))
-        if len(terms) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms in the benchmark")
         numbers = [[terms[w] for w in words_of(t)] for _, t in rows]
         answers = [[terms[w] for w in answer_of(t)] for _, t in rows]
         hashes, _ = hashed_words(list(terms))
         order = np.argsort(hashes)
         return cls(len(terms), hashes[order], order, [r[0] for r in rows], [masks(n) for n in numbers], [masks(a) for a in answers], [np.array(n) for n in numbers])
 
+    @classmethod
+    def parts(cls, benchmark: DataFrame, text: str, item_id: str) -> Iterator[Benchmark]:
+        """The benchmark in parts of at most MAX_ITEMS items and MAX_TERMS terms (one item with more is a part of its own);
+        at least one, which may be empty."""
+        items = benchmark.select(quoted(item_id).alias("id"), quoted(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+        # By hash, so parts are about as large as each other.
+        parts = max(1, -(-2 * items.count() // MAX_ITEMS) if items.limit(MAX_ITEMS + 1).count() > MAX_ITEMS else 1)
+        for part in range(parts):
+            own = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == part).distinct().collect() if parts > 1 else items.collect()
+            waiting = [sorted({(r[0], r[1]) for r in own if words_of(r[1])})]
+            while waiting:
+                rows = waiting.pop()
+                if len(rows) > 1 and len({w for _, t in rows for w in words_of(t)}) > MAX_TERMS:
+                    waiting += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+                elif rows or parts == 1:
+                    yield cls.of(rows)
 
     def stretches(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Texts by the stretch: the first one's place, the terms of all their words (-1: not in the benchmark) and the
@@ -117,13 +131,13 @@ class Benchmark:
             at = end
 
 
-def _blocks(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(own: np.ndarray, counts: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts one after the other: the block of every word, counted through, the text of every block, and whether a
     passage begins there. Each text has one more block than its words fill, so that passages end with it."""
-    blocks = (counts + STRIDE - 1) // STRIDE + 1
+    blocks = (counts + stride - 1) // stride + 1
     text = np.repeat(np.arange(len(counts)), counts)
     starts, first = np.cumsum(counts) - counts, np.cumsum(blocks) - blocks
-    block = first[text] + (np.arange(len(own)) - starts[text]) // STRIDE
+    block = first[text] + (np.arange(len(own)) - starts[text]) // stride
     begins = np.ones(int(blocks.sum()), bool)
     begins[first + blocks - 1] = False
     return block, np.repeat(np.arange(len(counts)), blocks), begins
@@ -211,42 +225,56 @@ def latent_space(benchmark: Benchmark, seen: np.ndarray, sketch: np.ndarray, pas
 def matches_of(texts: list[str | None], benchmark: Benchmark, space: LatentSpace) -> list[list[dict]]:
     """The items found in each text."""
     found: list[dict[int, dict]] = [{} for _ in texts]
+    scales = np.searchsorted(LENGTHS, [len(c) for c in benchmark.counts])
+    members = [(stride, np.flatnonzero(scales == i)) for i, stride in enumerate(STRIDES)]
     for first, own, counts in benchmark.stretches(texts):
-        block, text, begins = _blocks(own, counts)
         at = np.flatnonzero(own >= 0)
         at = at[space.weights[own[at]] > 0]
-        if not len(at):
+        for stride, items in members:
+            if len(at) and len(items):
+                _search(found, first, own, counts, at, benchmark, space, stride, items)
+    return [[f[i] for i in sorted(f)] for f in found]
+
+
+def _search(found: list[dict[int, dict]], first: int, own: np.ndarray, counts: np.ndarray, at: np.ndarray, benchmark: Benchmark, space: LatentSpace, stride: int, items: np.ndarray) -> None:
+    """Search the passages of one stride for the items that have about their length."""
+    block, text, begins = _blocks(own, counts, stride)
+    starts = np.cumsum(counts) - counts
+    head = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    vectors = space.items[items]
+    terms = np.bincount(block[at], minlength=len(text))
+    # Stretches of blocks, with the one after them: no matter how many there are, so many vectors are held.
+    for a in range(0, len(text), 16_384):
+        end = min(len(text), a + 16_384 + 1)
+        some = a + np.flatnonzero(begins[a : end - 1] & (terms[a : end - 1] + terms[a + 1 : end] >= LEAST_TERMS))
+        if not len(some):
             continue
-        blocks = np.zeros((len(text), space.directions.shape[1]), np.float32)
+        here = at[np.searchsorted(block[at], a) : np.searchsorted(block[at], end)]
+        blocks = np.zeros((end - a, space.directions.shape[1]), np.float32)
         # The first words of all blocks, then the second ones, ...: no block twice in one addition.
-        terms = np.bincount(block[at], minlength=len(text))
-        rank = np.arange(len(at)) - (np.cumsum(terms) - terms)[block[at]]
-        for turn in np.split(at[np.argsort(rank, kind="stable")], np.cumsum(np.bincount(rank))[:-1]):
-            blocks[block[turn]] += space.directions[own[turn]]
-        # A passage is a block and the next.
-        some = np.flatnonzero(begins[:-1] & (terms[:-1] + terms[1:] >= LEAST_TERMS))
-        starts = np.cumsum(counts) - counts
-        head = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        for a in range(0, len(some), 4096):
-            part = some[a : a + 4096]
-            passages = blocks[part] + blocks[part + 1]
+        rank = np.arange(len(here)) - (np.cumsum(terms[a:end]) - terms[a:end])[block[here] - a]
+        for turn in np.split(here[np.argsort(rank, kind="stable")], np.cumsum(np.bincount(rank))[:-1]):
+            blocks[block[turn] - a] += space.directions[own[turn]]
+        for b in range(0, len(some), 4096):
+            part = some[b : b + 4096]
+            # A passage is a block and the next.
+            passages = blocks[part - a] + blocks[part - a + 1]
             passages /= np.maximum(np.linalg.norm(passages, axis=1, keepdims=True), 1e-9)
-            for start in range(0, len(space.items), 4096):
-                cosine = passages @ space.items[start : start + 4096].T
+            for start in range(0, len(items), 4096):
+                cosine = passages @ vectors[start : start + 4096].T
                 for p, i in np.argwhere(cosine >= COSINE).tolist():
                     doc = int(text[part[p]])
                     words = own[starts[doc] : starts[doc] + counts[doc]]
-                    _check(found[first + doc], benchmark, start + i, float(cosine[p, i]), words, (int(part[p]) - int(head[doc])) * STRIDE)
-    return [[f[i] for i in sorted(f)] for f in found]
+                    _check(found[first + doc], benchmark, int(items[start + i]), float(cosine[p, i]), words, (int(part[p]) - int(head[doc])) * stride, stride)
 
 
-def _check(found: dict[int, dict], benchmark: Benchmark, item: int, cosine: float, words: np.ndarray, at: int) -> None:
+def _check(found: dict[int, dict], benchmark: Benchmark, item: int, cosine: float, words: np.ndarray, at: int, stride: int) -> None:
     """Keep a candidate whose subsequences hold; of several passages the best."""
     best = found.get(item)
     if best is not None and best["lcs"] >= 1 and best["answer"] >= 1:
         return
     n = benchmark.items[item][1]
-    region = words[max(0, at - n) : at + 2 * STRIDE + n].tolist()
+    region = words[max(0, at - n) : at + 2 * stride + n].tolist()
     lcs = common_subsequence(benchmark.items[item], region, PARAPHRASE)
     if lcs < PARAPHRASE:
         return
@@ -261,24 +289,33 @@ def find_contamination(
     """Every row with matches: the benchmark items found in the text (item_id, cosine of the best passage, lcs and answer:
     shares of the item and of its answer that a common subsequence covers).
 
-    Texts are cut into overlapping passages of 48 words. Term frequencies and a random sketch are summed over all
-    passages of the corpus; the SVD of sketch and benchmark gives a latent space; every passage is searched in it for
-    items of a cosine from COSINE. A candidate holds if the longest common subsequence of item and passage, with as many
-    words around it as the item has, covers VERBATIM of the item, or PARAPHRASE of it and ANSWER of its answer (its last
-    sentence). Words are lower-cased runs of letters and digits.
+    Texts are cut into overlapping passages: of 12 words for items of up to 14, of 24 for items of up to 30, and of 48 for
+    all others. Term frequencies and a random sketch are summed over all passages of 48 words of the corpus; the SVD of
+    sketch and benchmark gives a latent space; every passage is searched in it for items of a cosine from COSINE. A
+    candidate holds if the longest common subsequence of item and passage, with as many words around it as the item has,
+    covers VERBATIM of the item, or PARAPHRASE of it and ANSWER of its answer (its last sentence). Words are lower-cased
+    runs of letters and digits. A benchmark of more than MAX_ITEMS items or MAX_TERMS terms is searched part by part, with
+    the matches so far written in between.
 
     Null and empty texts match nothing, nor do items without words or id; equal items and repeated rows are found each;
     empty tables give no matches; whole texts are searched; columns named matches are replaced.
     """
-    known = Benchmark.read(benchmark, item_text, item_id)
-    space = latent_space(known, *_passage_statistics(docs, known, text))
-    shared = docs.sparkSession.sparkContext.broadcast((known, space))
+    names = docs.columns
+    kind = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
+    rows = docs.select(packed(docs), F.array().cast(kind).alias("_matches"))
+    for turn, known in enumerate(Benchmark.parts(benchmark, item_text, item_id)):
+        space = latent_space(known, *_passage_statistics(docs, known, text))
+        found = _matches(docs.sparkSession.sparkContext.broadcast((known, space)), kind)
+        if turn:
+            rows = cut_lineage(rows)
+        rows = rows.select(ROW, F.concat("_matches", found(F.col(ROW).getField(text))).alias("_matches"))
+    return unpacked(rows, names, {"matches": F.col("_matches")})
+
 
-    @F.pandas_udf("array<struct<item_id: long, cosine: double, lcs: double, answer: double>>")
-    def searched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _matches(shared, kind: str):
+    @F.pandas_udf(kind)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(matches_of(texts.tolist(), *shared.value), dtype=object)
 
-    names = docs.columns
-    rows = docs.select(packed(docs), searched(quoted(text)).alias("_matches"))
-    return unpacked(rows, names, {"matches": F.col("_matches")})
+    return found

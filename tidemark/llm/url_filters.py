@@ -30,7 +30,8 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class UrlTrie:
-    """Rules by reversed host labels, below each host by whole path segments, and at the last segment by its beginning."""
+    """Rules by reversed host labels, below each host by whole path segments, and at the last segment by its beginning: of the
+    beginnings of a segment only those are looked up whose length some rule of the place has."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]) -> None:
         self.root: dict = {}
@@ -46,6 +47,17 @@ class UrlTrie:
             ends = node.setdefault(("ends",), {})
             if ends.get(last, ("allow",))[0] != "block":
                 ends[last] = (verdict, host + path)
+        self._measure(self.root)
+
+    @staticmethod
+    def _measure(root: dict) -> None:
+        """The lengths of the beginnings at each place, longest first."""
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            if ("ends",) in node:
+                node[("lengths",)] = sorted({len(e) for e in node[("ends",)]}, reverse=True)
+            waiting += [v for k, v in node.items() if k == ("paths",) or isinstance(k, str)]
 
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
         """The entry with the most host labels, then the longest path, that fits; None if none does."""
@@ -64,7 +76,7 @@ class UrlTrie:
         for segment in path.split("/"):
             ends = node.get(("ends",))
             if ends:
-                best = max((e for e in ends if segment.startswith(e)), key=len, default=None)
+                best = next((segment[:n] for n in node[("lengths",)] if n <= len(segment) and segment[:n] in ends), None)
                 found = ends[best] if best is not None else found
             node = node.get(segment)
             if node is None:
@@ -79,8 +91,8 @@ def judge_urls(
     subdomains where the url's path starts with the rule's; the longest fitting rule wins, block before allow if both
     name the same place. Urls that no rule fits get `default` and a null rule.
 
-    A null url or one without '://' has an empty host and path; repeated rows are judged each; columns named as a
-    result's are replaced. More than MAX_RULES rules are refused, as the trie is broadcast.
+    A null url or one without '://' has an empty host and path; urls of any length are judged whole; repeated rows are judged
+    each; an empty table gives an empty result; columns named as a result's are replaced. More than MAX_RULES rules are refused, as the trie is broadcast.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
