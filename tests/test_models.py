@@ -101,3 +101,26 @@ def test_grid_search_prefers_the_deeper_forest(data):
     grid = [{"trees": 5, "depth": 1}, {"trees": 20, "depth": 5}]
     best = models.grid_search(features, classes, roles(classes, 2), grid).first()
     assert "('depth', 5)" in best.setting
+
+
+def test_settings_reach_the_model_and_unknown_ones_are_refused(data):
+    _x, _y, features, real, classes = data
+    loose = models.cross_validate(features, real, roles(real), {"name": "ridge", "alpha": 1e6}, "regression")
+    spread = loose.groupBy("fold").agg(F.stddev_pop("prediction").alias("s")).agg(F.max("s")).first()[0]
+    assert spread < 0.1  # such a penalty leaves the mean
+    for model in ({"name": "ridge", "C": 2.0}, {"name": "random_forest", "alpha": 1.0}):
+        with pytest.raises(ValueError):
+            models.cross_validate(features, real, roles(real), model, "regression")
+    with pytest.raises(ValueError):
+        models.grid_search(features, classes, roles(classes, 2), [{"colour": 3}])
+    grid = [{"model": "logistic_regression", "C": c} for c in (1e-6, 1.0)]
+    best = models.grid_search(features, classes, roles(classes, 2), grid).first()
+    assert "('C', 1.0)" in best.setting
+
+
+def test_boosting_of_three_classes(data):
+    _x, _y, features, real, _classes = data
+    three = real.withColumn("target", F.when(F.col("target") > 6, "high").when(F.col("target") > 4, "middle").otherwise("low"))
+    pooled = models.cross_validate(features, three, roles(three), {"name": "gradient_boosting", "rounds": 5}).cache()
+    assert models.accuracy(pooled).first().accuracy > 0.6
+    assert pooled.filter(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, v: a + v) - 1) > 1e-9).isEmpty()

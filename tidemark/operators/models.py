@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import vector_to_array
@@ -32,29 +32,60 @@ def stage(timings: dict | None, name: str):
         timings[name] = timings.get(name, 0.0) + time.perf_counter() - start
 
 
-def build_model(
-    name: str, task_type: str, train: DataFrame, seed: int = 42, trees: int = 100, depth: int = 5
-) -> Pipeline:
-    """A pipeline from `features` to `prediction`. An unknown name is a random forest."""
+# What each model can be told, with its defaults; a depth of None grows trees as far as Spark does.
+FULL_DEPTH = 30
+MODEL_SETTINGS = {
+    "random_forest": {"trees": 100, "depth": None, "min_rows": 1, "features": "auto"},
+    "logistic_regression": {"C": 1.0, "max_iter": 200},
+    "ridge": {"alpha": 1.0},
+    "ridge_centred": {"alpha": 10.0},
+    "gradient_boosting": {"rounds": 20, "depth": 5, "rate": 0.1},
+}
+
+
+def model_settings(model: str | Mapping, trees: int | None = None) -> tuple[str, dict]:
+    """(kind, settings) of a model given by name or as a dict with `name` and settings, defaults filled in. An unknown name
+    is a random forest; a setting that the model does not have is an error."""
+    given = {} if isinstance(model, str) else dict(model)
+    name = model if isinstance(model, str) else given.pop("name", "random_forest")
+    given |= given.pop("kwargs", {})
+    kind = name if name in MODEL_SETTINGS else "random_forest"
+    known = MODEL_SETTINGS[kind]
+    if unknown := sorted(set(given) - set(known)):
+        raise ValueError(f"{name} has no setting {', '.join(unknown)}; it has {', '.join(known)}")
+    return kind, known | ({"trees": trees} if trees is not None and "trees" in known else {}) | given
+
+
+def build_model(model: str | Mapping, task_type: str, train: DataFrame, seed: int = 42, trees: int | None = None) -> Pipeline:
+    """A pipeline from `features` to `prediction`, for a model as `model_settings` takes it."""
+    kind, own = model_settings(model, trees)
     classes = task_type == "classification"
-    if name in ("logistic_regression", "ridge", "ridge_centred"):
+    if (kind == "logistic_regression") > classes or (kind in ("ridge", "ridge_centred")) and classes:
+        # Of the other task: a forest, as for an unknown name.
+        kind, own = model_settings("random_forest", trees)
+    if kind in ("logistic_regression", "ridge", "ridge_centred"):
         n_rows, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-    if classes and name == "logistic_regression":
-        # Penalty 1 on the sum of losses is 1 / n on their mean.
-        fit = LogisticRegression(featuresCol="scaled", regParam=1.0 / n_rows, maxIter=200, standardization=False)
+    if kind == "logistic_regression":
+        # A penalty of 1 / C on the sum of losses is 1 / (C n) on their mean.
+        fit = LogisticRegression(featuresCol="scaled", regParam=1.0 / (own["C"] * n_rows), maxIter=own["max_iter"], standardization=False)
         return Pipeline(stages=[_scaler(False), fit])
-    if not classes and name in ("ridge", "ridge_centred"):
+    if kind in ("ridge", "ridge_centred"):
         # Spark divides the penalty by the deviation of the label.
-        penalty = (1.0 if name == "ridge" else 10.0) * (spread or 1.0) / n_rows
+        penalty = own["alpha"] * (spread or 1.0) / n_rows
         fit = LinearRegression(
             featuresCol="scaled", regParam=penalty, elasticNetParam=0.0, standardization=False, solver="auto"
         )
-        return Pipeline(stages=[_scaler(name == "ridge_centred"), fit])
-    if name == "gradient_boosting":
-        kind = GBTClassifier if classes else GBTRegressor
-        return Pipeline(stages=[kind(seed=seed, maxIter=20)])
-    kind = RandomForestClassifier if classes else RandomForestRegressor
-    return Pipeline(stages=[kind(numTrees=trees, seed=seed, maxDepth=depth)])
+        return Pipeline(stages=[_scaler(kind == "ridge_centred"), fit])
+    depth = FULL_DEPTH if own["depth"] is None else own["depth"]
+    if kind == "gradient_boosting":
+        boosted = GBTClassifier if classes else GBTRegressor
+        fit = boosted(seed=seed, maxIter=own["rounds"], maxDepth=depth, stepSize=own["rate"])
+        if classes and train.select("label").distinct().limit(3).count() > 2:
+            # Spark boosts two classes; of several each is told from the rest.
+            fit = OneVsRest(classifier=fit)
+        return Pipeline(stages=[fit])
+    forest = RandomForestClassifier if classes else RandomForestRegressor
+    return Pipeline(stages=[forest(numTrees=own["trees"], seed=seed, maxDepth=depth, minInstancesPerNode=own["min_rows"], featureSubsetStrategy=str(own["features"]))])
 
 
 def _scaler(centred: bool) -> StandardScaler:
@@ -75,10 +106,10 @@ def cross_validate(
     features: DataFrame,
     targets: DataFrame,
     roles: DataFrame,
-    model: str = "random_forest",
+    model: str | Mapping = "random_forest",
     task_type: str = "classification",
     seed: int = 42,
-    trees: int = 100,
+    trees: int | None = None,
     timings: dict | None = None,
 ) -> DataFrame:
     """Pooled out-of-fold predictions: (id, fold, label, prediction[, probabilities]), written once per
@@ -99,7 +130,14 @@ def predict(fitted: PipelineModel, rows: DataFrame, task_type: str) -> DataFrame
     out = fitted.transform(rows)
     columns = [ID, "label", "prediction"]
     if task_type == "classification":
-        out = out.withColumn("probabilities", vector_to_array("probability"))
+        if "probability" in out.columns:
+            out = out.withColumn("probabilities", vector_to_array("probability"))
+        else:
+            # One margin for each class: half the log-odds against the rest.
+            odds = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+            out = out.withColumn("__odds", odds)
+            total = F.aggregate("__odds", F.lit(0.0), lambda a, v: a + v)
+            out = out.withColumn("probabilities", F.transform("__odds", lambda v: v / total))
         columns.append("probabilities")
     return out.select(*columns)
 
@@ -213,11 +251,11 @@ def direct_forecast(
     features: DataFrame,
     targets: DataFrame,
     roles: DataFrame,
-    model: str = "random_forest",
+    model: str | Mapping = "random_forest",
     lower: float = 0.05,
     upper: float = 0.95,
     seed: int = 42,
-    trees: int = 100,
+    trees: int | None = None,
     timings: dict | None = None,
 ) -> DataFrame:
     """One regressor per horizon: (id, horizon, truth, prediction, lower, upper) of the test rows.
@@ -235,7 +273,7 @@ def direct_forecast(
         with stage(timings, "fit_s"):
             fitted = build_model(model, "regression", train, seed, trees).fit(train)
         scored = fitted.transform(test)
-        if hasattr(fitted.stages[-1], "trees") and model != "gradient_boosting":
+        if hasattr(fitted.stages[-1], "trees") and model_settings(model)[0] != "gradient_boosting":
             scored = tree_intervals(fitted.stages[-1], scored, lower, upper)
         else:
             spread = fitted.transform(train).agg(
@@ -311,16 +349,16 @@ def grid_search(
     task_type: str = "classification",
     seed: int = 42,
 ) -> DataFrame:
-    """Mean score of each setting (`model`, `trees`, `depth`) over the given folds, best first."""
+    """Mean score of each setting over the given folds, best first. A setting is a dict with `model` (a random forest unless
+    named) and what that model can be told; anything else is an error."""
     rows = assemble(features, feature_names(features)).join(indexed_target(targets, task_type), ID).persist()
     table = []
     for setting in grid:
+        chosen = {"name": setting.get("model", "random_forest")} | {k: v for k, v in setting.items() if k != "model"}
+        model_settings(chosen)
         scores = []
         for _fold, train, test in fold_sets(rows, roles):
-            model = build_model(
-                setting.get("model", "random_forest"), task_type, train, seed,
-                setting.get("trees", 20), setting.get("depth", 5),
-            )
+            model = build_model(chosen, task_type, train, seed, 20)
             scored = predict(model.fit(train), test, task_type)
             if task_type == "classification":
                 scores.append(accuracy(scored).first()["accuracy"])

@@ -24,7 +24,7 @@ from tidemark.sources.tables import path_exists
 ID = "sequence_id"
 # Result columns with their types.
 RESULT_SCHEMA = """run_id string, cell string, dataset string, task string, seed int, extractor string, extractor_params string,
-selector string, model string, is_cached boolean, fallback_triggered boolean, n_extracted int, n_selected double,
+selector string, model string, model_params string, is_cached boolean, fallback_triggered boolean, n_extracted int, n_selected double,
 reduction_pct double, stability double, extraction_s double, selection_s double, fit_s double, predict_s double,
 ms_per_row double, total_s double, accuracy double, rmse double, mae double, r2 double, coverage double, width double,
 pooled_rmse double, pooled_mae double, pooled_r2 double, horizons string, saved_at timestamp"""
@@ -44,7 +44,7 @@ METRIC_LABELS = {
 
 @dataclass
 class MatrixConfig:
-    """Settings of a run; each extractor and selector is a name or a dict with `name` and parameters."""
+    """Settings of a run; each extractor, selector and model is a name or a dict with `name` and parameters."""
 
     task_type: str = "classification"
     extractors: list = field(default_factory=lambda: ["compact", "minimal", "statistics_sample"])
@@ -135,7 +135,7 @@ class Matrix:
                 "seed": c.seeds,
                 "extractor": as_text,
                 "selector": [json.dumps(s, sort_keys=True) for s in c.selectors],
-                "model": [_split_spec(m)[0] for m in c.models],
+                "model": [json.dumps(m, sort_keys=True) for m in c.models],
             },
         )
         extra = parameter_hash({k: v for k, v in asdict(c).items() if k in ("task_type", "n_splits", "trees", "test_size", "lower", "upper")})
@@ -220,17 +220,19 @@ class Matrix:
     def _evaluate(self, row, loaded: dict, ready: dict) -> dict:
         c = self.config
         features, n_all = loaded["features"], loaded["n"]
+        model_name, model_params = _split_spec(json.loads(row["model"]))
+        model = {"name": model_name} | model_params
         n_test, parts, metrics, timings = 0, None, [], {}
         for fold, mask in ready["masks"].items():
             kept = features.join(mask, "feature", "left_semi")
             roles = ready["roles"].filter(F.col("fold") == fold)
             if c.task_type == "forecasting":
                 scored = models.direct_forecast(
-                    kept, ready["labels"], roles, row["model"], c.lower, c.upper, row["seed"], c.trees, timings
+                    kept, ready["labels"], roles, model, c.lower, c.upper, row["seed"], c.trees, timings
                 )
             else:
                 scored = models.cross_validate(
-                    kept, ready["labels"], roles, row["model"], c.task_type, row["seed"], c.trees, timings
+                    kept, ready["labels"], roles, model, c.task_type, row["seed"], c.trees, timings
                 )
             n_test += scored.count()
             if c.task_type == "classification":
@@ -255,7 +257,7 @@ class Matrix:
         return out | {
             "run_id": self.run_id, "cell": row["cell"], "dataset": row["dataset"], "task": c.task_type, "seed": row["seed"],
             "extractor": name, "extractor_params": json.dumps(params, sort_keys=True), "selector": ready["name"],
-            "model": row["model"], "is_cached": cached, "fallback_triggered": ready["fallback"], "n_extracted": n_all,
+            "model": model_name, "model_params": json.dumps(model_params, sort_keys=True), "is_cached": cached, "fallback_triggered": ready["fallback"], "n_extracted": n_all,
             "n_selected": float(ready["n"]),
             "reduction_pct": 0.0 if ready["fallback"] else round((1 - ready["n"] / max(1, n_all)) * 100, 2),
             "stability": self._stability(ready), "extraction_s": None if cached else loaded["s"],
@@ -283,7 +285,9 @@ def inventory(results: DataFrame) -> DataFrame:
 def analyse(results: DataFrame, task_type: str, alpha: float = 0.05) -> dict[str, DataFrame]:
     """Summaries and paired tests of the quality and cost of one task: by extractor, selector and their combination."""
     rows = results.filter(F.col("task") == task_type).select(
-        *[null_label(c).alias(n) for c, n in (("dataset", "Dataset"), ("extractor", "Extractor"), ("selector", "Selector"), ("model", "Model"))],
+        *[null_label(c).alias(n) for c, n in (("dataset", "Dataset"), ("extractor", "Extractor"), ("selector", "Selector"))],
+        # Settings other than a model's own are part of its name.
+        F.when(F.coalesce("model_params", F.lit("{}")) == "{}", null_label("model")).otherwise(F.concat_ws(" ", "model", "model_params")).alias("Model"),
         F.col("seed").alias("Seed"),
         "is_cached",
         "saved_at",

@@ -62,6 +62,23 @@ def _(spark, sf_dir):
     return results.select(*KEYS, "rmse", "mae", "coverage", "width", "horizons")
 
 
+@query(
+    "experiment_matrix_model_settings",
+    """SELECT DISTINCT p AS model_params, 1::BIGINT AS n_cells, 3::BIGINT AS n_errors FROM events
+CROSS JOIN (SELECT unnest(['{}', '{"alpha": 50.0}', '{"alpha": 100000.0}']) AS p)""",
+)
+def _(spark, sf_dir):
+    """One model with three settings: three cells with an error of their own each."""
+    folder = scratch_folder(spark)
+    config = M.MatrixConfig(
+        task_type="regression", n_splits=2, extractors=["statistics_sample"], selectors=["none"],
+        models=["ridge", {"name": "ridge", "alpha": 50.0}, {"name": "ridge", "alpha": 100000.0}],
+    )
+    results = M.Matrix(spark, config, folder, FeatureStore(spark, f"{folder}/store")).run({"events": lambda: event_windows(spark, sf_dir, "code", "mean")})
+    errors = results.agg(F.countDistinct("rmse").alias("n_errors"))
+    return results.groupBy("model_params").agg(F.count(F.lit(1)).alias("n_cells")).crossJoin(errors)
+
+
 @query("experiment_analysis")
 def _(spark, sf_dir):
     """Paired tests of the extractors over the seeds of a matrix run."""

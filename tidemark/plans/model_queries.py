@@ -209,15 +209,16 @@ def _ordinal_roles(targets, k=3):
     return splits.fold_roles(folds, k)
 
 
-_RIDGE = """WITH src AS (SELECT o_orderkey AS id, o_totalprice AS y, (o_custkey % 97)::DOUBLE AS raw, (o_orderkey % 3)::INTEGER AS fold FROM orders),
+def _ridge_sql(alpha: float) -> str:
+    return f"""WITH src AS (SELECT o_orderkey AS id, o_totalprice AS y, (o_custkey % 97)::DOUBLE AS raw, (o_orderkey % 3)::INTEGER AS fold FROM orders),
 f AS (SELECT unnest(range(0, 3))::INTEGER AS k),
 st AS (SELECT k, stddev_samp(raw) AS s FROM src JOIN f ON fold <> k GROUP BY 1),
 fit AS (SELECT k, any_value(s) AS s, avg(raw / s) AS mx, avg(y) AS my,
-  covar_pop(y, raw / s) * count(*) / (var_pop(raw / s) * count(*) + 1.0) AS b FROM src JOIN f ON fold <> k JOIN st USING (k) GROUP BY 1)
-SELECT id AS sequence_id, fold, my + b * (raw / s - mx) AS prediction FROM src JOIN fit ON fold = k"""
+  covar_pop(y, raw / s) * count(*) / (var_pop(raw / s) * count(*) + {alpha}) AS b FROM src JOIN f ON fold <> k JOIN st USING (k) GROUP BY 1)
+SELECT id AS sequence_id, fold, my + b * (raw / s - mx) AS prediction, y FROM src JOIN fit ON fold = k"""
 
 
-@query("ridge_out_of_fold", rounded_sql(_RIDGE, ["sequence_id", "fold"], {"prediction": 2}))
+@query("ridge_out_of_fold", rounded_sql(_ridge_sql(1.0), ["sequence_id", "fold"], {"prediction": 2}))
 def _(spark, sf_dir):
     features, targets = order_features(spark, sf_dir)
     pooled = models.cross_validate(
@@ -226,6 +227,25 @@ def _(spark, sf_dir):
     return rounded(pooled, [ID, "fold"], {"prediction": 2})
 
 
+@query(
+    "ridge_settings",
+    " UNION ALL ".join(
+        f"SELECT {alpha}::DOUBLE AS alpha, fold, round(sqrt(avg((prediction - y) * (prediction - y))), 2) AS rmse FROM ({_ridge_sql(alpha)}) GROUP BY fold"
+        for alpha in (1.0, 5000.0, 1e6)
+    ),
+)
+def _(spark, sf_dir):
+    """One model with several settings: the errors of each."""
+    features, targets = order_features(spark, sf_dir)
+    features, out = features.filter("feature = 'cust_mod'"), None
+    for alpha in (1.0, 5000.0, 1e6):
+        pooled = models.cross_validate(features, targets, _ordinal_roles(targets), {"name": "ridge", "alpha": alpha}, "regression")
+        part = pooled.groupBy("fold").agg(F.round(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)), 2).alias("rmse"))
+        part = part.select(F.lit(alpha).alias("alpha"), "fold", "rmse")
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("random_forest_out_of_fold")
 def _(spark, sf_dir):
     features, targets = embedding_features(spark, sf_dir)
