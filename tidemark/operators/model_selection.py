@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from tidemark.functions.expr import sanitise
 from tidemark.functions.special import binomial_upper
+from tidemark.operators import lasso
 from tidemark.operators.position import with_position
 from tidemark.operators.splits import sample_rows, seeded_hash
-from tidemark.session import require_small
+from tidemark.session import cut_lineage, require_small
 
 ID = "sequence_id"
 
@@ -71,9 +72,18 @@ def l1_selector(
     alpha: float = 0.01,
     task_type: str = "classification",
 ) -> DataFrame:
-    """Features with a non-zero coefficient in an L1 model on standardised values."""
+    """Features with a non-zero coefficient in an L1 model on standardised values, found by coordinate descent on summed cross
+    products; Spark's own solver takes over above `lasso.MAX_FEATURES` features, whose cross products no driver need hold."""
     names = feature_names(features)
-    rows = training_rows(features, targets, names, task_type).persist()
+    rows = training_rows(features, targets, names, task_type)
+    if task_type != "regression" and rows.select("label").distinct().limit(2).count() < 2:
+        return _mask(features, names, np.zeros(len(names)), np.zeros(len(names)))
+    if len(names) <= lasso.MAX_FEATURES:
+        # Read once a pass, so the vectors are built once.
+        model = lasso.fit_l1(cut_lineage(rows.select("features", "label")), task_type, C, alpha)
+        scores = np.abs(model.coefficients).sum(axis=0)
+        return _mask(features, names, scores, scores > 1e-5)
+    rows = rows.persist()
     try:
         spread = rows.select(F.explode(_indexed(rows)).alias("s")).groupBy("s.i").agg(F.stddev_pop("s.v").alias("sd"))
         sd = {r["i"]: r["sd"] or 0.0 for r in spread.collect()}
@@ -82,10 +92,7 @@ def l1_selector(
             model = LinearRegression(elasticNetParam=1.0, regParam=alpha, maxIter=500, tol=1e-6).fit(rows)
             weights = np.abs(model.coefficients.toArray())
         else:
-            if rows.select("label").distinct().limit(2).count() < 2:
-                return _mask(features, names, np.zeros(len(names)), np.zeros(len(names)))
-            n = rows.count()
-            model = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * n), maxIter=100, tol=1e-4).fit(rows)
+            model = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * rows.count()), maxIter=100, tol=1e-4).fit(rows)
             weights = np.abs(model.coefficientMatrix.toArray()).sum(axis=0)
     finally:
         rows.unpersist()

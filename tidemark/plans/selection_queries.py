@@ -359,6 +359,29 @@ def _(spark, sf_dir):
     return trees.l1_selector(*embedding_features(spark, sf_dir), C=0.05)
 
 
+@query(
+    "l1_selector_single",
+    """WITH d AS (SELECT s_acctbal::DOUBLE AS balance, (s_suppkey * 7919 % 10007)::DOUBLE AS mixed, s_suppkey % 7 AS week, s_acctbal / 10 + (s_suppkey * 31 % 17) AS y FROM supplier),
+f AS (SELECT 'balance' AS feature, balance AS x, y FROM d UNION ALL SELECT 'mixed', mixed, y FROM d UNION ALL SELECT 'week', week, y FROM d),
+s AS (SELECT feature, greatest(0.0, abs(covar_pop(y, x) / stddev_pop(x)) - 25.0) AS score FROM f GROUP BY feature)
+SELECT feature, round(score, 6) AS score, score > 1e-5 AS selected FROM s""",
+)
+def _(spark, sf_dir):
+    """Each feature alone, where the solution is the shrunken slope."""
+    rows = table(spark, sf_dir, "supplier")
+    key, balance = F.col("s_suppkey"), F.col("s_acctbal").cast("double")
+    wide = rows.select(
+        key.alias(ID), balance.alias("balance"), (key * 7919 % 10007).cast("double").alias("mixed"), (key % 7).cast("double").alias("week"),
+        (balance / 10 + key * 31 % 17).alias("target"),
+    )
+    features = wide.select(ID, "balance", "mixed", "week").unpivot([ID], ["balance", "mixed", "week"], "feature", "value")
+    out = None
+    for name in ("balance", "mixed", "week"):
+        part = trees.l1_selector(features.filter(F.col("feature") == name), wide.select(ID, "target"), alpha=25.0, task_type="regression")
+        out = part if out is None else out.union(part)
+    return out.select("feature", F.round("score", 6).alias("score"), "selected")
+
+
 @query("l1_selector_real_target")
 def _(spark, sf_dir):
     return trees.l1_selector(*order_features(spark, sf_dir), task_type="regression")
