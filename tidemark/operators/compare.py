@@ -47,7 +47,7 @@ LOWER_IS_BETTER = (
     "Tau RMSE",
     "Tau MAE",
 )
-# Columns that may identify a measurement, in order of preference.
+# Columns that may identify a measurement, in order of preference, and the name for no winner.
 PAIR_KEYS = ("Dataset", "Seed", "Fold", "Task", "Selector", "Model", "Extractor")
 NO_WINNER = "No Statistically Significant Difference"
 MAX_METHODS = 500

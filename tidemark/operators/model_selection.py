@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.expr import sanitise
 from tidemark.functions.special import binomial_upper
-from tidemark.operators import lasso
+from tidemark.operators import lasso, random_trees
 from tidemark.operators.position import with_position
 from tidemark.operators.splits import sample_rows, seeded_hash
 from tidemark.session import cut_lineage, require_small
@@ -118,15 +118,21 @@ def tree_importance(
     threshold: str | float = "median",
     task_type: str = "classification",
     random_state: int = 42,
+    model_type: str = "extra_trees",
+    depth: int | None = None,
 ) -> DataFrame:
-    """Features whose forest importance reaches the median, the mean or a number.
-
-    Spark has no extremely randomised trees; a random forest stands in for them.
-    """
+    """Features whose importance in extremely randomised trees (or a "random_forest") reaches the median, the mean or a number."""
+    if model_type not in ("extra_trees", "random_forest"):
+        raise ValueError(f"unknown model type {model_type}")
     names = feature_names(features)
     rows = training_rows(features, targets, names, task_type)
-    model = forest(task_type, n_estimators, random_state).fit(rows)
-    scores = model.featureImportances.toArray()
+    if model_type == "extra_trees":
+        # Read twice a level, so the vectors are built once.
+        rows = cut_lineage(rows.select("features", "label"))
+        classes = 0 if task_type == "regression" else int(rows.agg(F.max("label")).first()[0] or 0) + 1
+        scores = random_trees.fit_extra_trees(rows, classes, n_estimators, random_state, depth).importances
+    else:
+        scores = forest(task_type, n_estimators, random_state, 30 if depth is None else depth).fit(rows).featureImportances.toArray()
     cut = {"median": np.median, "mean": np.mean}[threshold](scores) if isinstance(threshold, str) else threshold
     return _mask(features, names, scores, scores >= cut)
 

@@ -645,7 +645,7 @@ def run_selector(
         "variance_threshold": (variance_threshold, {}),
         "l1": (trees.l1_selector, {}),
         "extra_trees": (trees.tree_importance, {}),
-        "random_forest": (trees.tree_importance, {}),
+        "random_forest": (trees.tree_importance, {"model_type": "random_forest"}),
         "correlation": (correlation_threshold, {}),
     }
     key = ALIASES.get(name, name)
@@ -665,6 +665,7 @@ def run_selector(
     return fn(features, targets, **{k: v for k, v in given.items() if k in accepted})
 
 
+# Other names of the selectors.
 ALIASES = {
     "tsfresh": "fdr",
     "select_k_best_anova": "select_k_best",

@@ -389,7 +389,7 @@ def _(spark, sf_dir):
 
 @query("tree_importance")
 def _(spark, sf_dir):
-    return trees.tree_importance(*embedding_features(spark, sf_dir), n_estimators=20)
+    return trees.tree_importance(*embedding_features(spark, sf_dir), n_estimators=20, depth=8)
 
 
 @query("boruta")

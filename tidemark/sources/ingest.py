@@ -14,6 +14,7 @@ from tidemark.operators.windowing import segment_time_series
 from tidemark.session import require_small
 
 # Machine log: failure causes that give the target away, and the signals.
+# Column names and codes of the public files.
 LEAK_COLUMNS = ("TWF", "HDF", "PWF", "OSF", "RNF")
 MACHINE_SIGNALS = (
     "Type",
