@@ -21,6 +21,8 @@ from tidemark.functions.phrases import PhraseParse
 from tidemark.functions.range_order import RangeOrder
 
 _ARRAY = T.ArrayType(T.DoubleType())
+# Values of overlapping stretches that are sorted at once.
+SORTED_CELLS = 1 << 18
 
 
 def _matrix_udf(width: int | None, fn: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
@@ -218,8 +220,16 @@ def wavelet_peaks(xs: Column, counts) -> Column:
         start, stop = noise_window(at, len(x))
         place = 0.1 * (stop - start - 1)
         low = np.floor(place).astype(np.int64)
-        noise = RangeOrder(rows[0])
-        a, b = noise.smallest(start, stop, low), noise.smallest(start, stop, np.minimum(low + 1, stop - start - 1))
+        high = np.minimum(low + 1, stop - start - 1)
+        width = int((stop - start).max())
+        if width * len(at) <= SORTED_CELLS:
+            # Short stretches are sorted as they are.
+            cells = start[:, None] + np.arange(width)
+            ordered = np.sort(np.where(cells < stop[:, None], rows[0][np.minimum(cells, len(x) - 1)], np.inf), axis=1)
+            a, b = ordered[np.arange(len(at)), low], ordered[np.arange(len(at)), high]
+        else:
+            noise = RangeOrder(rows[0])
+            a, b = noise.smallest(start, stop, low), noise.smallest(start, stop, high)
         return float((np.abs(value) >= np.abs(a + (b - a) * (place - low))).sum())
 
     return _row_udf(len(counts), lambda x: [peaks(x, n) for n in counts], xs)
