@@ -1,6 +1,7 @@
 """Selectors, tests and masks."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import special
 from tidemark.operators import model_selection as trees
 from tidemark.operators import selection as sel
+from tidemark.operators.position import running_last
 
 ID = "sequence_id"
 
@@ -250,3 +252,28 @@ def test_binomial_tail_by_counting():
         for k in range(0, n + 2):
             want = sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
             assert math.isclose(float(special.binomial_upper(np.array(float(k)), float(n))), want, abs_tol=1e-14)
+
+
+def frames_to_the_end(df):
+    """Frames from the current row to the end of its group: Spark evaluates those anew for every row."""
+    plan = df._jdf.queryExecution().toString().lower()
+    return plan.count("currentrow$(), unboundedfollowing$()") + plan.count("1, unboundedfollowing$()")
+
+
+def test_adjusted_p_values_take_one_pass(spark, small_tasks):
+    rows = [(i, i % 2, (i * 7 % 11 + 1) / 40) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g int, p double")
+    long = sel.adjust_p_values(df, "p", keys=["g"])
+    spark.conf.unset("spark.tidemark.maxGroupRows")
+    short = sel.adjust_p_values(df, "p", keys=["g"])
+    assert frames_to_the_end(short) == frames_to_the_end(long) == 0
+
+    def found(out):
+        return {r.id: round(r.p_adjusted, 12) for r in out.collect()}
+
+    want = {}
+    for g in (0, 1):
+        own = [(i, p) for i, k, p in rows if k == g]
+        raw = {p: p * len(own) / sum(q <= p for _, q in own) for _, p in own}
+        want |= {i: round(min(1.0, *(v for q, v in raw.items() if q >= p), 1.0), 12) for i, p in own}
+    assert found(short) == found(long) == want

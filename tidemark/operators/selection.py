@@ -69,7 +69,8 @@ def adjust_p_values(
         return F.least(F.lit(1.0), F.col("__p") * m / upto * factor)
 
     by_p = Window.partitionBy(*keys).orderBy("__p")
-    onwards = by_p.rowsBetween(0, Window.unboundedFollowing)
+    # Spark evaluates a frame that ends with the group anew for every row, one that begins with it only once.
+    onwards = Window.partitionBy(*keys).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
     if fits_one_task(tests, keys):
         # Equal p-values share the rank of the last of them.
         upto = F.count(F.lit(1)).over(by_p.rangeBetween(Window.unboundedPreceding, 0))
@@ -93,9 +94,9 @@ def suffix_minimum(df: DataFrame, keys: Sequence[str], order: str, value: str, n
     bucket = next(iter(codes))
     rows = cut_lineage(df.withColumns(codes))
     least = rows.groupBy(*keys, bucket).agg(F.min(value).alias("__least"))
-    later = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)
     least = least.select(*keys, bucket, F.min("__least").over(later).alias("__later"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, bucket).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("__inside", F.min(value).over(inside)).join(least, [*keys, bucket])
     return out.withColumn(name, F.least("__inside", "__later")).drop("__inside", "__later", bucket)
 
