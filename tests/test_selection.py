@@ -277,3 +277,18 @@ def test_adjusted_p_values_take_one_pass(spark, small_tasks):
         raw = {p: p * len(own) / sum(q <= p for _, q in own) for _, p in own}
         want |= {i: round(min(1.0, *(v for q, v in raw.items() if q >= p), 1.0), 12) for i, p in own}
     assert found(short) == found(long) == want
+
+
+def test_fills_take_one_pass(spark):
+    rows = [(0, None), (1, None), (2, 5.0), (3, None), (4, 7.0), (5, None)]
+    df = spark.createDataFrame(rows, "t int, v double")
+    out = running_last(df, [], ["t"], {"f": "v"})
+    assert frames_to_the_end(out) == 0
+    assert [r.f for r in out.orderBy("t").collect()] == [5.0, 5.0, 5.0, 5.0, 7.0, 7.0]
+
+
+def test_long_fills_keep_columns_with_dots(spark, small_tasks):
+    rows = [(i, None if i < 9 or i % 4 else float(i), i) for i in range(80)]
+    df = spark.createDataFrame(rows, "t int, v double, `pm2.5` int")
+    out = running_last(df, [], ["t"], {"f": "v"}).orderBy("t").collect()
+    assert [r.f for r in out] == [float(max(12, i - i % 4)) for i in range(80)] and [r["pm2.5"] for r in out] == list(range(80))

@@ -163,7 +163,7 @@ def prefix_sums(
     )
     inside = df.withColumns(running(Window.partitionBy(*keys, *buckets).orderBy(*order)))
     return inside.join(carried, _same(inside, carried, keys + buckets)).select(
-        *[inside[c] for c in kept],
+        *[inside["`" + c.replace("`", "``") + "`"] for c in kept],
         *[(inside[f"{n}_before"] + carried[f"__{n}_carry"]).alias(f"{n}_before") for n in sums],
         *[carried[f"{n}_total"] for n in sums],
     )
@@ -249,11 +249,12 @@ def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     if fits_one_task(df, keys):
         w = Window.partitionBy(*keys).orderBy(*order)
         earlier = w.rowsBetween(Window.unboundedPreceding, 0)
-        later = w.rowsBetween(0, Window.unboundedFollowing)
+        # Where nothing is known up to a row, the first known value after it is the group's first.
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.withColumns(
             {
                 n: F.coalesce(
-                    F.last(c, ignorenulls=True).over(earlier), F.first(c, ignorenulls=True).over(later)
+                    F.last(c, ignorenulls=True).over(earlier), F.first(c, ignorenulls=True).over(whole)
                 )
                 for n, c in columns.items()
             }
