@@ -292,3 +292,10 @@ def test_long_fills_keep_columns_with_dots(spark, small_tasks):
     df = spark.createDataFrame(rows, "t int, v double, `pm2.5` int")
     out = running_last(df, [], ["t"], {"f": "v"}).orderBy("t").collect()
     assert [r.f for r in out] == [float(max(12, i - i % 4)) for i in range(80)] and [r["pm2.5"] for r in out] == list(range(80))
+
+
+def test_student_quantiles_of_many_groups():
+    start = time.perf_counter()
+    found = special.t_quantile_values(0.975, np.arange(1.0, 1001.0))
+    assert time.perf_counter() - start < 20
+    assert np.allclose(found[[0, 8, 999]], [12.706205, 2.262157, 1.962339], atol=1e-5) and (np.diff(found) < 0).all()
