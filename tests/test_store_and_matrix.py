@@ -210,6 +210,16 @@ def test_regression_matrix_has_pooled_metrics(spark, tmp_path, store):
     assert row.r2 > 0.5 and row.pooled_rmse > 0
 
 
+def test_close_errors_stay_apart(spark, tmp_path, store):
+    sequences, targets = pair(spark)
+    targets = targets.withColumn("target", F.col("target").cast("double"))
+    given = [{"name": "ridge", "alpha": alpha} for alpha in (1.0, 1.00001)]
+    run = M.Matrix(spark, config(task_type="regression", models=given, selectors=["none"]), str(tmp_path / "r"), store)
+    rows = run.run({"d": lambda: (sequences, targets)}).collect()
+    assert len(rows) == 2 and len({r.rmse for r in rows}) == len({r.pooled_rmse for r in rows}) == 2
+    assert abs(rows[0].rmse - rows[1].rmse) < 1e-4
+
+
 def test_target_profile_counts(spark):
     got = aggregate.target_profile(pair(spark)[1]).first()
     assert got["count"] == 40 and got["mean"] == 0.5

@@ -244,10 +244,10 @@ class Matrix:
             parts = scored if parts is None else parts.unionByName(scored)
         k = len(metrics)
         fit_s, predict_s = timings["fit_s"], timings["predict_s"]
-        out = {m: round(sum(r[m] for r in metrics) / k, 4) for m in METRICS[c.task_type]}
+        out = {m: sum(r[m] for r in metrics) / k for m in METRICS[c.task_type]}
         if c.task_type == "regression":
             pooled = models.error_metrics(parts).first()
-            out |= {f"pooled_{m}": round(pooled[m], 4) for m in ("rmse", "mae", "r2")}
+            out |= {f"pooled_{m}": pooled[m] for m in ("rmse", "mae", "r2")}
         if c.task_type == "forecasting":
             per = models.forecast_metrics(parts, per_horizon=True).orderBy("horizon").collect()
             out["horizons"] = json.dumps([r.asDict() for r in per])
