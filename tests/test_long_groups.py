@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tidemark.operators import compare, position, selection
+from tidemark.operators.position import with_position
 from tidemark.operators.features import basic, compact, drift, efficient, long_sequences, signal
 from tidemark.operators.features.rows import sequence_rows
 
@@ -176,3 +177,12 @@ def test_fourier_sums_of_blocks_hold_few_waves(spark):
     parts = np.array([r[0] for r in df.select(fourier_sums(F.col("xs"), F.col("start"), F.col("n"), 100)).collect()])
     want = np.fft.rfft(x)[:100]
     assert np.allclose(parts.sum(0)[::2], want.real) and np.allclose(parts.sum(0)[1::2], want.imag)
+
+
+def test_steps_on_top_of_each_other_read_the_input_once(spark, small_tasks, tmp_path):
+    spark.range(60).select("id", (F.col("id") * 7 % 60).alias("o")).write.parquet(str(tmp_path / "t"))
+    out = spark.read.parquet(str(tmp_path / "t"))
+    for i in range(3):
+        out = with_position(out, [], ["o"], f"p{i}")
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert all(r.p0 == r.p1 == r.p2 == r.o for r in out.collect())

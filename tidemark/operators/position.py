@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import MAX_GROUP_ROWS, limit
+from tidemark.session import MAX_GROUP_ROWS, cut_lineage, limit
 
 _FANOUT = 32
 
@@ -152,7 +152,8 @@ def prefix_sums(
 
     codes = bucket_codes(df, order, rows)
     buckets = list(codes)
-    df = df.withColumns(codes)
+    # Sums and rows both read the buckets: written once, so that steps on top of each other do not multiply the work.
+    df = cut_lineage(df.withColumns(codes))
     per_bucket = df.groupBy(*keys, *buckets).agg(*[F.sum(c).alias(c) for c in scratch])
     earlier = whole.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select(
