@@ -1,4 +1,4 @@
-"""Fitting and scoring with Spark ML: classification, regression and direct multi-horizon forecasts."""
+"""Fitting and scoring with Spark ML and own forests: classification, regression and direct multi-horizon forecasts."""
 
 from __future__ import annotations
 
@@ -7,15 +7,16 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import normal_quantile
+from tidemark.operators.forests import RandomForest, RandomForestModel
 from tidemark.operators.model_selection import assemble, feature_names, indexed_target
 from tidemark.operators.position import exact_quantiles
 from tidemark.session import cut_lineage
@@ -56,8 +57,8 @@ def model_settings(model: str | Mapping, trees: int | None = None) -> tuple[str,
     return kind, known | ({"trees": trees} if trees is not None and "trees" in known else {}) | given
 
 
-def build_model(model: str | Mapping, task_type: str, train: DataFrame, seed: int = 42, trees: int | None = None) -> Pipeline:
-    """A pipeline from `features` to `prediction`, for a model as `model_settings` takes it."""
+def build_model(model: str | Mapping, task_type: str, train: DataFrame, seed: int = 42, trees: int | None = None) -> Pipeline | RandomForest:
+    """A pipeline (or a forest) from `features` to `prediction`, for a model as `model_settings` takes it."""
     kind, own = model_settings(model, trees)
     classes = task_type == "classification"
     if (kind == "logistic_regression") > classes or (kind in ("ridge", "ridge_centred")) and classes:
@@ -84,8 +85,7 @@ def build_model(model: str | Mapping, task_type: str, train: DataFrame, seed: in
             # Spark boosts two classes; of several each is told from the rest.
             fit = OneVsRest(classifier=fit)
         return Pipeline(stages=[fit])
-    forest = RandomForestClassifier if classes else RandomForestRegressor
-    return Pipeline(stages=[forest(numTrees=own["trees"], seed=seed, maxDepth=depth, minInstancesPerNode=own["min_rows"], featureSubsetStrategy=str(own["features"]))])
+    return RandomForest(classes, own["trees"], seed, depth, own["min_rows"], str(own["features"]))
 
 
 def _scaler(centred: bool) -> StandardScaler:
@@ -126,11 +126,13 @@ def cross_validate(
     return pooled
 
 
-def predict(fitted: PipelineModel, rows: DataFrame, task_type: str) -> DataFrame:
+def predict(fitted: PipelineModel | RandomForestModel, rows: DataFrame, task_type: str) -> DataFrame:
     out = fitted.transform(rows)
     columns = [ID, "label", "prediction"]
     if task_type == "classification":
-        if "probability" in out.columns:
+        if isinstance(fitted, RandomForestModel):
+            pass  # class shares of its own
+        elif "probability" in out.columns:
             out = out.withColumn("probabilities", vector_to_array("probability"))
         else:
             # One margin for each class: half the log-odds against the rest.
@@ -235,18 +237,6 @@ def array_quantile(values: Column, q: float) -> Column:
     return low + (high - low) * (h - lo)
 
 
-def tree_intervals(forest, rows: DataFrame, lower: float, upper: float) -> DataFrame:
-    """Quantiles, per row, of the predictions of the single trees; no shuffle."""
-    names = []
-    out = rows
-    for i, tree in enumerate(forest.trees):
-        names.append(f"__tree_{i}")
-        out = tree.copy().setPredictionCol(names[-1]).transform(out)
-    each = F.array(*names)
-    out = out.withColumns({"lower": array_quantile(each, lower), "upper": array_quantile(each, upper)})
-    return out.drop(*names)
-
-
 def direct_forecast(
     features: DataFrame,
     targets: DataFrame,
@@ -273,8 +263,9 @@ def direct_forecast(
         with stage(timings, "fit_s"):
             fitted = build_model(model, "regression", train, seed, trees).fit(train)
         scored = fitted.transform(test)
-        if hasattr(fitted.stages[-1], "trees") and model_settings(model)[0] != "gradient_boosting":
-            scored = tree_intervals(fitted.stages[-1], scored, lower, upper)
+        if isinstance(fitted, RandomForestModel):
+            # Quantiles of the predictions of the single trees.
+            scored = scored.withColumns({"lower": array_quantile(F.col("each"), lower), "upper": array_quantile(F.col("each"), upper)})
         else:
             spread = fitted.transform(train).agg(
                 F.coalesce(F.stddev_samp(F.col("label") - F.col("prediction")), F.lit(0.0)).alias("s")
