@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import models
 from tidemark.operators.forests import RandomForest
+from tidemark.plans.selection_queries import line_features
 
 
 def rows_of(spark, x, y):
@@ -92,3 +93,10 @@ def test_trees_predict_one_by_one_and_rows_go_to_a_side(spark):
     strong = RandomForest(False, 5, 1, 30, 1, "all").fit(rows)
     assert np.corrcoef(predicted(strong, rows), x[:, 0])[0, 1] > 0.99
     assert int(np.argmax(strong.importances())) == 0
+
+
+def test_line_rows_are_numbered_once(spark):
+    # Boruta and logistic regression read them again and again.
+    for part in line_features(spark, "/root/testdata/sf0.001"):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan

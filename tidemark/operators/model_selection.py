@@ -191,6 +191,8 @@ def boruta(
             shadows = shadow_features(real, random_state + turn)
             columns = [*live, *[f"shadow__{n}" for n in live]]
             rows = training_rows(real.select(ID, "feature", "value").unionByName(shadows), targets, columns, task_type)
+            # A fit reads its rows several times: the shadows are dealt and joined once.
+            rows = cut_lineage(rows.select("features", "label"))
             gains = forest(task_type, n_estimators, random_state + turn).fit(rows).featureImportances.toArray()
             bar = gains[len(live) :].max()
             for n, g in zip(live, gains):

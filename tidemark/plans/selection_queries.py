@@ -10,6 +10,7 @@ from tidemark.operators import selection as sel
 from tidemark.operators import splits
 from tidemark.operators.position import with_position
 from tidemark.plans.registry import digits, query, rounded, rounded_sql, table
+from tidemark.session import cut_lineage
 
 ID = "sequence_id"
 
@@ -32,6 +33,8 @@ def line_features(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
     # No columns of a line are a key, so its place in their order is its id.
     rows = with_position(table(spark, sf_dir, "lineitem").select(*order), [], order, ID)
+    # Both results are read several times, so the places are worked out once.
+    rows = cut_lineage(rows.select(ID, *order[4:]))
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     features = rows.select(ID, *names).unpivot([ID], names, "feature", "value")
     return features, rows.select(ID, F.col("l_returnflag").alias("target"))
