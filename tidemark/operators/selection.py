@@ -27,7 +27,7 @@ from tidemark.operators.features.rows import sequence_rows
 from tidemark.operators.neighbours import digamma, interval_counts, real_mutual_information
 from tidemark.operators.position import bucket_codes, fits_one_task, prefix_sums, value_ranks, with_position
 from tidemark.operators.splits import seeded_hash
-from tidemark.session import cut_lineage
+from tidemark.session import BLOCK_ROWS, cut_lineage, limit
 
 ID = "sequence_id"
 
@@ -334,6 +334,19 @@ def _tie_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name:
     )
 
 
+def _merge_levels(ordered: DataFrame) -> DataFrame:
+    """Each row (feature, p, n, y) in its block of every level of a merge sort, and whether it is in the right half."""
+    # A task counts all it unfolds before the shuffle, in memory: so it gets no more rows however large the files are.
+    parts = max(8, -(-ordered.count() // limit(ordered.sparkSession, BLOCK_ROWS)))
+    rows = ordered.select("feature", "p", "n", "y").repartition(parts, "feature", "p")
+    bits = F.ceil(F.log2(F.greatest(F.col("n"), F.lit(2)).cast("double"))).cast("int")
+    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), bits - 1)))
+    half = F.expr("shiftright(p, level)")
+    return levels.select(
+        "feature", "level", F.expr("shiftright(p, level + 1)").alias("block"), "y", (half % 2).alias("right")
+    )
+
+
 def kendall(features: DataFrame, targets: DataFrame, exact_rows: int = 33) -> DataFrame:
     """Kendall's tau-b of each feature with a real target, with its p: without ties exact up to `exact_rows` rows, and beyond
     them while at most one pair goes against the others; the normal form otherwise (`exact_rows=0`: always).
@@ -347,13 +360,7 @@ def kendall(features: DataFrame, targets: DataFrame, exact_rows: int = 33) -> Da
     )
     ordered = cut_lineage(with_position(cut_lineage(data), ["feature"], ["value", "y", ID], "p", "n"))
     data = ordered.select("feature", "value", "y")
-    bits = F.ceil(F.log2(F.greatest(F.col("n"), F.lit(2)).cast("double"))).cast("int")
-    levels = ordered.withColumn("level", F.explode(F.sequence(F.lit(0), bits - 1)))
-    half = F.expr("shiftright(p, level)")
-    levels = levels.select(
-        "feature", "level", F.expr("shiftright(p, level + 1)").alias("block"), "y", (half % 2).alias("right")
-    )
-    ranks = value_ranks(levels, ["feature", "level", "block"], "y", F.col("right") == 0)
+    ranks = value_ranks(_merge_levels(ordered), ["feature", "level", "block"], "y", F.col("right") == 0)
     # Counts of pairs pass 64 bits on long tables.
     inversions = (F.col("n") - F.col("n1")).cast("double") * (F.col("n1_total") - F.col("n1_before") - F.col("n1"))
     out = ranks.groupBy("feature").agg(F.sum(inversions).alias("dis"))
