@@ -22,3 +22,9 @@ def test_tau_of_long_columns(spark, small_tasks):
     signs = np.sign(x[:, None] - x) * np.sign(y[:, None] - y)
     pairs = np.sqrt((x[:, None] != x).sum() * (y[:, None] != y).sum())
     assert np.isclose(sel.kendall(features, targets).first()["tau"], signs.sum() / pairs)
+
+
+def test_counts_by_value_are_spread(spark, small_tasks):
+    rows = spark.range(2000).coalesce(1).select(F.col("id").alias("sequence_id"), F.lit("a").alias("feature"))
+    each = [r["count"] for r in sel._spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 2000 and max(each) < 60

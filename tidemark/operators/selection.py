@@ -27,7 +27,7 @@ from tidemark.operators.features.rows import sequence_rows
 from tidemark.operators.neighbours import digamma, interval_counts, real_mutual_information
 from tidemark.operators.position import bucket_codes, fits_one_task, prefix_sums, value_ranks, with_position
 from tidemark.operators.splits import seeded_hash
-from tidemark.session import BLOCK_ROWS, cut_lineage, limit
+from tidemark.session import BLOCK_ROWS, MAX_GROUP_ROWS, cut_lineage, limit
 
 ID = "sequence_id"
 
@@ -316,11 +316,17 @@ def two_sample_distance(
     return out.withColumn("p_value", F.nanvl(p, F.lit(None))).drop("__n1", "__n0")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Written rows in parts that a task can count by value in memory, however many rows there are."""
+    parts = max(8, -(-rows.count() // limit(rows.sparkSession, MAX_GROUP_ROWS)))
+    return rows.repartition(parts, "feature", ID)
+
+
 def smirnov(features: DataFrame, targets: DataFrame) -> DataFrame:
     """Distance between the target distributions of the two values of a feature."""
-    data = labelled(features, targets).withColumn("y", F.col("y").cast("double"))
+    data = _spread(cut_lineage(labelled(features, targets).withColumn("y", F.col("y").cast("double"))))
     edge = data.groupBy("feature").agg(F.max("value").alias("hi"))
-    data = data.join(edge, "feature")
+    data = data.join(F.broadcast(edge), "feature")
     return two_sample_distance(data, ["feature"], "y", F.col("value") == F.col("hi"))
 
 
