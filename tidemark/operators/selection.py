@@ -24,6 +24,7 @@ from tidemark.functions.special import (
 )
 from tidemark.operators.features.basic import guarded_corr
 from tidemark.operators.features.rows import sequence_rows
+from tidemark.operators.inversions import inverted_pairs
 from tidemark.operators.neighbours import digamma, interval_counts, real_mutual_information
 from tidemark.operators.position import bucket_codes, fits_one_task, prefix_sums, value_ranks, with_position
 from tidemark.operators.splits import seeded_hash
@@ -332,7 +333,7 @@ def smirnov(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _tie_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
     t = F.col("t").cast("double")
-    counts = df.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("t"))
+    counts = df.groupBy(*keys, *columns).agg(F.sum("c").alias("t"))
     return counts.groupBy(*keys).agg(
         F.sum(t * (t - 1) / 2).alias(f"{name}_pairs"),
         F.sum(t * (t - 1) * (t - 2)).alias(f"{name}_0"),
@@ -357,21 +358,15 @@ def kendall(features: DataFrame, targets: DataFrame, exact_rows: int = 33) -> Da
     """Kendall's tau-b of each feature with a real target, with its p: without ties exact up to `exact_rows` rows, and beyond
     them while at most one pair goes against the others; the normal form otherwise (`exact_rows=0`: always).
 
-    Discordant pairs are inversions of the target in the order of the feature. They are counted
-    as a merge sort would: each row joins one block per bit of its position, and inside a block
-    the left half is counted against the right half by the histogram of the target.
+    Discordant pairs are inversions of the target in the order of the feature, counted between the different pairs of
+    values with their numbers of rows.
     """
-    data = labelled(features, targets).select(
-        "feature", ID, "value", F.col("y").cast("double").alias("y")
-    )
-    ordered = cut_lineage(with_position(cut_lineage(data), ["feature"], ["value", "y", ID], "p", "n"))
-    data = ordered.select("feature", "value", "y")
-    ranks = value_ranks(_merge_levels(ordered), ["feature", "level", "block"], "y", F.col("right") == 0)
-    # Counts of pairs pass 64 bits on long tables.
-    inversions = (F.col("n") - F.col("n1")).cast("double") * (F.col("n1_total") - F.col("n1_before") - F.col("n1"))
-    out = ranks.groupBy("feature").agg(F.sum(inversions).alias("dis"))
-    sizes = data.groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    out = out.join(sizes, "feature")
+    data = labelled(features, targets).select("feature", "value", F.col("y").cast("double").alias("y"))
+    data = cut_lineage(data.groupBy("feature", "value", "y").agg(F.count(F.lit(1)).alias("c")))
+    # Rows without a target are in no pair, but count as rows.
+    dis = inverted_pairs(data.where("y IS NOT NULL"), ["feature"], "value", "y", "c")
+    out = data.groupBy("feature").agg(F.sum("c").cast("double").alias("n"))
+    out = out.join(dis.withColumnRenamed("pairs", "dis"), "feature")
     for columns, name in ((["value"], "x"), (["y"], "y"), (["value", "y"], "xy")):
         out = out.join(_tie_sums(data, ["feature"], columns, name), "feature")
     n, m = F.col("n"), F.col("n") * (F.col("n") - 1)
