@@ -1,5 +1,6 @@
 """Folds and hold-outs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,30 @@ def test_repeats_differ(rows):
 def test_group_column_names(rows):
     assert splits.group_column(rows) == "subject_id"
     assert splits.group_column(rows.drop("subject_id")) is None
+
+
+def test_a_round_passes_over_the_groups_once(spark, monkeypatch):
+    passes, read = [], splits._with_moves
+    monkeypatch.setattr(splits, "_with_moves", lambda *a: passes.append(read(*a)) or passes[-1])
+    rows = spark.range(900).select(F.col("id").alias(ID), F.pmod(F.xxhash64("id"), F.lit(61)).alias("subject_id"))
+    rows = rows.withColumn("target", F.pmod(F.xxhash64(F.lit(1), ID), F.col("subject_id") % 4 + 1))
+    scans, explode = [], F.explode
+    monkeypatch.setattr(splits.F, "explode", lambda c: scans.append(c) or explode(c))
+    folds = splits.group_k_fold(rows, 4, "subject_id", target="target")
+    assert len(passes) > 2 and len(scans) == 1
+    assert folds.count() == 900
+
+
+def test_proposals_are_the_best_moves(spark):
+    rng = np.random.default_rng(5)
+    share, weight = rng.normal(size=(3, 4)), rng.random(4)
+    rows = []
+    for g in range(50):
+        at = sorted(rng.choice(4, rng.integers(1, 5), replace=False).tolist())
+        rows.append((g, int(rng.integers(0, 3)), at, rng.integers(1, 9, len(at)).tolist()))
+    groups = spark.createDataFrame(rows, "__group long, fold int, at array<int>, n array<long>")
+    got = {r["__group"]: (r["to"], r["gain"]) for r in splits._proposals(groups, share, weight).collect()}
+    for g, fold, at, n in rows:
+        gain = splits._gains(share, weight, fold, np.array(at), np.array(n))
+        assert (g in got) == (gain.max() > 1e-12)
+        assert g not in got or (got[g][0] == gain.argmax() and np.isclose(got[g][1], gain.max()))

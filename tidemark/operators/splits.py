@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,17 +120,21 @@ def _balanced(counts: DataFrame, folds: DataFrame, k: int, rounds: int) -> DataF
     moved: dict = {}
     key = counts.schema["__group"]
 
+    cells = np.zeros((k, len(names)))
+    for r in groups.select("fold", F.explode(F.arrays_zip("at", "n")).alias("c")).groupBy("fold", "c.at").agg(F.sum("c.n").alias("n")).collect():
+        cells[r["fold"], r["at"]] = r["n"]
     for _ in range(rounds):
+        share = cells * weight - 1.0 / k
         now = _with_moves(groups, moved, key)
-        cells = now.select("fold", F.explode(F.arrays_zip("at", "n")).alias("c")).groupBy("fold", "c.at").agg(F.sum("c.n").alias("n"))
-        share = np.zeros((k, len(names)))
-        for r in cells.collect():
-            share[r["fold"], r["at"]] = r["n"]
-        share = share * weight - 1.0 / k
         best = _proposals(now, share, weight).orderBy(F.desc("gain"), F.xxhash64("__group")).limit(MOVES).collect()
         made = _make_moves(best, share, weight)
         if not made:
             break
+        # The counts of the folds follow the moves, so that a round passes over the groups once.
+        for r in best:
+            if r["__group"] in made:
+                cells[r["fold"], r["at"]] -= r["n"]
+                cells[made[r["__group"]], r["at"]] += r["n"]
         moved.update(made)
     return _with_moves(groups, moved, key).select("__group", "fold")
 
@@ -153,16 +158,25 @@ def _gains(share: np.ndarray, weight: np.ndarray, fold: int, at: np.ndarray, n:
 
 
 def _proposals(groups: DataFrame, share: np.ndarray, weight: np.ndarray) -> DataFrame:
-    @F.pandas_udf("to int, gain double")
-    def propose(fold: pd.Series, at: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out = []
-        for f, a, c in zip(fold.tolist(), at, n):
-            gain = _gains(share, weight, f, np.asarray(a), np.asarray(c, float))
-            out.append((int(gain.argmax()), float(gain.max())))
-        return pd.DataFrame(out, columns=["to", "gain"])
-
-    rows = groups.select("*", propose("fold", "at", "n").alias("p"))
-    return rows.select("__group", "fold", "at", "n", "p.to", "p.gain").where("gain > 1e-12")
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The classes of all groups of the batch one after the other.
+            lengths, fold = pc.list_value_length(batch.column("at")).to_numpy(), batch.column("fold").to_numpy()
+            at, n = (batch.column(c).flatten().to_numpy() for c in ("at", "n"))
+            each, start, v = np.arange(len(fold)), np.cumsum(lengths) - lengths, n * weight[at]
+            to_fold = np.add.reduceat(share[:, at] * v, start, axis=1)
+            gain = 2 * to_fold[fold, each] - 2 * to_fold - 2 * np.add.reduceat(v * v, start)
+            gain[fold, each] = 0.0
+            to = gain.argmax(0)
+            kept = np.flatnonzero(gain[to, each] > 1e-12)
+            own = batch.take(pa.array(kept))
+            more = [pa.array(to[kept].astype(np.int32)), pa.array(gain[to, each][kept])]
+            yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "to", "gain"])
+
+    schema = T.StructType([*groups.schema, T.StructField("to", T.IntegerType()), T.StructField("gain", T.DoubleType())])
+    return groups.mapInArrow(propose, schema)
 
 
 def _make_moves(proposals: list, share: np.ndarray, weight: np.ndarray) -> dict:

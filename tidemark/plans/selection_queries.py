@@ -560,10 +560,12 @@ def _(spark, sf_dir):
     within the class's largest group of a fifth."""
     targets = order_targets(spark, sf_dir)
     rows = splits.group_k_fold(targets, 5, "subject_id", target="target").join(targets, ID)
-    groups = rows.groupBy("subject_id").agg(F.max("fold").alias("last"), F.min("fold").alias("first"))
+    # All that follows is of these counts.
+    counts = cut_lineage(rows.groupBy("subject_id", "target", "fold").agg(F.count("*").alias("n")))
+    groups = counts.groupBy("subject_id").agg(F.max("fold").alias("last"), F.min("fold").alias("first"))
     split = groups.agg(F.count_if(F.col("last") > F.col("first")).alias("split"))
-    cells = rows.groupBy("target", "fold").agg(F.count("*").alias("n"))
-    largest = rows.groupBy("target", "subject_id").agg(F.count("*").alias("n")).groupBy("target").agg(F.max("n").alias("largest"), F.count("*").alias("n_groups"))
+    cells = counts.groupBy("target", "fold").agg(F.sum("n").alias("n"))
+    largest = counts.groupBy("target", "subject_id").agg(F.sum("n").alias("n")).groupBy("target").agg(F.max("n").alias("largest"), F.count("*").alias("n_groups"))
     off = F.max(F.abs(F.col("n") - F.col("total") / 5))
     totals = cells.groupBy("target").agg(F.sum("n").alias("total"), F.count("*").alias("n_folds"))
     worst = cells.join(totals, "target").groupBy("target", "total", "n_folds").agg(off.alias("off")).join(largest, "target")
