@@ -71,12 +71,21 @@ def _order_numbers(df: DataFrame, order: Sequence[str]) -> tuple[dict[str, Colum
 
 
 def _bounds(df: DataFrame, columns: Mapping[str, Column], buckets: int) -> dict[str, list]:
-    """At most `buckets` cut points per order column, in one pass."""
+    """At most `buckets` cut points per order column. Where the first column has no null and none of its cut points comes
+    twice, no value of it has many more rows than two buckets, so the others are not measured and divide nothing."""
     at = F.lit([i / buckets for i in range(1, buckets)])
-    row = df.agg(
-        *[F.percentile_approx(c, at, 8 * buckets).alias(f"c{i}") for i, c in enumerate(columns.values())]
-    ).first()
-    return {n: sorted(row[i] or []) for i, n in enumerate(columns)}
+
+    def measured(names: Sequence[str]) -> tuple[dict[str, list], bool]:
+        cuts = [F.percentile_approx(columns[n], at, 8 * buckets).alias(f"c{i}") for i, n in enumerate(names)]
+        row = df.agg(*cuts, F.max(columns[names[0]].isNull()).alias("null")).first()
+        return {n: sorted(row[i] or []) for i, n in enumerate(names)}, bool(row["null"])
+
+    first, *others = columns
+    cuts, null = measured([first])
+    found = cuts[first]
+    if others and (null or len(set(found)) < len(found) or any(b != b for b in found)):
+        cuts |= measured(others)[0]
+    return cuts
 
 
 def _bounds_literal(bounds: list, kind: str) -> Column:
@@ -110,12 +119,12 @@ def bucket_codes(df: DataFrame, order: Sequence[str], rows: int) -> dict[str, Co
     numeric, kinds = _order_numbers(df, order)
     cuts = _bounds(df, numeric, buckets)
     codes, tied = {}, F.lit(True)
-    for level, name in enumerate(numeric):
+    for level, name in enumerate(cuts):
         x, kind = numeric[name], kinds[name]
         below = _count_bounds(x, cuts[name], kind, True)
         upto = _count_bounds(x, cuts[name], kind, False)
-        codes[f"__bucket{level}"] = F.when(tied, F.coalesce(below + upto, F.lit(-1))).otherwise(F.lit(0))
-        tied = tied & F.coalesce(upto > below, F.lit(True))
+        codes[f"__bucket{level}"] = F.when(tied, F.when(x.isNull(), F.lit(-1)).otherwise(below + upto)).otherwise(F.lit(0))
+        tied = tied & (x.isNull() | (upto > below))
     return codes
 
 

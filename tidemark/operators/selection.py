@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -385,6 +386,15 @@ def kendall(features: DataFrame, targets: DataFrame, exact_rows: int = 33) -> Da
     return out.select("feature", "tau", "z", F.when(untied, exact).otherwise(normal_p(F.col("z"))).alias("p_value"))
 
 
+def value_kinds(features: DataFrame) -> DataFrame:
+    """(feature, type): constant, binary or real by the number of different values, from their least, greatest and any between."""
+    clean = clean_features(features)
+    ends = clean.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    between = (F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))
+    kind = F.when(F.max(between), "real").when(F.max(F.col("lo") < F.col("hi")), "binary").otherwise("constant")
+    return clean.join(F.broadcast(cut_lineage(ends)), "feature").groupBy("feature").agg(kind.alias("type"))
+
+
 def relevance_table(
     features: DataFrame, targets: DataFrame, task_type: str = "classification", level: float = 0.05
 ) -> DataFrame:
@@ -394,24 +404,22 @@ def relevance_table(
     target); real features take the rank-sum test or Kendall's tau. With several classes a
     feature is relevant if it is so for any of them.
     """
-    kinds = clean_features(features).groupBy("feature", "value").count().groupBy("feature").agg(
-        F.count(F.lit(1)).alias("values")
-    )
-    kind = F.when(F.col("values") <= 1, "constant").when(F.col("values") == 2, "binary").otherwise("real")
-    kinds = kinds.select("feature", kind.alias("type"))
+    kinds = cut_lineage(value_kinds(features))
+    named = {r["type"] for r in kinds.select("type").distinct().collect()}
 
     def of(name: str) -> DataFrame:
         return features.join(kinds.filter(F.col("type") == name).select("feature"), "feature", "left_semi")
 
     if task_type == "regression":
         # The filter's own rank correlation test takes the normal form at any size.
-        tests = kendall(of("real"), targets, exact_rows=0).select("feature", "p_value")
-        tests = tests.unionByName(smirnov(of("binary"), targets).select("feature", "p_value"))
-        tests = tests.withColumn("label", F.lit("all"))
+        by_type = {"real": lambda x: kendall(x, targets, exact_rows=0), "binary": lambda x: smirnov(x, targets)}
+        label = F.lit("all")
     else:
-        tests = mann_whitney(of("real"), targets).select("feature", "label", "p_value")
-        tests = tests.unionByName(fisher_exact(of("binary"), targets))
-        tests = tests.withColumn("label", F.col("label").cast("string"))
+        by_type = {"real": lambda x: mann_whitney(x, targets), "binary": lambda x: fisher_exact(x, targets)}
+        label = F.col("label").cast("string")
+    # A test that no feature takes reads nothing.
+    found = [by_type[name](of(name)).select("feature", "p_value", label.alias("label")) for name in by_type if name in named or (name == "real" and not named & set(by_type))]
+    tests = reduce(DataFrame.unionByName, found)
     tests = adjust_p_values(tests, "p_value", level, "by", ["label"])
     best = tests.groupBy("feature").agg(
         F.min("p_value").alias("p_value"),
