@@ -15,7 +15,7 @@ from tidemark.operators.features.rows import features_long
 from tidemark.operators.selection import run_selector
 from tidemark.plans.registry import digits, query, rounded, rounded_sql, table
 from tidemark.plans.window_queries import CTE, POSITIONS, WINDOW, event_windows
-from tidemark.session import cut_lineage, ensure_checkpoint_dir
+from tidemark.session import MAX_GROUP_ROWS, cut_lineage, ensure_checkpoint_dir, limit
 from tidemark.sources.store import FeatureStore
 from tidemark.sources.tables import read_pair, validate_pair, write_pair
 from tidemark.streaming.count_windows import stream_count_windows
@@ -531,9 +531,10 @@ def _(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("sequence_id"), F.col("l_orderkey").alias("step"), "l_tax"
     )
-    # Each file holds whole sequences, as a batch of finished sequences would.
-    lines.repartition(2, "sequence_id").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    # Each file holds whole sequences, as a batch of finished sequences would; a task writes no more rows of a longer table.
+    half = max(1, -(-lines.count() // (2 * limit(spark, MAX_GROUP_ROWS))))
+    lines.repartition(2 * half, "sequence_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", half).parquet(f"{folder}/in")
     run = stream_sequence_features(stream, f"{folder}/out", f"{folder}/log", channels=["l_tax"])
     run.awaitTermination()
     features = latest_features(spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out"))
