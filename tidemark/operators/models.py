@@ -115,8 +115,10 @@ def cross_validate(
     """Pooled out-of-fold predictions: (id, fold, label, prediction[, probabilities]), written once per
     fold; `timings` collects `fit_s` and `predict_s`."""
     rows = assemble(features, feature_names(features)).join(indexed_target(targets, task_type), ID).persist()
-    pooled = None
+    # Every fold reads the roles, and a fit passes over its train rows many times.
+    roles, pooled = cut_lineage(roles), None
     for fold, train, test in fold_sets(rows, roles):
+        train = cut_lineage(train)
         with stage(timings, "fit_s"):
             fitted = build_model(model, task_type, train, seed, trees).fit(train)
         with stage(timings, "predict_s"):

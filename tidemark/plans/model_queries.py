@@ -11,6 +11,7 @@ from tidemark.operators.reshape import horizon_vector
 from tidemark.plans.registry import digits, query, rounded, rounded_sql, table
 from tidemark.plans.selection_queries import embedding_features, line_features, order_features
 from tidemark.plans.window_queries import FORECAST_CTE, event_windows, forecasting_windows
+from tidemark.session import cut_lineage
 
 ID = "sequence_id"
 
@@ -263,7 +264,8 @@ def _(spark, sf_dir):
 @query("gradient_boosting_out_of_fold")
 def _(spark, sf_dir):
     windows, targets = event_windows(spark, sf_dir)
-    features = extract(windows, "statistics_sample")
+    # Names, vectors and roles are read from them.
+    features, targets = cut_lineage(extract(windows, "statistics_sample")), cut_lineage(targets)
     pooled = models.cross_validate(features, targets, _ordinal_roles(targets), "gradient_boosting")
     return models.accuracy(pooled, ["fold"])
 
