@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import models, splits
+from tidemark.plans import feature_queries
+from tidemark.plans.registry import QUERIES
 
 
 def test_a_fit_reads_written_rows(spark, monkeypatch):
@@ -11,3 +13,11 @@ def test_a_fit_reads_written_rows(spark, monkeypatch):
     roles = splits.fold_roles(targets.select("sequence_id", (F.col("sequence_id") % 2).cast("int").alias("fold")), 2)
     assert models.cross_validate(ids, targets, roles, "ridge", "regression").count() == 60
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_the_pipeline_selects_on_written_tables(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(feature_queries, "run_selector", lambda _name, *tables: seen.extend(tables))
+    QUERIES["pipeline_end_to_end"](spark, "/root/testdata/sf0.001")
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in seen]
+    assert len(plans) == 2 and not any("Window" in p or "Join" in p for p in plans)
