@@ -182,6 +182,17 @@ def test_unit_root_tells_noise_from_a_walk(spark, noise, wide_noise):
     assert wide_noise[name] < 0.01 < 0.1 < got[name]
 
 
+def test_mass_quantiles_of_repeated_cents(spark):
+    rng = np.random.default_rng(5)
+    cents = [np.tile(rng.integers(1, 20_000, 40), 10) for _ in range(20)]
+    got = wide(efficient.efficient_features(frame(spark, [c / 100 for c in cents]), fft_coefficients=1))
+    for i, c in enumerate(cents):
+        for tenths in (1, 2, 3, 4, 6, 7, 8, 9):
+            # Whole numbers decide: each of the ten repeats holds a tenth of the mass.
+            want = (np.argmax(10 * np.cumsum(c) >= tenths * c.sum()) + 1) / len(c)
+            assert got[i][f"index_mass_quantile__q_{tenths / 10}"] == want == tenths / 10
+
+
 def test_drift_polynomial_by_hand(spark, noise):
     got = wide(drift.drift_features(frame(spark, [noise])))[0]
     x, dx = noise[:-1], np.diff(noise)

@@ -163,7 +163,8 @@ def _ordered() -> dict[str, str]:
             f"try_divide(sum(CASE WHEN chunk = {s} THEN x * x ELSE 0D END), sum(x * x))"
         )
     for q in QUANTILES:
-        reached = f"min(CASE WHEN cum >= {q}D * mass THEN position END)"
+        # Both sums round by the order of their rows; a mass that meets the share within that counts as reached.
+        reached = f"min(CASE WHEN cum >= ({q}D - (n + 8) * 2.3e-16D) * mass THEN position END)"
         out[f"index_mass_quantile__q_{q}"] = f"CASE WHEN max(mass) > 0 THEN ({reached} + 1) / count(1) END"
     out["autocorrelation__lag_0"] = "CASE WHEN var_pop(x) > 0 THEN 1D END"
     for k in range(1, 10):
