@@ -14,10 +14,11 @@ WAVE_CELLS = 1 << 20
 
 def by_length(xs: pd.Series):
     """Row numbers and the stacked matrix of the arrays of each length."""
-    lengths = xs.map(len).to_numpy()
+    arrays = xs.to_numpy()
+    lengths = np.array([len(a) for a in arrays])
     for size in np.unique(lengths):
         rows = np.flatnonzero(lengths == size)
-        yield rows, int(size), np.stack([np.asarray(xs.iloc[i], float) for i in rows])
+        yield rows, int(size), np.stack([np.asarray(arrays[i], float) for i in rows])
 
 
 def fourier_sums(xs: Column, start: Column, n: Column, terms: int) -> Column:

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.fourier import by_length
-from tidemark.functions.matches import match_shares
+from tidemark.functions.matches import template_counts
 from tidemark.functions.phrases import PhraseParse
 from tidemark.functions.range_order import RangeOrder
 
 _ARRAY = T.ArrayType(T.DoubleType())
 # Values of overlapping stretches that are sorted at once.
 SORTED_CELLS = 1 << 18
+# Sequences up to this length have the distances of all their values worked out at once, as many as hold these cells.
+DISTANCE_LENGTH, DISTANCE_CELLS = 256, 1 << 17
 
 
 def _matrix_udf(width: int | None, fn: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
@@ -52,6 +54,19 @@ def _row_udf(width: int, fn: Callable[[np.ndarray], list], column: Column) -> Co
     return _matrix_udf(width, each, column)
 
 
+def _finite_udf(width: int, fn: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
+    """Like `_matrix_udf`, without the sequences that hold values that are not finite."""
+
+    def each(values: np.ndarray) -> np.ndarray:
+        out = np.full((len(values), width), np.nan)
+        good = np.isfinite(values).all(axis=1)
+        if good.any():
+            out[good] = fn(values[good])
+        return out
+
+    return _matrix_udf(width, each, column)
+
+
 def welch_density(values: np.ndarray) -> np.ndarray:
     """Averaged periodogram: Hann windows of up to 256 values, half overlapping, mean removed."""
     size = min(values.shape[1], 256)
@@ -112,21 +127,37 @@ def _entropy(counts: np.ndarray) -> float:
     return float(-(p * np.log(p)).sum())
 
 
-def _density_entropy(density: np.ndarray, bins) -> list:
-    top = density.max()
-    if not top > 0:
-        return [np.nan] * len(bins)
-    return [_entropy(np.histogram(density / top, bins=b)[0].astype(float)) for b in bins]
+def _density_entropy(density: np.ndarray, bins) -> np.ndarray:
+    """Entropy of each row over equal-width bins from its lowest to its highest value, after scaling to a maximum of 1."""
+    out = np.full((len(density), len(bins)), np.nan)
+    good = density.max(axis=1) > 0
+    d = density[good]
+    if not len(d):
+        return out
+    d = d / d.max(axis=1, keepdims=True)
+    rows, size = d.shape
+    low, high = d.min(axis=1, keepdims=True), d.max(axis=1, keepdims=True)
+    flat = low == high
+    low, high = low - 0.5 * flat, high + 0.5 * flat
+    line = np.arange(rows)[:, None]
+    for i, b in enumerate(bins):
+        edges = np.linspace(low[:, 0], high[:, 0], b + 1, axis=1)
+        place = np.minimum(((d - low) / (high - low) * b).astype(np.int64), b - 1)
+        # The edges decide where the division rounds.
+        place = place - (d < edges[line, place])
+        place = place + ((d >= edges[line, place + 1]) & (place < b - 1))
+        out[good, i] = _code_entropy(place)
+    return out
 
 
 def spectrum_entropy(xs: Column, bins) -> Column:
     """Binned entropy of the averaged periodogram scaled to a maximum of 1."""
-    return _row_udf(len(bins), lambda x: _density_entropy(welch_density(x[None, :])[0], bins), xs)
+    return _finite_udf(len(bins), lambda v: _density_entropy(welch_density(v), bins), xs)
 
 
 def density_entropy(density: Column, bins) -> Column:
     """The same from an averaged periodogram."""
-    return _row_udf(len(bins), lambda d: _density_entropy(d, bins), density)
+    return _finite_udf(len(bins), lambda d: _density_entropy(d, bins), density)
 
 
 def segment_density(xs: Column) -> Column:
@@ -235,6 +266,62 @@ def wavelet_peaks(xs: Column, counts) -> Column:
     return _row_udf(len(counts), lambda x: [peaks(x, n) for n in counts], xs)
 
 
+def peak_counts(xs: Column, supports) -> Column:
+    """Number of values above all values up to n steps before and after them, for each n. As in SQL, NaN is above all numbers."""
+
+    def peaks(values):
+        rows, size = values.shape
+        out = np.zeros((rows, len(supports)))
+        no_number = np.isnan(values)
+        top = np.ones(values.shape, bool)
+        for k in range(1, min(max(supports), (size - 1) // 2) + 1):
+            a, b, nan_a, nan_b = values[:, :-k], values[:, k:], no_number[:, :-k], no_number[:, k:]
+            top[:, k:] &= (b > a) | (nan_b & ~nan_a)
+            top[:, :-k] &= (a > b) | (nan_a & ~nan_b)
+            if k in supports:
+                out[:, supports.index(k)] = np.count_nonzero(top[:, k : size - k], axis=1)
+        return out
+
+    return _matrix_udf(len(supports), peaks, xs)
+
+
+def corridor_changes(xs: Column, cuts: Column, corridors) -> Column:
+    """Mean and population variance of the changes, and of their sizes, between neighbours that both lie between two of the
+    sequence's cuts, for each pair of places of cuts; 0 where there are none. As in SQL, NaN is above all numbers."""
+
+    def changes(values, edges):
+        out = np.zeros((len(values), 4 * len(corridors)))
+        step = np.diff(values, axis=1)
+        kinds = (step, np.abs(step))
+        no_number, no_edge = np.isnan(values), np.isnan(edges)
+        # Which values lie at or above, and at or below, each cut that is asked for.
+        high = {i: (values >= edges[:, i, None]) | no_number for i in {i for i, _ in corridors}}
+        low = {j: (values <= edges[:, j, None]) | no_edge[:, j, None] for j in {j for _, j in corridors}}
+        for c, (i, j) in enumerate(corridors):
+            wide = (edges[:, i] < edges[:, j]) | (no_edge[:, j] & ~no_edge[:, i])
+            inside = high[i] & low[j] & wide[:, None]
+            inside = inside[:, 1:] & inside[:, :-1]
+            n = inside.sum(axis=1)
+            some = np.flatnonzero(n)
+            for k, kind in enumerate(kinds):
+                mean = np.where(inside, kind, 0.0).sum(axis=1) / n
+                rest = np.where(inside, kind - mean[:, None], 0.0)
+                out[some, 4 * c + 2 * k] = mean[some]
+                out[some, 4 * c + 2 * k + 1] = ((rest * rest).sum(axis=1) / n)[some]
+        return out
+
+    @F.pandas_udf(_ARRAY)
+    def run(xs: pd.Series, cuts: pd.Series) -> pd.Series:
+        out, edges = np.empty(len(xs), dtype=object), np.stack(cuts.to_numpy()).astype(float)
+        for rows, _size, values in by_length(xs):
+            with np.errstate(all="ignore"):
+                for i, row in zip(rows, changes(values, edges[rows])):
+                    out[i] = row
+        return pd.Series(out)
+
+    return run(xs, cuts)
+
+
 def autocovariances(values: np.ndarray, lags: int) -> np.ndarray:
     """Mean products of the centred values `k` apart, divided by n - k, for k = 0..lags."""
     d = values - values.mean(axis=1, keepdims=True)
@@ -340,6 +427,17 @@ def unit_root_p(t: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _triangle(columns: list[np.ndarray]) -> tuple[np.ndarray, bool]:
+    """The triangle of the columns, the last of them the values to fit, and whether it may decide: not where columns nearly
+    depend on each other, fit the values nearly exactly or are of very different size."""
+    matrix = np.column_stack(columns)
+    if len(matrix) < matrix.shape[1]:
+        return matrix, False
+    r = np.linalg.qr(matrix, mode="r")
+    size = np.abs(np.diag(r))
+    return r, bool((size > 1e-6 * np.sqrt((matrix * matrix).sum(axis=0).max())).all())
+
+
 def unit_root(xs: Column) -> Column:
     """Augmented Dickey-Fuller statistic, p and lag chosen by the information criterion."""
 
@@ -359,22 +457,30 @@ def unit_root(xs: Column) -> Column:
             y = dx[start:]
             return y, np.column_stack([x[start:-1], np.ones(len(y)), _lag_matrix(dx, lags, start)])
 
+        y, design = sample(most, most)
+        # Each number of lags takes the first columns: what they leave of the values are sums over one triangle.
+        triangle, whole = _triangle([*design.T, y])
+        left = np.cumsum(triangle[::-1, -1] ** 2)[::-1] if whole else None
         best, used = math.inf, 0
         for lags in range(most + 1):
-            y, design = sample(lags, most)
-            ssr = fit(y, design)[1]
+            ssr = float(left[lags + 2]) if whole else fit(y, design[:, : lags + 2])[1]
             if ssr <= 0:
                 return [np.nan] * 3
-            score = len(y) * (math.log(2 * math.pi * ssr / len(y)) + 1) + 2 * design.shape[1]
+            score = len(y) * (math.log(2 * math.pi * ssr / len(y)) + 1) + 2 * (lags + 2)
             if score < best:
                 best, used = score, lags
         y, design = sample(used, used)
-        beta, ssr = fit(y, design)
         free = len(y) - design.shape[1]
         if free <= 0:
             return [np.nan] * 3
-        spread = math.sqrt(ssr / free * np.linalg.pinv(design.T @ design)[0, 0])
-        t = beta[0] / spread
+        # With the level as the last column its coefficient and the spread of that are in the triangle's corner.
+        triangle, whole = _triangle([*design.T[1:], design[:, 0], y])
+        if whole:
+            level, rest = triangle[-2, -2:], abs(triangle[-1, -1])
+            t = float(level[1] * np.sign(level[0]) / (rest / math.sqrt(free)))
+        else:
+            beta, ssr = fit(y, design)
+            t = beta[0] / math.sqrt(ssr / free * np.linalg.pinv(design.T @ design)[0, 0])
         return [t, unit_root_p(t), float(used)]
 
     return _row_udf(3, one, xs)
@@ -423,23 +529,37 @@ def threshold_complexity(xs: Column, threshold: float) -> Column:
     return _row_udf(1, lambda x: [PhraseParse(2).feed((x > threshold).astype(np.uint8).tobytes()).count / len(x)], xs)
 
 
+def _code_entropy(codes: np.ndarray) -> np.ndarray:
+    """Entropy of the codes of each row."""
+    rows, size = codes.shape
+    ordered = np.sort(codes, axis=1)
+    fresh = np.ones(ordered.shape, bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    first = np.flatnonzero(fresh)
+    p = np.diff(np.append(first, rows * size)) / size
+    return np.bincount(first // size, -p * np.log(p), rows)
+
+
 def order_entropy(xs: Column, dimensions, tau: int = 1) -> Column:
     """Entropy of the order patterns of each dimension."""
 
-    def one(x):
-        out = []
-        for d in dimensions:
-            span = (d - 1) * tau + 1
-            if len(x) < span:
-                out.append(np.nan)
+    def entropies(values):
+        rows, size = values.shape
+        out = np.full((len(values), len(dimensions)), np.nan)
+        # A pattern is told by which values are above which earlier ones: a bit for each pair.
+        above = {k: (values[:, k * tau :] < values[:, : size - k * tau]).astype(np.int64) for k in range(1, max(dimensions)) if k * tau < size}
+        for i, d in enumerate(dimensions):
+            windows = size - (d - 1) * tau
+            if windows < 1:
                 continue
-            parts = np.lib.stride_tricks.sliding_window_view(x, span)[:, ::tau]
-            ranks = parts.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-            codes = ranks @ (d ** np.arange(d))
-            out.append(_entropy(np.unique(codes, return_counts=True)[1].astype(float)))
+            codes = np.zeros((rows, windows), np.int64)
+            for first in range(d):
+                for k in range(1, d - first):
+                    codes = 2 * codes + above[k][:, first * tau : first * tau + windows]
+            out[:, i] = _code_entropy(codes)
         return out
 
-    return _row_udf(len(dimensions), one, xs)
+    return _finite_udf(len(dimensions), entropies, xs)
 
 
 def cubic_drift(points: Column, degree: int) -> Column:
@@ -482,29 +602,61 @@ def similar_windows(xs: Column, query, threshold: float, normalise: bool = True)
     return _row_udf(1, one, xs)
 
 
+def _counts_within(values: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(radius, row, window): for the windows of two and of three values of each row the number of windows within the radius of
+    the row, itself included."""
+    rows, size = values.shape
+    two = np.empty((len(radii), rows, size - 1), np.int64)
+    three = np.empty((len(radii), rows, size - 2), np.int64)
+    if size > DISTANCE_LENGTH:
+        for i, x in enumerate(values):
+            found = template_counts(x, radii[:, i])
+            # The last window of two begins no window of three.
+            last = np.maximum(np.abs(x[:-1] - x[-2]), np.abs(x[1:] - x[-1])) <= radii[:, i, None]
+            two[:, i, :-1], two[:, i, -1], three[:, i] = found[:, 0] + last[:, :-1], last.sum(axis=1), found[:, 1]
+        return two, three
+    step = max(1, DISTANCE_CELLS // size**2)
+    for a in range(0, rows, step):
+        part = values[a : a + step]
+        far = np.abs(part[:, :, None] - part[:, None, :])
+        pairs = np.maximum(far[:, :-1, :-1], far[:, 1:, 1:])
+        triples = np.maximum(pairs[:, :-1, :-1], far[:, 2:, 2:])
+        for r, radius in enumerate(radii[:, a : a + step, None, None]):
+            two[r, a : a + step] = np.count_nonzero(pairs <= radius, axis=2)
+            three[r, a : a + step] = np.count_nonzero(triples <= radius, axis=2)
+    return two, three
+
+
+def _radii(values: np.ndarray, shares) -> np.ndarray:
+    deviations = np.array([x.std() for x in values])
+    return np.array([s * deviations for s in shares])
+
+
 def sample_entropy(xs: Column) -> Column:
     """-ln of the chance that windows alike over two steps stay alike over three."""
 
-    def one(x):
-        radius = 0.2 * x.std()
-        if len(x) < 4:
-            return [np.nan]
-        b = (match_shares(x[:-1], 2, radius) - 1).sum()
-        a = (match_shares(x, 3, radius) - 1).sum()
-        return [float(-np.log(a / b))]
+    def entropies(values):
+        size = values.shape[1]
+        if size < 4:
+            return np.full((len(values), 1), np.nan)
+        (two,), (three,) = _counts_within(values, _radii(values, [0.2]))
+        # The last window of two begins no window of three, and no window counts itself.
+        b = two.sum(axis=1) - 2 * two[:, -1] + 1 - (size - 2)
+        a = three.sum(axis=1) - (size - 2)
+        return -np.log(a / b)[:, None]
 
-    return _row_udf(1, one, xs)
+    return _finite_udf(1, entropies, xs)
 
 
 def approximate_entropy(xs: Column, m: int, shares) -> Column:
-    def one(x):
-        if len(x) <= m + 1:
-            return [0.0] * len(shares)
-
-        def phi(size, radius):
-            windows = len(x) - size + 1
-            return float(np.log(match_shares(x, size, radius) / windows).sum() / windows)
+    """Mean log share of like windows of m (2) steps less that of m + 1 steps, for a radius of each share of the deviation."""
+    if m != 2:
+        raise ValueError("windows of two steps are compared with windows of three")
 
-        return [abs(phi(m, r * x.std()) - phi(m + 1, r * x.std())) for r in shares]
+    def entropies(values):
+        if values.shape[1] <= m + 1:
+            return np.zeros((len(values), len(shares)))
+        phi = [np.log(c / c.shape[2]).sum(axis=2) / c.shape[2] for c in _counts_within(values, _radii(values, shares))]
+        return np.abs(phi[0] - phi[1]).T
 
-    return _row_udf(len(shares), one, xs)
+    return _finite_udf(len(shares), entropies, xs)
