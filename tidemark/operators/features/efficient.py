@@ -71,7 +71,8 @@ def _row_columns(rows: SequenceRows) -> SequenceRows:
     w = rows.ordered
     lags = {f"lag_{k}": F.lag("x", k).over(w) for k in range(1, 10)}
     peaks = {}
-    for n in PEAK_SUPPORT:
+    # A window looks at its whole frame for each row: whole sequences count their peaks in their arrays.
+    for n in PEAK_SUPPORT if rows.split else ():
         before, after = F.max("x").over(w.rowsBetween(-n, -1)), F.max("x").over(w.rowsBetween(1, n))
         full = (position >= n) & (position < F.col("n") - n)
         peaks[f"peak_{n}"] = full & (x > before) & (x > after)
@@ -176,6 +177,10 @@ def _ordered() -> dict[str, str]:
     return out
 
 
+# Pairs of quantiles, by their places in the deciles.
+CORRIDORS = [(2 * i, 2 * j) for i in range(len(CORRIDOR) - 1) for j in range(i + 1, len(CORRIDOR))]
+
+
 def _corridor_changes() -> dict[str, str]:
     """Mean and variance of the changes between rows that both lie between two quantiles."""
     out = {}
@@ -347,6 +352,9 @@ def efficient_features(
     x = F.col("x")
     aggs = {n: F.expr(c) for n, c in (_plain() | _ordered() | _histograms()).items()}
     aggs |= {"skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x)}
+    plain, peaks, changes = list(aggs), [f"number_peaks__n_{k}" for k in PEAK_SUPPORT], list(_corridor_changes())
+    if not rows.split:
+        aggs = {n: c for n, c in aggs.items() if n not in {*peaks, *changes}}
     sums = [*[c.alias(n) for n, c in aggs.items()], F.first("cuts").alias("cuts")]
     terms = max(1, fft_coefficients)
     if rows.split:
@@ -365,7 +373,10 @@ def efficient_features(
     else:
         main = rows.arrays(*sums)
         xs = F.col("xs")
-        arrays = _array_features(xs, query, threshold, comprehensive)
+        arrays = _array_features(xs, query, threshold, comprehensive) | {
+            "peaks": (K.peak_counts(xs, PEAK_SUPPORT), peaks),
+            "changes": (K.corridor_changes(xs, F.col("cuts"), CORRIDORS), changes),
+        }
         sums = fourier_sums(xs, F.col("start"), F.col("n"), terms)
         made = {f"__a_{n}": c for n, (c, _names) in arrays.items()} | {"__fft": sums, "__top": _largest(xs)}
         parts = []
@@ -379,7 +390,7 @@ def efficient_features(
     exist = F.slice("__fft", F.lit(1), 2 * (F.floor(F.col("n") / 2) + 1).cast("int"))
     main = main.withColumns({"__fft": exist, "__top": F.aggregate("__top", F.lit(0.0), lambda a, v: a + v) / 7})
 
-    plain = [*aggs, *[n for part in named for n in part.columns if n not in keys]]
+    plain += [n for part in named for n in part.columns if n not in keys]
     out = {n: F.col(f"`{n}`") for n in plain}
     out["median"] = F.expr("cuts[5]")
     out |= {f"quantile__q_{q}": F.expr(f"cuts[{round(10 * q)}]") for q in QUANTILES}
@@ -387,5 +398,8 @@ def efficient_features(
     out['linear_trend__attr_"pvalue"'] = trend_p(F.col('`linear_trend__attr_"rvalue"`'), F.col("n"))
     for n, (_c, names) in arrays.items():
         out |= {name: F.expr(f"get(__a_{n}, {i})") for i, name in enumerate(names)}
+    if not rows.split:
+        # Arrays come back with null for NaN; changes are never missing.
+        out |= {n: F.coalesce(out[n], F.lit(float("nan"))) for n in changes}
     out |= fft_columns("__fft", fft_coefficients, _fft_name)
     return main.select(*keys, *[c.alias(n) for n, c in out.items()])

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import id_column, sanitise, select_except, step_column
-from tidemark.operators.position import exact_quantiles, fits_one_task, with_position
+from tidemark.operators.position import exact_quantiles, group_sizes, with_position
 from tidemark.session import BLOCK_ROWS, MAX_GROUP_ROWS, cut_lineage, limit
 
 # The longest stretch from the first row on that a feature looks at.
 MIN_BLOCK = 256
+# Rows of one task of whole sequences: hundreds of features make few bytes much work, which sizes in bytes do not show.
+TASK_ROWS = 32_768
 
 
 @dataclass(frozen=True)
@@ -168,15 +170,19 @@ def sequence_rows(
         channels = select_except(df, [*ids, *order]).columns
     keys = [*ids, "channel"]
     per_task = limit(df.sparkSession, MAX_GROUP_ROWS)
-    long = long_values(df, ids, order, channels)
-    long = long.withColumn("x", F.coalesce("x", F.lit(float("nan"))))
+
+    def values(rows: DataFrame) -> DataFrame:
+        return long_values(rows, ids, order, channels).withColumn("x", F.coalesce("x", F.lit(float("nan"))))
+
     if max_len is not None and max_len <= per_task:
-        rows = long.select(*keys, F.col(order[0]).cast("bigint").alias("position"), "x")
+        rows = values(df).select(*keys, F.col(order[0]).cast("bigint").alias("position"), "x")
         n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
         return SequenceRows(rows.withColumn("n", n), tuple(keys), False)
-    if fits_one_task(df, ids):
+    largest, total = group_sizes(df, ids)
+    if largest <= per_task:
         whole = Window.partitionBy(*keys)
-        rows = long.select(
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total * len(channels) // TASK_ROWS))
+        rows = values(df.repartition(tasks, *ids)).select(
             *keys,
             (F.row_number().over(whole.orderBy(*order)) - 1).cast("bigint").alias("position"),
             F.count(F.lit(1)).over(whole).alias("n"),
@@ -185,7 +191,7 @@ def sequence_rows(
         return SequenceRows(rows, tuple(keys), False)
     size = max(limit(df.sparkSession, BLOCK_ROWS), MIN_BLOCK)
     halo = min(halo, size // 2)
-    rows = with_position(df.select(*ids, *order, *channels), ids, order, "position", "n")
+    rows = with_position(df.select(*ids, *order, *channels), ids, order, "position", "n", (largest, total))
     rows = long_values(rows, ids, ["position", "n"], channels)
     rows = rows.withColumn("x", F.coalesce("x", F.lit(float("nan"))))
     block, inside = F.floor(F.col("position") / size), F.col("position") % size
