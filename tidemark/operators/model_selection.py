@@ -14,10 +14,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions.expr import sanitise
 from tidemark.functions.special import binomial_upper
-from tidemark.operators import lasso, random_trees
-from tidemark.operators.position import with_position
-from tidemark.operators.splits import sample_rows, seeded_hash
-from tidemark.session import cut_lineage, require_small
+from tidemark.operators import lasso, random_trees, shadow_forests
+from tidemark.operators.splits import sample_rows
+from tidemark.session import Scratch, cut_lineage, require_small
 
 ID = "sequence_id"
 
@@ -137,16 +136,6 @@ def tree_importance(
     return _mask(features, names, scores, scores >= cut)
 
 
-def shadow_features(features: DataFrame, seed: int) -> DataFrame:
-    """Each feature with its values dealt to other sequences in seeded order, as `shadow__<name>`."""
-    base = features.select(ID, "feature", "value")
-    givers = base.withColumn("__h", seeded_hash(seed, ID, "feature"))
-    givers = with_position(givers, ["feature"], ["__h", ID], "__p").select("feature", "__p", "value")
-    takers = with_position(base.select(ID, "feature"), ["feature"], [ID], "__p")
-    dealt = takers.join(givers, ["feature", "__p"])
-    return dealt.select(ID, F.concat(F.lit("shadow__"), "feature").alias("feature"), "value")
-
-
 def binomial_tail(hits: np.ndarray, rounds: int) -> np.ndarray:
     """P(X >= hits) for fair draws."""
     return binomial_upper(np.asarray(hits, float), float(rounds))
@@ -166,7 +155,7 @@ def boruta(
     targets: DataFrame,
     n_estimators: int = 50,
     max_iter: int = 20,
-    max_samples: int | None = 1000,
+    max_samples: int | None = None,
     random_state: int = 42,
     task_type: str = "classification",
     level: float = 0.05,
@@ -174,26 +163,36 @@ def boruta(
     """All-relevant selection: a feature stays if it beats the best shuffled copy more often than
     chance. Each round fits one forest on the undecided and accepted features and their shadows.
 
-    `max_samples` is the number of sequences the rounds look at; None takes all.
+    All sequences are looked at, or `max_samples` of them if that is given.
     """
     if max_samples is not None:
-        targets = sample_rows(targets, max_samples, ID, random_state)
-    targets = targets.persist()
-    part = features.join(targets.select(ID), ID, "left_semi").persist()
-    names = feature_names(part)
-    hits = dict.fromkeys(names, 0)
-    decided: dict[str, bool] = {}
-    scores = dict.fromkeys(names, 0.0)
-    try:
+        targets = cut_lineage(sample_rows(targets, max_samples, ID, random_state))
+    names = feature_names(features)
+    known = indexed_target(targets, task_type).select(ID, "label")
+    if task_type == "regression":
+        if not known.where("label IS NULL OR isnan(label) OR abs(label) = double('infinity')").isEmpty():
+            raise ValueError("a target is no finite number")
+        classes, labels = 0, known
+    else:
+        classes = int(known.agg(F.max("label")).first()[0] or 0) + 1
+        # A feature of sequences without a target is listed, though no forest sees it.
+        labels = known.union(targets.where("target IS NULL").select(ID, F.lit(None).cast("double")))
+    with Scratch(features.sparkSession) as scratch:
+        blocks = shadow_forests.coded_blocks(scratch, features, labels, names, classes, ID)
+        place = dict(zip(names, range(len(names))))
+        names = [n for n in names if blocks.seen[place[n]]]
+        hits = dict.fromkeys(names, 0)
+        decided: dict[str, bool] = {}
+        scores = dict.fromkeys(names, 0.0)
+        rows = None
         for turn in range(1, max_iter + 1):
             live = [n for n in names if decided.get(n, True)]
-            real = part.filter(F.col("feature").isin(live))
-            shadows = shadow_features(real, random_state + turn)
-            columns = [*live, *[f"shadow__{n}" for n in live]]
-            rows = training_rows(real.select(ID, "feature", "value").unionByName(shadows), targets, columns, task_type)
-            # A fit reads its rows several times: the shadows are dealt and joined once.
-            rows = cut_lineage(rows.select("features", "label"))
-            gains = forest(task_type, n_estimators, random_state + turn).fit(rows).featureImportances.toArray()
+            if not live:
+                break
+            # A fit reads its rows several times: the shadows are dealt once.
+            dealt = shadow_forests.with_shadows(blocks, [place[n] for n in live], random_state + turn)
+            rows = scratch.cut(dealt, *([] if rows is None else [rows]))
+            gains = shadow_forests.importances(rows, blocks, 2 * len(live), n_estimators, random_state + turn)
             bar = gains[len(live) :].max()
             for n, g in zip(live, gains):
                 scores[n] = float(g)
@@ -211,8 +210,5 @@ def boruta(
                     decided[n] = bool(a)
             if not any(n not in decided for n in names):
                 break
-    finally:
-        part.unpersist()
-        targets.unpersist()
     keep = [decided.get(n, False) for n in names]
     return _mask(features, names, [scores[n] for n in names], keep)
